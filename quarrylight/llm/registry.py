@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_mix_sources": mixing.op7_mix_sources,
+        "op8_url_rules": url_rules.op8_url_rules,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_mix_sources": mixing.OP7_SQL,
+        "op8_url_rules": url_rules.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
