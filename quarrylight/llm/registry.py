@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, url_rules
+from . import exact_dedup, html_text, mixing, quality, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op6_main_text": html_text.op6_main_text,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_url_rules": url_rules.op8_url_rules,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
