@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, quality, url_rules
+from . import exact_dedup, html_text, mixing, near_dedup, quality, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_main_text": html_text.op6_main_text,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_url_rules": url_rules.op8_url_rules,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
