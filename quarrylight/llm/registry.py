@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, near_dedup, quality, repeats, url_rules
+from . import exact_dedup, html_text, mixing, near_dedup, pieces, quality, repeats, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_pieces": pieces.op2_pieces,
         "op3_repeats": repeats.op3_repeats,
         "op6_main_text": html_text.op6_main_text,
         "op7_mix_sources": mixing.op7_mix_sources,
