@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, near_dedup, pieces, quality, repeats, url_rules
+from . import chat_threads, exact_dedup, html_text, mixing, near_dedup, pieces, quality, repeats, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_pieces": pieces.op2_pieces,
         "op3_repeats": repeats.op3_repeats,
+        "op4_chat_threads": chat_threads.op4_chat_threads,
         "op6_main_text": html_text.op6_main_text,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_url_rules": url_rules.op8_url_rules,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_chat_threads": chat_threads.OP4_SQL,
         "op7_mix_sources": mixing.OP7_SQL,
         "op8_url_rules": url_rules.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
