@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_threads, exact_dedup, html_text, mixing, near_dedup, pieces, quality, repeats, url_rules
+from . import chat_threads, embed_dedup, exact_dedup, html_text, mixing, near_dedup, pieces, quality, repeats, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pieces": pieces.op2_pieces,
         "op3_repeats": repeats.op3_repeats,
         "op4_chat_threads": chat_threads.op4_chat_threads,
+        "op5_embed_dedup": embed_dedup.op5_embed_dedup,
         "op6_main_text": html_text.op6_main_text,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_url_rules": url_rules.op8_url_rules,
