@@ -4,7 +4,7 @@
    the same leaf (in pieces of bounded size) are compared and keep their nearest K.
 2. NN-descent: each node's neighbours and those it is a neighbour of are compared with each other
    and lists take what is nearer, until few entries change.
-3. A node whose list is saturated (all K entries are links) gets its whole list: saturated nodes are
+3. A node whose list is saturated (half of it or more are links) gets its whole list: saturated nodes are
    gathered around pivots, and since angles obey the triangle inequality, all their links lie within
    the pivot's radius plus the link angle of the pivot.  That region is compared in blocks, which
    count links and join components; nothing is written out per pair.
@@ -37,6 +37,8 @@ from .components import components
 from .scratch import Scratch
 
 K, TREES, LEAF = 10, 24, 48
+#: A list counts as saturated from so many links on, its own and those of others to it.
+SATURATED = K // 2
 #: Entries that a comparison of a leaf or neighbourhood adds to each list.
 KEEP = 3
 #: Nodes of a piece of a leaf or neighbourhood; nodes of a block of a region; pivots in hand at once.
@@ -195,7 +197,8 @@ def _pivots(saturated: DataFrame, nodes: DataFrame, angle: float, kind: str, scr
 def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """(x, n): all links of saturated nodes, counted; (x, y): links to other nodes, and enough of those within to join components."""
     links = graph.where(F.col("cos") >= threshold)
-    full = links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= K).select(F.col("u").alias("id"))
+    either = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    full = either.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SATURATED).select(F.col("u").alias("id"))
     full = scratch.keep(f"{name}-full", full)
     none = graph.sparkSession.createDataFrame([], "x bigint, n bigint"), graph.sparkSession.createDataFrame([], "x bigint, y bigint")
     if full.isEmpty():

@@ -7,11 +7,10 @@ the suffix tree at depth ``window``, so subtrees are built to that depth and no
 2. Each window has an anchor: of its runs of ``prefix`` words the one with the smallest fingerprint.
    Equal windows have equal anchors at the same offset.  One in seven runs is an anchor, and only
    windows with an anchor that occurs twice can be repeated: the others are not looked at again.
-3. The suffixes that are left are split by prefix, the words of their anchor, into groups.  A prefix
-   with more than ``group`` suffixes gets longer: all words of the window.  Within a group of a short
-   prefix, sorted by place, a streamed subtree tells for each node which suffix was there first; with
-   the long prefix the group is the node, and its first place is an aggregate that Spark combines
-   before the shuffle, so one passage in a third of all documents costs one row a task.
+3. The suffixes that are left are split by prefix, the words of their anchor, into groups.  Within a
+   group, sorted by place, a streamed subtree tells for each node which suffix was there first.  A
+   prefix with more than ``group`` suffixes is dealt in parts with a subtree each; their first places
+   are merged by the longest prefix, all words of the window, with one row for each part and node.
 4. The windows of all nodes but their first places are laid over the documents; words that are
    covered go.
 
@@ -157,28 +156,40 @@ def remove_repeats(
     scratch.drop("found")
 
     def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by prefix and place; of each node, all windows but those of its first place are repeated."""
-        prefix_now, seen = None, {}
+        """Rows come by prefix, part and place; of each node, all windows but those of its first place are repeated.
+
+        First places of a part of a large group are handed on, as (id, start, node).
+        """
+        group_now, seen = None, {}
         for b in batches:
-            ids, out = [], []
-            for h, i, s, nodes in zip(*(b.column(c).to_pylist() for c in ("h", "id", "start", "nodes"))):
-                if h != prefix_now:
-                    prefix_now, seen = h, {}
-                again = [s + k for k, n in enumerate(nodes) if seen.setdefault(n, (i, s + k)) != (i, s + k)]
+            rows: list[tuple] = []
+            for h, part, i, s, nodes in zip(*(b.column(c).to_pylist() for c in ("h", "part", "id", "start", "nodes"))):
+                if (h, part) != group_now:
+                    group_now, seen = (h, part), {}
+                again = []
+                for k, node in enumerate(nodes):
+                    place = (i, s + k)
+                    if (first := seen.setdefault(node, place)) != place:
+                        again.append(s + k)
+                    elif part >= 0 and first is place:
+                        rows.append((i, None, s + k, node))
                 if again:
-                    ids.append(i)
-                    out.append(again)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["id", "starts"])
-
-    small = places.where(f"c <= {group}").select("h", "id", "start", "nodes").repartition("h").sortWithinPartitions("h", "id", "start")
-    repeated = small.mapInArrow(subtree, "id bigint, starts array<int>")
-    large = places.where(f"c > {group}").select("id", "start", F.posexplode("nodes").alias("k", "node"))
-    large = large.select("node", "id", (F.col("start") + F.col("k")).alias("start"))
-    firsts = scratch.keep("firsts", large.groupBy("node").agg(F.min(F.struct("id", "start")).alias("first")))
-    late = large.join(firsts.hint("merge"), "node").where("struct(id, start) <> first")
+                    rows.append((i, again, None, None))
+            cols = zip(*rows) if rows else ((),) * 4
+            types = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "starts", "start", "node"])
+
+    # small groups are part -1; a large one has a part for every ``group`` of its suffixes
+    part = F.expr(f"if(c <= {group}, -1, cast(pmod(xxhash64(id), ceil(c / {group})) as int))").alias("part")
+    dealt = places.select("h", part, "id", "start", "nodes").repartition("h", "part").sortWithinPartitions("h", "part", "id", "start")
+    marked = scratch.keep("marked", dealt.mapInArrow(subtree, "id bigint, starts array<int>, start int, node bigint"))
+    repeated = marked.where("starts is not null").select("id", "starts")
+    of_parts = marked.where("node is not null").select("node", "id", "start")
+    firsts = of_parts.groupBy("node").agg(F.min(F.struct("id", "start")).alias("first"))
+    late = of_parts.join(firsts, "node").where("struct(id, start) <> first")
     repeated = repeated.unionByName(late.select("id", F.array("start").alias("starts")))
     repeated = scratch.keep("repeated", repeated.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts")))
-    scratch.drop("places", "firsts")
+    scratch.drop("places", "marked")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

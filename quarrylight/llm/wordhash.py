@@ -1,6 +1,6 @@
 """Words of Arrow text columns as NumPy arrays: positions and 64-bit fingerprints.
 
-A batch is worked through in slices of a few MB of text, so that memory follows the slice (or one
+A batch is worked through in slices of about a MB of text, so that memory follows the slice (or one
 very long text), not the batch.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 
 #: Bytes that part words: blank and the control characters from tab to carriage return.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _SEP = np.zeros(256, bool)
