@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding (BPE models with byte fallback) by suffix-array matching.
 
 A batch of texts is cut into the stretches that no piece crosses (before blanks, around characters
-that no longer piece holds), and each distinct stretch is worked on once.  The stretches are laid end
-to end and indexed by a suffix array over the longest piece's length; every piece is binary-searched
+that no longer piece holds), and each distinct stretch is worked on once; a worker keeps the ids of a
+bounded number of them for its next batches.  The other stretches are laid end to end and indexed by a suffix array over the longest piece's length; every piece is binary-searched
 in it, and its range gives all its occurrences: edges from position to position.  The edges are
 sorted by position and relaxed in all stretches at once: in each round a stretch takes its edge of
 the best score (the leftmost of equals) among those that span exactly two of its current symbols.
@@ -21,9 +21,10 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -37,19 +38,46 @@ from .wordhash import _Powers, _rolling, mix, slices, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text that are indexed at once; longer stretches than LONG go through a heap.
-BATCH_BYTES, LONG = 1 << 22, 48
+BATCH_BYTES, LONG = 1 << 21, 48
+#: Stretches of earlier batches whose ids a worker keeps, a few dozen MB at most.
+REMEMBERED = 300_000
 _POWERS = _Powers(0xA24BAED4963EE407)
 _U = np.uint64
 _NEVER = np.iinfo(np.int64).max
 
 
+class _Known:
+    """Ids of stretches by name, up to a number."""
+
+    def __init__(self) -> None:
+        self.names, self.lo, self.count, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def look_up(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.names, names)
+        found = at < len(self.names)
+        found[found] = self.names[at[found]] == names[found]
+        return at, found
+
+    def add(self, names: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        keep = np.flatnonzero(count <= LONG)[: max(0, REMEMBERED - len(self.names))]
+        if not len(keep):
+            return
+        lo = np.cumsum(count) - count
+        own = ids[_ragged(lo[keep], count[keep])]
+        size = count[keep]
+        names = np.concatenate([self.names, names[keep]])
+        order = np.argsort(names)
+        self.lo = np.concatenate([self.lo, len(self.ids) + np.cumsum(size) - size])[order]
+        self.count = np.concatenate([self.count, size])[order]
+        self.names, self.ids = names[order], np.concatenate([self.ids, own])
+
+
 @dataclass
 class Vocabulary:
     pieces: list[str]
     scores: list[float]
     kinds: list[int]  # 1 normal, 2 unknown, 3 control, 4 user-defined, 5 unused, 6 byte
     dummy_prefix: bool
-    _memo: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -67,6 +95,10 @@ class Vocabulary:
 
     # What follows is derived once in each worker.
 
+    @cached_property
+    def known(self) -> _Known:
+        return _Known()
+
     @cached_property
     def bytes_at(self) -> np.ndarray:
         """The id of each byte's piece."""
@@ -109,8 +141,13 @@ class Vocabulary:
 
     def symbols_of(self, code: np.ndarray) -> np.ndarray:
         """Symbols of code points; 0 for those outside the alphabet."""
-        at = np.minimum(np.searchsorted(self.alphabet, code), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == code, at + 1, 0).astype(np.uint16)
+        return self.symbol_at[code]
+
+    @cached_property
+    def symbol_at(self) -> np.ndarray:
+        table = np.zeros(0x110000, np.uint16)
+        table[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+        return table
 
     @cached_property
     def longer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -198,11 +235,11 @@ def _edges(text: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     a, b = index.bound(low, False), index.bound(high, True)
     found = np.flatnonzero(b > a)
     count = (b - a)[found]
-    start = index.order[_ragged(a[found], count)]
-    piece = np.repeat(found, count)
+    start = index.order[_ragged(a[found], count)].astype(np.int32)
+    piece = np.repeat(found.astype(np.int32), count)
     by_start = np.argsort(start, kind="stable")
     start, piece = start[by_start], piece[by_start]
-    return start, start + length[piece], ids[piece]
+    return start, start + length[piece].astype(np.int32), ids[piece]
 
 
 def _relax(text: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -308,12 +345,30 @@ def _encode_slice(raw: bytes, at: np.ndarray, v: Vocabulary) -> tuple[np.ndarray
     begin = np.flatnonzero(cut)
     size = np.diff(np.append(begin, n))
     name = _rolling(mix(code.astype(_U)), begin, begin + size, _POWERS)
-    _, first, which = np.unique(name, return_index=True, return_inverse=True)
-    # distinct stretches, end to end; the symbol 0 behind each is in no piece
-    length = size[first]
+    names, first, which = np.unique(name, return_index=True, return_inverse=True)
+    at_known, found = v.known.look_up(names)
+    fresh = np.flatnonzero(~found)
+    own, own_count = _encode_stretches(code, symbol, begin[first[fresh]], size[first[fresh]], v)
+    # ids of all distinct stretches: those known before, then the fresh ones
+    known = v.known
+    lo, count = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+    lo[found], count[found] = known.lo[at_known[found]], known.count[at_known[found]]
+    lo[fresh], count[fresh] = len(known.ids) + np.cumsum(own_count) - own_count, own_count
+    out = np.concatenate([known.ids, own])
+    known.add(names[fresh], own, own_count)
+    each = count[which]
+    total = np.concatenate([[0], np.cumsum(each)])
+    return out[_ragged(lo[which], each)], np.diff(total[np.searchsorted(begin, row_at)])
+
+
+def _encode_stretches(code: np.ndarray, symbol: np.ndarray, begin: np.ndarray, length: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some stretches of a batch, one after the other, and their numbers."""
+    if not len(begin):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    # end to end; the symbol 0 behind each is in no piece
     begin2 = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
     text = np.zeros(int((length + 1).sum()), np.uint16)
-    place, source = _ragged(begin2, length), _ragged(begin[first], length)
+    place, source = _ragged(begin2, length), _ragged(begin, length)
     text[place] = symbol[source]
     letters = np.zeros(len(text), np.uint32)
     letters[place] = code[source]
@@ -333,12 +388,8 @@ def _encode_slice(raw: bytes, at: np.ndarray, v: Vocabulary) -> tuple[np.ndarray
     out = np.repeat(token, wide)
     out[out < 0] = fallback
     cum = np.concatenate([[0], np.cumsum(wide)])
-    lo = cum[np.searchsorted(where, begin2)]
-    count = cum[np.searchsorted(where, begin2 + length)] - lo
-    each = count[which]
-    ids = out[_ragged(lo[which], each)]
-    total = np.concatenate([[0], np.cumsum(each)])
-    return ids, np.diff(total[np.searchsorted(begin, row_at)])
+    at = cum[np.searchsorted(where, begin2)]
+    return out, cum[np.searchsorted(where, begin2 + length)] - at
 
 
 def decode_batch(column: pa.Array, vocabulary: Vocabulary) -> list[str]:
@@ -364,38 +415,58 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with a column that ``make`` gives from each Arrow batch."""
-    kept = [c for c in df.columns if c != name]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind)])
+def _with_columns(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` with columns that ``make`` gives from each Arrow batch, a few MB at a time."""
+    kept = [c for c in df.columns if c not in columns]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, t) for c, t in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
-            yield pa.RecordBatch.from_arrays([b.column(names.index(c)) for c in kept] + [make(b)], kept + [name])
+            for part in _parts(b):
+                yield pa.RecordBatch.from_arrays([part.column(names.index(c)) for c in kept] + make(part), kept + list(columns))
 
     return df.mapInArrow(run, schema)
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about BATCH_BYTES; a batch without rows is one part."""
+    step = max(1, b.num_rows * BATCH_BYTES // max(1, b.nbytes))
+    for lo in range(0, max(1, b.num_rows), step):
+        yield b.slice(lo, step)
+
+
+def _ids(b: pa.RecordBatch, text_col: str, vocabulary: Vocabulary) -> pa.ListArray:
+    ids, at = encode_batch(b.column(b.schema.names.index(text_col)), vocabulary)
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+
+
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` and the ids of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-
-    def make(b: pa.RecordBatch) -> pa.Array:
-        ids, at = encode_batch(b.column(b.schema.names.index(text_col)), sent.value)
-        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-
-    return _with_column(docs, ids_col, T.ArrayType(T.IntegerType()), make)
+    return _with_columns(docs, {ids_col: T.ArrayType(T.IntegerType())}, lambda b: [_ids(b, text_col, sent.value)])
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``rows`` and the text of each list of ids."""
     sent = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    return _with_column(rows, text_col, T.StringType(), lambda b: pa.array(decode_batch(b.column(b.schema.names.index(ids_col)), sent.value), pa.string()))
+    return _with_columns(
+        rows, {text_col: T.StringType()}, lambda b: [pa.array(decode_batch(b.column(b.schema.names.index(ids_col)), sent.value), pa.string())]
+    )
+
+
+def encode_and_decode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
+    """``docs`` with ids and the SHA-256 of the text they decode to, both ways in one step."""
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
+        ids = _ids(b, text_col, sent.value)
+        return [ids, pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decode_batch(ids, sent.value)], pa.string())]
+
+    return _with_columns(docs, {"ids": T.ArrayType(T.IntegerType()), "decoded_sha256": T.StringType()}, make)
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the SHA-256 of what they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode(encode(docs).select("doc_id", "ids"), text_col="decoded")
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode_and_decode(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
