@@ -1,7 +1,7 @@
 """The Porter stemmer (Porter 1980) as full-text indexes use it, and folding of diacritics.
 
-Words of fewer than three letters or more than twenty, or with other characters than a-z, stay as
-they are.
+The rules are applied to UTF-8 bytes, of which all but a, e, i, o, u and some y are consonants.  Words
+of fewer than three bytes or more than 64 stay as they are.
 """
 
 from __future__ import annotations
@@ -36,11 +36,13 @@ def _longest(word: str, endings) -> str | None:
 
 @lru_cache(maxsize=1 << 16)
 def porter(word: str) -> str:
-    if not 3 <= len(word) <= 20 or not re.fullmatch("[a-z]+", word):
+    w = word.encode().decode("latin-1")
+    if not 3 <= len(w) <= 64:
         return word
-    w = word
+    if w[0] == "y":
+        w = "Y" + w[1:]  # at the head it is a consonant
     # plurals
-    if w.endswith(("sses", "ies")):
+    if (w.endswith("sses") and len(w) > 4) or (w.endswith("ies") and len(w) > 3):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
@@ -54,7 +56,7 @@ def porter(word: str) -> str:
             w = stem
             if w.endswith(("at", "bl", "iz")):
                 w += "e"
-            elif re.search(r"([^aeiouylsz])\1$", w):
+            elif re.search(r"([^aeioulsz])\1$", w.lower()):
                 w = w[:-1]
             elif _M1.match(w) and _CVC.search(w):
                 w += "e"
@@ -73,7 +75,7 @@ def porter(word: str) -> str:
             w = stem
     if w.endswith("ll") and _M2.match(w[:-1]):
         w = w[:-1]
-    return w
+    return w.replace("Y", "y").encode("latin-1").decode("utf-8", "ignore")
 
 
 def fold(word: str) -> str:

@@ -367,7 +367,7 @@ UNION ALL SELECT name, 'untracked directory in references/' FROM there WHERE nam
 SELECT repo, dir || '/' AS path, true AS is_dir, any_value(c) AS files, 1 AS depth, '' AS tag FROM f GROUP BY repo, dir
 UNION ALL SELECT repo, path, false, 0, 2, '' FROM f WHERE r <= 25
 UNION ALL SELECT DISTINCT repo, dir || '/... +' || (c - 25) || ' files', false, 0, 2, '' FROM f WHERE c > 25""",
-    "show_range": f"""{BASE}, s AS (SELECT repo, path, ls, 2 AS start_line, len(ls)::INT AS total, least(len(ls), 9)::INT AS end_line FROM line_lists WHERE len(ls) >= 2)
+    "show_range": f"""{BASE}, s AS (SELECT repo, path, ls, 2 AS start_line, len(ls)::INT AS total, least(len(ls), 6)::INT AS end_line FROM line_lists WHERE len(ls) >= 2)
 SELECT repo, path, start_line, end_line, total,
   array_to_string(list_transform(range(start_line, end_line + 1), lambda n: lpad(n::VARCHAR, length(end_line::VARCHAR)::INT, ' ') || '| ' || regexp_replace(ls[n], '[ ' || chr(9) || ']+$', '') || {LF}), '') AS content,
   CASE WHEN end_line < total THEN repo || ':' || path || ':' || (end_line + 1) || '-' || least(total, end_line + 200) END AS next FROM s""",

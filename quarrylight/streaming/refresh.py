@@ -25,7 +25,9 @@ def upsert(spark: SparkSession, folder: str, batch: DataFrame, chunk: Callable[[
     there = jvm.Path(f"{folder}/files").getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(f"{folder}/files"))
     old = spark.read.parquet(f"{folder}/files") if there else spark.createDataFrame([], FILES)
     mine = old.join(batch.select("repo", "path"), ["repo", "path"], "left_semi")
-    changes = index.difference(mine, batch).where("status in ('added', 'changed')").persist()
+    # written first: what it is derived from is about to be replaced
+    index.difference(mine, batch).where("status in ('added', 'changed')").write.mode("overwrite").parquet(f"{folder}/_staged/changes")
+    changes = spark.read.parquet(f"{folder}/_staged/changes")
     counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
     if counts:
         fresh = batch.join(changes, ["repo", "path"], "left_semi").drop("status")
@@ -38,7 +40,6 @@ def upsert(spark: SparkSession, folder: str, batch: DataFrame, chunk: Callable[[
             rows.write.mode("overwrite").parquet(staged)
             out = spark.read.parquet(staged).repartition("repo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             out.partitionBy("repo").parquet(f"{folder}/{name}")
-    changes.unpersist()
     return {"added": counts.get("added", 0), "changed": counts.get("changed", 0)}
 
 
