@@ -36,7 +36,7 @@ def _uniform(*parts: str) -> str:
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: DataFrame | None, total: float | None) -> DataFrame:
-    """source, rate, draws (how many numbers a row draws) and cdf (of one draw)."""
+    """__source, __draws (how many numbers a row draws) and __cdf (of one draw), for each source with a weight."""
     counts = docs.groupBy(F.col(f"`{source_col}`").alias("__source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weighted = counts.withColumn("weight", F.lit(1.0))
@@ -59,7 +59,7 @@ def source_rates(docs: DataFrame, source_col: str, weights: DataFrame | None, to
                 " s -> s.a)"
             ),
         )
-        .select("__source", "rate", "draws", "cdf")
+        .select("__source", F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
     )
 
 
@@ -84,8 +84,8 @@ def mix_sources(
         .withColumn(
             "__n",
             F.expr(
-                "aggregate(transform(sequence(1, draws), i ->"
-                f" size(filter(cdf, c -> c <= {drawn}))), 0, (a, x) -> a + x)"
+                "aggregate(transform(sequence(1, __draws), i ->"
+                f" size(filter(__cdf, c -> c <= {drawn}))), 0, (a, x) -> a + x)"
             ),
         )
         .where("__n > 0")

@@ -42,8 +42,8 @@ from .scratch import Scratch
 BANDS, ROWS = 20, 5
 #: Pairs compared to one node in one task, and nodes of a block, on average.
 CHUNK, BLOCK = 512, 128
-#: Ids of candidates are broadcast up to so many (16 MB); beyond it Spark sorts and merges.
-BROADCAST_IDS = 1_000_000
+#: Ids of candidates are broadcast up to so many (some 16 MB); beyond it Spark sorts and merges.
+BROADCAST_IDS = 250_000
 #: Standard deviations between the threshold and the least estimate that is looked into.
 MARGIN = 6.0
 

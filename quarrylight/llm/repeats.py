@@ -40,8 +40,8 @@ from . import wordhash
 from .scratch import Scratch
 
 WINDOW, PREFIX, GROUP = 20, 8, 4096
-#: Ids are broadcast up to so many (16 MB); beyond it Spark sorts and merges.
-BROADCAST_IDS = 1_000_000
+#: Ids are broadcast up to so many (some 16 MB); beyond it Spark sorts and merges.
+BROADCAST_IDS = 250_000
 _LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Stands for a null id in the order of documents.
 _NULL_ID = -(1 << 63)

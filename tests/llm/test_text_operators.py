@@ -21,7 +21,7 @@ DOCS = T.StructType(
         T.StructField("id", T.StringType()),  # names that operators use themselves
         T.StructField("n", T.StringType()),
         T.StructField("digest", T.StringType()),
-        T.StructField("f1", T.StringType()),
+        T.StructField("rate", T.StringType()),
         T.StructField("source", T.StringType()),
     ]
 )
@@ -86,8 +86,9 @@ def test_digest_index_knows_earlier_batches(spark, docs):
     assert again.rows().count() == index.rows().count()
 
 
-def test_repeats(docs):
-    for group in (2, 4096):
+def test_repeats(docs, monkeypatch):
+    for group, most in ((2, 0), (4096, 1000)):
+        monkeypatch.setattr(repeats, "BROADCAST_IDS", most)
         out = repeats.remove_repeats(docs, group=group).collect()
         rows = sorted({(-1 if i is None else i, t) for i, t in docs.select("doc_id", "text").collect()}, key=lambda r: (r[0], r[1] or ""))
         seen, expected = {}, {}
