@@ -44,14 +44,12 @@ def tokens(chunks: DataFrame, stem: bool = False) -> DataFrame:
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """term, repo, path, start_line, tf (weighted by column) and its positions by column, from tokens."""
-    weight = F.create_map(*[F.lit(x) for kv in C.WEIGHTS.items() for x in kv])[F.col("col")]
-    per = rows.groupBy("term", *CHUNK).agg(F.sum(weight).alias("tf"), F.collect_list(F.struct("col", "pos")).alias("positions"))
-    return per.select("term", *CHUNK, "tf", F.array_sort("positions").alias("positions"))
-
+    """term, repo, path, start_line, tf (weighted by column), n (occurrences), dl, from tokens.
 
-def lengths(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*CHUNK).agg(F.first("dl").alias("dl"))
+    A chunk's tokens come from one row, so each task sums up its postings before anything is shuffled.
+    """
+    weight = F.create_map(*[F.lit(x) for kv in C.WEIGHTS.items() for x in kv])[F.col("col")]
+    return rows.groupBy("term", *CHUNK).agg(F.sum(weight).alias("tf"), F.count(F.lit(1)).alias("n"), F.first("dl").alias("dl"))
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -65,15 +63,18 @@ def statistics(chunks: DataFrame) -> DataFrame:
 
 
 def write(chunks: DataFrame, folder: str, stem: bool = True) -> None:
-    """Stores postings sorted by term, lengths and statistics, so that a query reads the row groups of its terms."""
+    """Stores postings, tokens with their positions (for phrases) and statistics.
+
+    Postings and tokens are sorted by term, so that a query reads the row groups of its terms.
+    """
     rows = tokens(chunks, stem)
-    postings(rows).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    lengths(rows).write.mode("overwrite").parquet(f"{folder}/lengths")
+    for name, table in (("postings", postings(rows)), ("tokens", rows)):
+        table.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/{name}")
     statistics(chunks).coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics")
 
 
 def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "lengths", "statistics"))
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "tokens", "statistics"))
 
 
 # ---- maintenance ----

@@ -11,14 +11,12 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions import paths
-from .index import CHUNK
+from .index import CHUNK, postings
 
-#: Queries scored together; their terms (some dozens each) are broadcast.
-BATCH = 10_000
 ORDER = ["repo", "path", "start_line"]
 
 
-def bm25(tokens: DataFrame, terms: DataFrame, statistics: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def bm25(tokens: DataFrame, terms: DataFrame, statistics: DataFrame) -> DataFrame:
     """Scores of chunks for batches of queries: query, repo, path, start_line, bm25.
 
     ``tokens`` has term, col and a row per occurrence; ``terms`` has query and term, repeated terms
@@ -26,20 +24,19 @@ def bm25(tokens: DataFrame, terms: DataFrame, statistics: DataFrame, keys: list[
     query terms by a broadcast of those terms before anything is shuffled; lengths are joined for
     the chunks that are left.
     """
-    keys = keys or CHUNK
-    wanted = terms.select("term").distinct()
-    weight = F.create_map(*[F.lit(x) for kv in C.WEIGHTS.items() for x in kv])[F.col("col")]
-    own = tokens.join(F.broadcast(wanted), "term")
-    per = own.groupBy("term", *keys).agg(F.sum(weight).alias("f"), F.first("dl").alias("dl"))
-    df = per.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    own = tokens.join(F.broadcast(terms.select("term").distinct()), "term")
+    return score_postings(postings(own), terms, statistics)
+
+
+def score_postings(rows: DataFrame, terms: DataFrame, statistics: DataFrame) -> DataFrame:
+    """The same from postings (term, repo, path, start_line, tf, dl) of the queries' terms."""
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     s = statistics.select("n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avgdl"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = df.crossJoin(F.broadcast(s)).select("term", "avgdl", F.when(idf > 0, idf).otherwise(C.LEAST_IDF).alias("idf"))
     asked = terms.join(weights, "term")
-    tf = F.col("f") * (C.K1 + 1) / (F.col("f") + C.K1 * (1 - C.B + C.B * F.col("dl") / F.col("avgdl")))
-    return per.join(F.broadcast(asked), "term").groupBy("query", *keys).agg(F.sum(F.col("idf") * tf).alias("bm25"))
-
-
+    tf = F.col("tf") * (C.K1 + 1) / (F.col("tf") + C.K1 * (1 - C.B + C.B * F.col("dl") / F.col("avgdl")))
+    return rows.join(F.broadcast(asked), "term").groupBy("query", *CHUNK).agg(F.sum(F.col("idf") * tf).alias("bm25"))
 
 
 def shortlist(scored: DataFrame, k: int = C.SHORTLIST) -> DataFrame:

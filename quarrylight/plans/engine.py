@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import NOT_FOUND, USER, CorpusError
 from ..functions import constants as C
 from ..functions import paths, text
+from ..functions.porter import fold, porter
 from ..operators import chunker, index, lookup, ranking, views
 from ..sources import catalog
 from ..sources.corpus import line_array, window_chunks
@@ -31,7 +33,21 @@ class Engine:
 
     def __init__(self, files: DataFrame, chunks: DataFrame, symbols: DataFrame, stem: bool = True, scorer: ranking.Scorer | None = None):
         self.files, self.chunks, self.symbols, self.stem, self.scorer = files, chunks, symbols, stem, scorer
-        self.spark = files.sparkSession
+        self.spark, self.postings, self.tokens = files.sparkSession, None, None
+
+    def save(self, folder: str) -> None:
+        """Stores the tables and the index; files and chunks by repo, so that a repo's rows are read or replaced alone."""
+        for name in ("files", "chunks"):
+            getattr(self, name).repartition("repo").write.mode("overwrite").partitionBy("repo").parquet(f"{folder}/{name}")
+        self.symbols.repartitionByRange("name_lower").sortWithinPartitions("name_lower").write.mode("overwrite").parquet(f"{folder}/symbols")
+        index.write(self.chunks, f"{folder}/index", self.stem)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, stem: bool = True, scorer: ranking.Scorer | None = None) -> Engine:
+        """An engine over stored tables; searches read postings of their terms instead of texts."""
+        made = cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks", "symbols")), stem, scorer)
+        made.postings, made.tokens, made.statistics = index.read(spark, f"{folder}/index")
+        return made
 
     @classmethod
     def from_files(cls, files: DataFrame, stem: bool = True, scorer: ranking.Scorer | None = None) -> Engine:
@@ -98,8 +114,7 @@ class Engine:
             terms = [t for t in terms if t not in {r.lower() for r in named}] or terms
         if not terms:
             raise CorpusError(USER, f"query {query!r} has no searchable terms", "add specific words, e.g. identifiers or domain terms")
-        tokens = index.tokens(self.chunks, self.stem)
-        scores = self._scores(tokens, terms)
+        scores = self._scores(terms)
         in_files = scores.join(files.select("repo", "path", "lang", "flags"), ["repo", "path"])
         meta = self.chunks.select("repo", "path", "start_line", "end_line", "symbol", "kind")
         listed = ranking.shortlist(in_files).join(meta, ["repo", "path", "start_line"])
@@ -116,26 +131,24 @@ class Engine:
         judged = ranking.blend(pool, self.scorer(pool)).where(F.col("place") <= limit)
         return Result("concept", judged.drop("score").withColumnRenamed("blended", "score").select(*HIT, "p", "weak"), "", terms)
 
-    def _scores(self, tokens: DataFrame, terms: list[str]) -> DataFrame:
+    def _scores(self, terms: list[str], tokens: DataFrame | None = None) -> DataFrame:
         """BM25 of one query.  A term of several index tokens is a phrase: its tokens side by side in one column."""
-        from ..functions.porter import fold, porter
-
-        fold_one = (lambda w: porter(fold(w))) if self.stem else str.lower
-        import regex
-
-        phrases = [[fold_one(w) for w in regex.findall(text.TOKEN, t)] for t in terms]
+        one = (lambda w: porter(fold(w))) if self.stem else str.lower
+        phrases = [[one(w) for w in regex.findall(text.TOKEN, t)] for t in terms]
         single = [p[0] for p in phrases if len(p) == 1]
-        own = tokens.where(F.col("term").isin(sorted({w for p in phrases for w in p})))
-        rows = own.where(F.col("term").isin(single)).select(*index.CHUNK, "dl", "col", "term")
+        if tokens is None:
+            tokens = self.tokens if self.tokens is not None else index.tokens(self.chunks, self.stem)
+        stored = self.postings is not None
+        rows = self.postings.where(F.col("term").isin(single)) if stored else index.postings(tokens.where(F.col("term").isin(single)))
         asked = [(0, s) for s in single]
         for p in (p for p in phrases if len(p) > 1):
-            name, run = " ".join(p), own.where(F.col("term") == p[0]).select(*index.CHUNK, "dl", "col", "pos")
+            run = tokens.where(F.col("term") == p[0]).select(*index.CHUNK, "dl", "col", "pos", F.lit(" ".join(p)).alias("term"))
             for k, word in enumerate(p[1:], 1):
-                after = own.where(F.col("term") == word).select(*index.CHUNK, "col", (F.col("pos") - k).alias("pos"))
+                after = tokens.where(F.col("term") == word).select(*index.CHUNK, "col", (F.col("pos") - k).alias("pos"))
                 run = run.join(after, [*index.CHUNK, "col", "pos"], "left_semi")
-            rows = rows.unionByName(run.select(*index.CHUNK, "dl", "col", F.lit(name).alias("term")))
-            asked.append((0, name))
-        return ranking.bm25(rows, self.spark.createDataFrame(asked, "query int, term string"), self.statistics)
+            rows = rows.unionByName(index.postings(run))
+            asked.append((0, " ".join(p)))
+        return ranking.score_postings(rows, self.spark.createDataFrame(asked, "query int, term string"), self.statistics)
 
     def _symbol(self, query: str, files: DataFrame, limit: int) -> Result:
         listed = lookup.find_symbols(self.symbols, files, query)

@@ -203,7 +203,7 @@ def index_build(spark, sf):
     rows = index.tokens(chunks_of(spark, sf, body=True))
     per = index.postings(rows)
     return per.groupBy("term").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum("tf").alias("weighted"), F.sum(F.size("positions").cast("bigint")).alias("n_tokens")
+        F.count(F.lit(1)).alias("n_chunks"), F.sum("tf").alias("weighted"), F.sum("n").alias("n_tokens")
     )
 
 
