@@ -36,9 +36,10 @@ class Engine:
         self.spark, self.postings, self.tokens = files.sparkSession, None, None
 
     def save(self, folder: str) -> None:
-        """Stores the tables and the index; files and chunks by repo, so that a repo's rows are read or replaced alone."""
+        """Stores the tables and the index; files and chunks sorted by place, so that a repo's or a file's rows are read alone."""
         for name in ("files", "chunks"):
-            getattr(self, name).repartition("repo").write.mode("overwrite").partitionBy("repo").parquet(f"{folder}/{name}")
+            own = getattr(self, name).repartitionByRange("repo", "path").sortWithinPartitions("repo", "path")
+            own.write.mode("overwrite").parquet(f"{folder}/{name}")
         self.symbols.repartitionByRange("name_lower").sortWithinPartitions("name_lower").write.mode("overwrite").parquet(f"{folder}/symbols")
         index.write(self.chunks, f"{folder}/index", self.stem)
 

@@ -12,9 +12,7 @@ from ..functions import paths
 def tracked_files(spark: SparkSession, folder: str, repo: str | None = None) -> DataFrame:
     """Files below ``folder``: repo, path, blob, text.  The first folder is the repo where none is given."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    base = F.regexp_replace(F.lit(folder.removeprefix("file:")), "/+$", "")
-    below = F.expr("substring(path, 1)")
-    relative = F.substring_index(below, F.concat(base, F.lit("/")), -1)
+    relative = F.substring_index("path", folder.removeprefix("file:").rstrip("/") + "/", -1)
     name = F.lit(repo) if repo else F.substring_index(relative, "/", 1)
     path = relative if repo else F.expr("substring(relative, length(substring_index(relative, '/', 1)) + 2)")
     return (
