@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
 import sys
 from typing import Any, TextIO
@@ -11,15 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import __version__
 from .errors import GENERAL, OK, PARTIAL, CorpusError
+from .functions import constants as C
 from .functions import paths
 from .operators import views
 from .operators.judge import Judge
 from .operators.ranking import overlap_scorer
+from .plans import present
 from .plans.corpus import Corpus
 
 SYNONYMS = {"s": "search", "find": "search", "grep": "search", "rm": "remove", "ls": "list", "pull": "update", "sync": "update", "cat": "show", "read": "show"}
 TOOLS = {
-    "corpus_search": ("query", "mode", "repos", "langs", "path", "limit", "deep"),
+    "corpus_search": ("query", "mode", "repos", "langs", "path", "categories", "limit", "budget", "deep"),
     "corpus_show": ("target", "context"),
     "corpus_tree": ("repo", "path", "depth"),
     "corpus_list": ("categories",),
@@ -49,7 +52,8 @@ def run(corpus: Corpus, command: str, a: dict) -> Any:
             chosen = listed(a.get("repos")) + [r["name"] for r in rows(views.in_categories(corpus.repos(), listed(a.get("categories"))))]
             mode = "symbol" if command == "def" else a.get("mode") or "auto"
             found = engine.search(a["query"], mode, chosen or None, listed(a.get("langs")), a.get("path"), number("limit"), bool(a.get("deep")))
-            return {"mode": found.mode, "note": found.note, "hits": rows(engine.excerpts(found.hits).orderBy("place"))}
+            shown = present.present(engine, a["query"], found, number("budget", C.BUDGET))
+            return present.as_text(shown) if a.get("text") else dataclasses.asdict(shown)
         case "show":
             return rows(corpus.engine().show(a["target"], number("context", 0)))
         case "tree":
@@ -129,8 +133,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("search", "def"):
         c = command(name, many="query")
         c.add_argument("--mode", choices=paths.MODES)
-        for option in ("--repos", "--langs", "--path", "--categories", "--limit"):
+        for option in ("--repos", "--langs", "--path", "--categories", "--limit", "--budget"):
             c.add_argument(option)
+        c.add_argument("--text", action="store_true", help="for reading, not as JSON")
         c.add_argument("--deep", action="store_true")
         c.add_argument("--local-rerank", action="store_true", help="rerank by the share of the query's terms")
     command("show", "target").add_argument("--context", default=0)
@@ -162,7 +167,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if isinstance(a.get("query"), list):
             a["query"] = " ".join(a["query"])
         out = run(corpus, name, a)
-        print(json.dumps(out))
+        print(out if isinstance(out, str) else json.dumps(out))
         failed = name == "update" and any(x["status"].startswith("error") for x in out)
         return PARTIAL if failed or (name == "status" and out) else OK
     except CorpusError as e:

@@ -92,8 +92,8 @@ def check_regex(pattern: str) -> str:
     return pattern
 
 
-def grep(files: DataFrame, pattern: str, fixed: bool = True, per_file: int = C.MATCHES_PER_FILE, most: int = C.MATCHES) -> DataFrame:
-    """Matching lines: repo, path, line, text; the first ones of each file and of all files in order of place.
+def grep(files: DataFrame, pattern: str, fixed: bool = True, per_file: int = C.MATCHES_PER_FILE, most: int | None = C.MATCHES) -> DataFrame:
+    """Matching lines: repo, path, line, text; the first ones of each file and, if ``most`` is given, of all files in order of place.
 
     A file is searched within its row, so only matches leave a task.  Files over the size limit aren't searched.
     """
@@ -106,7 +106,7 @@ def grep(files: DataFrame, pattern: str, fixed: bool = True, per_file: int = C.M
     numbered = F.transform(line_array(F.col("text")), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
     hits = F.slice(F.filter(numbered, lambda x: line_match(x["text"], pattern, fixed)), 1, per_file)
     rows = own.select("repo", "path", F.explode(hits).alias("m")).select("repo", "path", "m.line", F.col("m.text").alias("text"))
-    return rows.orderBy("repo", "path", "line").limit(most)
+    return rows if most is None else rows.orderBy("repo", "path", "line").limit(most)
 
 
 def group_by_chunk(matches: DataFrame, chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:

@@ -162,12 +162,6 @@ class Engine:
 
     # ---- views ----
 
-    def excerpts(self, hits: DataFrame, most: int = 30) -> DataFrame:
-        """Adds the numbered lines of each hit, at most ``most``."""
-        own = hits.join(self.files.select("repo", "path", line_array(F.col("text")).alias("lines")), ["repo", "path"])
-        last = F.least("end_line", F.col("start_line") + most - 1)
-        return own.withColumn("excerpt", ranking.render(F.col("lines"), F.col("start_line"), last)).drop("lines")
-
     def show(self, target: str, context: int = 0) -> DataFrame:
         parsed = self.spark.createDataFrame([(target,)], "t string").select(paths.parse_target(F.col("t")).alias("p")).first()["p"]
         if parsed is None:

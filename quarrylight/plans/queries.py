@@ -343,7 +343,7 @@ def grep_scored(spark, sf):
 @query
 def excerpt_islands(spark, sf):
     """Windows of lines around the matches of a common word."""
-    own = lookup.grep(files_of(spark, sf), "tion", most=1 << 30)
+    own = lookup.grep(files_of(spark, sf), "tion", most=None)
     chunks = chunks_of(spark, sf, C.WINDOW)
     hits = lookup.enclosing_chunk(own, chunks).where("start_line is not null").withColumn("query", F.lit("tion"))
     return ranking.match_windows(hits).select("repo", "path", "start_line", "island", "first_line", "last_line", "matches")

@@ -39,8 +39,12 @@ def test_commands(spark, origin, tmp_path, capsys, monkeypatch):
     assert do("add", "https://github.com/me/Sample.git") == 0 and out(capsys)["status"] == "exists"
     assert do("search", "retry_request") == 0
     hit = out(capsys)["hits"][0]
-    assert (hit["path"], hit["symbol"], hit["excerpt"].splitlines()[0]) == ("a.py", "retry_request", "1| def retry_request(n):")
+    assert (hit["path"], hit["symbol"], hit["excerpt"].splitlines()[0]) == ("a.py", "retry_request", ">1| def retry_request(n):")
     assert do("find", "how", "are", "requests", "retried", "--local-rerank") == 0 and out(capsys)["mode"] == "concept"
+    assert do("search", '"pause"', "--text") == 0
+    assert capsys.readouterr().out.splitlines()[:4] == [
+        '# 2 results for ""pause"" | exact | 1 repo', "[1] sample:a.py:1-3  func retry_request", " 1| def retry_request(n):", ">2|     pause(n)",
+    ]
     assert do("cat", "sample:docs/guide.md") == 0 and out(capsys)[0]["total"] == 2
     assert do("tree", "sample") == 0 and {r["path"] for r in out(capsys)} == {"docs/", "a.py", "docs/guide.md"}
     assert do("tag", "sample", "web") == 0 and do("ls", "--category", "web") == 0
