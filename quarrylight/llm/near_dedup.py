@@ -6,8 +6,9 @@
 2. Nodes with an equal band key are candidates.  In each bucket all are compared to its smallest
    node, which costs one comparison a member, and what is linked becomes components.
 3. Buckets that still hold several components are finished: members outside the bucket's largest
-   component, in blocks of bounded size, are compared to all members of other components.  Blocks
-   of one bucket go to different tasks, and pairs are compared where they meet, not written out.
+   component, in blocks of bounded size, are compared to all members of other components, in parts
+   of bounded size.  Blocks and parts of one bucket go to different tasks, and pairs are compared
+   where they meet, not written out.
 4. A comparison looks at the sketches first: the XOR of two odd sketches counts the samples that
    differ, which estimates high similarities closely.  Pairs whose estimate is six standard
    deviations below the threshold are passed over; all others are decided on the full sets.
@@ -40,7 +41,7 @@ from .components import components
 from .scratch import Scratch
 
 BANDS, ROWS = 20, 5
-#: Pairs compared to one node in one task, and nodes of a block, on average.
+#: Members compared to one node or block at a time, and nodes of a block, on average.
 CHUNK, BLOCK = 512, 128
 #: Ids of candidates are broadcast up to so many (some 16 MB); beyond it Spark sorts and merges.
 BROADCAST_IDS = 250_000
@@ -209,13 +210,15 @@ def near_duplicates(
     per = open_rows.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
     per = per.groupBy("band", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps"))
     per = per.where("comps > 1").select(
-        "band", "key", F.col("top.comp").alias("most"), F.expr(f"cast(ceil((all - top.c) / {BLOCK}) as int)").alias("blocks")
+        "band", "key", F.col("top.comp").alias("most"), F.expr(f"cast(ceil((all - top.c) / {BLOCK}) as int)").alias("blocks"),
+        F.expr(f"cast(ceil(all / {CHUNK}) as int)").alias("parts"),
     )
     rows = scratch.keep("rows", open_rows.join(per.hint("merge"), ["band", "key"]))
     outside = F.col("comp") != F.col("most")
-    grp = F.concat_ws(":", "band", "key").alias("grp")
-    heads = rows.where(outside).select(grp, F.expr("cast(pmod(hash(id), blocks) as int)").alias("blk"), F.lit(0).alias("kind"), "id", "comp", "band", F.lit(False).alias("twice"))
-    against = rows.select(grp, F.explode(F.expr("sequence(0, blocks - 1)")).alias("blk"), F.lit(1).alias("kind"), "id", "comp", "band", outside.alias("twice"))
+    grp = F.concat_ws(":", "band", "key", "part").alias("grp")
+    each, own = F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("part")
+    heads = rows.where(outside).select("*", each).select(grp, F.expr("cast(pmod(hash(id), blocks) as int)").alias("blk"), F.lit(0).alias("kind"), "id", "comp", "band", F.lit(False).alias("twice"))
+    against = rows.select("*", own).select(grp, F.explode(F.expr("sequence(0, blocks - 1)")).alias("blk"), F.lit(1).alias("kind"), "id", "comp", "band", outside.alias("twice"))
     left = heads.unionByName(against).join(sets, "id")
     more = components(_compare(left, percent), scratch, "rest")
 
