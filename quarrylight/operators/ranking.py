@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions import paths
+from ..functions.sizes import SMALL, broadcast_if_small
 from .index import CHUNK, postings
 
 ORDER = ["repo", "path", "start_line"]
@@ -21,10 +22,10 @@ def bm25(tokens: DataFrame, terms: DataFrame, statistics: DataFrame) -> DataFram
 
     ``tokens`` has term, col and a row per occurrence; ``terms`` has query and term, repeated terms
     counting again; ``statistics`` is one row over the whole index.  Occurrences are cut down to
-    query terms by a broadcast of those terms before anything is shuffled; lengths are joined for
+    query terms by a broadcast of those terms (if they are few enough) before anything is shuffled; lengths are joined for
     the chunks that are left.
     """
-    own = tokens.join(F.broadcast(terms.select("term").distinct()), "term")
+    own = tokens.join(broadcast_if_small(terms.select("term").distinct()), "term")
     return score_postings(postings(own), terms, statistics)
 
 
@@ -36,7 +37,8 @@ def score_postings(rows: DataFrame, terms: DataFrame, statistics: DataFrame) ->
     weights = df.crossJoin(F.broadcast(s)).select("term", "avgdl", F.when(idf > 0, idf).otherwise(C.LEAST_IDF).alias("idf"))
     asked = terms.join(weights, "term")
     tf = F.col("tf") * (C.K1 + 1) / (F.col("tf") + C.K1 * (1 - C.B + C.B * F.col("dl") / F.col("avgdl")))
-    return rows.join(F.broadcast(asked), "term").groupBy("query", *CHUNK).agg(F.sum(F.col("idf") * tf).alias("bm25"))
+    asked = F.broadcast(asked) if terms.limit(SMALL + 1).count() <= SMALL else asked  # as many rows as terms
+    return rows.join(asked, "term").groupBy("query", *CHUNK).agg(F.sum(F.col("idf") * tf).alias("bm25"))
 
 
 def shortlist(scored: DataFrame, k: int = C.SHORTLIST) -> DataFrame:
@@ -50,7 +52,7 @@ def concept_score(candidates: DataFrame, terms: DataFrame, query_text: str = "",
 
     Terms are an array per query (column ``terms`` of the frame ``terms``); a candidate is scored in its row.
     """
-    own = candidates.join(F.broadcast(terms.select("query", "terms")), "query")
+    own = candidates.join(broadcast_if_small(terms.select("query", "terms")), "query")
     most = F.max("bm25").over(Window.partitionBy("query"))
     n = F.size("terms")
     in_symbol = F.size(F.filter("terms", lambda t: (F.col("symbol") != "") & F.contains(F.lower("symbol"), t)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import constants as C
 from ..functions import paths
+from ..functions.text import abbreviations
 from . import samples
 from .queries import EXACT, REGEX, SYMBOL, TILE
 
@@ -271,7 +272,28 @@ def rendered(first: str, last: str, mark: str) -> str:
     return f"coalesce(array_to_string(list_transform(range({first}, {last} + 1), lambda n: {mark} || {number} || '| ' || {cut} || {LF}), ''), '')"
 
 
+def query_terms() -> str:
+    """Words and parts, then abbreviations, then compounds; the first of equal ones, no stopwords."""
+    table = ", ".join(f"{q(k)}: {strings(v)}" for k, v in abbreviations().items())
+    stop = strings(sorted(C.STOPWORDS))
+    more = f"CASE WHEN len({parts('t')}) > 1 THEN {parts('t')} ELSE []::VARCHAR[] END"
+    a, b = stem("ws[i]"), stem("ws[i + 1]")
+    second = f"(NOT list_contains({stop}, ws[i + 1]) OR list_contains({strings(sorted(C.PARTICLES))}, ws[i + 1]))"
+    joins = f"octet_length(encode({a})) >= 2 AND octet_length(encode({b})) >= 2 AND NOT list_contains({stop}, ws[i]) AND {second}"
+    return f"""WITH {ASKED}, abbr AS (SELECT MAP {{{table}}} AS m),
+w AS (SELECT item_id, q, regexp_extract_all(q, '{IDENT}') AS ids, list_transform(regexp_extract_all(q, '{IDENT}'), lambda t: lower(t)) AS ws FROM queries),
+f AS (
+  SELECT item_id, q, list_concat(
+    flatten(list_transform(ids, lambda t: list_concat([lower(t)], {more}))),
+    flatten(list_transform(list_filter(ws, lambda w: NOT list_contains({stop}, w)), lambda w: list_concat(coalesce(m[{stem('w')}], []), coalesce(m[w], [])))),
+    list_transform(list_filter(range(1, len(ws)), lambda i: {joins}), lambda i: {a} || {b})) AS found
+  FROM w, abbr
+)
+SELECT item_id, q, list_filter(found, lambda x, i: list_position(found, x) = i AND octet_length(encode(x)) >= 2 AND NOT list_contains({stop}, x)) AS terms FROM f"""
+
+
 ORACLES: dict[str, str] = {
+    "query_terms": query_terms(),
     "lines_scan": f"{BASE} SELECT * FROM lines",
     "scan_files": f"WITH {FILES} SELECT * EXCLUDE (text) FROM files",
     "tok_identifiers": f"WITH {FILES} SELECT repo, path, regexp_extract_all(text, '{IDENT}') AS tokens FROM files",

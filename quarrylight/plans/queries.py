@@ -457,7 +457,7 @@ def delete_repo(spark, sf):
 def rerank_blend(spark, sf):
     hits = concept_hits(spark, sf, C.JUDGED).withColumn("id", F.concat_ws(":", "repo", "path", "start_line"))
     bodies = chunks_of(spark, sf, body=True).select("repo", "path", "start_line", F.col("body").alias("text"))
-    own = hits.drop("place").join(bodies, ["repo", "path", "start_line"]).join(F.broadcast(asked(spark, sf).select("query", F.col("q").alias("query_text"))), "query")
+    own = hits.drop("place").join(bodies, ["repo", "path", "start_line"]).join(asked(spark, sf).select("query", F.col("q").alias("query_text")), "query")
     out = ranking.blend(own, ranking.overlap_scorer(own.withColumn("header", F.col("path"))))
     return out.select("query", "repo", "path", "start_line", r9("p").alias("p"), r9("blended").alias("blended"), "weak", "place")
 

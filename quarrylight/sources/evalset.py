@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import USER, CorpusError
+from ..functions.sizes import broadcast_if_small
 from .corpus import document_files
 
 CASE = "q string, repo string, mode string, expect array<string>"
@@ -45,7 +46,7 @@ def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = keyed.where("word is null").select("item_id", F.col("text").alias("item"))
     keyed = keyed.where("word is not null").select("item_id", F.col("text").alias("item"), "word")
     by_word = files.select("repo", "path", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    found = by_word.join(F.broadcast(keyed), "word").where(F.col("text").contains(F.col("item")))
-    rest = files.join(F.broadcast(short), F.col("text").contains(F.col("item")))
+    found = by_word.join(broadcast_if_small(keyed, 10_000), "word").where(F.col("text").contains(F.col("item")))
+    rest = files.join(broadcast_if_small(short, 10_000), F.col("text").contains(F.col("item")))
     place = F.concat_ws(":", "repo", "path").alias("place")
     return found.select("item_id", place).unionByName(rest.select("item_id", place)).distinct()
