@@ -41,8 +41,8 @@ K, TREES, LEAF = 10, 24, 48
 SATURATED = K // 2
 #: Entries that a comparison of a leaf or neighbourhood adds to each list.
 KEEP = 3
-#: Nodes of a piece of a leaf or neighbourhood; nodes of a block of a region; pivots in hand at once.
-PIECE, BLOCK, PIVOTS = 96, 512, 4096
+#: Nodes of a piece of a leaf or neighbourhood; nodes of a block and of a part of a region; pivots in hand at once.
+PIECE, BLOCK, PART, PIVOTS = 96, 512, 2048, 4096
 #: NN-descent ends when less than this share of entries is new, or after so many turns.
 SETTLED, TURNS = 0.01, 3
 AUDIT, TARGET, ROUNDS = 2048, 0.995, 4
@@ -252,11 +252,15 @@ def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, s
         part = scratch.keep(f"{name}-region-{turn}", within(chunk))
         region = part if region is None else region.unionByName(part)
 
-    blocks = radius.select("pivot", "blocks")
+    parts = region.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    blocks = scratch.keep(f"{name}-blocks", radius.select("pivot", "blocks").join(parts, "pivot"))
     heads = near.select("pivot", F.col("x").alias("id")).join(blocks, "pivot").join(flagged, "id")
-    heads = heads.select("pivot", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("blk"), F.lit(0).alias("kind"), "id", "raw", "mult", "full")
-    rest = region.join(blocks, "pivot").select("pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("blk"), F.lit(1).alias("kind"), "id", "raw", "mult", "full")
-    dealt = heads.unionByName(rest).repartition("pivot", "blk").sortWithinPartitions("pivot", "blk", "kind")
+    block, part = F.expr("cast(pmod(xxhash64(id), blocks) as int)"), F.expr("cast(pmod(xxhash64(id, 1), parts) as int)")
+    heads = heads.select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), block.alias("b"), F.lit(0).alias("kind"))
+    rest = region.join(blocks, "pivot").select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"), part.alias("part"), F.lit(1).alias("kind"))
+    columns = ["pivot", F.concat_ws(":", "b", "part").alias("blk"), "kind", "id", "raw", "mult", "full"]
+    both = heads.select(*columns).unionByName(rest.select(*columns))
+    dealt = both.repartition("pivot", "blk").sortWithinPartitions("pivot", "blk", "kind")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """x, y, n: counts have no y, links no n."""

@@ -103,6 +103,7 @@ def test_vectors(spark, monkeypatch):
     expected = {i: (int(near[i].sum()), int(label[i])) for i in range(len(x))}
     expected |= {i: (0, i) for i in range(9000, 9006)} | {9006: (1, 9006), 9007: (1, 9006)}
     monkeypatch.setattr(embed_dedup, "BLOCK", 40)
+    monkeypatch.setattr(embed_dedup, "PART", 30)
     out = embed_dedup.link_vectors(frame).collect()
     assert len(out) == len(rows) + len(odd) + 2
     for r in out:
