@@ -96,7 +96,11 @@ def remove_repeats(
     group: int = GROUP,
     with_text: bool = True,
 ) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256, and the kept text if asked for (null where nothing was removed)."""
+    """One row per input row: id, n_words, n_removed, kept_sha256, and if asked for kept_text and spans.
+
+    ``spans`` are the maximal repeats that go, as numbers of their first and last words from 0; text
+    and spans are null where nothing is removed.
+    """
     scratch = Scratch(docs.sparkSession, "repeats")
     texts = _texts(docs, id_col, text_col)
 
@@ -191,12 +195,14 @@ def remove_repeats(
     repeated = scratch.keep("repeated", repeated.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts")))
     scratch.drop("places", "marked")
 
+    span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in wordhash.words(b.column("text")):
                 own, _ = w.runs(window)
                 lo = np.searchsorted(own, w.word_at)
-                gone, sha, kept = [], [], []
+                gone, sha, kept, spans = [], [], [], []
                 for r in range(w.rows):
                     words = slice(w.word_at[r], w.word_at[r + 1])
                     n = words.stop - words.start
@@ -211,17 +217,20 @@ def remove_repeats(
                     gone.append(int(n - stay.sum()))
                     sha.append(hashlib.sha256(text).hexdigest())
                     kept.append(text.decode() if with_text else None)
+                    turns = np.flatnonzero(np.diff(np.concatenate([[True], stay, [True]]))) if with_text else stay[:0]
+                    spans.append([{"first": int(a), "last": int(z) - 1} for a, z in zip(turns[::2], turns[1::2])] if with_text else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("id").slice(w.first_row, w.rows), pa.array(w.counts.astype(np.int64)), pa.array(w.whole().view(np.int64)),
-                        pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()),
+                        pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), pa.array(spans, span_type),
                     ],
-                    ["id", "n", "f", "gone", "kept_sha", "kept"],
+                    ["id", "n", "f", "gone", "kept_sha", "kept", "spans"],
                 )
 
     # A text whose windows all start earlier elsewhere under the same id and words is covered like its first row.
     part = _only(texts, repeated.select("id")).join(repeated.hint("merge"), "id")
-    part = part.mapInArrow(cover, "id bigint, n bigint, f bigint, gone bigint, kept_sha string, kept string").dropDuplicates(["id", "n", "f"])
+    covered = "id bigint, n bigint, f bigint, gone bigint, kept_sha string, kept string, spans array<struct<first: int, last: int>>"
+    part = part.mapInArrow(cover, covered).dropDuplicates(["id", "n", "f"])
     part = scratch.keep("covered", part)
     marks = meta.drop("prefixes").join(first.select("f", "n", F.col("id").alias("first_id")).hint("merge"), ["f", "n"], "left")
     whole = F.expr("first_id is not null and first_id <> id")
@@ -232,8 +241,9 @@ def remove_repeats(
         F.when(whole, F.col("n")).otherwise(F.coalesce("gone", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
         F.when(whole, "").otherwise(F.col("kept")).alias("kept_text"),
+        F.when(whole, F.expr("array(struct(0 as first, cast(n - 1 as int) as last))")).otherwise(F.col("spans")).alias("spans"),
     )
-    return out if with_text else out.drop("kept_text")
+    return out if with_text else out.drop("kept_text", "spans")
 
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:

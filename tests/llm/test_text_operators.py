@@ -110,6 +110,7 @@ def test_repeats(docs, monkeypatch):
             assert (r["n_words"], r["n_removed"], r["kept_sha256"]) in expected[-1 if r["doc_id"] is None else r["doc_id"]]
             if r["kept_text"] is not None:
                 assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+                assert sum(x["last"] - x["first"] + 1 for x in r["spans"]) == r["n_removed"]
 
 
 def shingle_set(text, n):
