@@ -13,7 +13,7 @@ Pages are handled one by one, so memory follows the largest page and a lost task
 Defined results
 ---------------
 * Null and empty pages, and pages without any text, give an empty string.
-* Unclosed and misplaced tags are tolerated; an unclosed comment or script lasts to the end.
+* Unclosed and misplaced tags are tolerated; an unclosed comment, script or tag lasts to the end.
 * ``<br>`` counts as white space.  White space of any kind (no-break spaces too) becomes one blank.
 * Text in hidden elements, scripts, styles, templates and form controls is no content.
 * Only id, URL and HTML are read, so further columns may have any names; repeated rows stay repeated.
@@ -67,7 +67,8 @@ _OTHER_WORDS = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+)|<""",
+    # a quote counts only behind "="; possessive, so that broken tags cost no backtracking
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(?:>|\Z)|([^<]+)|<""",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
@@ -148,13 +149,13 @@ class _Page:
         while at < size:
             m = _TOKEN.match(html, at)
             at = m.end()
-            text = m[7]
+            text = m[4]
             if text is not None:
                 text = unescape(text)
                 self._parts.append(text)
                 self._links += self._open_links and len(text.strip())
                 continue
-            closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            closing, tag, attributes = m[1], m[2], m[3]
             if not tag:
                 whole = m[0]
                 if whole == "<":

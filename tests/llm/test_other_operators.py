@@ -26,6 +26,8 @@ PAGES = [
     ("<div>a</div><!-- x", "a"),
     ("<article><header><h1>T</h1><p>by X</p></header><p>Body one, two. three.</p><aside>no</aside><form>f</form></article>", "T\nBody one, two. three."),
     ("<body><nav><a href='/'>n</a></nav><div class=ad>Buy, now. Cheap, good.</div><article><h1>H</h1><p><b>A, b. c.<br><p>D<br>e.</p></article>", "H\nA, b. c.\nD e."),
+    ("<p title=it's>Don't, <b>we'll.</b> <i class='a>b' id=\"x>y\">Yes</i><a href=", "Don't, we'll. Yes"),
+    ("<a =\"" * 3000 + "<p>x", "x"),
     ("<p>" + "w, " * 20000 + "</p>", " ".join(["w,"] * 20000)),
 ]
 
