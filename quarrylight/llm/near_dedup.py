@@ -43,7 +43,7 @@ from .scratch import Scratch
 BANDS, ROWS = 20, 5
 #: Members compared to one node or block at a time, and nodes of a block, on average.
 CHUNK, BLOCK = 512, 128
-#: Ids of candidates are broadcast up to so many (some 16 MB); beyond it Spark sorts and merges.
+#: Ids of candidates, and pairs without their sets, are broadcast up to so many (some 30 MB); beyond it Spark sorts and merges.
 BROADCAST_IDS = 250_000
 #: Standard deviations between the threshold and the least estimate that is looked into.
 MARGIN = 6.0
@@ -172,6 +172,11 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, f"x {kind}, y {kind}")
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of a comparison with the sets of their ids; sets, which are wide, don't move while the rows can be sent to them."""
+    return sets.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -186,6 +191,7 @@ def near_duplicates(
 
     in_band = nodes.select("id", F.posexplode("keys").alias("band", "key"))
     shared = in_band.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = scratch.keep("shared", shared)  # so that both sides of the join are exchanges, which Spark splits where they are skewed
     members = scratch.keep("members", in_band.join(shared.drop("c").hint("merge"), ["band", "key"]))
     ids = scratch.keep("ids", members.select("id").distinct())
     if ids.count() <= BROADCAST_IDS:
@@ -196,11 +202,10 @@ def near_duplicates(
     # every member against the smallest node of its bucket
     pairs = scratch.keep("pairs", members.where("id <> pivot").select("pivot", "id").distinct())
     chunks = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    first = chunks.select(F.col("pivot").alias("id"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("blk"))
-    first = first.join(sets, "id").select(F.col("id").alias("grp"), "blk", F.lit(0).alias("kind"), F.col("id").alias("comp"), *sets.columns)
-    rest = pairs.join(chunks, "pivot").withColumn("blk", F.expr("cast(pmod(hash(id), chunks) as int)"))
-    rest = rest.join(sets, "id").select(F.col("pivot").alias("grp"), "blk", F.lit(1).alias("kind"), F.col("id").alias("comp"), *sets.columns)
-    stars = first.unionByName(rest).select("*", F.lit(-1).alias("band"), F.lit(False).alias("twice"))
+    first = chunks.select(F.col("pivot").alias("grp"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("blk"), F.lit(0).alias("kind"), F.col("pivot").alias("id"))
+    rest = pairs.join(chunks, "pivot").select(F.col("pivot").alias("grp"), F.expr("cast(pmod(hash(id), chunks) as int)").alias("blk"), F.lit(1).alias("kind"), "id")
+    stars = first.unionByName(rest).select("*", F.col("id").alias("comp"), F.lit(-1).alias("band"), F.lit(False).alias("twice"))
+    stars = _with_sets(scratch.keep("stars", stars), sets)
     roots = components(_compare(stars, percent), scratch, "stars")
 
     # what that leaves open: buckets with several components
@@ -213,13 +218,14 @@ def near_duplicates(
         "band", "key", F.col("top.comp").alias("most"), F.expr(f"cast(ceil((all - top.c) / {BLOCK}) as int)").alias("blocks"),
         F.expr(f"cast(ceil(all / {CHUNK}) as int)").alias("parts"),
     )
+    per = scratch.keep("per", per)
     rows = scratch.keep("rows", open_rows.join(per.hint("merge"), ["band", "key"]))
     outside = F.col("comp") != F.col("most")
     grp = F.concat_ws(":", "band", "key", "part").alias("grp")
     each, own = F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("part")
     heads = rows.where(outside).select("*", each).select(grp, F.expr("cast(pmod(hash(id), blocks) as int)").alias("blk"), F.lit(0).alias("kind"), "id", "comp", "band", F.lit(False).alias("twice"))
     against = rows.select("*", own).select(grp, F.explode(F.expr("sequence(0, blocks - 1)")).alias("blk"), F.lit(1).alias("kind"), "id", "comp", "band", outside.alias("twice"))
-    left = heads.unionByName(against).join(sets, "id")
+    left = _with_sets(scratch.keep("left", heads.unionByName(against)), sets)
     more = components(_compare(left, percent), scratch, "rest")
 
     root = roots.select(F.col("node"), F.col("root")).join(more.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("root") == F.col("n2"), "left")
@@ -230,7 +236,7 @@ def near_duplicates(
         F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("gn"), F.coalesce("root", "id").alias("component")
     )
     of_node = scratch.keep("components", of_node)
-    scratch.drop("sets", "members", "open", "rows", "pairs")
+    scratch.drop("sets", "shared", "members", "open", "per", "rows", "pairs", "stars", "left")
     linked = sigs.select("id", *same).join(
         of_node.hint("merge"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("gn")), "left"
     )
