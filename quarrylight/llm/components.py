@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _step(e: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (x, y) with x > y."""
-    both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    low = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("lx"), F.least("m", "x").alias("m"))
-    large = both.join(low, F.col("x") == F.col("lx")).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+def _step(e: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """One large-star and one small-star step over edges (x, y) with x > y.
+
+    Large-star hangs each x on the smallest neighbour of y.  Only nodes with a smaller neighbour have
+    one other than themselves, so a root with a third of all nodes meets no row of ``low``; that table
+    is written first, so that both sides of the join are exchanges, which Spark splits where they are
+    skewed, or one is small enough for it to broadcast.
+    """
+    low = scratch.keep(name, e.groupBy("x").agg(F.min("y").alias("m")).withColumnRenamed("x", "lx"))
+    large = e.join(low, F.col("y") == F.col("lx"), "left").select("x", F.coalesce("m", "y").alias("y"))
     least = large.groupBy("x").agg(F.min("y").alias("m"))
     hooks = large.join(least.withColumnRenamed("x", "lx"), F.col("x") == F.col("lx")).where("y > m")
     return hooks.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.withColumnRenamed("m", "y")).distinct()
@@ -31,8 +36,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         e = scratch.keep(f"{name}-{turn}", e)
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y") % (1 << 31))).first()
         if turn:
-            scratch.drop(f"{name}-{turn - 1}")
+            scratch.drop(f"{name}-{turn - 1}", f"{name}-low-{turn}")
         if mark == seen or mark[0] == 0:
             return e.select(F.col("x").alias("node"), F.col("y").alias("root"))
         seen, turn = mark, turn + 1
-        e = _step(e)
+        e = _step(e, scratch, f"{name}-low-{turn}")
