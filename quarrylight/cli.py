@@ -22,15 +22,15 @@ from .plans.corpus import Corpus
 
 SYNONYMS = {"s": "search", "find": "search", "grep": "search", "rm": "remove", "ls": "list", "pull": "update", "sync": "update", "cat": "show", "read": "show"}
 TOOLS = {
-    "corpus_search": ("query", "mode", "repos", "langs", "path", "categories", "limit", "budget", "deep"),
-    "corpus_show": ("target", "context"),
-    "corpus_tree": ("repo", "path", "depth"),
-    "corpus_list": ("categories",),
-    "corpus_categories": (),
-    "corpus_add": ("source", "name", "categories"),
-    "corpus_update": ("repos",),
-    "corpus_remove": ("repos",),
-    "corpus_status": (),
+    "search": ("query", "mode", "repos", "langs", "path", "categories", "limit", "budget", "deep"),
+    "show": ("target", "context"),
+    "tree": ("repo", "path", "depth"),
+    "list": ("categories",),
+    "categories": (),
+    "add": ("source", "name", "categories"),
+    "update": ("repos",),
+    "remove": ("repos",),
+    "status": (),
 }
 
 
@@ -103,7 +103,7 @@ def serve(corpus: Corpus, source: TextIO, sink: TextIO) -> None:
                     answer["result"] = {"tools": [{"name": n, "inputSchema": schema(names)} for n, names in TOOLS.items()]}
                 case "tools/call" if params.get("name") in TOOLS:
                     try:
-                        text, failed = json.dumps(run(corpus, params["name"].removeprefix("corpus_"), params.get("arguments") or {})), False
+                        text, failed = json.dumps(run(corpus, params["name"], params.get("arguments") or {})), False
                     except CorpusError as e:
                         text, failed = f"{e.message}\n{e.hint}", True
                     except (KeyError, ValueError) as e:

@@ -62,8 +62,8 @@ def test_commands(spark, origin, tmp_path, capsys, monkeypatch):
 def test_tools(spark, tmp_path):
     asks = [
         {"id": 1, "method": "initialize"}, {"id": 2, "method": "ping"}, {"id": 3, "method": "tools/list"}, {"id": 4, "method": "none"},
-        {"method": "notifications/initialized"}, {"id": 5, "method": "tools/call", "params": {"name": "corpus_categories"}},
-        {"id": 6, "method": "tools/call", "params": {"name": "other"}}, {"id": 7, "method": "tools/call", "params": {"name": "corpus_remove", "arguments": {"repos": "x"}}},
+        {"method": "notifications/initialized"}, {"id": 5, "method": "tools/call", "params": {"name": "categories"}},
+        {"id": 6, "method": "tools/call", "params": {"name": "other"}}, {"id": 7, "method": "tools/call", "params": {"name": "remove", "arguments": {"repos": "x"}}},
     ]
     sink = io.StringIO()
     cli.serve(Corpus(spark, str(tmp_path)), io.StringIO("\n".join(map(json.dumps, asks)) + "\n{\n"), sink)
