@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: The threshold for a path's fused ratio, as a share of the standard deviation over the page's blocks.
 THRESHOLD = 0.5
 #: The article is the deepest container with this share of all selected text.
@@ -283,6 +285,7 @@ def main_text(html: str | None) -> str:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, URL, text, n_chars."""
+    small_batches(pages.sparkSession)
     chosen = pages.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html")
     )

@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, shingle: int, with_sets: bool) -> DataFrame:
     """From id, text: id, n (size of the set), f1, f2 (fingerprints), keys (of bands), sketch, and shingles if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in wordhash.sparing(batches):
             ids = b.column("id")
             for w in wordhash.words(b.column("text"), lower=True):
                 h, at = shingles.shingle_sets(w, shingle)

@@ -6,7 +6,7 @@ bounded number of them for its next batches.  The other stretches are laid end t
 in it, and its range gives all its occurrences: edges from position to position.  The edges are
 sorted by position and relaxed in all stretches at once: in each round a stretch takes its edge of
 the best score (the leftmost of equals) among those that span exactly two of its current symbols.
-That is the order of merges that defines BPE, so the ids are those of the reference implementation.
+That is the order of merges that defines BPE, so the ids are those of the public library.
 Stretches of more than LONG characters take their edges from a heap instead, in the same order.
 
 Texts don't move between tasks.  The vocabulary, of fixed size, is sent to all.
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .wordhash import _Powers, _rolling, mix, slices, text_bytes
+from .scratch import small_batches
+from .wordhash import _Powers, _rolling, mix, slices, sparing, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -417,11 +418,12 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_columns(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
     """``df`` with columns that ``make`` gives from each Arrow batch, a few MB at a time."""
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in columns]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, t) for c, t in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sparing(batches):
             names = b.schema.names
             for part in _parts(b):
                 yield pa.RecordBatch.from_arrays([part.column(names.index(c)) for c in kept] + make(part), kept + list(columns))

@@ -173,7 +173,7 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and stats, an array of floats, for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in wordhash.sparing(batches):
             parts = [statistics(w) for w in wordhash.words(b.column("text"))]
             x = np.concatenate(parts) if parts else np.zeros((0, N_STATS))
             flat = pa.array(x.astype(np.float32).ravel())

@@ -105,7 +105,7 @@ def remove_repeats(
     texts = _texts(docs, id_col, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in wordhash.sparing(batches):
             for w in wordhash.words(b.column("text")):
                 _, place, g = anchors(w, window, prefix)
                 place = np.unique(place)
@@ -132,7 +132,7 @@ def remove_repeats(
     scratch.drop("twice")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in wordhash.sparing(batches):
             wanted = b.column("found")
             for w in wordhash.words(b.column("text")):
                 starts, place, g = anchors(w, window, prefix)
@@ -198,7 +198,7 @@ def remove_repeats(
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in wordhash.sparing(batches):
             for w in wordhash.words(b.column("text")):
                 own, _ = w.runs(window)
                 lo = np.searchsorted(own, w.word_at)

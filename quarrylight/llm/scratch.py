@@ -22,10 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that go to Python at once.  Texts are wide: Spark's default of 10,000 would be tens of MB in the JVM and in each worker.
+ARROW_ROWS = 2000
+_ARROW, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches for Python to ARROW_ROWS, unless someone has chosen a number."""
+    if spark.conf.get(_ARROW, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
+
+
 class Scratch:
     """A folder of one operator run; each table in it is written once and can be dropped."""
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/quarrylight/{label}-{uuid.uuid4().hex}"
 

@@ -6,7 +6,9 @@ very long text), not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +19,29 @@ SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLICE_BYTES = 1 << 20
 
 _U = np.uint64
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def sparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before each next one, and at the end, what the last one needed goes back to the system.
+
+    Workers stay for the next stages, so what they keep counts beside the memory of those.
+    """
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        if trim := _trim():
+            trim(0)
+
+
 _SEP = np.zeros(256, bool)
 _SEP[list(SEPARATORS)] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
