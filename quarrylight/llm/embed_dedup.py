@@ -8,8 +8,10 @@
    gathered around pivots, and since angles obey the triangle inequality, all their links lie within
    the pivot's radius plus the link angle of the pivot.  That region is compared in blocks, which
    count links and join components; nothing is written out per pair.
-4. Recall is audited against brute force for a fixed number of nodes; below TARGET more trees are
-   grown and the descent goes on.
+4. Recall is audited against brute force for a fixed number of nodes, as a mean over nodes, so that
+   a large group doesn't speak for small ones, and again over those that were not completed; below
+   TARGET more trees are grown and the descent goes on.  When rounds run out, all nodes that are not
+   complete yet are compared with all others.
 
 Links are decided in double precision.  Vectors travel as they came (four or eight bytes a component).
 
@@ -323,9 +325,75 @@ def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, s
     return counts, both.where("n is null").select("x", "y")
 
 
-def _recall(nodes: DataFrame, found: DataFrame, threshold: float, kind: str) -> float:
-    """Links found of AUDIT nodes, as a share of those that brute force finds."""
-    picked = nodes.join(found, F.col("id") == F.col("rep"), "left").select("id", "raw", F.coalesce("links", F.lit(0)).alias("links"))
+def _sweep(targets: DataFrame, full: DataFrame, nodes: DataFrame, threshold: float, kind: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """As _complete, for any nodes (id): each is compared with all.  ``full`` (id) has other nodes that are counted in full."""
+    whole = targets.select("id").unionByName(full.select("id")).distinct().withColumnRenamed("id", "f")
+    flagged = nodes.join(whole, F.col("id") == F.col("f"), "left").select("id", "raw", "mult", F.col("f").isNotNull().alias("full"))
+    flagged = scratch.keep(f"{name}-flagged", flagged)
+    chunk: list = []
+
+    def against(rows: list) -> DataFrame:
+        """x, y, n for some nodes, a number of bounded size: counts have no y, links no n."""
+        by_size: dict[int, list] = {}
+        for r in rows:
+            by_size.setdefault(len(r["raw"]), []).append(r)
+        packed = {s: (np.array([r["id"] for r in own]), _unit(pa.array([bytes(r["raw"]) for r in own]), kind)) for s, own in by_size.items()}
+        sent = nodes.sparkSession.sparkContext.broadcast(packed)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = {s: np.zeros(len(ids), np.int64) for s, (ids, _) in sent.value.items()}
+            labels = {s: np.arange(len(ids)) for s, (ids, _) in sent.value.items()}
+
+            def batch(rows: list[tuple]) -> pa.RecordBatch:
+                x, y, n = zip(*rows) if rows else ((), (), ())
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (x, y, n)], ["x", "y", "n"])
+
+            for b in batches:
+                size = np.array([len(r) for r in b.column("raw").to_pylist()])
+                for s in np.unique(size):
+                    if s not in sent.value:
+                        continue
+                    own, label = np.flatnonzero(size == s), labels[s]
+                    ids, x = sent.value[s]
+                    for lo in range(0, len(own), 1024):
+                        t = b.take(pa.array(own[lo : lo + 1024]))
+                        y, is_full, out = t.column("id").to_numpy(), t.column("full").to_pylist(), []
+                        hit = x @ _unit(t.column("raw"), kind).T >= threshold
+                        hit &= ids[:, None] != y[None]
+                        n[s] += hit @ t.column("mult").to_numpy()
+                        for j in np.flatnonzero(hit.any(0)):
+                            at = np.flatnonzero(hit[:, j])
+                            seen = np.unique(label[at])
+                            if len(seen) > 1:
+                                label[np.isin(label, seen)] = seen[0]
+                            out += [(int(y[j]), int(ids[i]), None) for i in (at[:1] if is_full[j] else at)]
+                        yield batch(out)
+            for s, (ids, _) in sent.value.items():
+                yield batch([(int(i), None, int(k)) for i, k in zip(ids, n[s]) if k] + [(int(i), int(ids[l]), None) for i, l in zip(ids, labels[s]) if ids[l] != i])
+
+        return flagged.mapInArrow(run, "x bigint, y bigint, n bigint")
+
+    parts: list[DataFrame] = []
+    for r in nodes.join(targets.select("id").distinct(), "id", "left_semi").select("id", "raw").toLocalIterator():
+        chunk.append(r)
+        if len(chunk) == PIVOTS:
+            parts.append(scratch.keep(f"{name}-{len(parts)}", against(chunk)))
+            chunk = []
+    if chunk:
+        parts.append(scratch.keep(f"{name}-{len(parts)}", against(chunk)))
+    schema = "x bigint, y bigint, n bigint"
+    paths = [f"{scratch.path}/{name}-{i}" for i in range(len(parts))]
+    both = nodes.sparkSession.read.schema(schema).parquet(*paths) if paths else nodes.sparkSession.createDataFrame([], schema)
+    counts = both.where("n is not null").groupBy("x").agg(F.sum("n").alias("n"))
+    # nodes without links are complete too
+    counts = targets.select("id").distinct().join(counts, F.col("id") == F.col("x"), "left").select(F.col("id").alias("x"), F.coalesce("n", F.lit(0)).alias("n"))
+    return scratch.keep(f"{name}-counts", counts), both.where("n is null").select("x", "y")
+
+
+def _recall(nodes: DataFrame, found: DataFrame, counted: DataFrame, threshold: float, kind: str) -> float:
+    """Share of its links found for a node, against brute force: the mean over AUDIT nodes, or over those of them not counted in full (x), if less."""
+    picked = nodes.join(found, F.col("id") == F.col("rep"), "left").join(counted.select("x"), F.col("id") == F.col("x"), "left")
+    picked = picked.select("id", "raw", F.coalesce("links", F.lit(0)).alias("links"), F.col("x").isNotNull().alias("whole"))
     rows = picked.orderBy(F.xxhash64("id", F.lit(97))).limit(AUDIT).collect()
     packed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for s in {len(r["raw"]) for r in rows}:
@@ -350,9 +418,9 @@ def _recall(nodes: DataFrame, found: DataFrame, threshold: float, kind: str) ->
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["id", "n"])
 
     truth = {r["id"]: r["n"] for r in nodes.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    own = {r["id"]: r["links"] for r in rows}
-    total = sum(truth.values())
-    return sum(min(n, own[i]) for i, n in truth.items()) / total if total else 1.0
+    shares = [(min(truth[r["id"]], r["links"]) / truth[r["id"]], r["whole"]) for r in rows if truth.get(r["id"])]
+    means = [float(np.mean(x)) for x in ([s for s, _ in shares], [s for s, whole in shares if not whole]) if x]
+    return min(means, default=1.0)
 
 
 def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -381,6 +449,16 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     graph = spark.createDataFrame([], "u bigint, v bigint, cos double")
     result = spark.createDataFrame([], "rep bigint, links bigint")
     edges = spark.createDataFrame([], "x bigint, y bigint")
+
+    def combine(name: str, near: DataFrame, counts: DataFrame, joins: DataFrame) -> DataFrame:
+        """rep, links: of nodes counted in full (x, n), and of others by their links."""
+        both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.unionByName(joins.select(F.col("x").alias("u"), F.col("y").alias("v"))).distinct()
+        both = both.join(counts.select(F.col("x").alias("u")), "u", "left_anti")  # the others are counted in full
+        listed = both.join(nodes.select(F.col("id").alias("v"), "mult"), "v").groupBy("u").agg(F.sum("mult").alias("n"))
+        result = counts.select(F.col("x").alias("rep"), F.col("n").alias("links")).unionByName(listed.select(F.col("u").alias("rep"), F.col("n").alias("links")))
+        return scratch.keep(f"{name}-result", result)
+
     for turn in range(ROUNDS if total > 1 else 0):
         name = f"round-{turn}"
         seeds = _in_pieces(scratch.keep(f"{name}-codes", _tree_codes(nodes, bits, 1000 + turn, kind)), ["tree", "dim", "code"], nodes, kind)
@@ -388,15 +466,16 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         graph = _descend(graph, nodes, kind, scratch, name)
         counts, edges = _complete(graph, nodes, threshold, kind, scratch, name)
         near = graph.where(F.col("cos") >= threshold).select("u", "v")
-        both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.unionByName(edges.select(F.col("x").alias("u"), F.col("y").alias("v"))).distinct()
-        both = both.join(counts.select(F.col("x").alias("u")), "u", "left_anti")  # the others are counted in full
-        listed = both.join(nodes.select(F.col("id").alias("v"), "mult"), "v").groupBy("u").agg(F.sum("mult").alias("n"))
-        result = counts.select(F.col("x").alias("rep"), F.col("n").alias("links")).unionByName(listed.select(F.col("u").alias("rep"), F.col("n").alias("links")))
-        result = scratch.keep(f"{name}-result", result)
-        edges = scratch.keep(f"{name}-edges", near.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges))
-        if _recall(nodes, result, threshold, kind) >= TARGET:
+        result = combine(name, near, counts, edges)
+        joins, edges = edges, scratch.keep(f"{name}-edges", near.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges))
+        if _recall(nodes, result, counts, threshold, kind) >= TARGET:
             break
+    else:
+        if total > 1:
+            full = counts.select(F.col("x").alias("id"))
+            more, found = _sweep(nodes.join(full, "id", "left_anti"), full, nodes, threshold, kind, scratch, "rest")
+            result = combine("rest", near, counts.unionByName(more), joins)
+            edges = scratch.keep("rest-edges", edges.unionByName(found))
     roots = components(edges, scratch, "all")
     of_node = nodes.join(result, F.col("id") == F.col("rep"), "left").join(roots, F.col("id") == F.col("node"), "left")
     of_node = of_node.select(F.col("raw").alias("node_raw"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("component"))

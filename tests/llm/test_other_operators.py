@@ -117,6 +117,41 @@ def test_vectors(spark, monkeypatch):
     assert embed_dedup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def links_and_components(x):
+    """id: (n_links, component) by brute force."""
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    label, new = None, np.arange(len(x))
+    while label is None or (new != label).any():
+        label = new
+        new = np.array([min(label[i], label[near[i]].min(initial=label[i])) for i in range(len(x))])
+    return {i: (int(near[i].sum()), int(label[i])) for i in range(len(x))}
+
+
+def vectors_found(frame):
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.link_vectors(frame).collect()}
+
+
+def test_a_large_group_does_not_hide_lost_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((120, 32))
+    family = base[0] + 0.02 * rng.standard_normal((200, 32))
+    x = np.concatenate([base, base[20:60] + 0.02 * rng.standard_normal((40, 32)), family])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    descend = embed_dedup._descend
+
+    def only_family(graph, *rest):
+        """Links outside the large group are never found."""
+        return descend(graph, *rest).where("u >= 160 and v >= 160")
+
+    monkeypatch.setattr(embed_dedup, "_descend", only_family)
+    monkeypatch.setattr(embed_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(embed_dedup, "PIVOTS", 100)
+    assert vectors_found(frame) == links_and_components(x)
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_queries_run(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
