@@ -1,13 +1,15 @@
 """Embedding near-dedup by NN-descent.
 
 1. Equal vectors are one node.  A neighbour graph is seeded from random-hyperplane trees: nodes in
-   the same leaf (in pieces of bounded size) are compared and keep their nearest K.
+   the same leaf are compared and keep their nearest K.
 2. NN-descent: each node's neighbours and those it is a neighbour of are compared with each other
-   and lists take what is nearer, until few entries change.
+   and lists take what is nearer, until few entries change.  Leaves and neighbourhoods above PIECE
+   nodes are compared in pieces of that size.
 3. A node whose list is saturated (half of it or more are links) gets its whole list: saturated nodes are
    gathered around pivots, and since angles obey the triangle inequality, all their links lie within
    the pivot's radius plus the link angle of the pivot.  That region is compared in blocks, which
-   count links and join components; nothing is written out per pair.
+   count links and join components; nothing is written out per pair.  Every other node of a leaf or
+   neighbourhood that was cut into pieces, however few its links, is compared with all nodes.
 4. Recall is audited against brute force for a fixed number of nodes, as a mean over nodes, so that
    a large group doesn't speak for small ones, and again over those that were not completed; below
    TARGET more trees are grown and the descent goes on.  When rounds run out, all nodes that are not
@@ -41,10 +43,10 @@ from .scratch import Scratch
 K, TREES, LEAF = 10, 24, 48
 #: A list counts as saturated from so many links on, its own and those of others to it.
 SATURATED = K // 2
-#: Entries that a comparison of a leaf or neighbourhood adds to each list.
+#: Entries that a comparison of a leaf or neighbourhood adds to each list; links are added up to K.
 KEEP = 3
 #: Nodes of a piece of a leaf or neighbourhood; nodes of a block and of a part of a region; pivots in hand at once.
-PIECE, BLOCK, PART, PIVOTS = 96, 512, 2048, 4096
+PIECE, BLOCK, PART, PIVOTS = 1024, 512, 2048, 4096
 #: NN-descent ends when less than this share of entries is new, or after so many turns.
 SETTLED, TURNS = 0.01, 3
 AUDIT, TARGET, ROUNDS = 2048, 0.995, 4
@@ -77,8 +79,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield last, pa.Table.from_batches(held)
 
 
-def _near(pieces: DataFrame, keys: list[str], kind: str, id_type: str) -> DataFrame:
-    """u, v, cos: for each row of a piece (id, raw, grouped by keys) its KEEP nearest in the piece."""
+def _near(pieces: DataFrame, keys: list[str], kind: str, threshold: float) -> DataFrame:
+    """u, v, cos: for each row of a piece (id, raw, grouped by keys) its KEEP nearest in the piece, and its links among the K nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, c = [], [], []
@@ -96,11 +98,15 @@ def _near(pieces: DataFrame, keys: list[str], kind: str, id_type: str) -> DataFr
             x = _unit(t.column("raw").combine_chunks(), kind)
             s = x @ x.T
             np.fill_diagonal(s, -2)
-            k = min(KEEP, len(ids) - 1)
+            k = min(K, len(ids) - 1)
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            u.append(np.repeat(ids, k))
-            v.append(ids[top].ravel())
-            c.append(np.take_along_axis(s, top, 1).ravel())
+            cos = np.take_along_axis(s, top, 1)
+            order = np.argsort(-cos, axis=1)
+            top, cos = np.take_along_axis(top, order, 1), np.take_along_axis(cos, order, 1)
+            r, j = np.nonzero((np.arange(k) < KEEP)[None] | (cos >= threshold))
+            u.append(ids[r])
+            v.append(ids[top[r, j]])
+            c.append(cos[r, j])
             if n % 2000 == 1999:
                 yield out()
         yield out()
@@ -109,11 +115,12 @@ def _near(pieces: DataFrame, keys: list[str], kind: str, id_type: str) -> DataFr
     return dealt.mapInArrow(run, "u bigint, v bigint, cos double")
 
 
-def _in_pieces(members: DataFrame, keys: list[str], nodes: DataFrame, kind: str) -> DataFrame:
-    """Compares (keys, id) groups in random pieces of about PIECE rows."""
+def _in_pieces(members: DataFrame, keys: list[str], nodes: DataFrame, kind: str, threshold: float, scratch: Scratch, name: str, cuts: list) -> DataFrame:
+    """Compares (keys, id) groups, those above PIECE rows in random pieces; ``cuts`` gets a table of the latter's members (id)."""
     sizes = members.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    cuts.append(scratch.keep(f"{name}-cut", members.join(sizes.where("pieces > 1"), keys, "left_semi").select("id").distinct()))
     cut = members.join(sizes.drop("n"), keys).withColumn("piece", F.expr("cast(pmod(xxhash64(id), pieces) as int)"))
-    return _near(cut.join(nodes.select("id", "raw"), "id"), [*keys, "piece"], kind, "bigint")
+    return _near(cut.join(nodes.select("id", "raw"), "id"), [*keys, "piece"], kind, threshold)
 
 
 def _best(entries: DataFrame) -> DataFrame:
@@ -149,15 +156,16 @@ def _tree_codes(nodes: DataFrame, bits: int, first_tree: int, kind: str) -> Data
     return nodes.select("id", "raw").mapInArrow(run, "tree int, dim int, code bigint, id bigint")
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, kind: str, scratch: Scratch, name: str) -> DataFrame:
+def _descend(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float, scratch: Scratch, name: str, cuts: list) -> DataFrame:
     total = graph.count()
     for turn in range(TURNS):
         ends = graph.select(F.col("u").alias("c"), F.col("v").alias("id")).unionByName(graph.select(F.col("v").alias("c"), F.col("u").alias("id")))
         ends = ends.unionByName(nodes.select(F.col("id").alias("c"), "id")).distinct()
         dims = nodes.select(F.col("id").alias("nid"), F.length("raw").alias("dim"))
-        ends = ends.join(dims, F.col("id") == F.col("nid")).drop("nid")
-        further = _in_pieces(ends, ["c", "dim"], nodes, kind)
+        ends = scratch.keep(f"{name}-ends-{turn}", ends.join(dims, F.col("id") == F.col("nid")).drop("nid"))
+        further = _in_pieces(ends, ["c", "dim"], nodes, kind, threshold, scratch, f"{name}-{turn}", cuts)
         better = scratch.keep(f"{name}-{turn}", _best(graph.unionByName(further)))
+        scratch.drop(f"{name}-ends-{turn}")
         new = better.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
         graph = better
         if new <= SETTLED * total:
@@ -448,7 +456,8 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     bits = max(1, math.ceil(math.log2(max(total, 1) / LEAF))) if total > LEAF else 1
     graph = spark.createDataFrame([], "u bigint, v bigint, cos double")
     result = spark.createDataFrame([], "rep bigint, links bigint")
-    edges = spark.createDataFrame([], "x bigint, y bigint")
+    edges = joins = spark.createDataFrame([], "x bigint, y bigint")
+    counts = spark.createDataFrame([], "x bigint, n bigint")
 
     def combine(name: str, near: DataFrame, counts: DataFrame, joins: DataFrame) -> DataFrame:
         """rep, links: of nodes counted in full (x, n), and of others by their links."""
@@ -461,13 +470,26 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     for turn in range(ROUNDS if total > 1 else 0):
         name = f"round-{turn}"
-        seeds = _in_pieces(scratch.keep(f"{name}-codes", _tree_codes(nodes, bits, 1000 + turn, kind)), ["tree", "dim", "code"], nodes, kind)
+        cuts: list[DataFrame] = []
+        codes = scratch.keep(f"{name}-codes", _tree_codes(nodes, bits, 1000 + turn, kind))
+        seeds = _in_pieces(codes, ["tree", "dim", "code"], nodes, kind, threshold, scratch, f"{name}-leaves", cuts)
         graph = scratch.keep(f"{name}-seeds", _best(graph.unionByName(seeds)))
-        graph = _descend(graph, nodes, kind, scratch, name)
-        counts, edges = _complete(graph, nodes, threshold, kind, scratch, name)
+        scratch.drop(f"{name}-codes")
+        graph = _descend(graph, nodes, kind, threshold, scratch, name, cuts)
+        more, found = _complete(graph, nodes, threshold, kind, scratch, name)
+        # what was counted in full in an earlier round stays so
+        counts = scratch.keep(f"{name}-counts", counts.unionByName(more.join(counts.select("x"), "x", "left_anti").select("x", "n")))
+        joins = joins.unionByName(found)
+        full, targets = counts.select(F.col("x").alias("id")), cuts[0]
+        for c in cuts[1:]:
+            targets = targets.unionByName(c)
+        targets = scratch.keep(f"{name}-targets", targets.distinct().join(full, "id", "left_anti"))
+        if not targets.isEmpty():
+            more, found = _sweep(targets, full, nodes, threshold, kind, scratch, f"{name}-sweep")
+            counts, joins = counts.unionByName(more), joins.unionByName(found)
         near = graph.where(F.col("cos") >= threshold).select("u", "v")
-        result = combine(name, near, counts, edges)
-        joins, edges = edges, scratch.keep(f"{name}-edges", near.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges))
+        result = combine(name, near, counts, joins)
+        edges = scratch.keep(f"{name}-edges", near.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(joins))
         if _recall(nodes, result, counts, threshold, kind) >= TARGET:
             break
     else:

@@ -152,6 +152,20 @@ def test_a_large_group_does_not_hide_lost_pairs(spark, monkeypatch):
     assert vectors_found(frame) == links_and_components(x)
 
 
+def test_pairs_in_a_dense_topic(spark, monkeypatch):
+    """Leaves of the topic are cut; its pairs have one link each, and neither descent nor audit helps."""
+    rng = np.random.default_rng(6)
+    topic = 1.7 * rng.standard_normal(64) + rng.standard_normal((3000, 64))
+    x = np.concatenate([topic, topic[:150] + 0.7 * rng.standard_normal((150, 64))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(embed_dedup, "PIECE", 32)
+    monkeypatch.setattr(embed_dedup, "TURNS", 0)
+    monkeypatch.setattr(embed_dedup, "_recall", lambda *_: 1.0)
+    expected = links_and_components(x)
+    assert sum(n > 0 for n, _ in expected.values()) > 100
+    assert vectors_found(frame) == expected
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_queries_run(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
