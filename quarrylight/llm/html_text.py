@@ -4,9 +4,10 @@ A page is read once into blocks: runs of text between block-level tags, each wit
 block-level elements from the root.  Per page and path, text length and punctuation are added up and
 divided by the path's number of blocks.  Both ratios are smoothed over the blocks in page order by
 a Gaussian, multiplied, and paths whose mean is at least the threshold (a share of the standard
-deviation) are selected.  The deepest container that holds nearly all selected text is the article;
-all of its blocks are kept, short ones too, except those under elements that are marked as something
-else (navigation, adverts, forms, comments and so on) and unselected blocks that are mostly links.
+deviation) are selected.  The article is the deepest <article> or <main> that holds nearly all selected
+text, or else the deepest container that holds all selected blocks and the heading above them; all of
+its blocks are kept, short ones too, except those under elements that are marked as something else
+(navigation, adverts, forms, comments and so on) and unselected blocks that are mostly links.
 
 Pages are handled one by one, so memory follows the largest page and a lost task is simply run again.
 
@@ -34,7 +35,7 @@ from .scratch import small_batches
 
 #: The threshold for a path's fused ratio, as a share of the standard deviation over the page's blocks.
 THRESHOLD = 0.5
-#: The article is the deepest container with this share of all selected text.
+#: An <article> or <main> with this share of all selected text is the article.
 HOLDS = 0.8
 #: Unselected blocks with more than this share of their text in links are dropped.
 LINKED = 0.6
@@ -266,17 +267,35 @@ class _Page:
         articles = [e for e in range(1, len(self.tag)) if self.tag[e] in ("article", "main") and held[e] >= HOLDS * held[0]]
         if articles:
             return articles[-1]
+        needed = np.zeros(len(self.tag), int)
+        for i in chosen | self._title(own, chosen):
+            needed[self.owner[i]] += 1
+        for e in range(len(self.tag) - 1, 0, -1):
+            needed[self.parent[e]] += needed[e]
         top, e = 0, 0
         below: dict[int, list[int]] = {}
         for c in range(1, len(self.tag)):
             below.setdefault(self.parent[c], []).append(c)
         while True:
-            e = next((c for c in below.get(e, ()) if self.tag[c] in _GROUPS and held[c] >= HOLDS * held[0]), 0)
+            e = next((c for c in below.get(e, ()) if self.tag[c] in _GROUPS and needed[c] == needed[0]), 0)
             if not e:
                 return top
-            if self.tag[e] not in ("li", "dd", "td", "blockquote"):
+            if self.tag[e] not in ("ul", "ol", "dl", "li", "dd", "td", "blockquote"):
                 top = e
 
+    def _title(self, own: list[int], chosen: set[int]) -> set[int]:
+        """The block of the highest heading above the selected blocks, of equals the last; or none."""
+        best, level = set(), 7
+        for i in own:
+            e = self.owner[i]
+            while e > 0 and self.tag[e] not in _HEADINGS:
+                e = self.parent[e]
+            if e > 0 and int(self.tag[e][1]) <= level:
+                best, level = {i}, int(self.tag[e][1])
+            if i in chosen:
+                break
+        return best
+
 
 def main_text(html: str | None) -> str:
     """The main text of one page, its blocks joined by line feeds."""

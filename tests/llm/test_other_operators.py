@@ -1,6 +1,7 @@
 """Pages, URLs, vectors, components and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -42,6 +43,26 @@ def test_main_text(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG, SHORT = "One long sentence, with commas, stands here; it goes on. " * 12, "A shorter sentence, it has commas; and ends here. " * 4
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div id=content><h1>T</h1><p>LEAD</p><section><p>LONG</p><p>LONG</p><p>LONG</p></section><section><p>REST</p></section></div>",
+        "<div id=content><p>LEAD</p><ul><li>LONG</li><li>LONG</li><li>LONG</li></ul><p>REST</p></div>",
+        "<div id=content><p>LEAD</p><ul><li>LONG</li><li>LONG</li></ul></div>",
+        "<body><div><h1>T</h1><div class=body><p>LONG</p><p>LONG</p></div></div></body>",
+        "<div><h1>T</h1><p>LEAD</p><div><p>LONG</p><div><p>LONG</p></div><table><tr><td>REST</td></tr></table></div></div>",
+    ],
+)
+def test_main_text_over_several_containers(html):
+    page = html.replace("LONG", LONG).replace("REST", SHORT).replace("LEAD", SHORT)
+    want = [x.strip() for x in re.split("<[^>]*>", page) if x.strip()]
+    menu = "<div class=menu><a href=/>Home</a></div>"
+    assert html_text.main_text(f"<html><body>{menu}{page}<div class=footer>Rights, all. Reserved.</div></body></html>").split("\n") == want
+
+
 def verdict(url, rules, default="allow"):
     url = url or ""
     host = path = ""
