@@ -1,7 +1,7 @@
 """MinHash near-dedup: banded candidates, checked by odd sketches and then on the full sets.
 
 1. Each text becomes its set of word shingles, of which only MinHash samples stay: the first
-   BANDS * ROWS of them give band keys, all of them are folded into an odd sketch, a bitmap in which
+   them give band keys, as many as the threshold needs, all of them are folded into an odd sketch, a bitmap in which
    each sample flips one bit.  Equal sets are one node from here on.
 2. Nodes with an equal band key are candidates.  In each bucket all are compared to its smallest
    node, which costs one comparison a member, and what is linked becomes components.
@@ -13,8 +13,8 @@
    differ, which estimates high similarities closely.  Pairs whose estimate is six standard
    deviations below the threshold are passed over; all others are decided on the full sets.
 
-A pair with the threshold's similarity of 0.85 shares a band with probability 1 - 1e-5 (20 bands of
-5 rows), a more similar one with more.
+A pair with the threshold's similarity shares a band with probability 1 - 1e-5 at least (at 0.85
+20 bands of 5 rows, at 0.8 29 of 5), a more similar one with more.
 
 Defined results
 ---------------
@@ -40,7 +40,8 @@ from . import shingles, wordhash
 from .components import components
 from .scratch import Scratch
 
-BANDS, ROWS = 20, 5
+#: Samples of a band at most, and the greatest probability that a pair at the threshold shares no band.
+ROWS, MISS = 5, 1e-5
 #: Members compared to one node or block at a time, and nodes of a block, on average.
 CHUNK, BLOCK = 512, 128
 #: Ids of candidates, and pairs without their sets, are broadcast up to so many (some 30 MB); beyond it Spark sorts and merges.
@@ -49,6 +50,16 @@ BROADCAST_IDS = 250_000
 MARGIN = 6.0
 
 
+def band_shape(percent: int) -> tuple[int, int]:
+    """Number of bands and their rows, which are fewer where the samples don't suffice."""
+    for rows in range(ROWS, 0, -1):
+        agree = (percent / 100) ** rows
+        n = 1 if agree >= 1 else math.ceil(math.log(MISS) / math.log1p(-agree))
+        if n * rows <= shingles.N_SAMPLES:
+            return n, rows
+    raise ValueError(f"{shingles.N_SAMPLES} samples don't find pairs with a similarity of {percent} %")
+
+
 def sketch_limit(percent: int) -> int:
     """The most bits that two odd sketches may differ in."""
     k, n, j = shingles.N_SAMPLES, shingles.SKETCH_BITS, percent / 100
@@ -59,8 +70,9 @@ def sketch_limit(percent: int) -> int:
     return math.ceil(mean + MARGIN * math.hypot(by_samples, by_bits))
 
 
-def signatures(docs: DataFrame, shingle: int, with_sets: bool) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, percent: int, with_sets: bool) -> DataFrame:
     """From id, text: id, n (size of the set), f1, f2 (fingerprints), keys (of bands), sketch, and shingles if asked for."""
+    n_bands, n_rows = band_shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in wordhash.sparing(batches):
@@ -69,14 +81,14 @@ def signatures(docs: DataFrame, shingle: int, with_sets: bool) -> DataFrame:
                 h, at = shingles.shingle_sets(w, shingle)
                 s = shingles.samples(h, at)
                 f1, f2 = shingles.fingerprint(h, at)
-                keys = shingles.bands(s, BANDS, ROWS).view(np.int64).ravel()
+                keys = shingles.bands(s, n_bands, n_rows).view(np.int64).ravel()
                 rows = len(at) - 1
                 cols = {
                     "id": ids.slice(w.first_row, rows),
                     "n": pa.array(np.diff(at).astype(np.int64)),
                     "f1": pa.array(f1.view(np.int64)),
                     "f2": pa.array(f2.view(np.int64)),
-                    "keys": pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(keys)),
+                    "keys": pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n_bands), pa.array(keys)),
                     "sketch": pa.array([x.tobytes() for x in shingles.odd_sketch(s)], pa.binary()),
                 }
                 if with_sets:
@@ -184,7 +196,7 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sigs = scratch.keep("signatures", signatures(texts, shingle, False))
+    sigs = scratch.keep("signatures", signatures(texts, shingle, percent, False))
     same = ["f1", "f2", "n"]
     nodes = sigs.where("n > 0 and id is not null").groupBy(*same).agg(F.min(F.struct("id", "keys")).alias("v"))
     nodes = scratch.keep("nodes", nodes.select(*same, "v.*"))
@@ -197,7 +209,7 @@ def near_duplicates(
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     wanted = texts.join(ids, "id", "left_semi")
-    sets = scratch.keep("sets", signatures(wanted, shingle, True).where("n > 0").select("id", "keys", "sketch", "shingles"))
+    sets = scratch.keep("sets", signatures(wanted, shingle, percent, True).where("n > 0").select("id", "keys", "sketch", "shingles"))
 
     # every member against the smallest node of its bucket
     pairs = scratch.keep("pairs", members.where("id <> pivot").select("pivot", "id").distinct())

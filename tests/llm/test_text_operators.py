@@ -154,6 +154,16 @@ def test_near_duplicates_finish_buckets_with_several_components(docs, monkeypatc
     assert {tuple(r) for r in near_dedup.near_duplicates(docs, shingle=3, percent=85).collect()} == before
 
 
+def test_pairs_at_the_threshold_share_a_band(spark):
+    """20,000 pairs with 8 of 10 shingles in common: 20 bands of 5 miss two of them."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i, words in enumerate(rng.integers(10**9, 10**10, (20_000, 14)).tolist()):
+        rows += [(2 * i, " ".join(map(str, words[1:]))), (2 * i + 1, " ".join(map(str, [words[0], *words[2:]])))]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, percent=80)
+    assert [r["doc_id"] for r in out.where("component_id <> doc_id - doc_id % 2").collect()] == []
+
+
 def test_pieces_equal_the_public_library_and_decode(docs):
     sentencepiece = pytest.importorskip("sentencepiece")
     public = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
