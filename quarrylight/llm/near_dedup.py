@@ -1,8 +1,8 @@
 """MinHash near-dedup: banded candidates, checked by odd sketches and then on the full sets.
 
-1. Each text becomes its set of word shingles, of which only MinHash samples stay: the first
-   them give band keys, as many as the threshold needs, all of them are folded into an odd sketch, a bitmap in which
-   each sample flips one bit.  Equal sets are one node from here on.
+1. Each text becomes its set of word shingles, of which only MinHash samples stay: the first of
+   them give band keys, as many as the threshold needs; all of them are folded into an odd sketch,
+   a bitmap in which each sample flips one bit.  Equal sets are one node from here on.
 2. Nodes with an equal band key are candidates.  In each bucket all are compared to its smallest
    node, which costs one comparison a member, and what is linked becomes components.
 3. Buckets that still hold several components are finished: members outside the bucket's largest
@@ -11,7 +11,8 @@
    where they meet, not written out.
 4. A comparison looks at the sketches first: the XOR of two odd sketches counts the samples that
    differ, which estimates high similarities closely.  Pairs whose estimate is six standard
-   deviations below the threshold are passed over; all others are decided on the full sets.
+   deviations below the threshold are passed over; all others are decided on the full sets, whose
+   shingles are known by names of 128 bits.
 
 A pair with the threshold's similarity shares a band with probability 1 - 1e-5 at least (at 0.85
 20 bands of 5 rows, at 0.8 29 of 5), a more similar one with more.
@@ -71,16 +72,16 @@ def sketch_limit(percent: int) -> int:
 
 
 def signatures(docs: DataFrame, shingle: int, percent: int, with_sets: bool) -> DataFrame:
-    """From id, text: id, n (size of the set), f1, f2 (fingerprints), keys (of bands), sketch, and shingles if asked for."""
+    """From id, text: id, n (size of the set), f1, f2 (its name), keys (of bands), sketch, and shingles if asked for."""
     n_bands, n_rows = band_shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in wordhash.sparing(batches):
             ids = b.column("id")
             for w in wordhash.words(b.column("text"), lower=True):
-                h, at = shingles.shingle_sets(w, shingle)
+                h, g, at = shingles.shingle_sets(w, shingle)
                 s = shingles.samples(h, at)
-                f1, f2 = shingles.fingerprint(h, at)
+                f1, f2 = shingles.fingerprint(h, g, at)
                 keys = shingles.bands(s, n_bands, n_rows).view(np.int64).ravel()
                 rows = len(at) - 1
                 cols = {
@@ -92,7 +93,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, with_sets: bool) ->
                     "sketch": pa.array([x.tobytes() for x in shingles.odd_sketch(s)], pa.binary()),
                 }
                 if with_sets:
-                    cols["shingles"] = pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(rows)], pa.binary())
+                    cols["shingles"] = pa.array([h[a:z].tobytes() + g[a:z].tobytes() for a, z in zip(at, at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -115,8 +116,8 @@ class _Block:
     def add(self, r: dict) -> None:
         self.ids.append(r["id"])
         self.comps.append(r["comp"])
-        self.sets.append(np.frombuffer(r["shingles"], np.uint64))
-        self.sizes.append(len(self.sets[-1]))
+        self.sets.append(_lanes(r["shingles"]))
+        self.sizes.append(self.sets[-1].shape[1])
         self.sketches.append(np.frombuffer(r["sketch"], np.uint64))
         self.keys.append(r["keys"])
 
@@ -124,8 +125,9 @@ class _Block:
         """Links of a member to nodes of the block that aren't in its component yet."""
         if isinstance(self.sizes, list):
             self.sizes, self.sketches, self.keys = np.array(self.sizes), np.array(self.sketches), np.array(self.keys)
-        own = np.frombuffer(r["shingles"], np.uint64)
-        low, high = np.minimum(self.sizes, len(own)), np.maximum(self.sizes, len(own))
+        own = _lanes(r["shingles"])
+        size = own.shape[1]
+        low, high = np.minimum(self.sizes, size), np.maximum(self.sizes, size)
         maybe = np.flatnonzero(100 * low >= percent * high)
         if not len(maybe):
             return
@@ -140,20 +142,25 @@ class _Block:
             if a == b:
                 continue
             both = _shared(own, self.sets[i])
-            if 100 * both >= percent * (len(own) + len(self.sets[i]) - both):
+            if 100 * both >= percent * (size + self.sizes[i] - both):
                 self.root[max(a, b)] = min(a, b)
                 yield self.comps[i], r["comp"]
 
 
+def _lanes(raw: bytes) -> np.ndarray:
+    """A set of names of 128 bits: a row for each lane, sorted by the first."""
+    return np.frombuffer(raw, np.uint64).reshape(2, -1)
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """How many numbers two sorted sets share."""
-    if len(a) > len(b):
+    """How many names two sets share."""
+    if a.shape[1] > b.shape[1]:
         a, b = b, a
-    if not len(a):
+    if not a.shape[1]:
         return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    return int((b[at] == a).sum())
+    at = np.searchsorted(b[0], a[0])
+    at[at == b.shape[1]] = b.shape[1] - 1
+    return int((b[:, at] == a).all(0).sum())
 
 
 def _compare(rows: DataFrame, percent: int) -> DataFrame:

@@ -95,14 +95,15 @@ def statistics(w: wordhash.Words) -> np.ndarray:
     length = (w.ends - w.starts).astype(float)
     mean = per_word(_per_row(length, w.word_at))
     spread = np.sqrt(np.maximum(per_word(_per_row(length**2, w.word_at)) - mean**2, 0))
-    same = np.zeros(len(w.hashes))
+    names = w.names()
+    same = np.zeros(len(names))
     if len(same):
-        same[1:] = w.hashes[1:] == w.hashes[:-1]
+        same[1:] = names[1:] == names[:-1]
         inner = w.word_at[:-1]
         same[inner[inner < len(same)]] = 0  # the first word of a text has no word before it
     first, last = _CLASS[w.data[w.starts]], _CLASS[w.data[w.ends - 1]]
     code = {c: i for i, c in enumerate(_CLASSES)}
-    distinct, most = _repeats(w.hashes, w.word_at)
+    distinct, most = _repeats(names, w.word_at)
     pairs_at, pairs = w.runs(2)
     d2, m2 = _repeats(pairs, np.searchsorted(pairs_at, w.word_at))
     lines = count[:, code["line"]] + (sizes > 0)

@@ -14,26 +14,26 @@ _FLIP = _rng.integers(0, 1 << 32, N_SAMPLES, dtype=np.uint32)
 _TIMES = _rng.integers(0, 1 << 31, N_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each row, sorted within the row, and where each row's begin.
+def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both lanes of the names of each row's distinct shingles, sorted by the first within the row, and where each row's begin.
 
     A row with fewer than n words has its whole sequence as its only shingle; one without words has none.
     """
     at, h = w.runs(n)
+    g = w.runs(n, 1)[1]
     counts = w.counts
     few = np.flatnonzero((counts > 0) & (counts < n))
     row = np.searchsorted(w.word_at, at, "right") - 1
     if len(few):
-        whole = w.whole()[few]
-        row, h = np.concatenate([row, few]), np.concatenate([h, whole])
+        row, h, g = np.concatenate([row, few]), np.concatenate([h, w.whole()[few]]), np.concatenate([g, w.whole(1)[few]])
     order = np.argsort(h)
     order = order[np.argsort(row[order], kind="stable")]
-    row, h = row[order], h[order]
+    row, h, g = row[order], h[order], g[order]
     if len(h):
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        row, h = row[new], h[new]
-    return h, np.searchsorted(row, np.arange(w.rows + 1))
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+        row, h, g = row[new], h[new], g[new]
+    return h, g, np.searchsorted(row, np.arange(w.rows + 1))
 
 
 def samples(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -69,11 +69,11 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(_U).reshape(rows, SKETCH_BITS // 64)
 
 
-def fingerprint(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers that are equal for equal sets (and for others by chance only)."""
+def fingerprint(h: np.ndarray, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers, one of each lane, that are equal for equal sets."""
     out = []
-    for salt in (0x51ED270B, 0xC2B2AE3D):
-        sums = np.zeros(len(h) + 1, _U)
-        np.cumsum(mix(h + _U(salt)), out=sums[1:])
+    for lane, salt in ((h, 0x51ED270B), (g, 0xC2B2AE3D)):
+        sums = np.zeros(len(lane) + 1, _U)
+        np.cumsum(mix(lane + _U(salt)), out=sums[1:])
         out.append(sums[at[1:]] - sums[at[:-1]])
     return out[0], out[1]
