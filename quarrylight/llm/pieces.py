@@ -2,12 +2,14 @@
 
 A batch of texts is cut into the stretches that no piece crosses (before blanks, around characters
 that no longer piece holds), and each distinct stretch is worked on once; a worker keeps the ids of a
-bounded number of them for its next batches.  The other stretches are laid end to end and indexed by a suffix array over the longest piece's length; every piece is binary-searched
-in it, and its range gives all its occurrences: edges from position to position.  The edges are
-sorted by position and relaxed in all stretches at once: in each round a stretch takes its edge of
-the best score (the leftmost of equals) among those that span exactly two of its current symbols.
-That is the order of merges that defines BPE, so the ids are those of the public library.
-Stretches of more than LONG characters take their edges from a heap instead, in the same order.
+bounded number of them for its next batches.  Stretches are found by name and then compared character
+by character, so ids are only shared between equal ones.  The others are laid end to end and indexed
+by a suffix array over the longest piece's length; every piece is binary-searched in it, and its range
+gives all its occurrences: edges from position to position.  The edges are sorted by position and
+relaxed in all stretches at once: in each round a stretch takes its edge of the best score (the
+leftmost of equals) among those that span exactly two of its current symbols.  That is the order of
+merges that defines BPE, so the ids are those of the public library.  Stretches of more than LONG
+characters take their edges from a heap instead, in the same order.
 
 Texts don't move between tasks.  The vocabulary, of fixed size, is sent to all.
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import small_batches
-from .wordhash import _Powers, _rolling, mix, slices, sparing, text_bytes
+from .wordhash import byte_names, slices, sparing, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -42,35 +44,53 @@ SPACE = "▁"
 BATCH_BYTES, LONG = 1 << 21, 48
 #: Stretches of earlier batches whose ids a worker keeps, a few dozen MB at most.
 REMEMBERED = 300_000
-_POWERS = _Powers(0xA24BAED4963EE407)
 _U = np.uint64
 _NEVER = np.iinfo(np.int64).max
 
 
 class _Known:
-    """Ids of stretches by name, up to a number."""
+    """Ids of stretches by name, up to a number, and their characters."""
 
     def __init__(self) -> None:
         self.names, self.lo, self.count, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.begin, self.size, self.code = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def look_up(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, names: np.ndarray, code: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the stretches would be, whether their names are known, and whether the stretches are."""
         at = np.searchsorted(self.names, names)
-        found = at < len(self.names)
-        found[found] = self.names[at[found]] == names[found]
-        return at, found
-
-    def add(self, names: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        keep = np.flatnonzero(count <= LONG)[: max(0, REMEMBERED - len(self.names))]
+        named = at < len(self.names)
+        named[named] = self.names[at[named]] == names[named]
+        found = named.copy()
+        own = at[named]
+        found[named] = _equal(code, begin[named], size[named], self.code, self.begin[own], self.size[own])
+        return at, named, found
+
+    def add(self, names: np.ndarray, ids: np.ndarray, count: np.ndarray, new: np.ndarray, code: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """The ``new`` ones among some stretches and their ids, one after the other."""
+        keep = np.flatnonzero(new & (size <= LONG))[: max(0, REMEMBERED - len(self.names))]
         if not len(keep):
             return
         lo = np.cumsum(count) - count
-        own = ids[_ragged(lo[keep], count[keep])]
-        size = count[keep]
+        own, letters = ids[_ragged(lo[keep], count[keep])], code[_ragged(begin[keep], size[keep])]
+        count, size = count[keep], size[keep]
         names = np.concatenate([self.names, names[keep]])
         order = np.argsort(names)
-        self.lo = np.concatenate([self.lo, len(self.ids) + np.cumsum(size) - size])[order]
-        self.count = np.concatenate([self.count, size])[order]
-        self.names, self.ids = names[order], np.concatenate([self.ids, own])
+        self.lo = np.concatenate([self.lo, len(self.ids) + np.cumsum(count) - count])[order]
+        self.count = np.concatenate([self.count, count])[order]
+        self.begin = np.concatenate([self.begin, len(self.code) + np.cumsum(size) - size])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.names, self.ids, self.code = names[order], np.concatenate([self.ids, own]), np.concatenate([self.code, letters])
+
+
+def _equal(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether a[at : at + size] and b[at : at + size] are equal, for each pair."""
+    same = a_size == b_size
+    some = np.flatnonzero(same & (a_size > 0))
+    if len(some):
+        size = a_size[some]
+        differ = a[_ragged(a_at[some], size)] != b[_ragged(b_at[some], size)]
+        same[some] = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+    return same
 
 
 @dataclass
@@ -345,18 +365,24 @@ def _encode_slice(raw: bytes, at: np.ndarray, v: Vocabulary) -> tuple[np.ndarray
     cut[1:] |= alone[:-1]
     begin = np.flatnonzero(cut)
     size = np.diff(np.append(begin, n))
-    name = _rolling(mix(code.astype(_U)), begin, begin + size, _POWERS)
+    name = byte_names(code.view(np.uint8), 4 * begin, 4 * (begin + size))
     names, first, which = np.unique(name, return_index=True, return_inverse=True)
-    at_known, found = v.known.look_up(names)
+    rep = first[which]
+    other = np.flatnonzero(~_equal(code, begin, size, code, begin[rep], size[rep]))
+    which[other] = len(names) + np.arange(len(other))  # stretches that only share a name
+    first, names = np.concatenate([first, other]), np.concatenate([names, name[other]])
+    begins, sizes = begin[first], size[first]
+    known = v.known
+    at_known, named, found = known.look_up(names, code, begins, sizes)
     fresh = np.flatnonzero(~found)
-    own, own_count = _encode_stretches(code, symbol, begin[first[fresh]], size[first[fresh]], v)
+    own, own_count = _encode_stretches(code, symbol, begins[fresh], sizes[fresh], v)
     # ids of all distinct stretches: those known before, then the fresh ones
-    known = v.known
     lo, count = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
     lo[found], count[found] = known.lo[at_known[found]], known.count[at_known[found]]
     lo[fresh], count[fresh] = len(known.ids) + np.cumsum(own_count) - own_count, own_count
     out = np.concatenate([known.ids, own])
-    known.add(names[fresh], own, own_count)
+    new = ~named[fresh] & (fresh < len(names) - len(other))
+    known.add(names[fresh], own, own_count, new, code, begins[fresh], sizes[fresh])
     each = count[which]
     total = np.concatenate([[0], np.cumsum(each)])
     return out[_ragged(lo[which], each)], np.diff(total[np.searchsorted(begin, row_at)])
