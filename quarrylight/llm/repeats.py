@@ -1,20 +1,27 @@
-"""Substring dedup: removes word windows that also start earlier, over prefix-partitioned suffix subtrees.
+"""Substring dedup: removes word windows that also start earlier, over prefix-partitioned suffix trees.
 
-A suffix is a window of ``window`` words; two windows are equal when they end in the same node of
-the suffix tree at depth ``window``, so subtrees are built to that depth and no deeper.
+A suffix is a window of ``window`` words with what follows; two windows are equal when they stand below
+the same node of the suffix tree at depth ``window``.
 
 1. Documents with the same words are one; all but the first are removed whole (if long enough).
-2. Each window has an anchor: of its runs of ``prefix`` words the one with the smallest fingerprint.
-   Equal windows have equal anchors at the same offset.  One in seven runs is an anchor, and only
-   windows with an anchor that occurs twice can be repeated: the others are not looked at again.
-3. The suffixes that are left are split by prefix, the words of their anchor, into groups.  Within a
-   group, sorted by place, a streamed subtree tells for each node which suffix was there first.  A
-   prefix with more than ``group`` suffixes is dealt in parts with a subtree each; their first places
-   are merged by the longest prefix, all words of the window, with one row for each part and node.
-4. The windows of all nodes but their first places are laid over the documents; words that are
-   covered go.
-
-Nodes are known by 64-bit fingerprints of their words.
+2. Each window has an anchor: of its runs of ``prefix`` words the one with the smallest name.  Equal
+   windows have equal anchors at the same offset.  One in seven runs is an anchor, and only windows
+   with an anchor that occurs twice can be repeated: the others are not looked at again.
+3. Consecutive windows with one anchor are a stretch.  Of stretches with the same words only the first
+   goes on; all windows of the others are repeated.  That is summed up before the shuffle, so a passage
+   that a third of all documents share, or one document a million times, costs a row for each task.
+4. Different stretches are split by prefix, the ``prefix`` words of their anchor.  Each group that fits
+   in memory (at most ``group`` stretches) becomes a suffix tree: stretches are sorted by their words
+   from the anchor on, and each run of neighbours with d words or more in common is an internal node of
+   depth d.  Windows whose anchor stands at offset o are equal when they stand below one node of depth
+   ``window`` - o and are led by the same o words; all but the first of them are repeated.
+5. Groups above ``group`` are split by longer prefixes, those of their windows themselves.  The stretches
+   of such a group differ in what leads to their common words, so the prefix has to be the whole window;
+   a group is then one node, and its first place is summed up before the shuffle.
+6. The repeated windows, overlaid, are the maximal repeats that go.
+
+Trees compare words.  Equal stretches, and windows of groups above ``group``, are known by names of
+128 bits (``wordhash``).
 
 Defined results
 ---------------
@@ -22,7 +29,7 @@ Defined results
   unchanged.  A null text has none.  Kept words are joined by one blank.
 * Earlier is: smaller id, or same id and earlier start.  A null id is smaller than any other.
 * Repeated rows (same id and words) get the same result.  Rows of one id with different words are
-  judged by that order too.
+  judged by that order too, each with its own windows.
 * Only the two named columns are read; an empty table gives an empty result.
 """
 
@@ -40,6 +47,8 @@ from . import wordhash
 from .scratch import Scratch
 
 WINDOW, PREFIX, GROUP = 20, 8, 4096
+#: Stretches whose trees are built at once, all groups together; the groups that stand in them are whole.
+FOREST = 16_384
 #: Ids are broadcast up to so many (some 16 MB); beyond it Spark sorts and merges.
 BROADCAST_IDS = 250_000
 _LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -48,10 +57,10 @@ _NULL_ID = -(1 << 63)
 
 
 def anchors(w: wordhash.Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first word of each window, that of its anchor, and each word's prefix fingerprint."""
-    starts, _ = w.runs(window)
+    """The first word of each window, that of its anchor, and a lane of the name of the run from each word on."""
+    starts = w.begins(window)
     at, h = w.runs(prefix)
-    g = np.full(len(w.hashes) + window, _LARGEST)
+    g = np.full(len(w.starts) + window, _LARGEST)
     g[at] = h
     least = g[starts] if len(starts) else np.zeros(0, np.uint64)
     place = starts.copy()
@@ -63,6 +72,49 @@ def anchors(w: wordhash.Words, window: int, prefix: int) -> tuple[np.ndarray, np
     return starts, place, g
 
 
+def stretches(w: wordhash.Words, window: int, prefix: int) -> dict[str, np.ndarray]:
+    """Runs of windows of one row with one anchor: their row, first word, number of windows, words up to the anchor, and the anchor's name."""
+    starts, place, g = anchors(w, window, prefix)
+    row = np.searchsorted(w.word_at, starts, "right") - 1
+    new = np.ones(len(starts), bool)
+    new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    wins = np.diff(np.append(first, len(starts)))
+    return {"row": row[first], "at": starts[first], "wins": wins, "lead": place[first] - starts[first], "h": g[place[first]]}
+
+
+def repeated_windows(
+    h: np.ndarray, ids: np.ndarray, start: np.ndarray, lead: np.ndarray, wins: np.ndarray, words: pa.ListArray, window: int, prefix: int
+) -> np.ndarray:
+    """For whole groups of stretches: at [row, o], whether the window with its anchor at offset o starts earlier in another row."""
+    n, reach = len(h), window - prefix
+    code = words.values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    begin = words.offsets.to_numpy()
+    from_anchor = lead[:, None] + np.arange(window)
+    right = np.where(from_anchor < np.diff(begin)[:, None], code[np.minimum(begin[:-1, None] + from_anchor, len(code) - 1)], 0)
+    to_anchor = lead[:, None] - 1 - np.arange(reach)
+    left = np.where(to_anchor >= 0, code[np.maximum(begin[:-1, None] + to_anchor, 0)], 0)
+    # The tree: neighbours in the order of their words, and how many words from the anchor on they share.
+    order = np.lexsort((*right.T[::-1], h))
+    share = np.logical_and.accumulate(right[order][1:] == right[order][:-1], axis=1).sum(1)
+    share[h[order][1:] != h[order][:-1]] = -1
+    place = np.unique(ids, return_inverse=True)[1] << 32
+    led = np.zeros(n, np.int64)  # equal for rows that are led by the same o words
+    again = np.zeros((n, reach + 1), bool)
+    for o in range(reach + 1):
+        if o:
+            led = np.unique(led * (code.max() + 1) + left[:, o - 1], return_inverse=True)[1]
+        node = np.empty(n, np.int64)
+        node[order] = np.concatenate([[0], np.cumsum(share < window - o)])
+        own = np.flatnonzero((lead >= o) & (lead - o < wins))
+        key, at = node[own] * n + led[own], place[own] + start[own] + lead[own] - o
+        by = np.lexsort((at, key))
+        head = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]) if len(by) else [])
+        first = np.repeat(at[by][head], np.diff(np.append(head, len(by))))
+        again[own[by[at[by] != first]], o] = True
+    return again
+
+
 def joined(data: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> bytes:
     starts, ends = words
     raw = data.tobytes()
@@ -71,7 +123,7 @@ def joined(data: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> bytes:
 
 def _hashes_of_all(w: wordhash.Words) -> list[str]:
     """SHA-256 of each row's words joined by one blank."""
-    sep = wordhash._SEP[w.data]
+    sep = wordhash.SEPARATES[w.data]
     keep = np.ones(len(w.data), bool)
     keep[1:] = ~(sep[1:] & sep[:-1])
     edge = np.zeros(len(w.data) + 1, bool)
@@ -82,6 +134,23 @@ def _hashes_of_all(w: wordhash.Words) -> list[str]:
     return [hashlib.sha256(flat[a:b].rstrip(b" ") if flat[b - 1 : b] == b" " else flat[a:b]).hexdigest() for a, b in zip(at, at[1:])]
 
 
+def _names(w: wordhash.Words) -> tuple[pa.Array, pa.Array]:
+    """Both lanes of the name of each row's words."""
+    return pa.array(w.whole().view(np.int64)), pa.array(w.whole(1).view(np.int64))
+
+
+def _split(column: pa.Array) -> pa.ListArray:
+    """The words of each text, as bytes."""
+    data, size, count = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    for w in wordhash.words(column):
+        data.append(w.data[~wordhash.SEPARATES[w.data]])
+        size.append(w.ends - w.starts)
+        count.append(w.counts)
+    at = np.cumsum(np.concatenate(size))
+    words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.concatenate(data))])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(count)).astype(np.int32)), words)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ident = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_NULL_ID))
     return docs.select(ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -114,101 +183,154 @@ def remove_repeats(
                     [
                         b.column("id").slice(w.first_row, w.rows),
                         pa.array(w.counts.astype(np.int64)),
-                        pa.array(w.whole().view(np.int64)),
+                        *_names(w),
                         pa.array(_hashes_of_all(w), pa.string()),
                         pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g[place].view(np.int64))),
                     ],
-                    ["id", "n", "f", "sha", "prefixes"],
+                    ["id", "n", "f", "g", "sha", "prefixes"],
                 )
 
-    meta = scratch.keep("meta", texts.mapInArrow(scan, "id bigint, n bigint, f bigint, sha string, prefixes array<bigint>"))
-    first = meta.where(f"n >= {window}").groupBy("f", "n").agg(F.min(F.struct("id", "prefixes")).alias("v"))
-    first = scratch.keep("first", first.select("f", "n", "v.*"))
+    meta = scratch.keep("meta", texts.mapInArrow(scan, "id bigint, n bigint, f bigint, g bigint, sha string, prefixes array<bigint>"))
+    first = meta.where(f"n >= {window}").groupBy("f", "g", "n").agg(F.min(F.struct("id", "prefixes")).alias("v"))
+    first = scratch.keep("first", first.select("f", "g", "n", "v.*"))
     heads = first.select("id", F.explode("prefixes").alias("h"))
-    twice = scratch.keep("twice", heads.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    # prefixes of a document that occur twice: with their numbers, at most as many as it has words
-    found = heads.join(twice.hint("merge"), "h").groupBy("id").agg(F.collect_set(F.struct("h", "c")).alias("found"))
+    twice = scratch.keep("twice", heads.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    # prefixes of a document that occur twice: at most as many as it has words
+    found = heads.join(twice.hint("merge"), "h").groupBy("id").agg(F.collect_set("h").alias("found"))
     found = scratch.keep("found", found)
     scratch.drop("twice")
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in wordhash.sparing(batches):
-            wanted = b.column("found")
             for w in wordhash.words(b.column("text")):
-                starts, place, g = anchors(w, window, prefix)
-                _, node = w.runs(window)
-                rows: list[tuple] = []
-                lo = np.searchsorted(starts, w.word_at)
-                for r in range(w.rows):
-                    a, z = lo[r], lo[r + 1]
-                    counts = {x["h"]: x["c"] for x in wanted[w.first_row + r].as_py()}
-                    mine = np.array(list(counts), np.int64).view(np.uint64)
-                    own = place[a:z]
-                    for s in np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]) & np.isin(g[own], mine)) if z > a else ():
-                        e = s + int(np.searchsorted(own[s:], own[s], "right"))
-                        h = int(g[own[s]].view(np.int64))
-                        rows.append((h, counts[h], b.column("id")[w.first_row + r].as_py(), int(starts[a + s] - w.word_at[r]), node[a + s : a + e].view(np.int64)))
-                h, c, i, s, nodes = zip(*rows) if rows else ((),) * 5
+                s = stretches(w, window, prefix)
+                wanted = b.column("found").slice(w.first_row, w.rows).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                some = np.flatnonzero(np.isin(s["h"], wanted))
+                row, at, wins = (s[k][some] for k in ("row", "at", "wins"))
+                begins = w.begins(window)
+                one, last = np.searchsorted(begins, at), np.searchsorted(begins, at + wins - 1)
+                names = []
+                for lane in (0, 1):  # the first and the last window hold all words of a stretch
+                    node = w.runs(window, lane)[1]
+                    names.append(wordhash.mix(wordhash.mix(node[one] + wins.astype(np.uint64)) + node[last]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int32()), pa.array(nodes, pa.list_(pa.int64()))],
-                    ["h", "c", "id", "start", "nodes"],
-                )
+                    [
+                        pa.array(s["h"][some].view(np.int64)), pa.array(names[0]), pa.array(names[1]),
+                        b.column("id").take(pa.array(w.first_row + row)), pa.array(w.whole().view(np.int64)[row]),
+                        pa.array((at - w.word_at[row]).astype(np.int32)), pa.array(s["lead"][some].astype(np.int32)), pa.array(wins.astype(np.int32)),
+                    ],
+                    ["h", "d1", "d2", "id", "f", "start", "lead", "wins"],
+                )
 
-    # rows of one id with different words each bring the suffixes they have
+    # rows of one id with different words each bring the stretches they have
     some = _only(texts, found.select("id")).join(found.hint("merge"), "id")
-    places = scratch.keep("places", some.mapInArrow(suffixes, "h bigint, c bigint, id bigint, start int, nodes array<bigint>"))
+    places = "h bigint, d1 bigint, d2 bigint, id bigint, f bigint, start int, lead int, wins int"
+    places = scratch.keep("places", some.mapInArrow(cut, places))
     scratch.drop("found")
+    classes = places.groupBy("h", "d1", "d2").agg(F.min(F.struct("id", "start", "f", "lead", "wins")).alias("v"))
+    classes = scratch.keep("classes", classes.select("h", "d1", "d2", "v.*"))
+    one = classes.select("d1", "d2", F.struct("id", "start").alias("first"))
+    late = places.join(one.hint("merge"), ["d1", "d2"]).where("struct(id, start) <> first")
+    late = late.select("id", "f", F.expr("sequence(start, start + wins - 1)").alias("starts"))
+
+    shared = classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > group).alias("large"))
+    shared = scratch.keep("shared", shared)
+    asked = classes.join(shared.hint("merge"), "h").groupBy("id").agg(F.collect_list(F.struct("f", "start", "lead", "wins", "h", "large")).alias("asked"))
+    asked = scratch.keep("asked", asked)
 
-    def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by prefix, part and place; of each node, all windows but those of its first place are repeated.
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches of small groups with their words, and the names of the windows of large ones."""
+        for b in wordhash.sparing(batches):
+            lists = b.column("asked")
+            for w in wordhash.words(b.column("text")):
+                own = lists.slice(w.first_row, w.rows)
+                rows = np.repeat(np.arange(w.rows), own.value_lengths().to_numpy(zero_copy_only=False))
+                flat = own.flatten()
+                f, start, lead, wins, h, large = (x.to_numpy(zero_copy_only=False) for x in flat.flatten())
+                here = f == w.whole().view(np.int64)[rows]
+                at = w.word_at[rows] + start
+                small, big = np.flatnonzero(here & ~large), np.flatnonzero(here & large)
+                ids = b.column("id")
+                lo, hi = w.starts[at[small]], w.ends[at[small] + window + wins[small] - 2]
+                raw = w.data.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h[small]), ids.take(pa.array(w.first_row + rows[small])), pa.array(f[small]),
+                        *(pa.array(x[small]) for x in (start, lead, wins)),
+                        pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary()), pa.nulls(len(small), pa.int64()), pa.nulls(len(small), pa.int64()),
+                    ],
+                    ["h", "id", "f", "start", "lead", "wins", "words", "w1", "w2"],
+                )
+                if len(big):
+                    each = np.repeat(big, wins[big])
+                    k = np.arange(len(each)) - np.repeat(np.cumsum(wins[big]) - wins[big], wins[big])
+                    window_at = np.searchsorted(w.begins(window), at[each] + k)
+                    none = pa.nulls(len(each), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(h[each]), ids.take(pa.array(w.first_row + rows[each])), pa.array(f[each]), pa.array((start[each] + k).astype(np.int32)), none, none,
+                            pa.nulls(len(each), pa.binary()), *(pa.array(w.runs(window, lane)[1][window_at].view(np.int64)) for lane in (0, 1)),
+                        ],
+                        ["h", "id", "f", "start", "lead", "wins", "words", "w1", "w2"],
+                    )
+
+    some = _only(texts, asked.select("id")).join(asked.hint("merge"), "id")
+    cuts = some.mapInArrow(suffixes, "h bigint, id bigint, f bigint, start int, lead int, wins int, words binary, w1 bigint, w2 bigint")
+    cuts = scratch.keep("suffixes", cuts)
+    scratch.drop("asked")
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group; groups are whole in what is worked on at once."""
+        held: list[pa.RecordBatch] = []
+
+        def trees(t: pa.Table) -> pa.RecordBatch:
+            h, ids, f, start, lead, wins = (t.column(c).to_numpy() for c in ("h", "id", "f", "start", "lead", "wins"))
+            again = repeated_windows(h, ids, start.astype(np.int64), lead.astype(np.int64), wins, _split(t.column("words").combine_chunks()), window, prefix)
+            row, o = np.nonzero(again[:, ::-1])  # in order of start
+            starts = start[row] + lead[row] - (again.shape[1] - 1 - o)
+            count = np.bincount(row, minlength=len(h))
+            rows = np.flatnonzero(count)
+            at = np.concatenate([[0], np.cumsum(count[rows])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(starts.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(f[rows]), lists], ["id", "f", "starts"])
 
-        First places of a part of a large group are handed on, as (id, start, node).
-        """
-        group_now, seen = None, {}
         for b in batches:
-            rows: list[tuple] = []
-            for h, part, i, s, nodes in zip(*(b.column(c).to_pylist() for c in ("h", "part", "id", "start", "nodes"))):
-                if (h, part) != group_now:
-                    group_now, seen = (h, part), {}
-                again = []
-                for k, node in enumerate(nodes):
-                    place = (i, s + k)
-                    if (first := seen.setdefault(node, place)) != place:
-                        again.append(s + k)
-                    elif part >= 0 and first is place:
-                        rows.append((i, None, s + k, node))
-                if again:
-                    rows.append((i, again, None, None))
-            cols = zip(*rows) if rows else ((),) * 4
-            types = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "starts", "start", "node"])
-
-    # small groups are part -1; a large one has a part for every ``group`` of its suffixes
-    part = F.expr(f"if(c <= {group}, -1, cast(pmod(xxhash64(id), ceil(c / {group})) as int))").alias("part")
-    dealt = places.select("h", part, "id", "start", "nodes").repartition("h", "part").sortWithinPartitions("h", "part", "id", "start")
-    marked = scratch.keep("marked", dealt.mapInArrow(subtree, "id bigint, starts array<int>, start int, node bigint"))
-    repeated = marked.where("starts is not null").select("id", "starts")
-    of_parts = marked.where("node is not null").select("node", "id", "start")
-    firsts = of_parts.groupBy("node").agg(F.min(F.struct("id", "start")).alias("first"))
-    late = of_parts.join(firsts, "node").where("struct(id, start) <> first")
-    repeated = repeated.unionByName(late.select("id", F.array("start").alias("starts")))
-    repeated = scratch.keep("repeated", repeated.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts")))
-    scratch.drop("places", "marked")
+            held.append(b)
+            if sum(x.num_rows for x in held) < FOREST:
+                continue
+            t = pa.Table.from_batches(held)
+            h = t.column("h").to_numpy()
+            whole = int(np.searchsorted(h, h[-1]))  # the last group may go on
+            if whole:
+                yield trees(t.slice(0, whole))
+                held = t.slice(whole).combine_chunks().to_batches()
+        if held and (t := pa.Table.from_batches(held)).num_rows:
+            yield trees(t)
+
+    stretch_rows = cuts.where("words is not null").select("h", "id", "f", "start", "lead", "wins", "words")
+    marked = stretch_rows.repartition("h").sortWithinPartitions("h").mapInArrow(forest, "id bigint, f bigint, starts array<int>")
+    wide = cuts.where("words is null").select("w1", "w2", "id", "f", "start")
+    firsts = wide.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"))
+    firsts = scratch.keep("firsts", firsts)  # so that both sides of the join are exchanges, which Spark splits where they are skewed
+    wide = wide.join(firsts.hint("merge"), ["w1", "w2"]).where("struct(id, start) <> first").select("id", "f", F.array("start").alias("starts"))
+    repeated = late.unionByName(marked).unionByName(wide)
+    repeated = scratch.keep("repeated", repeated.groupBy("id", "f").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    scratch.drop("places", "classes", "shared", "suffixes", "firsts")
 
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in wordhash.sparing(batches):
             for w in wordhash.words(b.column("text")):
-                own, _ = w.runs(window)
-                lo = np.searchsorted(own, w.word_at)
+                f, g = _names(w)
+                here = np.flatnonzero(b.column("f").slice(w.first_row, w.rows).to_numpy() == f.to_numpy())
+                own = pa.array(here)
                 gone, sha, kept, spans = [], [], [], []
-                for r in range(w.rows):
+                for r in here.tolist():
                     words = slice(w.word_at[r], w.word_at[r + 1])
                     n = words.stop - words.start
                     starts = np.asarray(b.column("starts")[w.first_row + r].values)
                     edge = np.zeros(n + window + 1, np.int32)
-                    starts = starts[starts <= n - window]
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
                     stay = np.cumsum(edge)[:n] == 0
@@ -221,20 +343,20 @@ def remove_repeats(
                     spans.append([{"first": int(a), "last": int(z) - 1} for a, z in zip(turns[::2], turns[1::2])] if with_text else None)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("id").slice(w.first_row, w.rows), pa.array(w.counts.astype(np.int64)), pa.array(w.whole().view(np.int64)),
+                        b.column("id").slice(w.first_row, w.rows).take(own), pa.array(w.counts[here].astype(np.int64)), f.take(own), g.take(own),
                         pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), pa.array(spans, span_type),
                     ],
-                    ["id", "n", "f", "gone", "kept_sha", "kept", "spans"],
+                    ["id", "n", "f", "g", "gone", "kept_sha", "kept", "spans"],
                 )
 
     # A text whose windows all start earlier elsewhere under the same id and words is covered like its first row.
     part = _only(texts, repeated.select("id")).join(repeated.hint("merge"), "id")
-    covered = "id bigint, n bigint, f bigint, gone bigint, kept_sha string, kept string, spans array<struct<first: int, last: int>>"
-    part = part.mapInArrow(cover, covered).dropDuplicates(["id", "n", "f"])
+    covered = "id bigint, n bigint, f bigint, g bigint, gone bigint, kept_sha string, kept string, spans array<struct<first: int, last: int>>"
+    part = part.mapInArrow(cover, covered).dropDuplicates(["id", "n", "f", "g"])
     part = scratch.keep("covered", part)
-    marks = meta.drop("prefixes").join(first.select("f", "n", F.col("id").alias("first_id")).hint("merge"), ["f", "n"], "left")
+    marks = meta.drop("prefixes").join(first.select("f", "g", "n", F.col("id").alias("first_id")).hint("merge"), ["f", "g", "n"], "left")
     whole = F.expr("first_id is not null and first_id <> id")
-    marks = marks.join(part.hint("merge"), ["id", "n", "f"], "left")
+    marks = marks.join(part.hint("merge"), ["id", "n", "f", "g"], "left")
     out = marks.select(
         F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col),
         F.col("n").alias("n_words"),

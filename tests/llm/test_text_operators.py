@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from quarrylight.llm import chat_threads, exact_dedup, mixing, near_dedup, pieces, quality, repeats
+from quarrylight.llm import chat_threads, exact_dedup, mixing, near_dedup, pieces, quality, repeats, wordhash
 from quarrylight.llm.scratch import Scratch
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -86,31 +86,83 @@ def test_digest_index_knows_earlier_batches(spark, docs):
     assert again.rows().count() == index.rows().count()
 
 
-def test_repeats(docs, monkeypatch):
-    for group, most in ((2, 0), (4096, 1000)):
-        monkeypatch.setattr(repeats, "BROADCAST_IDS", most)
-        out = repeats.remove_repeats(docs, group=group).collect()
-        rows = sorted({(-1 if i is None else i, t) for i, t in docs.select("doc_id", "text").collect()}, key=lambda r: (r[0], r[1] or ""))
-        seen, expected = {}, {}
-        for i, t in rows:
-            w = WORD.findall((t or "").encode())
-            for s in range(len(w) - 19):
-                seen.setdefault(tuple(w[s : s + 20]), (i, s))
-                seen[tuple(w[s : s + 20])] = min(seen[tuple(w[s : s + 20])], (i, s))
-        for i, t in rows:
-            w = WORD.findall((t or "").encode())
-            gone = set()
-            for s in range(len(w) - 19):
-                if seen[tuple(w[s : s + 20])] < (i, s):
-                    gone.update(range(s, s + 20))
-            kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
-            expected.setdefault(i, set()).add((len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-        assert len(out) == docs.count()
-        for r in out:
-            assert (r["n_words"], r["n_removed"], r["kept_sha256"]) in expected[-1 if r["doc_id"] is None else r["doc_id"]]
-            if r["kept_text"] is not None:
-                assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
-                assert sum(x["last"] - x["first"] + 1 for x in r["spans"]) == r["n_removed"]
+def thue_morse(n):
+    """Two strings of 2**n letters that polynomial fingerprints modulo 2**64 can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_names_of_words_and_runs():
+    import pyarrow as pa
+
+    a, b = thue_morse(10)
+    (w,) = wordhash.words(pa.array([a, b, " ".join(a), " ".join(b), None, "x" * 65, "x" * 66, "ab c", "a bc", "\0", "\0\0"]))
+    for lane in (0, 1):
+        names, whole = w.names(lane), w.whole(lane)
+        assert names[0] != names[1]
+        assert len(set(whole.tolist())) == 11
+        at, runs = w.runs(20, lane)
+        raw = w.data.tobytes()
+        text = [raw[w.starts[i] : w.ends[i + 19]] for i in at]
+        assert len(set(zip(text, runs.tolist()))) == len(set(text)) == len(set(runs.tolist()))
+
+
+def repeats_by_brute_force(rows):
+    """id: what may come out for it (n_words, n_removed, kept_sha256)."""
+    rows = sorted({(-(10**9) if i is None else i, t) for i, t in rows}, key=lambda r: (r[0], r[1] or ""))
+    words = [(i, WORD.findall((t or "").encode())) for i, t in rows]
+    seen, expected = {}, {}
+    for i, w in words:
+        for s in range(len(w) - 19):
+            seen[tuple(w[s : s + 20])] = min(seen.get(tuple(w[s : s + 20]), (i, s)), (i, s))
+    for i, w in words:
+        gone = set()
+        for s in range(len(w) - 19):
+            if seen[tuple(w[s : s + 20])] < (i, s):
+                gone.update(range(s, s + 20))
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        expected.setdefault(i, set()).add((len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return expected
+
+
+def check_repeats(frame, **options):
+    expected = repeats_by_brute_force([(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()])
+    out = repeats.remove_repeats(frame, **options).collect()
+    assert len(out) == frame.count()
+    for r in out:
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) in expected[-(10**9) if r["doc_id"] is None else r["doc_id"]]
+        if r["kept_text"] is not None:
+            assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+            assert sum(x["last"] - x["first"] + 1 for x in r["spans"]) == r["n_removed"]
+
+
+@pytest.mark.parametrize(("group", "forest", "most"), [(1, 16_384, 0), (3, 5, 0), (50, 40, 1000), (4096, 16_384, 1000)])
+def test_repeats(docs, monkeypatch, group, forest, most):
+    """Groups of any size, split by longer prefixes or not, and forests of one group or many."""
+    monkeypatch.setattr(repeats, "BROADCAST_IDS", most)
+    monkeypatch.setattr(repeats, "FOREST", forest)
+    check_repeats(docs, group=group)
+
+
+@pytest.mark.parametrize("group", [2, 4096])
+def test_repeats_of_a_shared_passage(spark, group):
+    """A passage between different words, at every offset; one text many times over; words that only differ by structure."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9)))
+    passage = [word() for _ in range(55)]
+    a, b = thue_morse(10)
+    rows = []
+    for i in range(60):
+        head, tail = [word() for _ in range(rng.randint(0, 25))], [word() for _ in range(rng.randint(0, 25))]
+        lo, hi = sorted(rng.sample(range(56), 2))
+        rows.append((i, " ".join(head + passage[lo:hi] + tail)))
+    rows += [(100, " ".join(passage * 30)), (101, " ".join(["x"] * 400)), (102, "y " + " ".join(["x"] * 300)), (103, None), (104, " ".join(passage) * 2)]
+    q = [f"q{k}" for k in range(25)]
+    rows += [(105, " ".join([a, *q])), (106, " ".join([b, *q])), (107, " ".join(a)), (108, " ".join(b)), (None, " ".join(passage))]
+    rows += [(7, " ".join([word() for _ in range(30)] + passage))]  # an id with two texts
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), group=group)
 
 
 def shingle_set(text, n):
@@ -145,6 +197,16 @@ def test_near_duplicates(docs, shingle, percent):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), c, c == r["doc_id"])
 
 
+def test_near_duplicates_of_structured_words(spark):
+    """Sets of one shingle each, which polynomial fingerprints take for equal."""
+    a, b = thue_morse(10)
+    frame = spark.createDataFrame([(1, a), (2, b), (3, a), (4, " ".join(a[:200])), (5, " ".join(b[:200]))], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame, shingle=3, percent=85).collect()}
+    sets = {i: shingle_set(" ".join(x[:200]), 3) for i, x in ((4, a), (5, b))}
+    same = 100 * len(sets[4] & sets[5]) >= 85 * len(sets[4] | sets[5])
+    assert out == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4 if same else 5}
+
+
 def test_near_duplicates_finish_buckets_with_several_components(docs, monkeypatch):
     """Small blocks and chunks: the same links."""
     before = {tuple(r) for r in near_dedup.near_duplicates(docs, shingle=3, percent=85).collect()}
@@ -175,6 +237,22 @@ def test_pieces_equal_the_public_library_and_decode(docs):
         assert r["back"] == (r["text"] or "")
 
 
+def test_stretches_with_one_name_keep_their_ids(monkeypatch):
+    """Names only propose; characters decide.  Also across batches."""
+    import pyarrow as pa
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    public = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    a, b = thue_morse(10)
+    texts = [a, b, " ".join((a, b, a[:40], b[:40])), "the same words and other words", "", "日本 the é"]
+    for names in (pieces.byte_names, lambda data, starts, ends: np.zeros(len(starts), np.uint64)):
+        monkeypatch.setattr(pieces, "byte_names", names)
+        v = pieces.Vocabulary.load(pieces.MODEL)
+        for batch in (texts[:1], texts, texts[::-1]):
+            ids, at = pieces.encode_batch(pa.array(batch), v)
+            assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == public.encode(batch)
+
+
 def test_pieces_on_random_texts():
     import pyarrow as pa
 
