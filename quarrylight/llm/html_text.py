@@ -1,13 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into blocks: runs of text between block-level tags, each with its path of
-block-level elements from the root.  Per page and path, text length and punctuation are added up and
-divided by the path's number of blocks.  Both ratios are smoothed over the blocks in page order by
-a Gaussian, multiplied, and paths whose mean is at least the threshold (a share of the standard
-deviation) are selected.  The article is the deepest <article> or <main> that holds nearly all selected
-text, or else the deepest container that holds all selected blocks and the heading above them; all of
-its blocks are kept, short ones too, except those under elements that are marked as something else
-(navigation, adverts, forms, comments and so on) and unselected blocks that are mostly links.
+block-level elements from the root.  What is marked as navigation, advert, form, comments and so on is
+set aside.  Per page and path, text length and punctuation are added up and divided by the path's
+number of blocks.  Both ratios are smoothed by a Gaussian over the blocks in page order, as far as they
+stand close in the tree, and multiplied; paths whose mean is at least the threshold (a share of the
+standard deviation) are selected.
+
+The article is the deepest <article> or <main> that holds nearly all selected text, or else the deepest
+container that holds all selected blocks and the heading above them.  Of its blocks those of selected
+paths are kept, those that their neighbours lift over the threshold, and short ones of prose (headings,
+list items, cells and the like) that aren't mostly links.  So ratios decide where the article is, and
+which boxes in it belong to it.
 
 Pages are handled one by one, so memory follows the largest page and a lost task is simply run again.
 
@@ -35,9 +39,11 @@ from .scratch import small_batches
 
 #: The threshold for a path's fused ratio, as a share of the standard deviation over the page's blocks.
 THRESHOLD = 0.5
+#: Blocks on either side that ratios are smoothed over.
+REACH = 2
 #: An <article> or <main> with this share of all selected text is the article.
 HOLDS = 0.8
-#: Unselected blocks with more than this share of their text in links are dropped.
+#: Unselected blocks of prose with more than this share of their text in links are dropped.
 LINKED = 0.6
 
 # Fixed values of HTML.
@@ -58,14 +64,25 @@ _CLOSES = {  # an opening tag ends these open elements, if no element in the sec
     "option": ({"option"}, {"select"}),
 }
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = _HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre".split())
 # What never belongs to the article, by tag, role and word of a class or id.
 _OTHER_TAGS = frozenset("nav footer aside form head select button menu dialog object svg math canvas audio video map datalist".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _OTHER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr"
-    " notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations"
-    " sidebar widget widgets comment comments commentlist disqus replies respond nav navbar navigation menu breadcrumb breadcrumbs"
-    " pagination pager footer header masthead topbar toolbar login search skip copyright".split()
+    # menus
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar skip"
+    # headers and footers
+    " header masthead topbar footer copyright"
+    # sidebars
+    " sidebar widget widgets related recommended recommendations share sharing social"
+    # notices
+    " notice notices cookie cookies consent gdpr popup modal overlay"
+    # adverts
+    " ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion"
+    # forms
+    " newsletter subscribe subscription signup login search"
+    # reader comments
+    " comment comments commentlist disqus replies respond".split()
 )
 
 _TOKEN = re.compile(
@@ -74,9 +91,10 @@ _TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(?:>|\Z)|([^<]+)|<""",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+# Names are only looked for where they begin, so that long ones cost no backtracking.
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])(?:([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))|((?i:hidden))(?![\w-]))""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in _RAW}
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.IGNORECASE) for t in _RAW}
 
 
 def _punctuation(text: str) -> int:
@@ -92,7 +110,8 @@ class _Page:
         self.texts: list[str] = []
         self.owner: list[int] = []
         self.linked: list[int] = []
-        self._stack, self._parts, self._links, self._open_links, self._last = [0], [], 0, 0, 0
+        self._stack, self._parts, self._links, self._open_links = [0], [], 0, 0
+        self._depths: dict[str, list[int]] = {}  # of the open elements of each tag
         self._read(html)
         self._flush()
 
@@ -107,9 +126,15 @@ class _Page:
 
     def _pop_to(self, depth: int) -> None:
         self._flush()
+        for e in self._stack[depth:]:
+            self._depths[self.tag[e]].pop()
         del self._stack[depth:]
         self._open_links = 0
 
+    def _deepest(self, tags: set[str]) -> int:
+        """The depth of the innermost open element with one of the tags, or 0."""
+        return max((d[-1] for t in tags if (d := self._depths.get(t))), default=0)
+
     def _open(self, tag: str, attributes: str) -> None:
         self._flush()
         if tag not in _INLINE:
@@ -117,19 +142,14 @@ class _Page:
                 self._pop_to(len(self._stack) - 1)
             if tag in _CLOSES:
                 ends, stop = _CLOSES[tag]
-                for depth in range(len(self._stack) - 1, 0, -1):
-                    t = self.tag[self._stack[depth]]
-                    if t in stop:
-                        break
-                    if t in ends:
-                        self._pop_to(depth)
-                        break
+                if (depth := self._deepest(ends)) > self._deepest(stop):
+                    self._pop_to(depth)
         self._open_links = 0
         above, i = self._stack[-1], len(self.tag)
         other, by_word, name = tag in _OTHER_TAGS, False, tag
         for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
             key, value = key.lower(), a or b or c
-            if hidden or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
+            if hidden or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
                 other = True
             elif key == "role":
                 other |= value.lower() in _OTHER_ROLES
@@ -145,6 +165,7 @@ class _Page:
         self.other.append(other or self.other[above])
         self.by_word.append(by_word)
         self.path.append(self.paths.setdefault((self.path[above], name), len(self.paths)))
+        self._depths.setdefault(tag, []).append(len(self._stack))
         self._stack.append(i)
 
     def _read(self, html: str) -> None:
@@ -171,13 +192,10 @@ class _Page:
                 if tag == "a":
                     self._open_links = 0
                 elif tag not in _INLINE:
-                    for depth in range(len(self._stack) - 1, 0, -1):
-                        if self.tag[self._stack[depth]] == tag:
-                            self._pop_to(depth)
-                            break
-                    else:
-                        if tag in ("p", "br"):
-                            self._flush()
+                    if depth := self._deepest({tag}):
+                        self._pop_to(depth)
+                    elif tag in ("p", "br"):
+                        self._flush()
             elif tag in _RAW:
                 end = _RAW_END[tag].search(html, at)
                 at = end.end() if end else size
@@ -203,13 +221,14 @@ class _Page:
             own = [i for i, e in enumerate(self.owner) if not marked[e]]
         if not own:
             return []
-        chosen = self._chosen(own)
+        chosen, lifted = self._chosen(own)
         top = self._container(own, chosen)
         inside = np.zeros(len(self.tag), bool)
         inside[top] = True
         for e in range(top + 1, len(self.tag)):
-            inside[e] = inside[self.parent[e]]
-        return [self.texts[i] for i in own if inside[self.owner[i]] and (i in chosen or self.linked[i] <= LINKED * len(self.texts[i]))]
+            inside[e] |= inside[self.parent[e]]
+        prose = lambda i: self.tag[self.owner[i]] in _PROSE and self.linked[i] <= LINKED * len(self.texts[i])
+        return [self.texts[i] for i in own if inside[self.owner[i]] and (i in chosen or i in lifted or prose(i))]
 
     def _marked(self) -> list[bool]:
         """Elements under a mark.  A mark by class or id is void around the article or its heading."""
@@ -220,42 +239,48 @@ class _Page:
             if holds[e]:
                 holds[self.parent[e]] = True
         within = [False] * len(self.tag)  # an article
+        header = [False] * len(self.tag)  # of an article, and not in another marked element below it
         marked = [False] * len(self.tag)
         for e in range(1, len(self.tag)):
-            up = self.parent[e]
-            within[e] = within[up] or self.tag[e] in ("article", "main")
+            up, tag = self.parent[e], self.tag[e]
+            within[e] = within[up] or tag in ("article", "main")
+            if tag == "header":
+                header[e] = True
+            elif tag not in ("article", "main") and not self.by_word[e]:
+                header[e] = header[up]
             marked[e] = marked[up] or self.other[e] or (self.by_word[e] and not holds[e])
-            if self.tag[e] == "header" or (self.by_word[e] and holds[e] and within[up]):
+            if tag == "header" or (self.by_word[e] and holds[e] and within[up]):
                 # of a header, only headings within an article belong to it
                 marked[e] = True
-            if marked[e] and within[up] and self.tag[e] in _HEADINGS and not self.other[e] and self._in_header(e):
+            if marked[e] and within[up] and tag in _HEADINGS and not self.other[e] and header[up]:
                 marked[e] = False
         return marked
 
-    def _in_header(self, e: int) -> bool:
-        up = self.parent[e]
-        while up > 0 and self.tag[up] not in ("article", "main"):
-            if self.by_word[up] and self.tag[up] != "header":
-                return False
-            if self.tag[up] == "header":
-                return True
-            up = self.parent[up]
-        return False
-
-    def _chosen(self, own: list[int]) -> set[int]:
-        """Blocks whose path's smoothed and fused ratios reach the threshold."""
+    def _chosen(self, own: list[int]) -> tuple[set[int], set[int]]:
+        """Blocks of paths whose smoothed and fused ratios reach the threshold, and blocks that reach it themselves."""
         path = np.array([self.path[self.owner[i]] for i in own])
         _, group = np.unique(path, return_inverse=True)
         blocks = np.bincount(group)
         text = np.bincount(group, [len(self.texts[i]) for i in own]) / blocks
         marks = np.bincount(group, [_punctuation(self.texts[i]) for i in own]) / blocks
-        kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-        kernel /= kernel.sum()
-        smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
+        up = np.array([self.parent[self.owner[i]] for i in own])
+        above = np.array([self.parent[e] if e >= 0 else -1 for e in up])
+
+        def smooth(x: np.ndarray) -> np.ndarray:
+            """The Gaussian mean of each block and those up to REACH places away with the same parent or grandparent."""
+            total, weight = x.astype(float), np.ones(len(x))
+            for k in range(1, min(REACH, len(x) - 1) + 1):
+                w = np.exp(-0.5 * k * k) * ((up[k:] == up[:-k]) | (above[k:] == above[:-k]))
+                total[k:] += w * x[:-k]
+                total[:-k] += w * x[k:]
+                weight[k:] += w
+                weight[:-k] += w
+            return total / weight
+
         fused = smooth(text[group]) * smooth(marks[group])
         mean = np.bincount(group, fused) / blocks
-        keep = mean >= THRESHOLD * fused.std()
-        return {i for i, g in zip(own, group) if keep[g]}
+        least = min(THRESHOLD * fused.std(), mean.max())  # the best path is always selected
+        return {i for i, g in zip(own, group) if mean[g] >= least}, {i for i, f in zip(own, fused) if f >= least}
 
     def _container(self, own: list[int], chosen: set[int]) -> int:
         held = np.zeros(len(self.tag))
@@ -285,12 +310,13 @@ class _Page:
 
     def _title(self, own: list[int], chosen: set[int]) -> set[int]:
         """The block of the highest heading above the selected blocks, of equals the last; or none."""
+        heading = [0] * len(self.tag)  # the element itself or the nearest one around it
+        for e in range(1, len(self.tag)):
+            heading[e] = e if self.tag[e] in _HEADINGS else heading[self.parent[e]]
         best, level = set(), 7
         for i in own:
-            e = self.owner[i]
-            while e > 0 and self.tag[e] not in _HEADINGS:
-                e = self.parent[e]
-            if e > 0 and int(self.tag[e][1]) <= level:
+            e = heading[self.owner[i]]
+            if e and int(self.tag[e][1]) <= level:
                 best, level = {i}, int(self.tag[e][1])
             if i in chosen:
                 break

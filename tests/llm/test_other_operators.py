@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -63,6 +64,59 @@ def test_main_text_over_several_containers(html):
     assert html_text.main_text(f"<html><body>{menu}{page}<div class=footer>Rights, all. Reserved.</div></body></html>").split("\n") == want
 
 
+MENU = "<div><a href=/a>Home</a></div><div><a href=/b>News</a></div>"
+UNNAMED = [  # pages without a name or tag that tells anything: page, article
+    (f"<body>{MENU}<div><h2>T</h2><p>LONG</p><p>REST</p><p>Short</p></div><div><span>Ours since 2001</span></div></body>", "T LONG REST Short"),
+    (f"<body>{MENU}<div class=x1><h1>T</h1><div class=x2>LONG</div><div class=x3>Deals</div><div class=x2>LONG</div>"
+     "<div class=x2>LONG</div><div class=x2>REST</div></div><table><tr><td>Imprint</td></tr></table></body>", "T LONG Deals LONG LONG REST"),
+    (f"<body><ul><li>One</li><li>Two</li></ul><div><div><h1>T</h1></div><div><p>REST</p><ul><li>a</li><li>b</li></ul><p>LONG</p></div></div>{MENU}</body>", "T REST a b LONG"),
+    ("<body><section><em>x</em></section><section><p>LONG</p><p>LONG</p></section><section><b>Call</b> us</section></body>", "LONG LONG"),
+]
+
+
+@pytest.mark.parametrize(("page", "article"), UNNAMED)
+def test_main_text_by_ratios_alone(page, article, monkeypatch):
+    """Ratios decide where the article is: with all paths selected, the text is another one."""
+    fill = lambda x: x.replace("LONG", LONG.strip()).replace("REST", SHORT.strip())
+    want = [fill(x) for x in article.split(" ")]
+    assert html_text.main_text(f"<html>{fill(page)}</html>").split("\n") == want
+    chosen = html_text._Page._chosen
+    monkeypatch.setattr(html_text._Page, "_chosen", lambda self, own: (set(own), chosen(self, own)[1]))
+    assert html_text.main_text(f"<html>{fill(page)}</html>").split("\n") != want
+
+
+def test_boxes_within_an_article_need_their_ratios():
+    paragraphs = "".join(f"<div class=t>{LONG}</div>" for _ in range(5))
+    page = f"<article>{paragraphs}<div class=z>Buy</div><div class=z>Now</div><div class=z>Here</div><div class=z>And</div><div class=z>There</div></article>"
+    lines = html_text.main_text(page).split("\n")
+    assert lines[:5] == [LONG.strip()] * 5 and "And" not in lines and "There" not in lines
+
+
+def test_pages_equal_the_documents_they_were_made_from(spark):
+    """Heading and lines of a document, for all pages of sf0.1."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()
+    known = {tuple(x for x in (" ".join(line.split()) for line in (r["text"] or "").split("\n")) if x) for r in rows}
+    pages = html_text.op6_main_text(spark, sf).collect()
+    assert len(pages) == 2500
+    assert [r["page_id"] for r in pages if tuple(r["text"].split("\n")[1:]) not in known] == []
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<p " + "x" * (1 << 20) + ">y", "<p a" + " " * (1 << 20) + ">y", "<p " + "a= " * 300_000 + ">y", "<p " + "hidden-" * 150_000 + ">y",
+        "<div>" * 80_000 + "</b></section>" * 70_000 + "y", "y<script>" + "</script " * 110_000, "<table><tr>" + "<div>" * 100_000 + "<td></td>" * 50_000 + "y",
+        "<article><header>" + "<div>" * 50_000 + "<h2>y" * 100_000, '<a b="' * 170_000 + '"><p>y', "<" * (1 << 20) + "<p>y", "<p>y" * 250_000,
+    ],
+    ids=lambda html: html[:12],
+)
+def test_a_megabyte_of_broken_markup_takes_seconds(html):
+    before = time.process_time()
+    assert html_text.main_text(html).endswith("y")
+    assert time.process_time() - before < 10
+
+
 def verdict(url, rules, default="allow"):
     url = url or ""
     host = path = ""
