@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import shingles, wordhash
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, without
 
 #: Samples of a band at most, and the greatest probability that a pair at the threshold shares no band.
 ROWS, MISS = 5, 1e-5
@@ -271,9 +271,8 @@ def near_duplicates(
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, that stay: of each component the one with the smallest id."""
     marks = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = marks.groupBy(id_col).agg(F.max("kept").alias("k")).where("NOT k").select(F.col(id_col).alias("__id"))
-    gone = Scratch(docs.sparkSession, "near-kept").keep("gone", gone)
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_anti")
+    gone = marks.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max("kept").alias("k")).where("NOT k").select("id")
+    return without(docs, id_col, Scratch(docs.sparkSession, "near-kept").keep("gone", gone))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

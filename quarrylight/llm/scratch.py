@@ -1,7 +1,8 @@
 """Tables written to the folder that the driver and all executors share.
 
-``spark.checkpoint.dir`` names that folder.  It is only set here when the session
-has none, as in tests on one machine.
+``spark.checkpoint.dir`` names that folder.  It is only set here when the session has none and all
+tasks run in the driver's process, as in tests; on a cluster without it an error is raised, since a
+folder of one machine would hold a part of each table only.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder of the session, without a slash at its end."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -57,3 +61,10 @@ class Scratch:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose id is not in the only column of ``gone``; a null id is an id like any other."""
+    # rows travel as one column, so their names can't clash with those used here
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"))
+    return rows.join(gone.toDF("gone"), F.col("id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
