@@ -12,9 +12,10 @@ draws, so the table of a source's distribution stays below a few hundred numbers
 Defined results
 ---------------
 * A null source is a source like any other.  Sources without a weight, or with one that is null,
-  zero or negative, give no rows.  Without weights each source in the table gets the same weight.
+  zero or negative, give no rows; weights of a source that is listed twice add up.  Without weights
+  each source in the table gets the same weight.
 * Rows with the same id and source draw the same count; null ids draw as the text ``null``.
-* ``copy`` runs from 1; a column of that name in the input is replaced.  All other columns pass.
+* ``copy`` (or what ``copy_col`` names) runs from 1; a column of that name in the input is replaced.  All other columns pass, whatever their names.
 * An empty table gives an empty result.
 """
 
@@ -42,6 +43,7 @@ def source_rates(docs: DataFrame, source_col: str, weights: DataFrame | None, to
         weighted = counts.withColumn("weight", F.lit(1.0))
     else:
         w = weights.select(F.col("source").alias("__w"), F.col("weight").cast("double").alias("weight")).where("weight > 0")
+        w = w.groupBy("__w").agg(F.sum("weight").alias("weight"))
         weighted = counts.join(w, F.col("__source").eqNullSafe(F.col("__w"))).drop("__w")
     sums = weighted.agg(F.sum("weight").alias("weights")).crossJoin(counts.agg(F.sum("n").alias("rows")))  # one row
     whole = "rows" if total is None else f"{float(total)}D"
@@ -70,31 +72,29 @@ def mix_sources(
     seed: int = 42,
     id_col: str = "doc_id",
     source_col: str = "source",
+    copy_col: str | None = "copy",
 ) -> DataFrame:
-    """The mixture: all columns of ``docs`` and ``copy``.  ``total`` is the number of rows aimed at, by default the input's."""
+    """The mixture: all columns of ``docs`` and, if it has a name, the number of the copy.
+
+    ``total`` is the number of rows aimed at, by default the input's.
+    """
     rates = Scratch(docs.sparkSession, "mix").keep("rates", source_rates(docs, source_col, weights, total))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    ident = f"coalesce(cast(`{id_col}` as string), 'null')"
-    drawn = _uniform(f"'{seed}'", ident, "cast(i as string)")
-    order = F.expr(f"md5(concat_ws(':', '{seed}', 'order', {ident}, cast(copy as string)))")
-    return (
-        docs.drop("copy")
-        .join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
-        .withColumn(
-            "__n",
-            F.expr(
-                "aggregate(transform(sequence(1, __draws), i ->"
-                f" size(filter(__cdf, c -> c <= {drawn}))), 0, (a, x) -> a + x)"
-            ),
-        )
-        .where("__n > 0")
-        .withColumn("copy", F.explode(F.expr("sequence(1, __n)")))
-        .withColumn("__order", order)
-        .repartition("__order")
-        .sortWithinPartitions("__order")
-        .select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"], "copy")
+    drawn = _uniform(f"'{seed}'", "ident", "cast(i as string)")
+    # documents travel as one column, so their names can't clash with those used here
+    kept = [c for c in docs.columns if c != copy_col]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
+        F.col(f"`{source_col}`").alias("source"),
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("ident"),
+    )
+    drawn_rows = rows.join(rates, F.col("source").eqNullSafe(F.col("__source"))).select(
+        "row", "ident", F.expr(f"aggregate(transform(sequence(1, __draws), i -> size(filter(__cdf, c -> c <= {drawn}))), 0, (a, x) -> a + x)").alias("n")
     )
+    copies = drawn_rows.where("n > 0").select("row", "ident", F.explode(F.expr("sequence(1, n)")).alias("copy"))
+    copies = copies.select("row", "copy", F.expr(f"md5(concat_ws(':', '{seed}', 'order', ident, cast(copy as string)))").alias("place"))
+    return copies.repartition("place").sortWithinPartitions("place").select("row.*", *([F.col("copy").alias(copy_col)] if copy_col else []))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
