@@ -3,8 +3,8 @@
 1. Each whole text becomes some thirty statistics (shares of character classes, repetition of words
    and lines, word lengths).  They are written once; texts are read once.
 2. Random Fourier features cos(Wx + b) of the standardised statistics approximate a Gaussian kernel.
-3. The normal equations Z'Z and Z'y are summed in each partition, then by matrix row in a second
-   step, and reach the driver as one fixed-size matrix per fold, whatever the number of rows.
+3. The normal equations Z'Z and Z'y are summed in each partition, then by matrix row in a tree of
+   two steps, and reach the driver as one fixed-size matrix per fold, whatever the number of rows.
 4. The ridge penalty is the one with the least error across folds; the fold models also give each
    training row a score from a model that hasn't seen it, and those scores (as a histogram of
    fixed size) are what the isotonic map is fitted to.
@@ -18,6 +18,7 @@ Defined results
 * With no label, or labels of one kind only, every score is the mean label, or 0.5 without labels.
 * Each input row gives one row; repeated rows and null ids too (a null id is not held out).  Only
   the id and the text are read, so further columns may have any names.  An empty table gives none.
+* A score equal to the cut is accepted.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,16 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .scratch import Scratch
+from .scratch import Scratch, without
 
 N_RFF = 320
 FOLDS = 4
 PENALTIES = (1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
 BINS = 4096
+#: Tasks whose sums meet in one task before all lots are added.
+LANES = 64
+VECTORS = "fold int, row int, lane int, v binary"
 CUT = 0.3
 #: Width of the Gaussian kernel, as a share of the square root of the number of statistics.
 KERNEL_WIDTH = 2.0
@@ -185,8 +190,8 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, stats array<float>")
 
 
-def _sum_by_row(parts: DataFrame, pieces: int = 16) -> dict[tuple[int, int], np.ndarray]:
-    """Adds up vectors by (fold, row): within tasks first, then those of all tasks."""
+def _sum_by_row(parts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Adds up vectors by (fold, row) as a tree: those of LANES lots of tasks, then the lots."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -196,18 +201,22 @@ def _sum_by_row(parts: DataFrame, pieces: int = 16) -> dict[tuple[int, int], np.
                 sums[fold, row] = sums[fold, row] + v if (fold, row) in sums else v
         yield _vectors(sums)
 
-    rows = parts.repartition(pieces, "fold", "row").mapInArrow(add, parts.schema).collect()
+    lots = parts.repartition("fold", "row", "lane").mapInArrow(add, VECTORS)
+    rows = lots.repartition("fold", "row").mapInArrow(add, VECTORS).collect()
     return {(r["fold"], r["row"]): np.frombuffer(r["v"]) for r in rows}
 
 
 def _vectors(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    """Sums of this task; its lane is its number modulo LANES."""
+    lane = TaskContext.get().partitionId() % LANES
     return pa.RecordBatch.from_arrays(
         [
             pa.array([f for f, _ in sums], pa.int32()),
             pa.array([r for _, r in sums], pa.int32()),
+            pa.array([lane] * len(sums), pa.int32()),
             pa.array([v.tobytes() for v in sums.values()], pa.binary()),
         ],
-        ["fold", "row", "v"],
+        ["fold", "row", "lane", "v"],
     )
 
 
@@ -221,8 +230,7 @@ def fit(stats: DataFrame, labelled: DataFrame) -> Model:
             total += [np.full(N_STATS, len(x)), x.sum(0), (x * x).sum(0)]
         yield _vectors({(0, i): total[i] for i in range(3)})
 
-    shape = "fold int, row int, v binary"
-    m = _sum_by_row(stats.select("stats").mapInArrow(moments, shape), 1)
+    m = _sum_by_row(stats.select("stats").mapInArrow(moments, VECTORS))
     n, s, q = (m.get((0, i), np.zeros(N_STATS)) for i in range(3))
     centre = s / np.maximum(n, 1)
     scale = np.sqrt(np.maximum(q / np.maximum(n, 1) - centre**2, 0)) + 1e-3
@@ -238,7 +246,7 @@ def fit(stats: DataFrame, labelled: DataFrame) -> Model:
                 sums[f] += own.T @ own
         yield _vectors({(f, r): sums[f, r] for f in range(FOLDS) for r in range(N_RFF + 2) if sums[f].any()})
 
-    rows = _sum_by_row(labelled.select("stats", "label", "fold").mapInArrow(equations, shape))
+    rows = _sum_by_row(labelled.select("stats", "label", "fold").mapInArrow(equations, VECTORS))
     gram = np.zeros((FOLDS, N_RFF + 2, N_RFF + 2))
     for (f, r), v in rows.items():
         gram[f, r] = v
@@ -274,7 +282,7 @@ def fit(stats: DataFrame, labelled: DataFrame) -> Model:
             sums[1] += np.bincount(at, b.column("label").to_numpy(zero_copy_only=False), minlength=BINS)
         yield _vectors({(0, 0): sums[0], (0, 1): sums[1]})
 
-    h = _sum_by_row(labelled.select("stats", "label", "fold").mapInArrow(crossed, shape), 1)
+    h = _sum_by_row(labelled.select("stats", "label", "fold").mapInArrow(crossed, VECTORS))
     count, ones = h[0, 0], h[0, 1]
     full = count > 0
     y = isotonic(ones[full] / count[full], count[full])
@@ -319,8 +327,8 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     An id stays when any of its rows is accepted, so repeated ids stand or fall together.
     """
     scored = Scratch(docs.sparkSession, "quality-kept").keep("scored", score_quality(docs, labels, id_col, text_col))
-    ids = scored.groupBy(id_col).agg(F.max("predicted").alias("p")).where("p = 0").select(F.col(id_col).alias("__id"))
-    return docs.join(ids, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_anti")
+    gone = scored.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max("predicted").alias("p")).where("p = 0").select("id")
+    return without(docs, id_col, gone)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
