@@ -4,7 +4,7 @@ A host becomes its reversed labels, each with a dot behind it: ``a.example.net``
 ``net.example.a.``.  A rule for a host and all its subdomains is then one interval of keys,
 ``[net.example., net.example/)``, and the intervals of two rules are nested or apart.  Rules and
 URLs are dealt out by ranges of that key, sorted, and merged in one pass that keeps a stack of the
-rules whose interval is open.  A rule that is open at the lower end of a range is sent to that
+hosts whose interval is open, each with its paths, of which the longest that fits is looked up by length.  A rule that is open at the lower end of a range is sent to that
 range too, so neither side is ever held in memory or broadcast, and a host with a third of all
 rows is cut into several ranges by a checksum behind the key.
 
@@ -98,7 +98,7 @@ def url_verdicts(
     own = own.withColumn("key", host_key(F.col("host")))
     events = urls.mapInArrow(deal_urls, dealt).unionByName(own.mapInArrow(deal_rules, dealt))
     # Rules stand before the URLs of the same key, wide ones before those nested in them.
-    events = events.repartition(shuffle_width(spark), "part").sortWithinPartitions("part", "key", "rank", F.desc("upto"))
+    events = events.repartitionById(shuffle_width(spark), "part").sortWithinPartitions("part", "key", "rank", F.desc("upto"))
     return events.mapInArrow(
         lambda batches: _sweep(batches, default), f"id {kind}, host string, path string, rule string, verdict string"
     ).withColumnRenamed("id", id_col)
@@ -114,6 +114,25 @@ def _bounds(urls: DataFrame, ranges: int) -> list[tuple[str, int]]:
     return sorted({seen[len(seen) * i // ranges] for i in range(1, ranges)}) if seen else []
 
 
+class _Host:
+    """A host whose interval is open, and the rules for it."""
+
+    def __init__(self, upto: str, host: str):
+        self.upto, self.host, self.actions = upto, host, {}
+        self._lengths: list[int] | None = None
+
+    def add(self, path: str, action: str) -> None:
+        self._lengths = None
+        if self.actions.get(path) != "block":
+            self.actions[path] = action
+
+    def longest(self, path: str) -> str | None:
+        """The longest path of a rule that the path starts with."""
+        if self._lengths is None:
+            self._lengths = sorted({len(p) for p in self.actions}, reverse=True)
+        return next((path[:n] for n in self._lengths if n <= len(path) and path[:n] in self.actions), None)
+
+
 def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
     part, stack = None, []
     for b in batches:
@@ -123,15 +142,19 @@ def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.Recor
         for p, key, rank, upto, host, path, action in zip(*get.values()):
             if p != part:
                 part, stack = p, []
-            while stack and stack[-1][0] <= key:
+            while stack and stack[-1].upto <= key:
                 stack.pop()
             is_url.append(rank == 1)
             if rank == 0:
-                stack.append((upto, host, path, action))
+                if not stack or stack[-1].host != host:
+                    stack.append(_Host(upto, host))
+                stack[-1].add(path, action)
                 continue
-            best = max(
-                ((len(h) + len(q), len(h), a == "block", h + q, a) for _, h, q, a in stack if path.startswith(q)), default=None
-            )
+            best = None
+            for h in stack:
+                if (q := h.longest(path)) is not None:
+                    fit = len(h.host + q), len(h.host), h.actions[q] == "block", h.host + q, h.actions[q]
+                    best = fit if best is None else max(best, fit)
             rule.append(best and best[3])
             verdict.append(best[4] if best else default)
         urls = b.filter(pa.array(is_url, pa.bool_()))
