@@ -36,6 +36,8 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 
 MARKS = "^[ \\t]*(?:>[ \\t]*)+"
+#: Characters of a text that take part in the bounds of ranges.
+PREFIX = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -113,8 +115,9 @@ def format_chats(
     placed = rows.drop("text").join(links, F.col("conv").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left")
     placed = placed.select("conv", "turn", "role", "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), "own")
     # Sorted ranges, numbered within; a conversation's rows before a range are counted from the ranges.
-    order = ["conv", "root", "turn", "role", "own"]
-    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Bounds of ranges are sampled to the driver, so of a text only its beginning decides about the range.
+    order = ["conv", "root", "turn", "role"]
+    ranged = placed.repartitionByRange(*order, F.substring("own", 1, PREFIX)).sortWithinPartitions(*order, "own")
     ranged = ranged.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id())
     ranged = scratch.keep("ranged", ranged)
     per = ranged.groupBy("conv", "part").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
