@@ -442,19 +442,20 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
 
 
-def _with_columns(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
-    """``df`` with columns that ``make`` gives from each Arrow batch, a few MB at a time."""
+def _with_columns(df: DataFrame, source: str, columns: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` with columns that ``make`` gives from a column of each Arrow batch, a few MB at a time."""
     small_batches(df.sparkSession)
-    kept = [c for c in df.columns if c not in columns]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, t) for c, t in columns.items()])
+    names = df.columns
+    kept, at = [i for i, c in enumerate(names) if c not in columns], names.index(source)
+    plain = [f"c{i}" for i in range(len(names))]  # names with dots can't be handed to Python
+    schema = T.StructType([T.StructField(plain[i], df.schema[i].dataType) for i in kept] + [T.StructField(f"n{i}", t) for i, t in enumerate(columns.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sparing(batches):
-            names = b.schema.names
             for part in _parts(b):
-                yield pa.RecordBatch.from_arrays([part.column(names.index(c)) for c in kept] + make(part), kept + list(columns))
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + make(part.column(at)), schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*plain).mapInArrow(run, schema).toDF(*[names[i] for i in kept], *columns)
 
 
 def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -464,34 +465,32 @@ def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(lo, step)
 
 
-def _ids(b: pa.RecordBatch, text_col: str, vocabulary: Vocabulary) -> pa.ListArray:
-    ids, at = encode_batch(b.column(b.schema.names.index(text_col)), vocabulary)
+def _ids(texts: pa.Array, vocabulary: Vocabulary) -> pa.ListArray:
+    ids, at = encode_batch(texts, vocabulary)
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
 
 
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` and the ids of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    return _with_columns(docs, {ids_col: T.ArrayType(T.IntegerType())}, lambda b: [_ids(b, text_col, sent.value)])
+    return _with_columns(docs, text_col, {ids_col: T.ArrayType(T.IntegerType())}, lambda c: [_ids(c, sent.value)])
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``rows`` and the text of each list of ids."""
     sent = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    return _with_columns(
-        rows, {text_col: T.StringType()}, lambda b: [pa.array(decode_batch(b.column(b.schema.names.index(ids_col)), sent.value), pa.string())]
-    )
+    return _with_columns(rows, ids_col, {text_col: T.StringType()}, lambda c: [pa.array(decode_batch(c, sent.value), pa.string())])
 
 
 def encode_and_decode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
     """``docs`` with ids and the SHA-256 of the text they decode to, both ways in one step."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
-    def make(b: pa.RecordBatch) -> list[pa.Array]:
-        ids = _ids(b, text_col, sent.value)
+    def make(texts: pa.Array) -> list[pa.Array]:
+        ids = _ids(texts, sent.value)
         return [ids, pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decode_batch(ids, sent.value)], pa.string())]
 
-    return _with_columns(docs, {"ids": T.ArrayType(T.IntegerType()), "decoded_sha256": T.StringType()}, make)
+    return _with_columns(docs, text_col, {"ids": T.ArrayType(T.IntegerType()), "decoded_sha256": T.StringType()}, make)
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

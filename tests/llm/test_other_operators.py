@@ -1,5 +1,8 @@
 """Pages, URLs, vectors, components and the pipeline."""
 
+import collections
+import hashlib
+import math
 import random
 import re
 import time
@@ -7,7 +10,7 @@ import time
 import numpy as np
 import pytest
 
-from quarrylight.llm import embed_dedup, html_text, registry, url_rules
+from quarrylight.llm import embed_dedup, html_text, mixing, pieces, quality, registry, url_rules
 from quarrylight.llm.components import components
 from quarrylight.llm.scratch import Scratch
 
@@ -246,6 +249,119 @@ def test_queries_run(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def poisson_copies(seed, ident, rate):
+    """The inverse of the Poisson distribution at a hashed number, by plain summation."""
+    draws = max(1, math.ceil(rate / mixing.LARGEST_RATE))
+    r, n = rate / draws, 0
+    for i in range(1, draws + 1):
+        u = int(hashlib.md5(f"{seed}:{ident}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        p = c = math.exp(-r)
+        k = 0
+        while c <= u and k < r + 12 * math.sqrt(r) + 30:
+            k += 1
+            p *= r / k
+            c += p
+            n += 1
+    return n
+
+
+def pipeline_by_brute_force(spark, docs, labels):
+    """(row without ids, ids) of each row of the result."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    public = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    accepted = {r["doc_id"] for r in quality.score_quality(docs, labels).where("predicted = 1").collect()}
+    rows = [r.asDict() for r in docs.collect() if r["doc_id"] in accepted]
+    low = lambda r: -math.inf if r["doc_id"] is None else r["doc_id"]
+    by_text = {}
+    for r in sorted(rows, key=lambda r: (low(r), [str(v) for v in reversed(r.values())])):
+        by_text[r["text"] or ""] = r
+    rows = list(by_text.values())
+    sets = []
+    for r in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]) and rows[i]["doc_id"] is not None and rows[j]["doc_id"] is not None:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for g, r in zip(group, rows):
+        least[g] = min(least.get(g, low(r)), low(r))
+    rows = [r for g, r in zip(group, rows) if low(r) == least[g]]
+    n = collections.Counter(r["source"] for r in rows)
+    out = []
+    for r in rows:
+        ident = "null" if r["doc_id"] is None else r["doc_id"]
+        for _ in range(poisson_copies(42, ident, len(rows) / len(n) / n[r["source"]])):
+            out.append((tuple(v for k, v in r.items() if k != "ids"), tuple(public.encode(r["text"] or ""))))
+    return sorted(out, key=str)
+
+
+def pipeline_rows(frame):
+    return sorted(((tuple(v for k, v in r.asDict().items() if k != "ids"), tuple(r["ids"])) for r in frame.collect()), key=str)
+
+
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    expected = pipeline_by_brute_force(spark, docs, labels)
+    assert expected and pipeline_rows(corpus_pipeline.run(spark, SF)) == expected
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randint(0, 99)) for _ in range(n)]
+    base = words(60)
+    texts = [None, "", "", " \n", "one", "One", " ".join(base), " ".join(base), " ".join([*base[:-1], "x"]), " ".join(words(30_000)), "日本 é " + " ".join(words(9))]
+    texts += [" ".join(words(rng.randint(3, 50))) for _ in range(40)]
+    rows = [(i if i % 9 else None, t, ["a", "b", None][i % 3], "g", "c", i, "s", "t") for i, t in enumerate(texts)]
+    rows += [rows[7], rows[20], (20, "another text of id twenty", "a", "g", "c", 1, "s", "t")]
+    schema = "doc_id long, text string, source string, gone string, copy string, `__id` long, row string, ids string"
+    docs, labels = spark.createDataFrame(rows, schema), spark.createDataFrame([(i, 1 if i % 7 else None) for i in range(50)], "doc_id long, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == docs.columns
+    expected = pipeline_by_brute_force(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), labels)
+    assert expected and pipeline_rows(out) == expected
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quarrylight.llm.scratch import shared_folder
+
+    none = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+
+
+def test_url_rules_with_many_paths_of_one_host(spark):
+    rng = random.Random(2)
+    path = lambda: "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 7)))
+    rules = [("h.net", path(), rng.choice(["allow", "block"])) for _ in range(300)] + [("net", "/a", "block")]
+    urls = [f"http://{rng.choice(['', 'x.'])}h.net{path()}" for _ in range(500)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_rules.url_verdicts(frame, spark.createDataFrame(rules, "host string, path string, action string")).collect():
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == verdict(urls[r["page_id"]], rules)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -72,6 +72,70 @@ def test_exact_dedup_keeps_one_row_of_each_text(docs):
     assert sorted(texts) == sorted({r["text"] or "" for r in docs.collect()})
 
 
+def test_the_same_batch_again_gives_the_same_rows(spark, docs):
+    """As after a driver that was lost before its caller had written anything, or while it appended."""
+    scratch = Scratch(spark, "test")
+    index = exact_dedup.new_index(docs, scratch, "doc_id")
+    try:
+        exact_dedup.exact_dedup(docs.where("doc_id < 20"), index=index)
+        first = sorted(map(tuple, exact_dedup.exact_dedup(docs, index=index).fillna("").collect()), key=str)
+        size = index.rows().count()
+        assert sorted(map(tuple, exact_dedup.exact_dedup(docs.repartition(5), index=index).fillna("").collect()), key=str) == first
+        exact_dedup.exact_dedup(docs.where("doc_id > 20"), index=index)
+        assert sorted(map(tuple, exact_dedup.exact_dedup(docs, index=index).fillna("").collect()), key=str) == first
+        assert index.rows().count() == size
+        assert len({r["text_sha256"] for r in exact_dedup.exact_dedup(docs, index=index).where("kept").collect()}) > 20
+    finally:
+        index.drop()
+
+
+def test_no_table_stays_in_the_catalog(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.exact_dedup(docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+CLASHING = "id long, doc_id long, text string, source string, `__n` long, `__source` string, `__digest` string, `__id` long, gone long, mid long, row long, copy string, n long, digest string, `a.b` string, again string, place string, ident string, ids string"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    texts = [base, base, base + " x", "one", None, "", "two words", "two words"]
+    rows = [(9 - i, i % 7, t, ["s", "r", None][i % 3], 7, "q", "d", 5, 6, 7, 8, "c", 1, "e", "f", str(i), "h", "i", "j") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[6], rows[6]], CLASHING)
+
+
+def test_columns_pass_whatever_their_names(spark, clashing):
+    labels = spark.createDataFrame([(0, 1), (1, 1), (3, 0)], "doc_id long, quality int")
+    kept = [
+        exact_dedup.keep_one_of_each(clashing), near_dedup.keep_one_of_each(clashing), quality.drop_rejected(clashing, labels),
+        mixing.mix_sources(clashing, copy_col=None), mixing.mix_sources(clashing).drop("copy"), pieces.encode(clashing).drop("ids"),
+        pieces.decode(pieces.encode(clashing, ids_col="new"), ids_col="new").drop("new"),
+    ]
+    before = {tuple(r.asDict().items()) for r in clashing.collect()}
+    for out in kept:
+        missing = set(clashing.columns) - set(out.columns)
+        assert missing <= {"copy", "ids", "text"}
+        rows = [tuple((k, v) for k, v in r.asDict().items() if k != "text") for r in out.collect()]
+        assert rows
+        for r in rows:
+            assert any(set(r) <= set(b) for b in before)
+    for out in (
+        exact_dedup.exact_dedup(clashing), near_dedup.near_duplicates(clashing), repeats.remove_repeats(clashing), quality.score_quality(clashing, labels),
+    ):
+        assert out.select("doc_id").count() > 0
+    texts = [r["text"] or "" for r in exact_dedup.keep_one_of_each(clashing).collect()]
+    assert sorted(texts) == sorted({r["text"] or "" for r in clashing.collect()})
+
+
+def test_of_repeated_rows_the_same_one_stays(spark):
+    rows = [(1, "t", f"v{i}") for i in range(50)] + [(1, "t", None), (2, "u", "w")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    kept = [sorted(map(tuple, exact_dedup.keep_one_of_each(frame.repartition(n, "other")).collect())) for n in (1, 5, 9)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
 def test_digest_index_knows_earlier_batches(spark, docs):
     scratch = Scratch(spark, "test")
     index = exact_dedup.new_index(docs, scratch, "doc_id")
@@ -292,6 +356,57 @@ def test_quality(spark):
     assert kept.columns == docs.columns
 
 
+def test_quality_equals_a_direct_fit(spark):
+    """Sums over partitions, in several lots, against the normal equations and the isotonic fit of all rows at once."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(400):
+        good = rng.random() < 0.5
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(5, 60))]
+        rows.append((i, " ".join(words) if good or rng.random() < 0.2 else " ".join(words[:3] * 9).upper() + "!!"))
+        labels += [(i, int(good))] * (1 + (i % 50 == 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    scores = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    stats = {r["id"]: np.array(r["stats"], np.float64) for r in quality.extract(docs, "doc_id", "text").collect()}
+    x = np.array([stats[i] for i in range(400)])
+    centre = x.mean(0)
+    scale = np.sqrt(np.maximum((x * x).mean(0) - centre**2, 0)) + 1e-3
+    crc = lambda t: zlib.crc32(t.encode())
+    learn = [(i, y) for i, y in labels if crc(str(i)) % 5]
+    own, y = np.array([i for i, _ in learn]), np.array([y for _, y in learn], float)
+    fold = np.array([crc(f"fold:{i}") % quality.FOLDS for i in own])
+    z = quality.fourier((x - centre) / scale)
+
+    def solve(rows, penalty):
+        a = z[own[rows]]
+        ridge = np.eye(a.shape[1]) * penalty * max(len(a), 1)
+        ridge[-1, -1] = 1e-9
+        return np.linalg.solve(a.T @ a + ridge, a.T @ y[rows])
+
+    def out_of_fold(penalty):
+        return [solve(fold != f, penalty) for f in range(quality.FOLDS)]
+
+    best = min(quality.PENALTIES, key=lambda p: sum(((z[own[fold == f]] @ b - y[fold == f]) ** 2).sum() for f, b in enumerate(out_of_fold(p))))
+    crossed = np.array([z[i] @ out_of_fold(best)[f] for i, f in zip(own, fold)])
+    at = np.clip(((crossed + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = np.unique(at)
+    weight = np.array([(at == b).sum() for b in bins])
+    mean = np.array([y[at == b].mean() for b in bins])
+    fitted = [max(min(np.average(mean[lo:hi], weights=weight[lo:hi]) for hi in range(k + 1, len(bins) + 1)) for lo in range(k + 1)) for k in range(len(bins))]
+    raw = z @ solve(np.ones(len(own), bool), best)
+    tie = 1 / (1 + np.exp(-np.clip(8 * (raw - 0.5), -50, 50)))
+    expected = np.clip(0.999 * np.interp(raw, (bins + 0.5) / quality.BINS * 2 - 0.5, fitted) + 0.001 * tie, 0, 1)
+    assert np.abs(expected - [scores[i] for i in range(400)]).max() < 1e-5
+
+
+def test_quality_takes_the_cut_itself_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 1_000_000), (3, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, quality int")
+    out = quality.score_quality(docs, labels, cut=1.0).collect()
+    assert [r["predicted"] for r in out if r["score"] == 1.0] == [1] * sum(r["score"] == 1.0 for r in out)
+    assert {r["doc_id"] for r in out} == {1, 2, 3}
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -315,6 +430,16 @@ def test_mixing(spark, docs):
     assert out.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
 
 
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_mixing_sorts_and_merges_many_sources(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+    frame = spark.createDataFrame([(i, "x", f"s{i % 9}" if i % 10 else None) for i in range(400)], "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("s1", 1.0), ("s1", 1.0), ("s2", 1.0), (None, 1.0), ("s3", None), ("s4", -1.0)], "source string, weight double")
+    n = {r["source"]: r["count"] for r in mixing.mix_sources(frame, weights, total=8000).groupBy("source").count().collect()}
+    assert set(n) == {"s1", "s2", None}
+    assert 3700 < n["s1"] < 4300 and 1800 < n["s2"] < 2200 and 1800 < n[None] < 2200
+
+
 def test_mixing_draws_large_rates_in_parts(spark):
     docs = spark.createDataFrame([(i, "x", "a") for i in range(40)], "doc_id long, text string, source string")
     n = mixing.mix_sources(docs, total=8000).groupBy("doc_id").count().toPandas()["count"]
@@ -337,6 +462,38 @@ def test_chats(spark):
     assert len(out) == len(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chats_equal_the_sql_on_quotes(spark, seed):
+    """Several levels, ties, null turns and conversations, repeated rows, long texts, clashing names."""
+    duckdb = pytest.importorskip("duckdb")
+    pd = pytest.importorskip("pandas")
+    rng = random.Random(seed)
+    said = ["Hello there", "How are  you?", "fine, thanks.", "a\nb", "b", "same words", "long " * 20_000, ""]
+    rows = []
+    for conv in [None, 1, 2, 3, 4, 5]:
+        messages: list[str] = []
+        for turn in range(rng.randint(1, 9)):
+            text = "\n".join(rng.choice(said) for _ in range(rng.randint(0, 3)))
+            if messages and rng.random() < 0.7:
+                quoted = rng.choice(messages)
+                mark = rng.choice(["> ", ">", " > "])
+                text = "\n".join(mark + line.upper() if rng.random() < 0.2 else mark + line for line in quoted.split("\n")) + "\n" + text
+                if rng.random() < 0.3:
+                    text += "\n> " + rng.choice(said).split("\n")[0]
+            messages.append(text)
+            rows.append((conv, None if rng.random() < 0.1 else turn, rng.choice(["user", " Assistant ", "", None]), text if rng.random() < 0.95 else None))
+    rows += rng.sample(rows, 3) + [(1, 1, "user", "> same words"), (1, 1, "user", "zz")]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, conv string, root string")
+    con = duckdb.connect()
+    con.register("rows", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.execute("CREATE TABLE conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role::VARCHAR AS role, text::VARCHAR AS text FROM rows")
+    expected = con.execute(chat_threads.OP4_SQL).fetchall()
+    names = [d[0] for d in con.description]
+    out = chat_threads.format_chats(frame).select(*names).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(expected, key=str)
+    assert any(r["reply_to"] is not None for r in out)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int")
