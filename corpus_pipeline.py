@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages, each applied to all that the stage before it kept."""
+"""The corpus pipeline: five stages, each applied to all that the stage before it kept.
+
+Defined results: null texts count as empty and are judged like any other; of rows that repeat id and
+text one stays; rows of one id are accepted by the classifier if any of them is; a null id is an id in
+exact dedup and linked with nothing in near-dedup; a null source is a source like any other.  All
+columns of the documents pass, whatever their names, but for one named ``ids``, which the last stage
+replaces.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are replicated to equal weights, as many rows as there were; a document may come several times."""
-    return mixing.mix_sources(docs).drop("copy")
+    return mixing.mix_sources(docs, copy_col=None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
