@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,38 @@ def stems(words: DataFrame) -> DataFrame:
 
 
 COLUMNS = ("symbol", "path", "body")
+_LISTS = ("_symbol", "_path", "_body")
+
+
+def _terms(words: pa.Array, stem: bool) -> pa.DictionaryArray:
+    """The words by number, folded and stemmed if asked for, each distinct word of a batch once."""
+    words = words.dictionary_encode()
+    if stem:
+        stems = pa.array([porter.porter(porter.fold(w)) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        words = pa.DictionaryArray.from_arrays(stems.indices.take(words.indices), stems.dictionary)
+    return words
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _token_lists(chunks: DataFrame) -> DataFrame:
+    return chunks.select("repo", "path", F.col("start_line").cast("bigint"), *[text.index_tokens(F.col(c)).alias(n) for c, n in zip(COLUMNS, _LISTS)])
+
+
+def _stemmed(own: DataFrame) -> DataFrame:
+    """The same rows with the tokens of each column folded and stemmed; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = dict(zip(b.schema.names, b.columns))
+            for name in _LISTS:
+                at = np.concatenate([[0], np.cumsum(_lengths(columns[name]))])
+                columns[name] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), _terms(columns[name].flatten(), True).dictionary_decode())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), b.schema.names)
+
+    return own.mapInArrow(run, own.schema)
 
 
 def tokens(chunks: DataFrame, stem: bool = False) -> DataFrame:
@@ -32,15 +67,12 @@ def tokens(chunks: DataFrame, stem: bool = False) -> DataFrame:
 
     ``dl`` is the chunk's number of tokens in all columns; it is counted in the row, so lengths need no join.
     """
-    own = chunks.select(*CHUNK, *[text.index_tokens(F.col(c)).alias(f"_{c}") for c in COLUMNS])
-    columns = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"_{c}").alias("tokens")) for c in COLUMNS])
+    own = _token_lists(chunks)
+    own = _stemmed(own) if stem else own
+    columns = F.array(*[F.struct(F.lit(c).alias("col"), F.col(n).alias("tokens")) for c, n in zip(COLUMNS, _LISTS)])
     dl = (F.size("_symbol") + F.size("_path") + F.size("_body")).cast("bigint")
     rows = own.select(*CHUNK, dl.alias("dl"), F.explode(columns).alias("c"))
-    rows = rows.select(*CHUNK, "dl", "c.col", F.posexplode("c.tokens").alias("pos", "term"))
-    if not stem:
-        return rows
-    table = stems(rows.select(F.col("term").alias("word")))
-    return rows.withColumnRenamed("term", "word").join(table, "word").select(*CHUNK, "dl", "col", "pos", "term")
+    return rows.select(*CHUNK, "dl", "c.col", F.posexplode("c.tokens").alias("pos", "term"))
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -52,6 +84,50 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term", *CHUNK).agg(F.sum(weight).alias("tf"), F.count(F.lit(1)).alias("n"), F.first("dl").alias("dl"))
 
 
+POSTINGS = "term string, repo string, path string, start_line bigint, tf double, n bigint, dl bigint, places array<int>"
+
+
+def postings_of(chunks: DataFrame, stem: bool = False) -> DataFrame:
+    """The same straight from chunks, and ``places``, positions times four plus the number of the column.
+
+    A chunk's tokens are summed up in its row, so nothing is shuffled.
+    """
+    weight = np.array([C.WEIGHTS[c] for c in COLUMNS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [b.column(b.schema.names.index(n)) for n in _LISTS]
+            sizes = [_lengths(x) for x in lists]
+            words = _terms(pa.concat_arrays([x.flatten() for x in lists]), stem)
+            row = np.concatenate([np.repeat(np.arange(len(s)), s) for s in sizes])
+            column = np.repeat(np.arange(len(sizes)), [int(s.sum()) for s in sizes])
+            pos = np.concatenate([np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
+            code = words.indices.to_numpy(zero_copy_only=False)
+            key = row * max(1, len(words.dictionary)) + code
+            order = np.argsort(key, kind="stable")
+            key, row, code, column = key[order], row[order], code[order], column[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            places = pa.ListArray.from_arrays(pa.array([*first, len(key)], pa.int32()), pa.array((4 * pos[order] + column).astype(np.int32)))
+            own = row[first]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    words.dictionary.take(pa.array(code[first])), *(b.column(b.schema.names.index(c)).take(pa.array(own)) for c in CHUNK),
+                    pa.array(np.add.reduceat(weight[column], first) if len(first) else np.zeros(0)), pa.array(np.diff(np.append(first, len(key)))),
+                    pa.array(sum(sizes)[own]), places,
+                ],
+                ["term", *CHUNK, "tf", "n", "dl", "places"],
+            )
+
+    return _token_lists(chunks).mapInArrow(run, POSTINGS)
+
+
+def token_rows(rows: DataFrame) -> DataFrame:
+    """Tokens (repo, path, start_line, dl, col, pos, term) of postings with places."""
+    place = rows.select("term", *CHUNK, "dl", F.explode("places").alias("x"))
+    column = F.element_at(F.array(*map(F.lit, COLUMNS)), (F.col("x") % 4 + 1).cast("int"))
+    return place.select(*CHUNK, "dl", column.alias("col"), F.expr("x div 4").cast("int").alias("pos"), "term")
+
+
 def statistics(chunks: DataFrame) -> DataFrame:
     """One row: n_docs, n_tokens, over the whole index and never over a filtered part.
 
@@ -63,18 +139,32 @@ def statistics(chunks: DataFrame) -> DataFrame:
 
 
 def write(chunks: DataFrame, folder: str, stem: bool = True) -> None:
-    """Stores postings, tokens with their positions (for phrases) and statistics.
+    """Stores postings with their places (for phrases) and statistics; texts are tokenised once."""
+    write_postings(postings_of(chunks, stem), chunks.count(), folder)
+
+
+def write_postings(rows: DataFrame, n_docs: int, folder: str) -> None:
+    """Stores postings of ``n_docs`` chunks and the statistics that follow from them.
 
-    Postings and tokens are sorted by term, so that a query reads the row groups of its terms.
+    They are sorted by term, so that a query reads the row groups of its terms, and dealt out by
+    ranges of term and place, so that a term with a large part of all postings is cut into several.
     """
-    rows = tokens(chunks, stem)
-    for name, table in (("postings", postings(rows)), ("tokens", rows)):
-        table.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/{name}")
-    statistics(chunks).coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics")
+    spark = rows.sparkSession
+    staged = f"{folder}/_staged-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)  # bounds of ranges are sampled from what is stored
+    order = ["term", "repo", "path"]
+    stored = spark.read.schema(POSTINGS).parquet(staged).repartitionByRange(*order).sortWithinPartitions(*order)
+    stored.write.mode("overwrite").parquet(f"{folder}/postings")
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    total = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
+    total.select(F.lit(n_docs).cast("bigint").alias("n_docs"), "n_tokens").coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics")
 
 
 def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "tokens", "statistics"))
+    """Postings, tokens (a view of them) and statistics."""
+    rows = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+    return rows, token_rows(rows), spark.read.parquet(f"{folder}/statistics")
 
 
 # ---- maintenance ----

@@ -140,7 +140,7 @@ class Engine:
         if tokens is None:
             tokens = self.tokens if self.tokens is not None else index.tokens(self.chunks, self.stem)
         stored = self.postings is not None
-        rows = self.postings.where(F.col("term").isin(single)) if stored else index.postings(tokens.where(F.col("term").isin(single)))
+        rows = self.postings.where(F.col("term").isin(single)).drop("places") if stored else index.postings(tokens.where(F.col("term").isin(single)))
         asked = [(0, s) for s in single]
         for p in (p for p in phrases if len(p) > 1):
             run = tokens.where(F.col("term") == p[0]).select(*index.CHUNK, "dl", "col", "pos", F.lit(" ".join(p)).alias("term"))
