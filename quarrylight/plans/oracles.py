@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from ..functions import constants as C
 from ..functions import paths
+from ..functions import text as terms_of
 from ..functions.text import abbreviations
+from . import made_sources as made
 from . import samples
-from .queries import EXACT, REGEX, SYMBOL, TILE
+from .queries import AUTO, EXACT, REGEX, SYMBOL, TILE
 
 
 def q(x: object) -> str:
@@ -151,17 +153,23 @@ FLAGS = " | ".join(
 SYMBOLS = rf"""symbols AS (
   SELECT * FROM (SELECT repo, path, regexp_extract(text, '(?:^|[^\p{{L}}\p{{Nd}}_])(\p{{Lu}}[\p{{L}}\p{{Nd}}_]*)', 1) AS name, line FROM lines) WHERE name <> ''
 )"""
-LISTED = f"""{BASE}, {SYMBOLS},
+
+
+def listed(symbol: str) -> str:
+    return f"""{BASE}, {SYMBOLS},
 listed AS (
   SELECT *, row_number() OVER (ORDER BY match, (flags & 7 <> 0)::INT, octet_length(encode(name)), repo, path, line, name) AS list_place
   FROM (
-    SELECT s.*, f.flags, CASE WHEN name = {q(SYMBOL)} THEN 0 WHEN lower(name) = {q(SYMBOL.lower())} THEN 1
-      WHEN starts_with(lower(name), {q(SYMBOL.lower())}) THEN 2 WHEN contains(lower(name), {q(SYMBOL.lower())}) THEN 3 END AS match
+    SELECT s.*, f.flags, CASE WHEN name = {q(symbol)} THEN 0 WHEN lower(name) = {q(symbol.lower())} THEN 1
+      WHEN starts_with(lower(name), {q(symbol.lower())}) THEN 2 WHEN contains(lower(name), {q(symbol.lower())}) THEN 3 END AS match
     FROM symbols s JOIN files f USING (repo, path)
   ) WHERE match IS NOT NULL
   ORDER BY list_place LIMIT {C.SYMBOL_LIST}
 )"""
-SYMBOL_HITS = f"""{LISTED},
+
+
+def symbol_hits(symbol: str) -> str:
+    return f"""{listed(symbol)},
 hits AS (
   SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, repo, path, line, list_place) AS place FROM (
     SELECT *, [1.0, 0.9, 0.6, 0.3][match + 1]::DOUBLE * {PENALTY} AS score FROM listed
@@ -170,6 +178,9 @@ hits AS (
 )"""
 
 
+LISTED, SYMBOL_HITS = listed(SYMBOL), symbol_hits(SYMBOL)
+
+
 def matching(condition: str, most: str = f"LIMIT {C.MATCHES}", capped: bool = True) -> str:
     return f"""matches AS (
   SELECT repo, path, line, text FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS r FROM lines
@@ -179,13 +190,19 @@ def matching(condition: str, most: str = f"LIMIT {C.MATCHES}", capped: bool = Tr
 
 
 EXACT_MATCH = f"contains(lower(text), {q(EXACT.lower())})"
-GROUPS = f"""{BASE}, {matching(EXACT_MATCH)},
+
+
+def grouped(condition: str) -> str:
+    return f"""{BASE}, {matching(condition)},
 groups AS (
   SELECT m.repo, m.path, coalesce(c.start_line, greatest(1, m.line - 5)) AS start_line, arg_min(coalesce(c.end_line, m.line + 5), m.line) AS end_line,
          arg_min(coalesce(c.symbol, ''), m.line) AS symbol, arg_min(coalesce(c.kind, 'match'), m.line) AS kind, count(*) AS n, list_sort(list(m.line)) AS match_lines
   FROM matches m LEFT JOIN chunks c ON c.repo = m.repo AND c.path = m.path AND m.line BETWEEN c.start_line AND c.end_line
   GROUP BY 1, 2, 3
 )"""
+
+
+GROUPS = grouped(EXACT_MATCH)
 REPOS = """repos AS (
   SELECT name, 'https://example.com/corpus/' || name AS url, 'main' AS ref, coalesce(n % 5 = 0, false) AS pinned, sha1(name) AS sha,
          list_sort(list_filter([CASE WHEN n % 2 = 0 THEN 'even' END, CASE WHEN n % 3 = 0 THEN 'third' END, CASE WHEN n % 7 = 0 THEN 'seventh' END],
@@ -292,6 +309,139 @@ f AS (
 SELECT item_id, q, list_filter(found, lambda x, i: list_position(found, x) = i AND octet_length(encode(x)) >= 2 AND NOT list_contains({stop}, x)) AS terms FROM f"""
 
 
+
+# ---- searches whose mode follows from the query ----
+
+NO_HITS = "repo, path, start_line, end_line, symbol, kind, score, place"
+
+
+def concept_of(asked: str) -> str:
+    """The hits of one query in concept mode."""
+    one = f"asked AS (SELECT 0 AS query, {q(asked)} AS q, {strings(terms_of.query_terms(asked))} AS terms)"
+    return f"""{CAPPED.replace(ASKED, one)} SELECT p.repo, p.path, p.start_line, end_line, p.symbol, p.kind, round(score, 9) AS score, place
+FROM (SELECT *, '' AS symbol, 'block' AS kind FROM placed) p JOIN chunks USING (repo, path, start_line) WHERE place <= {C.CONCEPT_LIMIT}"""
+
+
+def symbol_of(asked: str) -> str:
+    return f"""{symbol_hits(asked)} SELECT h.repo, h.path, coalesce(c.start_line, h.line) AS start_line, coalesce(c.end_line, h.line) AS end_line, h.name AS symbol, 'line' AS kind,
+  round(score, 9) AS score, place FROM hits h LEFT JOIN chunks c ON c.repo = h.repo AND c.path = h.path AND h.line BETWEEN c.start_line AND c.end_line"""
+
+
+def lines_of(condition: str, named: str = "1.0") -> str:
+    """The hits of a search for lines; ``named`` is the factor for the file's name, with the path ``g.path``."""
+    return f"""{grouped(condition)}, s AS (SELECT g.*, (1 + ln(1 + n::DOUBLE)) * {named} * {PENALTY} AS score FROM groups g JOIN files f USING (repo, path))
+SELECT repo, path, start_line, end_line, symbol, kind, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, repo, path, start_line) AS place
+FROM s QUALIFY place <= {C.GREP_LIMIT}"""
+
+
+def exact_of(asked: str) -> str:
+    in_name = f"contains(lower({BASENAME.replace('path', 'g.path')}), {q(asked)})"
+    return lines_of(f"contains(lower(text), {q(asked)})", f"CASE WHEN {in_name} THEN 1.3 ELSE 1.0 END")
+
+
+def auto_search() -> str:
+    concept, symbol, quoted, pattern = AUTO
+    bare = quoted.strip('"')
+    parts = [
+        f"SELECT {q(concept)} AS asked, 'concept' AS mode, * FROM ({concept_of(concept)})",
+        f"SELECT {q(symbol)}, 'symbol', * FROM ({symbol_of(symbol)})",
+        f"SELECT {q(symbol)}, 'symbol->exact', * FROM ({exact_of(symbol)}) WHERE NOT EXISTS (FROM ({symbol_of(symbol)}))",
+        f"SELECT {q(quoted)}, 'exact', * FROM ({exact_of(bare)})",
+        f"SELECT {q(pattern)}, 'regex', * FROM ({lines_of(f'regexp_matches(text, {q(pattern)}, {q("i")})')})",
+    ]
+    return " UNION ALL ".join(parts)
+
+
+# ---- definitions of sources made from documents ----
+
+
+def by_language(values_of: dict[str, str]) -> str:
+    return "CASE lang " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in values_of.items()) + " END"
+
+
+def chunk_defs() -> str:
+    ends = {k: "1" if p[3] else "0" for k, p in made.PARTS.items()}
+    comments = {k: "k % 3" if p[0] else "0" for k, p in made.PARTS.items()}
+    is_class, is_long = f"(lang = 'python' AND k % 5 = {made.CLASS_AT})", f"(lang = 'python' AND k % 50 = {made.LONG_AT})"
+    return f"""WITH docs AS (
+  SELECT source AS repo, {strings(made.LANGUAGES)}[doc_id % {len(made.LANGUAGES)} + 1] AS lang, doc_id, len({line_list('text')}) AS n FROM documents
+),
+pieces AS (
+  SELECT repo, lang || '/doc_' || doc_id AS path, lang, k, {by_language(comments)} AS c, {by_language(ends)} AS e, k % 2 AS blank,
+         CASE WHEN {is_long} THEN {made.LONG_BODY} ELSE 1 + (7 * k + doc_id) % 4 END + CASE WHEN {is_class} AND NOT {is_long} THEN 2 ELSE 0 END AS body
+  FROM (SELECT *, unnest(range(0, n)) AS k FROM docs)
+),
+placed AS (SELECT *, coalesce(sum(c + 1 + body + e + blank) OVER (PARTITION BY repo, path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM pieces),
+defs AS (
+  SELECT repo, path, lang, k, c, base + c + 1 AS s, base + c + 1 + CASE lang WHEN 'markdown' THEN body + blank WHEN 'sql' THEN 0 ELSE body + e END AS f, 'f' || k AS name,
+         CASE WHEN {is_class} THEN 'class' WHEN lang = 'markdown' THEN 'section' WHEN lang = 'sql' THEN 'type' ELSE 'func' END AS kind
+  FROM placed
+),
+symbols AS (
+  SELECT repo, path, s, f, name, kind FROM defs
+  UNION ALL SELECT repo, path, base + c + body, base + c + body + 1, 'm' || k, 'method' FROM placed WHERE {is_class} AND NOT {is_long}
+),
+whole AS (SELECT *, s - c AS top, row_number() OVER (PARTITION BY repo, path ORDER BY s) AS r FROM defs WHERE f - s + 1 >= {C.MIN_DEF} AND lang <> 'sql'),
+heads AS (SELECT repo, path, top AS s, CASE WHEN f - top + 1 <= {C.MAX_CHUNK} THEN f ELSE top + {C.COMMENT_LINES} END AS f, name, kind FROM whole),
+totals AS (SELECT repo, path, max(base + c + 1 + body + e + blank) AS total FROM placed GROUP BY repo, path),
+gaps AS (
+  SELECT repo, path, coalesce(lag(f) OVER (PARTITION BY repo, path ORDER BY s), 0) + 1 AS lo, top - 1 AS hi, '' AS owner FROM whole
+  UNION ALL SELECT t.repo, t.path, coalesce(max(f), 0) + 1, any_value(total), '' FROM totals t LEFT JOIN whole w ON w.repo = t.repo AND w.path = t.path GROUP BY t.repo, t.path
+  UNION ALL SELECT repo, path, top + {C.COMMENT_LINES} + 1, f, name FROM whole WHERE f - top + 1 > {C.MAX_CHUNK}
+),
+tiles AS (SELECT repo, path, owner, hi, unnest(range(lo, hi + 1, {C.WINDOW})) AS s FROM gaps WHERE lo <= hi),
+cut AS (SELECT repo, path, owner, s, least(s + {C.WINDOW - 1}, hi) AS f FROM tiles),
+solid AS (SELECT repo, path, unnest(range(base + 1, base + c + 1 + body + e + 1)) AS line FROM placed),
+blocks AS (SELECT t.repo, t.path, t.s, t.f, owner FROM cut t JOIN solid l ON l.repo = t.repo AND l.path = t.path AND line BETWEEN t.s AND t.f GROUP BY ALL HAVING count(*) >= 2)
+SELECT repo, path, 'symbol' AS what, s::INT AS start_line, f::INT AS end_line, name, kind FROM symbols
+UNION ALL SELECT repo, path, 'chunk', s::INT, f::INT, name, kind FROM heads
+UNION ALL SELECT repo, path, 'chunk', s::INT, f::INT, owner, 'block' FROM blocks"""
+
+
+# ---- the Porter stemmer, step by step ----
+
+
+def porter_sql() -> str:
+    """Words of letters a to z after folding, and some others: consonants and vowels as patterns, a step to a table."""
+    from ..functions import porter as rules
+
+    cons, vows = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    m0, m2 = f"^({cons})?{vows}{cons}", f"^({cons})?{vows}{cons}{vows}{cons}"
+    m1, vowel, cvc = f"^({cons})?{vows}{cons}({vows})?$", f"^({cons})?[aeiouy]", f"^{cons}[aeiouy][^aeiouwxy]$"
+    has = lambda pattern, x: f"regexp_matches({x}, {q(pattern)})"
+    less = lambda x, n: f"left({x}, length({x}) - {n})"
+
+    def longest(x: str, endings: dict[str, str], measure: str) -> str:
+        """The longest ending that fits is replaced where what it leaves has the measure."""
+        cases = "".join(
+            f" WHEN ends_with({x}, {q(e)}) THEN CASE WHEN {has(measure, f'{less(x, len(e))} || {q(keep)}')} THEN {less(x, len(e))} || {q(keep + new)} ELSE {x} END"
+            for e, (keep, new) in sorted(endings.items(), key=lambda kv: -len(kv[0]))
+        )
+        return f"CASE{cases} ELSE {x} END"
+
+    step2, step3 = ({e: ("", new) for e, new in t.items()} for t in (rules._STEP2, rules._STEP3))
+    step4 = {e: ({"sion": "s", "tion": "t"}.get(e, ""), "") for e in rules._STEP4}
+    after = f"""CASE WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'
+  WHEN length(w) > 1 AND right(w, 1) = substr(w, -2, 1) AND NOT regexp_matches(w, '[aeioulsz]$') THEN {less('w', 1)}
+  WHEN {has(m1, 'w')} AND {has(cvc, 'w')} THEN w || 'e' ELSE w END"""
+    return f"""WITH {FILES}, found AS (SELECT DISTINCT unnest({tokens('text')}) AS word FROM files),
+folded AS (SELECT word, lower(strip_accents(lower(word))) AS z FROM found),
+-- a letter of two bytes is two consonants
+p0 AS (SELECT word, z, replace(replace(regexp_replace(z, '^y', 'Y'), 'ß', '#%'), 'ø', '#&') AS w FROM folded),
+p1 AS (SELECT * REPLACE (CASE WHEN (ends_with(w, 'sses') AND length(w) > 4) OR (ends_with(w, 'ies') AND length(w) > 3) THEN {less('w', 2)}
+  WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {less('w', 1)} ELSE w END AS w) FROM p0),
+p2 AS (SELECT *, CASE WHEN ends_with(w, 'eed') THEN '' WHEN ends_with(w, 'ed') AND {has(vowel, less('w', 2))} THEN 'ed' WHEN ends_with(w, 'ing') AND {has(vowel, less('w', 3))} THEN 'ing' ELSE '' END AS cut FROM p1),
+p3 AS (SELECT word, z, cut, CASE WHEN ends_with(w, 'eed') AND {has(m0, less('w', 3))} THEN {less('w', 1)} ELSE left(w, length(w) - length(cut)) END AS w FROM p2),
+p4 AS (SELECT word, z, CASE WHEN cut <> '' THEN {after} ELSE w END AS w FROM p3),
+p5 AS (SELECT * REPLACE (CASE WHEN ends_with(w, 'y') AND {has(vowel, less('w', 1))} THEN {less('w', 1)} || 'i' ELSE w END AS w) FROM p4),
+p6 AS (SELECT * REPLACE ({longest('w', step2, m0)} AS w) FROM p5),
+p7 AS (SELECT * REPLACE ({longest('w', step3, m0)} AS w) FROM p6),
+p8 AS (SELECT * REPLACE ({longest('w', step4, m2)} AS w) FROM p7),
+p9 AS (SELECT * REPLACE (CASE WHEN ends_with(w, 'e') AND ({has(m2, less('w', 1))} OR ({has(m1, less('w', 1))} AND NOT {has(cvc, less('w', 1))})) THEN {less('w', 1)} ELSE w END AS w) FROM p8),
+p10 AS (SELECT * REPLACE (CASE WHEN ends_with(w, 'll') AND {has(m2, less('w', 1))} THEN {less('w', 1)} ELSE w END AS w) FROM p9)
+SELECT word, CASE WHEN octet_length(encode(z)) BETWEEN 3 AND 64 THEN replace(replace(replace(w, 'Y', 'y'), '#%', 'ß'), '#&', 'ø') ELSE z END AS term FROM p10"""
+
+
 ORACLES: dict[str, str] = {
     "query_terms": query_terms(),
     "lines_scan": f"{BASE} SELECT * FROM lines",
@@ -324,7 +474,13 @@ SELECT path, flags, list_filter([CASE WHEN flags & 1 <> 0 THEN 'test' END, CASE
     "chunk_windows": f"{BASE} SELECT * EXCLUDE (body) FROM chunks",
     "symbol_enclosing": f"""{BASE}, {SYMBOLS} SELECT s.repo, s.path, name, line, coalesce(start_line, line) AS start_line, coalesce(end_line, line) AS end_line
 FROM symbols s LEFT JOIN chunks c ON c.repo = s.repo AND c.path = s.path AND line BETWEEN start_line AND end_line""",
-    "file_chunks": f"{BASE} SELECT * EXCLUDE (body) FROM chunks WHERE repo = 'src0' AND path LIKE '%/doc_0.txt' ORDER BY start_line",
+    "file_chunks": f"""{BASE}, longest AS (SELECT repo, path FROM files QUALIFY row_number() OVER (PARTITION BY repo ORDER BY size DESC, path DESC) = 1)
+SELECT * EXCLUDE (body) FROM chunks SEMI JOIN longest USING (repo, path)""",
+    "chunk_defs": chunk_defs(),
+    "chunk_samples": f"""SELECT 'inline' AS repo, path, what, first::INT AS start_line, last::INT AS end_line, replace(name, '-', '') AS name, kind
+FROM (VALUES {values([tuple(x.split()) for x in samples.DEFINITIONS.split(chr(10)) if x])}) AS v(path, what, first, last, name, kind)""",
+    "tok_porter": porter_sql(),
+    "auto_search": auto_search(),
     "fts_stats": f"{BASE}, {DOCS} SELECT n_docs, n_tokens, round(n_tokens::DOUBLE / n_docs, 9) AS avgdl FROM stats",
     "index_build": f"{BASE}, {DOCS} SELECT term, count(DISTINCT (repo, path, start_line)) AS n_chunks, sum(w)::DOUBLE AS weighted, count(*) AS n_tokens FROM occ GROUP BY term",
     "concept_bm25": f"{CONCEPT} SELECT query, repo, path, start_line, round(bm25, 9) AS bm25, rank FROM ranked WHERE rank <= 10",
@@ -334,13 +490,14 @@ SELECT * FROM (SELECT query, repo, path, start_line, round(score, 9) AS score, r
 WHERE place <= 10""",
     "cap_per_file": f"{CAPPED} SELECT query, repo, path, start_line, round(score, 9) AS score FROM capped",
     "concept_search": f"{CAPPED} SELECT query, repo, path, start_line, round(score, 9) AS score, place FROM placed WHERE place <= {C.CONCEPT_LIMIT}",
-    "excerpt_densest": f"""{BASE}, {ASKED}, t AS (SELECT terms FROM asked ORDER BY query LIMIT 1),
-n AS (SELECT repo, path, line, len(list_filter(terms, lambda x: contains(lower(text), x))) AS s FROM lines, t),
+    "excerpt_densest": f"""{CONCEPT}, t AS (SELECT DISTINCT query, repo, path FROM ranked WHERE rank <= {C.SHORTLIST}),
 m AS (SELECT repo, path, max(line) AS total FROM lines GROUP BY ALL HAVING max(line) > 30),
-w AS (
-  SELECT repo, path, line, sum(s) OVER (PARTITION BY repo, path ORDER BY line ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS s, total FROM n JOIN m USING (repo, path)
-)
-SELECT repo, path, arg_min(line, (-s, line))::INT AS best FROM w WHERE line >= 7 AND line <= least(total - 23, 402) GROUP BY repo, path""",
+n AS (
+  SELECT t.query, l.repo, l.path, line, total, len(list_filter(a.terms, lambda x: contains(lower(text), x))) AS s
+  FROM t JOIN asked a USING (query) JOIN lines l ON l.repo = t.repo AND l.path = t.path JOIN m ON m.repo = l.repo AND m.path = l.path
+),
+w AS (SELECT *, sum(s) OVER (PARTITION BY query, repo, path ORDER BY line ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS hits FROM n)
+SELECT query, repo, path, arg_min(line, (-hits, line))::INT AS best FROM w WHERE line >= 7 AND line <= least(total - 23, 402) GROUP BY query, repo, path""",
     "symbol_lookup": f"{LISTED} SELECT repo, path, name, line, match, list_place FROM listed",
     "symbol_ranked": f"{SYMBOL_HITS} SELECT repo, path, name, line, round(score, 9) AS score, place FROM hits",
     "symbol_search": f"""{SYMBOL_HITS}, e AS (

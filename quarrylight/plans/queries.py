@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import paths, text
+from ..functions.sizes import broadcast_if_small
 from ..operators import chunker, index, lookup, ranking, views
 from ..sources import catalog, corpus, evalset
-from . import samples
+from . import made_sources, samples
 
 #: Lines of a chunk in these queries: documents are short, so tiles of 80 would be whole documents.
 TILE = 8
@@ -188,8 +189,10 @@ def symbol_enclosing(spark, sf):
 
 @query
 def file_chunks(spark, sf):
-    own = files_of(spark, sf).where("repo = 'src0' and path like '%/doc_0.txt'")
-    return corpus.window_chunks(own, TILE).orderBy("start_line")
+    """The chunks of one file of each repository: of its longest ones the last by path."""
+    files = files_of(spark, sf)
+    longest = files.groupBy("repo").agg(F.max_by("path", F.struct("size", "path")).alias("path"))
+    return corpus.window_chunks(files.join(longest, ["repo", "path"], "left_semi"), TILE).orderBy("repo", "path", "start_line")
 
 
 @query
@@ -200,15 +203,20 @@ def fts_stats(spark, sf):
 
 @query
 def index_build(spark, sf):
-    rows = index.tokens(chunks_of(spark, sf, body=True))
-    per = index.postings(rows)
-    return per.groupBy("term").agg(
+    return index.postings_of(chunks_of(spark, sf, body=True)).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum("tf").alias("weighted"), F.sum("n").alias("n_tokens")
     )
 
 
 @query
 def chunk_defs(spark, sf):
+    """Definition chunks and symbols of source files made from all documents."""
+    return chunker.split_files(made_sources.sources(spark, sf)).drop("body")
+
+
+@query
+def chunk_samples(spark, sf):
+    """The same of a small file in each kind of language."""
     own = sample(spark, [("inline", f"{lang}/{i}", lang, src) for i, (lang, src) in enumerate(samples.SOURCES_BY_LANGUAGE)], "repo string, path string, lang string, text string")
     return chunker.split_files(own).drop("body")
 
@@ -227,7 +235,8 @@ def asked(spark, sf) -> DataFrame:
 def shortlisted(spark, sf, k: int = C.SHORTLIST) -> DataFrame:
     chunks = chunks_of(spark, sf, body=True)
     terms = asked(spark, sf).select("query", F.explode("terms").alias("term"))
-    return ranking.shortlist(ranking.bm25(index.tokens(chunks), terms, index.statistics(chunks)), k)
+    own = index.postings_of(chunks).drop("places").join(broadcast_if_small(terms.select("term").distinct()), "term")
+    return ranking.shortlist(ranking.score_postings(own, terms, index.statistics(chunks)), k)
 
 
 def scored(spark, sf, k: int = C.SHORTLIST, mentioned: Column | None = None) -> DataFrame:
@@ -269,11 +278,11 @@ def concept_search(spark, sf):
 
 @query
 def excerpt_densest(spark, sf):
-    """Where the densest window of each file begins for the words of the first benchmark item."""
-    terms = asked(spark, sf).orderBy("query").limit(1).select("terms")
-    own = files_of(spark, sf).select("repo", "path", corpus.line_array(F.col("text")).alias("lines")).crossJoin(F.broadcast(terms))
+    """For each benchmark item, where the densest window for its words begins in each file that is shortlisted for it."""
+    own = shortlisted(spark, sf).select("query", "repo", "path").distinct().join(asked(spark, sf).select("query", "terms"), "query")
+    own = own.join(files_of(spark, sf).select("repo", "path", corpus.line_array(F.col("text")).alias("lines")), ["repo", "path"])
     own = own.withColumn("best", ranking.densest_window(F.col("lines"), F.col("terms")))
-    return own.where("best is not null").select("repo", "path", F.col("best").cast("int").alias("best"))
+    return own.where("best is not null").select("query", "repo", "path", F.col("best").cast("int").alias("best"))
 
 
 # ---- symbols ----
@@ -349,12 +358,23 @@ def excerpt_islands(spark, sf):
     return ranking.match_windows(hits).select("repo", "path", "start_line", "island", "first_line", "last_line", "matches")
 
 
+#: A concept, a symbol that isn't one, a quoted text and a pattern.
+AUTO = ["rights reserved", "reserved", '"rights reserved"', "rights? reserved"]
+
+
 @query
 def auto_search(spark, sf):
-    from .engine import Engine
-
-    engine = Engine(files_of(spark, sf), corpus.window_chunks(files_of(spark, sf), TILE, True), corpus.line_symbols(files_of(spark, sf)))
-    return engine.search(EXACT).hits
+    """Searches whose mode follows from the query, without stems."""
+    from .engine import HIT, Engine
+
+    files = files_of(spark, sf)
+    engine = Engine(files, corpus.window_chunks(files, TILE, True), corpus.line_symbols(files), stem=False)
+    out = None
+    for q in AUTO:
+        found = engine.search(q)
+        own = found.hits.select(F.lit(q).alias("asked"), F.lit(found.mode).alias("mode"), *[c for c in HIT if c != "score"], r9("score").alias("score"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 # ---- catalog ----

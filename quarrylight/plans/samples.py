@@ -41,3 +41,67 @@ SOURCES_BY_LANGUAGE = [
     ("proto", "message M {\n  string a = 1;\n}\nservice S {\n  rpc Get(M) returns (M);\n}\n"),
     ("text", "a\nb\nc\n"),
 ]
+
+# What the files above hold, line by line from their texts: path, kind of row, first and last line, name, kind.
+DEFINITIONS = """
+go/0 chunk 3 6 Limit type
+go/0 chunk 10 15 Up method
+go/0 symbol 4 6 Limit type
+go/0 symbol 8 8 one var
+go/0 symbol 12 15 Up method
+python/1 chunk 3 9 outer func
+python/1 chunk 11 13 Box class
+python/1 symbol 4 9 outer func
+python/1 symbol 6 7 inner method
+python/1 symbol 11 13 Box class
+python/1 symbol 12 13 get method
+javascript/2 chunk 1 5 f func
+javascript/2 chunk 6 8 run method
+javascript/2 chunk 9 13 A class
+javascript/2 symbol 1 5 f func
+javascript/2 symbol 6 8 run method
+javascript/2 symbol 9 13 A class
+javascript/2 symbol 10 12 go method
+rust/3 chunk 1 6 Scan impl
+rust/3 symbol 1 6 Scan impl
+rust/3 symbol 2 5 next func
+rust/3 symbol 6 6 tail func
+ruby/4 chunk 1 7 M class
+ruby/4 symbol 1 7 M class
+ruby/4 symbol 2 4 a func
+ruby/4 symbol 6 6 b func
+lua/5 chunk 1 3 add func
+lua/5 symbol 1 3 add func
+lua/5 symbol 4 4 M.f func
+c/6 chunk 1 4 N macro
+c/6 chunk 5 7 main func
+c/6 symbol 1 4 N macro
+c/6 symbol 2 4 s type
+c/6 symbol 5 7 main func
+java/7 chunk 1 6 A class
+java/7 symbol 1 6 A class
+java/7 symbol 3 5 get method
+kotlin/8 chunk 1 5 A class
+kotlin/8 symbol 1 5 A class
+kotlin/8 symbol 2 4 go func
+sql/9 chunk 1 4 - block
+sql/9 symbol 1 1 t type
+markdown/10 chunk 1 5 One section
+markdown/10 chunk 6 7 - block
+markdown/10 symbol 1 5 One section
+markdown/10 symbol 6 7 Two section
+shell/11 chunk 1 3 run func
+shell/11 chunk 4 6 stop func
+shell/11 symbol 1 3 run func
+shell/11 symbol 4 6 stop func
+elixir/12 chunk 1 7 A module
+elixir/12 symbol 1 7 A module
+elixir/12 symbol 2 4 one func
+elixir/12 symbol 6 6 two func
+proto/13 chunk 1 3 M type
+proto/13 chunk 4 6 S type
+proto/13 symbol 1 3 M type
+proto/13 symbol 4 6 S type
+proto/13 symbol 5 5 Get func
+text/14 chunk 1 3 - block
+"""
