@@ -236,6 +236,7 @@ def shortlisted(spark, sf, k: int = C.SHORTLIST) -> DataFrame:
     chunks = chunks_of(spark, sf, body=True)
     terms = asked(spark, sf).select("query", F.explode("terms").alias("term"))
     own = index.postings_of(chunks).drop("places").join(broadcast_if_small(terms.select("term").distinct()), "term")
+    own = own.repartition(*index.CHUNK)  # read twice, by the counts of terms and by the sums of chunks, which need this partitioning
     return ranking.shortlist(ranking.score_postings(own, terms, index.statistics(chunks)), k)
 
 
