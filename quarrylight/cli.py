@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import json
+import os
 import sys
 from typing import Any, TextIO
 
@@ -17,8 +18,9 @@ from .functions import paths
 from .operators import views
 from .operators.judge import Judge
 from .operators.ranking import overlap_scorer
-from .plans import present
+from .plans import evaluate, present
 from .plans.corpus import Corpus
+from .sources import evalset
 
 SYNONYMS = {"s": "search", "find": "search", "grep": "search", "rm": "remove", "ls": "list", "pull": "update", "sync": "update", "cat": "show", "read": "show"}
 TOOLS = {
@@ -27,7 +29,7 @@ TOOLS = {
     "tree": ("repo", "path", "depth"),
     "list": ("categories",),
     "categories": (),
-    "add": ("source", "name", "categories"),
+    "add": ("source", "sources", "name", "categories"),
     "update": ("repos",),
     "remove": ("repos",),
     "status": (),
@@ -44,6 +46,15 @@ def listed(value: Any) -> list[str]:
     return [x for x in (value.split(",") if isinstance(value, str) else value or []) if x]
 
 
+def rolled_up(items: list[dict]) -> list[dict] | dict:
+    """What became of each item; the first error is raised if nothing else came of any."""
+    errors = [x["error"] for x in items if "error" in x]
+    if errors and len(errors) == len(items):
+        raise errors[0]
+    out = [x | ({"error": x["error"].message, "hint": x["error"].hint} if "error" in x else {}) for x in items]
+    return out if len(out) > 1 else out[0]
+
+
 def run(corpus: Corpus, command: str, a: dict) -> Any:
     number = lambda k, default=None: int(a[k]) if a.get(k) not in (None, "") else default
     match command:
@@ -65,7 +76,13 @@ def run(corpus: Corpus, command: str, a: dict) -> Any:
         case "status":
             return rows(corpus.status())
         case "add":
-            return corpus.add(a["source"], a.get("name") or "", listed(a.get("categories")))
+            out = corpus.add_all(listed(a.get("sources") or a["source"]), a.get("name") or "", listed(a.get("categories")))
+            return rolled_up(out)
+        case "eval":
+            scorers = {"keyword": None} | ({"reranked": corpus.scorer} if corpus.scorer else {})
+            return rows(evaluate.evaluate(corpus.engine(), evalset.read(corpus.spark, a["cases"]), scorers))
+        case "guide":
+            return evaluate.GUIDE
         case "update":
             return corpus.update(listed(a.get("repos")) or None)
         case "remove":
@@ -143,14 +160,16 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("path", nargs="?", default="")
     c.add_argument("--depth", default=2)
     command("list").add_argument("--categories", "--category")
-    c = command("add", "source")
+    c = command("add", many="sources")
     c.add_argument("--name")
     c.add_argument("--categories", "--category")
     for name in ("update", "remove"):
         command(name, many="repos")
     for name in ("tag", "untag"):
         command(name, "repo", many="categories")
-    for name in ("categories", "status", "reindex", "serve"):
+    c = command("eval", "cases")
+    c.add_argument("--local-rerank", action="store_true", help="also with hits reranked by the share of the query's terms")
+    for name in ("categories", "status", "reindex", "serve", "guide"):
         command(name)
     return p
 
@@ -160,7 +179,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     name = SYNONYMS.get(a["command"], a["command"])
     spark = spark or SparkSession.builder.appName("quarrylight").getOrCreate()
     try:
-        corpus = Corpus(spark, a["root"], overlap_scorer if a.get("local_rerank") else Judge.from_environment())
+        blend = float(os.environ.get("JUDGE_BLEND") or C.BLEND)
+        corpus = Corpus(spark, a["root"], overlap_scorer if a.get("local_rerank") else Judge.from_environment(), blend)
         if name == "serve":
             serve(corpus, sys.stdin, sys.stdout)
             return OK
@@ -168,7 +188,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             a["query"] = " ".join(a["query"])
         out = run(corpus, name, a)
         print(out if isinstance(out, str) else json.dumps(out))
-        failed = name == "update" and any(x["status"].startswith("error") for x in out)
+        items = out if isinstance(out, list) else [out]
+        failed = name in ("add", "update") and any(x["status"].startswith(("error", "failed")) for x in items)
         return PARTIAL if failed or (name == "status" and out) else OK
     except CorpusError as e:
         print(f"{e.message}\n{e.hint}", file=sys.stderr)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import os
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import constants as C
 
@@ -21,8 +23,10 @@ TOKEN_PRICE, TIMEOUT = 0.042, 8.0
 class Judge:
     """Posts ``{"query", "items"}`` to ``url``; the answer's ``scores`` maps ids to probabilities.
 
-    A batch that fails makes the query fail, so that the caller keeps the keyword order instead of
-    mixing judged and unjudged hits.  ``post`` can be replaced, as in tests.
+    Batches are asked in parallel.  One that fails makes the query fail, so that the caller keeps the
+    keyword order instead of mixing judged and unjudged hits.  A row of each batch carries its cost in
+    dollars: ``cost`` of the answer's ``usage``, or its ``total_tokens`` (else a quarter of the bytes
+    sent) at TOKEN_PRICE.  ``post`` can be replaced, as in tests.
     """
 
     url: str
@@ -39,24 +43,25 @@ class Judge:
         seconds = float(os.environ.get("JUDGE_TIMEOUT_MS", TIMEOUT * 1000)) / 1000
         return cls(os.environ["JUDGE_URL"], os.environ.get("JUDGE_KEY", ""), os.environ.get("JUDGE_MODEL", ""), seconds)
 
-    def ask(self, query: str, items: list[dict]) -> dict[str, float]:
+    def ask(self, query: str, items: list[dict]) -> tuple[dict[str, float], float]:
+        """Scores by id, and what they cost."""
         body = json.dumps({"query": query, "items": items, "model": self.model}).encode()
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
         answer = json.loads((self.post or _post)(self.url, body, headers, self.timeout))
-        return {str(k): float(v) for k, v in answer["scores"].items()}
+        usage = answer.get("usage") or {}
+        cost = usage.get("cost", usage.get("total_tokens", len(body) / 4) * TOKEN_PRICE / 1e6)
+        return {str(k): float(v) for k, v in answer["scores"].items()}, float(cost)
 
     def __call__(self, hits: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for (query, asked), own in b.groupby(["query", "query_text"], sort=False):
-                    for lo in range(0, len(own), C.JUDGE_BATCH):
-                        items = own.iloc[lo : lo + C.JUDGE_BATCH][["id", "header", "text"]].to_dict("records")
-                        out += [(query, i, p) for i, p in self.ask(asked, items).items()]
-                yield pd.DataFrame(out, columns=["query", "id", "p"])
+        def judged(lot: pd.DataFrame) -> pd.DataFrame:
+            scores, cost = self.ask(lot["query_text"].iloc[0], lot[["id", "header", "text"]].to_dict("records"))
+            out = [(lot["query"].iloc[0], i, p, 0.0 if k else cost) for k, (i, p) in enumerate(scores.items())]
+            return pd.DataFrame(out, columns=["query", "id", "p", "cost"])
 
         kind = hits.schema["query"].dataType.simpleString()
-        return hits.select("query", "query_text", "id", "header", "text").repartition("query").mapInPandas(run, f"query {kind}, id string, p double")
+        place = F.row_number().over(Window.partitionBy("query").orderBy("id")) - 1  # of the few hits that are judged
+        lots = hits.select("query", "query_text", "id", "header", "text", F.floor(place / C.JUDGE_BATCH).alias("lot"))
+        return lots.groupBy("query", "lot").applyInPandas(judged, f"query {kind}, id string, p double, cost double")
 
 
 def _post(url: str, body: bytes, headers: dict, timeout: float) -> bytes:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -85,10 +87,12 @@ def line_match(text: Column, pattern: str, fixed: bool) -> Column:
 
 
 def check_regex(pattern: str) -> str:
+    """The pattern, if the engine that will match it can read it."""
     try:
-        re.compile(pattern)
-    except re.error as e:
-        raise CorpusError(USER, f"invalid regex {pattern!r}: {e}", "quote it for an exact search") from e
+        SparkSession.active().sql("SELECT '' RLIKE :p", args={"p": pattern}).collect()
+    except (PySparkException, Py4JError) as e:
+        why = str(e).splitlines()[0]
+        raise CorpusError(USER, f"invalid regex {pattern!r}: {why}", "quote it for an exact search") from e
     return pattern
 
 

@@ -145,7 +145,7 @@ def pack(hits: DataFrame, budget: int = C.BUDGET) -> DataFrame:
 
 
 class Scorer(Protocol):
-    """Judges hits: from query, id, header, text to query, id, p in [0, 1]; hits without a row are dropped."""
+    """Judges hits: from query, id, header, text to query, id, p in [0, 1] and, if it has one, cost; hits without a row are dropped."""
 
     def __call__(self, hits: DataFrame) -> DataFrame: ...
 
@@ -159,7 +159,7 @@ def overlap_scorer(hits: DataFrame) -> DataFrame:
 
 def blend(hits: DataFrame, judged: DataFrame, weight: float = C.BLEND) -> DataFrame:
     """Blends judged p with the keyword score.  Hits below the threshold are weak; without any other, the best three weak ones stay."""
-    own = hits.join(judged, ["query", "id"])
+    own = hits.join(judged.select("query", "id", "p"), ["query", "id"])
     by_query = Window.partitionBy("query")
     mentioned = F.when(F.col("mentioned"), C.MENTIONED).otherwise(0.0) if "mentioned" in hits.columns else F.lit(0.0)
     own = own.withColumn("blended", F.round("p", 2) + weight * F.col("score") / F.max("score").over(by_query) + mentioned)

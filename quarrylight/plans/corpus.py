@@ -5,24 +5,35 @@ from __future__ import annotations
 import datetime
 import os
 import shutil
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import NOT_FOUND, USER, CorpusError
+from ..functions import constants as C
 from ..functions import paths
-from ..operators import views
+from ..operators import index, views
 from ..operators.ranking import Scorer
 from ..sources import catalog, git
 from ..sources import corpus as files_of
 from .engine import Engine
 
 
+#: Repositories that are cloned or fetched at a time.
+AT_ONCE = 4
+
+
 class Corpus:
-    """``root`` holds ``repos.json``, a folder per repository and ``.index``."""
+    """``root`` holds ``repos.json``, a folder per repository and ``.index``.
+
+    ``.index`` has a folder for each state of the index and a file that names the current one, which is
+    replaced when a new state is complete: readers see one state or the other, and a crash leaves the old.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, scorer: Scorer | None = None):
-        self.spark, self.root, self.scorer = spark, os.path.abspath(root), scorer
+    def __init__(self, spark: SparkSession, root: str, scorer: Scorer | None = None, blend: float = C.BLEND):
+        self.spark, self.root, self.scorer, self.blend = spark, os.path.abspath(root), scorer, blend
         os.makedirs(self.root, exist_ok=True)
         self.catalog = os.path.join(self.root, "repos.json")
 
@@ -36,36 +47,68 @@ class Corpus:
         return os.path.join(self.root, name)
 
     def engine(self) -> Engine:
-        return Engine.open(self.spark, os.path.join(self.root, ".index"), scorer=self.scorer)
+        if not (folder := self._current()):
+            self.reindex()
+            folder = self._current()
+        return Engine.open(self.spark, folder, scorer=self.scorer, blend=self.blend)
 
     # ---- changes ----
 
     def add(self, source: str, name: str = "", categories: list[str] | None = None) -> dict:
         """Clones and indexes a repository; one with the same URL is left as it is."""
-        p = self.spark.createDataFrame([(source,)], "s string").select(paths.parse_source(F.col("s")).alias("p")).first()["p"]
-        if p is None:
-            raise CorpusError(USER, f"cannot parse source {source!r}", "use owner/repo, a URL, or owner/repo@tag")
-        names = paths.parse_categories(categories or [])
-        known = self.repos().withColumn("u", paths.normal_url(F.col("url"))).collect()
-        wanted = self.spark.createDataFrame([(p["url"],)], "u string").select(paths.normal_url(F.col("u"))).first()[0]
-        if same := next((r for r in known if r["u"] == wanted), None):
-            return {"name": same["name"], "status": "exists"}
-        taken = {r["name"] for r in known}
-        name = name or (p["name"] if p["name"] not in taken else f"{p['owner']}-{p['name']}")
-        if name in taken:
-            raise CorpusError(USER, f"name {name!r} is taken", "give another name")
-        tracked, pinned = git.clone(p["url"], self.folder(name), p["ref"])
-        now = datetime.datetime.now(datetime.UTC).replace(microsecond=0, tzinfo=None)
-        row = (name, p["url"], tracked, pinned, git.head(self.folder(name)), sorted(set(names)), now, now)
-        self._write(catalog.put(self.repos(), self.spark.createDataFrame([row], catalog.SCHEMA)))
-        self.reindex()
-        return {"name": name, "status": "added"}
+        out = self.add_all([source], name, categories)[0]
+        if "error" in out:
+            raise out["error"]
+        return out
+
+    def add_all(self, sources: list[str], name: str = "", categories: list[str] | None = None) -> list[dict]:
+        """Several at once: source, name and status of each, and ``error`` of those that failed.  What is new is indexed in one step."""
+        if name and len(sources) > 1:
+            raise CorpusError(USER, "a name is for one source", "add the others without it")
+        labels = sorted(set(paths.parse_categories(categories or [])))
+        out, wanted, taken = [], [], {r["name"] for r in self.repos().select("name").collect()}
+        known = {r["u"]: r["name"] for r in self.repos().select("name", paths.normal_url(F.col("url")).alias("u")).collect()}
+        asked = self.spark.createDataFrame(list(enumerate(sources)), "i int, s string").withColumn("p", paths.parse_source(F.col("s")))
+        for r in asked.withColumn("u", paths.normal_url(F.col("p.url"))).orderBy("i").collect():
+            own: dict = {"source": r["s"]}
+            out.append(own)
+            p = r["p"]
+            if p is None:
+                own |= {"status": "failed", "error": CorpusError(USER, f"cannot parse source {r['s']!r}", "use owner/repo, a URL, or owner/repo@tag")}
+            elif r["u"] in known:
+                own |= {"name": known[r["u"]], "status": "exists"}
+            else:
+                own["name"] = name or (p["name"] if p["name"] not in taken else f"{p['owner']}-{p['name']}")
+                if own["name"] in taken:
+                    own |= {"status": "failed", "error": CorpusError(USER, f"name {own['name']!r} is taken", "give another name")}
+                    continue
+                taken.add(own["name"])
+                known[r["u"]] = own["name"]
+                wanted.append((own, p))
+
+        def fetch(job: tuple) -> tuple | None:
+            own, p = job
+            try:
+                tracked, pinned = git.clone(p["url"], self.folder(own["name"]), p["ref"])
+                now = datetime.datetime.now(datetime.UTC).replace(microsecond=0, tzinfo=None)
+                own["status"] = "added"
+                return own["name"], p["url"], tracked, pinned, git.head(self.folder(own["name"])), labels, now, now
+            except CorpusError as e:
+                own |= {"status": "failed", "error": e}
+                return None
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            rows = [r for r in pool.map(fetch, wanted) if r]
+        if rows:
+            self._write(catalog.put(self.repos(), self.spark.createDataFrame(rows, catalog.SCHEMA)))
+            self.reindex([r[0] for r in rows])
+        return out
 
     def update(self, names: list[str] | None = None) -> list[dict]:
-        """Fetches repositories that aren't pinned; missing checkouts are cloned again."""
+        """Fetches repositories that aren't pinned; missing checkouts are cloned again.  Only changed files are indexed anew."""
         wanted = [catalog.resolve(self.names(), n) for n in names] if names else self.names()
-        out, changed = [], []
-        for r in self.repos().where(F.col("name").isin(wanted)).collect():
+
+        def fetch(r) -> dict:
             there = os.path.isdir(os.path.join(self.folder(r["name"]), ".git"))
             try:
                 if not there:
@@ -74,18 +117,20 @@ class Corpus:
                     git.update(self.folder(r["name"]), r["ref"])
                 sha = git.head(self.folder(r["name"]))
                 status = "recloned" if not there else "pinned" if r["pinned"] else "updated" if sha != r["sha"] else "current"
-                if status in ("recloned", "updated"):
-                    changed.append((r["name"], sha))
+                return {"name": r["name"], "status": status, "sha": sha}
             except CorpusError as e:
-                status = f"error: {e.message}"
-            out.append({"name": r["name"], "status": status})
+                return {"name": r["name"], "status": f"error: {e.message}"}
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            out = list(pool.map(fetch, self.repos().where(F.col("name").isin(wanted)).collect()))
+        changed = [(x["name"], x["sha"]) for x in out if x["status"] in ("recloned", "updated")]
         if changed:
             new = F.create_map(*[F.lit(x) for pair in changed for x in pair])
             now = F.date_trunc("second", F.current_timestamp())
             own = self.repos().withColumn("updated_at", F.when(new[F.col("name")].isNotNull(), now).otherwise(F.col("updated_at")))
             self._write(own.withColumn("sha", F.coalesce(new[F.col("name")], "sha")))
-            self.reindex()
-        return out
+            self.reindex([n for n, _ in changed])
+        return [{"name": x["name"], "status": x["status"]} for x in out]
 
     def remove(self, names: list[str]) -> None:
         """Exact names only."""
@@ -94,7 +139,7 @@ class Corpus:
         self._write(self.repos().where(~F.col("name").isin(names)))
         for n in names:
             shutil.rmtree(self.folder(n), ignore_errors=True)
-        self.reindex()
+        self.reindex(names)
 
     def tag(self, name: str, categories: list[str], remove: bool = False) -> None:
         name = catalog.resolve(self.names(), name)
@@ -103,19 +148,58 @@ class Corpus:
     def _write(self, repos: DataFrame) -> None:
         catalog.write(repos, self.catalog)
 
-    def reindex(self) -> None:
-        """Builds the index of all checkouts anew, beside the old one until it is done."""
-        names = [n for n in self.names() if os.path.isdir(self.folder(n))]
-        raw = None
+    # ---- the index ----
+
+    def _current(self) -> str | None:
+        """The folder of the current state."""
+        try:
+            with open(os.path.join(self.root, ".index", "current")) as f:
+                return os.path.join(self.root, ".index", f.read().strip())
+        except FileNotFoundError:
+            return None
+
+    def _listing(self, names: list[str]) -> DataFrame:
+        """repo, path, blob of the checkouts' files that are indexed."""
+        out = self.spark.createDataFrame([], "repo string, path string, blob string")
+        for n in names:
+            out = out.unionByName(git.listing(self.spark, self.folder(n), n))
+        return out.where((paths.language(F.col("path")) != "") & ~paths.skip_path(F.col("path")))
+
+    def _texts(self, names: list[str], listing: DataFrame) -> DataFrame:
+        """The same and the text."""
+        out = self.spark.createDataFrame([], "repo string, path string, blob string, text string")
         for n in names:
             text = files_of.tracked_files(self.spark, self.folder(n), n).drop("blob")
-            own = git.listing(self.spark, self.folder(n), n).join(text, ["repo", "path"])
-            raw = own if raw is None else raw.unionByName(own)
-        raw = raw if raw is not None else self.spark.createDataFrame([], "repo string, path string, blob string, text string")
-        new, live = os.path.join(self.root, ".index-new"), os.path.join(self.root, ".index")
-        Engine.from_files(files_of.describe(raw)).save(new)
-        shutil.rmtree(live, ignore_errors=True)
-        os.replace(new, live)
+            out = out.unionByName(listing.where(F.col("repo") == n).join(text, ["repo", "path"]))
+        return out
+
+    def reindex(self, names: list[str] | None = None) -> None:
+        """Brings the index up to date for some repositories, or builds it anew.
+
+        Blobs of the checkouts are compared with those of the index: files that are gone or changed lose their
+        rows, and only files that were added or changed are read, cut and tokenised.
+        """
+        old = self._current()
+        tracked = [n for n in self.names() if os.path.isdir(self.folder(n))]
+        if names is None or old is None:
+            state = Engine.from_files(files_of.describe(self._texts(tracked, self._listing(tracked))))
+        else:
+            there = [n for n in tracked if n in names]
+            engine, listing = Engine.open(self.spark, old), self._listing(there).persist()
+            changes = index.difference(engine.files.where(F.col("repo").isin(names)), listing).where("status <> 'unchanged'").persist()
+            if changes.isEmpty():
+                return
+            fresh = listing.join(changes.where("status <> 'removed'"), ["repo", "path"], "left_semi")
+            state = engine.updated(changes, Engine.from_files(files_of.describe(self._texts(there, fresh))))
+        name = uuid.uuid4().hex
+        folder = os.path.join(self.root, ".index", name)
+        state.save(folder)
+        with open(folder + ".name", "w") as f:
+            f.write(name)
+        os.replace(folder + ".name", os.path.join(self.root, ".index", "current"))
+        for other in os.listdir(os.path.join(self.root, ".index")):
+            if other not in (name, "current") and os.path.join(self.root, ".index", other) != old:  # the last state stays for its readers
+                shutil.rmtree(os.path.join(self.root, ".index", other), ignore_errors=True)
 
     # ---- state ----
 

@@ -26,13 +26,16 @@ class Result:
     hits: DataFrame
     note: str = ""
     terms: list[str] = field(default_factory=list)
+    cost: float = 0.0  # in dollars
 
 
 class Engine:
     """A corpus: files (repo, path, lang, flags, text), chunks (with body) and symbols; ``stem`` for Porter stems in the index."""
 
-    def __init__(self, files: DataFrame, chunks: DataFrame, symbols: DataFrame, stem: bool = True, scorer: ranking.Scorer | None = None):
-        self.files, self.chunks, self.symbols, self.stem, self.scorer = files, chunks, symbols, stem, scorer
+    def __init__(
+        self, files: DataFrame, chunks: DataFrame, symbols: DataFrame, stem: bool = True, scorer: ranking.Scorer | None = None, blend: float = C.BLEND
+    ):
+        self.files, self.chunks, self.symbols, self.stem, self.scorer, self.blend = files, chunks, symbols, stem, scorer, blend
         self.spark, self.postings, self.tokens = files.sparkSession, None, None
 
     def save(self, folder: str) -> None:
@@ -41,17 +44,27 @@ class Engine:
             own = getattr(self, name).repartitionByRange("repo", "path").sortWithinPartitions("repo", "path")
             own.write.mode("overwrite").parquet(f"{folder}/{name}")
         self.symbols.repartitionByRange("name_lower").sortWithinPartitions("name_lower").write.mode("overwrite").parquet(f"{folder}/symbols")
-        index.write(self.chunks, f"{folder}/index", self.stem)
+        rows = self.postings if self.postings is not None else index.postings_of(self.chunks, self.stem)
+        index.write_postings(rows, self.spark.read.parquet(f"{folder}/chunks").count(), f"{folder}/index")
+
+    def updated(self, changes: DataFrame, fresh: Engine) -> Engine:
+        """A stored engine after ``changes`` (repo, path, status): only files that were added or changed are cut and tokenised, in ``fresh``."""
+        made = Engine(
+            *(index.apply_difference(getattr(self, t), getattr(fresh, t).select(getattr(self, t).columns), changes) for t in ("files", "chunks", "symbols")),
+            self.stem, self.scorer, self.blend,
+        )
+        made.postings = index.apply_difference(self.postings, index.postings_of(fresh.chunks, self.stem), changes)
+        return made
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, stem: bool = True, scorer: ranking.Scorer | None = None) -> Engine:
+    def open(cls, spark: SparkSession, folder: str, stem: bool = True, scorer: ranking.Scorer | None = None, blend: float = C.BLEND) -> Engine:
         """An engine over stored tables; searches read postings of their terms instead of texts."""
-        made = cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks", "symbols")), stem, scorer)
+        made = cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks", "symbols")), stem, scorer, blend)
         made.postings, made.tokens, made.statistics = index.read(spark, f"{folder}/index")
         return made
 
     @classmethod
-    def from_files(cls, files: DataFrame, stem: bool = True, scorer: ranking.Scorer | None = None) -> Engine:
+    def from_files(cls, files: DataFrame, stem: bool = True, scorer: ranking.Scorer | None = None, blend: float = C.BLEND) -> Engine:
         """Indexes described files (see ``sources.corpus.describe``): definitions where the language has them, tiles otherwise."""
         own = files.where((F.col("lang") != "") & ~paths.skip_path(F.col("path")))
         live = own.where(F.col("flags").bitwiseAND(C.SKIPPED) == 0)
@@ -60,7 +73,7 @@ class Engine:
         defs = split.where("what = 'chunk'").select("repo", "path", "start_line", "end_line", F.col("name").alias("symbol"), "kind", "body")
         tiles = window_chunks(live.where(~F.col("lang").isin(*chunker.LANGUAGES)), C.WINDOW, True)
         symbols = split.where("what = 'symbol'").select("repo", "path", "name", F.lower("name").alias("name_lower"), "kind", F.col("start_line").alias("line"))
-        return cls(own, defs.unionByName(tiles), symbols, stem, scorer)
+        return cls(own, defs.unionByName(tiles), symbols, stem, scorer, blend)
 
     @cached_property
     def repos(self) -> list[str]:
@@ -90,7 +103,12 @@ class Engine:
         first = paths.mode_of(query)
         result = self._run(first, query, files, limit, bool(repos), deep)
         other = "exact" if first == "symbol" or (first == "concept" and len(query.split()) <= 4) else None
-        if other is None or not result.hits.isEmpty():
+        if other is None:
+            return result
+        # at most ``limit`` hits are kept here, so that the search runs once
+        rows = result.hits.collect()
+        result.hits = self.spark.createDataFrame(rows, result.hits.schema)
+        if rows:
             return result
         again = self._run(other, query, files, limit, bool(repos), deep)
         return Result(f"{first}->{other}", again.hits, f"no {first} results; tried {other}", result.terms)
@@ -124,13 +142,21 @@ class Engine:
         hits = ranking.cap_per_file(ranking.concept_score(listed, asked, query, mentioned))
         if self.scorer is None:
             return Result("concept", ranking.top(hits, limit).select(*HIT), "keyword-ranked: no scorer", terms)
-        pool = ranking.top(hits, C.JUDGED_DEEP if deep else C.JUDGED).drop("place")
+        pool = ranking.top(hits, C.JUDGED_DEEP if deep else C.JUDGED)
         pool = pool.join(self.chunks.select("repo", "path", "start_line", F.col("body").alias("text")), ["repo", "path", "start_line"])
         pool = pool.withColumns({"id": F.concat_ws(":", "repo", "path", "start_line"), "header": F.concat_ws(" ", "path", "kind", "symbol"), "query_text": F.lit(query)})
         if mentioned is not None:
             pool = pool.withColumn("mentioned", mentioned)
-        judged = ranking.blend(pool, self.scorer(pool)).where(F.col("place") <= limit)
-        return Result("concept", judged.drop("score").withColumnRenamed("blended", "score").select(*HIT, "p", "weak"), "", terms)
+        pool = self.spark.createDataFrame(pool.collect(), pool.schema)  # some dozens of rows
+        try:
+            scores = self.scorer(pool).collect()
+        except Exception as e:  # whatever goes wrong with a remote judge, the keyword order is still there
+            why = (str(e).strip() or type(e).__name__).splitlines()[-1][:200]
+            return Result("concept", pool.where(F.col("place") <= limit).select(*HIT), f"keyword-ranked: the scorer failed ({why})", terms)
+        judged = self.spark.createDataFrame([(r["query"], r["id"], float(r["p"])) for r in scores], "query int, id string, p double")
+        best = ranking.blend(pool.drop("place"), judged, self.blend).where(F.col("place") <= limit)
+        cost = sum(r["cost"] for r in scores if "cost" in r)
+        return Result("concept", best.drop("score").withColumnRenamed("blended", "score").select(*HIT, "p", "weak"), "", terms, cost)
 
     def _scores(self, terms: list[str], tokens: DataFrame | None = None) -> DataFrame:
         """BM25 of one query.  A term of several index tokens is a phrase: its tokens side by side in one column."""

@@ -26,6 +26,7 @@ class Shown:
     truncated: bool = False
     next: str = ""
     repos: int = 0
+    cost: float = 0.0
 
 
 def render(lines: list[str], first: int, last: int, marks: set[int] | frozenset = frozenset()) -> str:
@@ -102,7 +103,7 @@ def present(engine: Engine, query: str, result: Result, budget: int = C.BUDGET)
             h["excerpt"], h["omitted"] = "", 0
         else:
             used += size
-    return Shown(query, result.mode, result.note, hits, truncated, following(query, mode, hits, truncated), len(engine.repos))
+    return Shown(query, result.mode, result.note, hits, truncated, following(query, mode, hits, truncated), len(engine.repos), result.cost)
 
 
 def following(query: str, mode: str, hits: list[dict], truncated: bool) -> str:
@@ -132,5 +133,6 @@ def as_text(s: Shown) -> str:
         out += f"[{i}] {location(h)}{named}{judged}{''.join(f' [{t}]' for t in h['tags'])}\n{h['excerpt']}"
         out += f"     ... +{h['omitted']} lines\n" if h["omitted"] else ""
     out += f"# note: {s.note}\n" if s.note else ""
+    out += f"# judged for ${s.cost:.6f}\n" if s.cost else ""
     out += "# output budget reached: later results show location only\n" if s.truncated else ""
     return out + (f"# next: {s.next}\n" if s.next else "")

@@ -22,6 +22,10 @@ HINTS = {
 }
 
 
+#: Seconds that a git command may take.
+LONGEST = 600
+
+
 def available() -> bool:
     return shutil.which("git") is not None
 
@@ -29,7 +33,10 @@ def available() -> bool:
 def _git(*args: str, cwd: str | None = None) -> str:
     if not available():
         raise CorpusError(GENERAL, "git is not installed", "install git")
-    run = subprocess.run(["git", *args], cwd=cwd, capture_output=True, text=True, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"})
+    try:
+        run = subprocess.run(["git", *args], cwd=cwd, capture_output=True, text=True, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"}, timeout=LONGEST)
+    except subprocess.TimeoutExpired as e:
+        raise CorpusError(GENERAL, f"git {args[0]} took more than {LONGEST} s", "check the network or try again") from e
     if run.returncode:
         low = run.stderr.lower()
         fatal = [x for x in run.stderr.splitlines() if x.startswith("fatal")] or run.stderr.splitlines()[:1] or ["git failed"]
@@ -38,16 +45,22 @@ def _git(*args: str, cwd: str | None = None) -> str:
 
 
 def clone(url: str, folder: str, ref: str = "") -> tuple[str, bool]:
-    """A shallow checkout; returns what it tracks and whether that is pinned (a commit or a tag)."""
-    if re.fullmatch("[0-9a-f]{40}", ref):
-        os.makedirs(folder)
-        _git("init", "-q", cwd=folder)
-        _git("fetch", "-q", "--depth", "1", url, ref, cwd=folder)
-        _git("checkout", "-q", "FETCH_HEAD", cwd=folder)
-        return ref, True
-    _git("clone", "-q", "--depth", "1", "--single-branch", "--no-tags", *(["--branch", ref] if ref else []), url, folder)
-    branch = _git("rev-parse", "--abbrev-ref", "HEAD", cwd=folder).strip()
-    return (ref, True) if branch == "HEAD" else (branch, False)
+    """A shallow checkout; returns what it tracks and whether that is pinned (a commit or a tag).  What fails leaves no new folder behind."""
+    there = os.path.exists(folder)
+    try:
+        if re.fullmatch("[0-9a-f]{40}", ref):
+            os.makedirs(folder)
+            _git("init", "-q", cwd=folder)
+            _git("remote", "add", "origin", url, cwd=folder)
+            update(folder, ref)
+            return ref, True
+        _git("clone", "-q", "--depth", "1", "--single-branch", "--no-tags", *(["--branch", ref] if ref else []), url, folder)
+        branch = _git("rev-parse", "--abbrev-ref", "HEAD", cwd=folder).strip()
+        return (ref, True) if branch == "HEAD" else (branch, False)
+    except CorpusError:
+        if not there:
+            shutil.rmtree(folder, ignore_errors=True)
+        raise
 
 
 def update(folder: str, ref: str) -> None:

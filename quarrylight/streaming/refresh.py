@@ -2,7 +2,8 @@
 
 Each micro-batch brings complete current files of some paths.  Files whose blob is known are skipped,
 so a replayed batch changes nothing; the others replace their rows.  Tables are partitioned by repo
-and only partitions of repos in the batch are written again.
+and only partitions of repos in the batch are written again.  ``files`` is written last: as long as
+it doesn't know a blob, a batch that was cut off is done again, and doing it again gives the same tables.
 """
 
 from __future__ import annotations
@@ -16,13 +17,25 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import index
 
 FILES = "repo string, path string, lang string, blob string, size int, flags int, text string"
+#: Tasks that write a repository's partition, so that a large one is no task of its own.
+SPLITS = 8
 
+Derive = Callable[[DataFrame], DataFrame]
 
-def upsert(spark: SparkSession, folder: str, batch: DataFrame, chunk: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
-    """Applies a batch of files to the tables ``files`` and ``chunks`` below ``folder``; returns the numbers added and changed."""
-    batch = batch.dropDuplicates(["repo", "path"])
+
+def upsert(spark: SparkSession, folder: str, batch: DataFrame, derive: Derive | dict[str, Derive], version: str | None = None) -> dict[str, int]:
+    """Applies a batch of files to the table ``files`` and what is derived from it, below ``folder``; returns the numbers added and changed.
+
+    ``derive`` makes a table (repo, path, ...) from files: chunks, or several by name.  Of several rows of a path the one with
+    the largest ``version`` counts (a column, as of the time of an event), then the one with the largest blob.
+    """
+    tables = derive if isinstance(derive, dict) else {"chunks": derive}
+    latest = F.struct(*([F.col(version)] if version else []), "blob")
+    batch = batch.groupBy("repo", "path").agg(F.max_by(F.struct("*"), latest).alias("row")).select("row.*")
+    batch = batch.drop(version) if version else batch
     jvm = spark._jvm.org.apache.hadoop.fs
-    there = jvm.Path(f"{folder}/files").getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(f"{folder}/files"))
+    files_at = jvm.Path(f"{folder}/files")
+    there = files_at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files_at)
     old = spark.read.parquet(f"{folder}/files") if there else spark.createDataFrame([], FILES)
     mine = old.join(batch.select("repo", "path"), ["repo", "path"], "left_semi")
     # written first: what it is derived from is about to be replaced
@@ -31,20 +44,35 @@ def upsert(spark: SparkSession, folder: str, batch: DataFrame, chunk: Callable[[
     counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
     if counts:
         fresh = batch.join(changes, ["repo", "path"], "left_semi").drop("status")
+        fresh.write.mode("overwrite").parquet(f"{folder}/_staged/fresh")
+        fresh = spark.read.parquet(f"{folder}/_staged/fresh")
         repos = changes.select("repo").distinct()
-        for name, rows in (("files", fresh), ("chunks", chunk(fresh))):
-            if there:
+        for name, rows in [*((n, f(fresh)) for n, f in tables.items()), ("files", fresh)]:
+            at = jvm.Path(f"{folder}/{name}")
+            if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
                 kept = spark.read.parquet(f"{folder}/{name}").join(repos, "repo", "left_semi")
                 rows = kept.join(changes.select("repo", "path"), ["repo", "path"], "left_anti").select(rows.columns).unionByName(rows)
             staged = f"{folder}/_staged/{name}"
             rows.write.mode("overwrite").parquet(staged)
-            out = spark.read.parquet(staged).repartition("repo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            out.partitionBy("repo").parquet(f"{folder}/{name}")
+            out = spark.read.parquet(staged).repartition("repo", F.pmod(F.xxhash64("path"), F.lit(SPLITS)))
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(f"{folder}/{name}")
     return {"added": counts.get("added", 0), "changed": counts.get("changed", 0)}
 
 
-def refresh_stream(source: DataFrame, folder: str, chunk: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+def refresh_stream(source: DataFrame, folder: str, derive: Derive | dict[str, Derive], checkpoint: str, version: str | None = None) -> StreamingQuery:
     """Runs ``upsert`` on each micro-batch of a stream of files, until what is available has been read."""
     spark = source.sparkSession
-    run = lambda batch, _: upsert(spark, folder, batch, chunk) and None
+    run = lambda batch, _: upsert(spark, folder, batch, derive, version) and None
     return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_tables(chunk: Derive, symbols: Derive | None = None, stem: bool = True) -> dict[str, Derive]:
+    """The tables of an index for ``derive``: chunks (with body), postings and, if asked for, symbols.  Statistics follow from postings."""
+    tables = {"chunks": chunk, "postings": lambda files: index.postings_of(chunk(files), stem)}
+    return tables | ({"symbols": symbols} if symbols else {})
+
+
+def statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """n_docs, n_tokens of the refreshed tables."""
+    n = spark.read.parquet(f"{folder}/chunks").agg(F.count(F.lit(1)).alias("n_docs"))
+    return n.crossJoin(spark.read.parquet(f"{folder}/postings").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens")))  # one row each

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quarrylight.errors import CorpusError
 from quarrylight.functions import constants as C
 from quarrylight.functions import paths, text
-from quarrylight.operators import index, ranking
+from quarrylight.operators import index, lookup, ranking
 from quarrylight.plans.engine import Engine
 from quarrylight.sources import catalog, corpus, evalset
 from quarrylight.streaming import refresh
@@ -182,3 +182,48 @@ def test_stored_engine_answers_alike(spark, tmp_path, engine):
         assert stored.search(q).hits.select(columns).orderBy("place").collect() == engine.search(q).hits.select(columns).orderBy("place").collect()
     total = stored.postings.agg(F.sum("n")).first()[0]
     assert total == stored.statistics.first()["n_tokens"] and stored.statistics.first()["n_docs"] == engine.chunks.count()
+
+
+def test_patterns_are_checked_by_the_engine_that_matches(spark):
+    assert lookup.check_regex(r"\p{L}+(?<n>x)") == r"\p{L}+(?<n>x)"
+    for bad in ("(?P<n>x)", "(", "[z-a]", "a{2,1}"):
+        with pytest.raises(CorpusError):
+            lookup.check_regex(bad)
+
+
+def test_an_automatic_search_runs_once(engine, monkeypatch):
+    """What is looked at to choose the mode is what the caller gets."""
+    found = engine.search("Router")
+    monkeypatch.setattr(engine, "files", None)
+    assert found.hits.first()["path"] == "app.py"
+
+
+def test_refresh_after_a_crash_between_tables(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "index")
+    files = corpus.document_files(spark, "/root/testdata/sf0.001")
+    tables = refresh.index_tables(lambda f: corpus.window_chunks(f, 8, True), corpus.line_symbols, stem=False)
+    refresh.upsert(spark, folder, files, tables)
+    changed = files.where("repo in ('src3', 'src5')").withColumn("text", F.lit("Alpha beta\nGamma delta\n")).withColumn("blob", F.md5("text"))
+
+    def broken(f):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        refresh.upsert(spark, folder, changed, tables | {"symbols": broken})
+    assert refresh.upsert(spark, folder, changed, tables)["changed"] == changed.count()
+    now = files.join(changed.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(changed)
+    chunks = corpus.window_chunks(now, 8, True)
+    stored = lambda t: spark.read.parquet(f"{folder}/{t}")
+    for name, want in (("chunks", chunks), ("symbols", corpus.line_symbols(now)), ("postings", index.postings_of(chunks)), ("files", now)):
+        got = stored(name).select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    assert refresh.statistics(spark, folder).first() == index.statistics(chunks).first()
+
+
+def test_refresh_takes_the_latest_version(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    rows = [("r", "a", "text", f"b{i}", 1, 0, f"v{i} x\ny z\n", i * 7 % 5) for i in range(5)]
+    frame = spark.createDataFrame(rows, refresh.FILES + ", at int")
+    assert refresh.upsert(spark, folder, frame.repartition(3), lambda f: corpus.window_chunks(f, 8, True), "at") == {"added": 1, "changed": 0}
+    assert spark.read.parquet(f"{folder}/files").first()["blob"] == "b2"
+    assert spark.read.parquet(f"{folder}/chunks").first()["body"].startswith("v2")
