@@ -5,15 +5,19 @@
 2. NN-descent: each node's neighbours and those it is a neighbour of are compared with each other
    and lists take what is nearer, until few entries change.  Leaves and neighbourhoods above PIECE
    nodes are compared in pieces of that size.
-3. A node whose list is saturated (half of it or more are links) gets its whole list: saturated nodes are
-   gathered around pivots, and since angles obey the triangle inequality, all their links lie within
-   the pivot's radius plus the link angle of the pivot.  That region is compared in blocks, which
-   count links and join components; nothing is written out per pair.  Every other node of a leaf or
-   neighbourhood that was cut into pieces, however few its links, is compared with all nodes.
-4. Recall is audited against brute force for a fixed number of nodes, as a mean over nodes, so that
-   a large group doesn't speak for small ones, and again over those that were not completed; below
-   TARGET more trees are grown and the descent goes on.  When rounds run out, all nodes that are not
-   complete yet are compared with all others.
+3. The list of a node that is saturated (half of it or more are links) is enlarged, not step by step,
+   which would send each neighbourhood's vectors again for every member, but at once to all that is in
+   reach: saturated nodes are gathered around pivots, and since angles obey the triangle inequality, all
+   their links lie within the pivot's radius (half the link angle at most) plus the link angle of the
+   pivot.  That region is compared in blocks, which count links and join components; nothing is written
+   out per pair.  Every other node of a leaf or neighbourhood that was cut into pieces, however few its
+   links, and every saturated node that no pivot was found for, is compared with all nodes.
+4. Recall is audited against brute force, as a mean over nodes, so that a large group doesn't speak for
+   small ones, and again over those that were not completed; below TARGET more trees are grown and the
+   descent goes on.  The audit takes more nodes until MEASURED of them have links, up to MOST_AUDITED;
+   where links are too rare for that, recall counts as unmeasured, all rounds of trees are run, and the
+   result says so (``report``).  When rounds run out below TARGET, all nodes that are not complete yet
+   are compared with all others.
 
 Links are decided in double precision.  Vectors travel as they came (four or eight bytes a component).
 
@@ -23,10 +27,13 @@ Defined results
   do rows with a null id.  Vectors of different lengths don't link.
 * Each input row gives one row.  Of several vectors with one id the one with the smallest bytes counts.
 * n_links counts other ids, equal vectors included.  An empty table gives an empty result.
+* Ids are whole numbers of any width; others raise an error.  Only the two named columns are read, so
+  further columns may have any names.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -40,6 +47,8 @@ from pyspark.sql.window import Window
 from .components import components
 from .scratch import Scratch
 
+log = logging.getLogger(__name__)
+
 K, TREES, LEAF = 10, 24, 48
 #: A list counts as saturated from so many links on, its own and those of others to it.
 SATURATED = K // 2
@@ -49,7 +58,11 @@ KEEP = 3
 PIECE, BLOCK, PART, PIVOTS = 1024, 512, 2048, 4096
 #: NN-descent ends when less than this share of entries is new, or after so many turns.
 SETTLED, TURNS = 0.01, 3
-AUDIT, TARGET, ROUNDS = 2048, 0.995, 4
+TARGET, ROUNDS = 0.995, 4
+#: Nodes that are audited at first and at most (and bytes of their vectors, which are broadcast), and how many of them have to have links.
+AUDIT, MOST_AUDITED, MOST_BYTES, MEASURED = 2048, 32768, 64 << 20, 50
+#: Turns in which pivots are looked for, and new pivots of a component in the first turn; twice as many in each next one, up to eight times.
+PIVOT_TURNS, PICKS = 8, 8
 
 
 def _unit(raw: pa.Array, kind: str) -> np.ndarray:
@@ -173,12 +186,14 @@ def _descend(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float, sc
     return graph
 
 
-def _pivots(saturated: DataFrame, nodes: DataFrame, angle: float, kind: str, scratch: Scratch, name: str) -> DataFrame:
-    """pivot, x, angle: each saturated node with a pivot within ``angle`` of it; some eight new pivots a component and turn."""
-    left, parts, turn = saturated, [], 0
-    while not left.isEmpty():
+def _pivots(saturated: DataFrame, nodes: DataFrame, angle: float, kind: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """pivot, x, angle: saturated nodes with a pivot within ``angle`` of them; and those (id) without one after PIVOT_TURNS."""
+    left, turn = saturated, 0
+    found = nodes.sparkSession.createDataFrame([], "pivot bigint, x bigint, angle double")
+    while turn < PIVOT_TURNS and not left.isEmpty():
         size = left.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-        pick = left.join(size, "root").where(F.expr(f"id = least or pmod(xxhash64(id, {turn}), greatest(n div 8, 1)) = 0"))
+        picks = PICKS << min(turn, 3)
+        pick = left.join(size, "root").where(F.expr(f"id = least or pmod(xxhash64(id, {turn}), greatest(n div {picks}, 1)) = 0"))
         pick = pick.select("root", F.col("id").alias("pivot")).join(nodes.select(F.col("id").alias("pivot"), F.col("raw").alias("praw")), "pivot")
         both = left.join(pick, "root").join(nodes.select("id", "raw"), "id").where("length(raw) = length(praw)")
 
@@ -195,17 +210,18 @@ def _pivots(saturated: DataFrame, nodes: DataFrame, angle: float, kind: str, scr
 
         at = both.select("pivot", "id", "raw", "praw").mapInArrow(near, "pivot bigint, x bigint, angle double").where(F.col("angle") <= angle)
         at = at.groupBy("x").agg(F.min(F.struct("angle", "pivot")).alias("b")).select("b.pivot", "x", "b.angle")
-        parts.append(scratch.keep(f"{name}-pivots-{turn}", at))
-        left = scratch.keep(f"{name}-left-{turn}", left.join(parts[-1].select(F.col("x").alias("id")), "id", "left_anti"))
+        at = scratch.keep(f"{name}-pivots-{turn}", at)
+        found = found.unionByName(at)
+        left = scratch.keep(f"{name}-left-{turn}", left.join(at.select(F.col("x").alias("id")), "id", "left_anti"))
         turn += 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return found, left.select("id")
+
 
+def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, scratch: Scratch, name: str, cuts: list) -> tuple[DataFrame, DataFrame]:
+    """(x, n): all links of saturated nodes, counted; (x, y): links to other nodes, and enough of those within to join components.
 
-def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """(x, n): all links of saturated nodes, counted; (x, y): links to other nodes, and enough of those within to join components."""
+    ``cuts`` gets a table of the saturated nodes (id) that remain.
+    """
     links = graph.where(F.col("cos") >= threshold)
     either = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     full = either.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SATURATED).select(F.col("u").alias("id"))
@@ -216,7 +232,9 @@ def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, s
     roots = components(links.select(F.col("u").alias("x"), F.col("v").alias("y")), scratch, f"{name}-links")
     saturated = full.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     reach = math.acos(threshold) + 1e-6
-    near = scratch.keep(f"{name}-near", _pivots(scratch.keep(f"{name}-saturated", saturated), nodes, reach, kind, scratch, name))
+    near, left = _pivots(scratch.keep(f"{name}-saturated", saturated), nodes, reach / 2, kind, scratch, name)
+    near = scratch.keep(f"{name}-near", near)
+    cuts.append(left)
     radius = near.groupBy("pivot").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     radius = radius.join(nodes.select(F.col("id").alias("pivot"), "raw"), "pivot")
     radius = scratch.keep(f"{name}-radius", radius)
@@ -224,6 +242,7 @@ def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, s
     flagged = nodes.join(full.withColumnRenamed("id", "f"), F.col("id") == F.col("f"), "left").select("id", "raw", "mult", F.col("f").isNotNull().alias("full"))
     region = None
     chunk: list = []
+    sends: list = []
 
     def within(pivots: list) -> DataFrame:
         """pivot and id of the nodes in the regions of some pivots, a number of bounded size."""
@@ -235,6 +254,7 @@ def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, s
             for s, rows in by_size.items()
         }
         sent = graph.sparkSession.sparkContext.broadcast(packed)
+        sends.append(sent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -252,14 +272,20 @@ def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, s
 
         return flagged.mapInArrow(run, "pivot bigint, id bigint, raw binary, mult bigint, full boolean")
 
+    def written(name: str) -> DataFrame:
+        part = scratch.keep(name, within(chunk))
+        sends.pop().unpersist()
+        chunk.clear()
+        return part
+
     turn = 0
     for r in radius.select("pivot", "radius", "raw").toLocalIterator():
         chunk.append(r)
         if len(chunk) == PIVOTS:
-            part = scratch.keep(f"{name}-region-{turn}", within(chunk))
-            region, chunk, turn = (part if region is None else region.unionByName(part)), [], turn + 1
+            part = written(f"{name}-region-{turn}")
+            region, turn = (part if region is None else region.unionByName(part)), turn + 1
     if chunk:
-        part = scratch.keep(f"{name}-region-{turn}", within(chunk))
+        part = written(f"{name}-region-{turn}")
         region = part if region is None else region.unionByName(part)
 
     parts = region.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
@@ -339,6 +365,7 @@ def _sweep(targets: DataFrame, full: DataFrame, nodes: DataFrame, threshold: flo
     flagged = nodes.join(whole, F.col("id") == F.col("f"), "left").select("id", "raw", "mult", F.col("f").isNotNull().alias("full"))
     flagged = scratch.keep(f"{name}-flagged", flagged)
     chunk: list = []
+    sends: list = []
 
     def against(rows: list) -> DataFrame:
         """x, y, n for some nodes, a number of bounded size: counts have no y, links no n."""
@@ -347,6 +374,7 @@ def _sweep(targets: DataFrame, full: DataFrame, nodes: DataFrame, threshold: flo
             by_size.setdefault(len(r["raw"]), []).append(r)
         packed = {s: (np.array([r["id"] for r in own]), _unit(pa.array([bytes(r["raw"]) for r in own]), kind)) for s, own in by_size.items()}
         sent = nodes.sparkSession.sparkContext.broadcast(packed)
+        sends.append(sent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = {s: np.zeros(len(ids), np.int64) for s, (ids, _) in sent.value.items()}
@@ -382,13 +410,18 @@ def _sweep(targets: DataFrame, full: DataFrame, nodes: DataFrame, threshold: flo
         return flagged.mapInArrow(run, "x bigint, y bigint, n bigint")
 
     parts: list[DataFrame] = []
+
+    def write() -> None:
+        parts.append(scratch.keep(f"{name}-{len(parts)}", against(chunk)))
+        sends.pop().unpersist()
+        chunk.clear()
+
     for r in nodes.join(targets.select("id").distinct(), "id", "left_semi").select("id", "raw").toLocalIterator():
         chunk.append(r)
         if len(chunk) == PIVOTS:
-            parts.append(scratch.keep(f"{name}-{len(parts)}", against(chunk)))
-            chunk = []
+            write()
     if chunk:
-        parts.append(scratch.keep(f"{name}-{len(parts)}", against(chunk)))
+        write()
     schema = "x bigint, y bigint, n bigint"
     paths = [f"{scratch.path}/{name}-{i}" for i in range(len(parts))]
     both = nodes.sparkSession.read.schema(schema).parquet(*paths) if paths else nodes.sparkSession.createDataFrame([], schema)
@@ -398,11 +431,31 @@ def _sweep(targets: DataFrame, full: DataFrame, nodes: DataFrame, threshold: flo
     return scratch.keep(f"{name}-counts", counts), both.where("n is null").select("x", "y")
 
 
-def _recall(nodes: DataFrame, found: DataFrame, counted: DataFrame, threshold: float, kind: str) -> float:
-    """Share of its links found for a node, against brute force: the mean over AUDIT nodes, or over those of them not counted in full (x), if less."""
+def _recall(nodes: DataFrame, found: DataFrame, counted: DataFrame, threshold: float, kind: str, report: dict) -> float | None:
+    """Share of its links found for a node, against brute force: the mean over audited nodes, or over those of them not counted in full (x), if less.
+
+    None where too few nodes have links to say.  ``report`` gets it and the numbers of nodes that were audited and that have links.
+    """
+    row = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("raw")).alias("bytes")).first()
+    size, total = AUDIT, row["n"]
+    most = min(total, max(AUDIT, min(MOST_AUDITED, MOST_BYTES // (2 * row["bytes"]))))
+    while True:
+        shares = _shares(nodes, found, counted, threshold, kind, size)
+        if len(shares) >= MEASURED or size >= most:
+            break
+        size = min(4 * size, most)
+    means = [float(np.mean(x)) for x in ([s for s, _ in shares], [s for s, whole in shares if not whole]) if x]
+    known = len(shares) >= MEASURED or size >= total
+    recall = min(means, default=1.0) if known else None
+    report |= {"recall": recall, "audited": min(size, total), "with_links": len(shares)}
+    return recall
+
+
+def _shares(nodes: DataFrame, found: DataFrame, counted: DataFrame, threshold: float, kind: str, size: int) -> list[tuple[float, bool]]:
+    """For the audited nodes with links: the share that was found, and whether the node was counted in full."""
     picked = nodes.join(found, F.col("id") == F.col("rep"), "left").join(counted.select("x"), F.col("id") == F.col("x"), "left")
     picked = picked.select("id", "raw", F.coalesce("links", F.lit(0)).alias("links"), F.col("x").isNotNull().alias("whole"))
-    rows = picked.orderBy(F.xxhash64("id", F.lit(97))).limit(AUDIT).collect()
+    rows = picked.orderBy(F.xxhash64("id", F.lit(97))).limit(size).collect()
     packed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for s in {len(r["raw"]) for r in rows}:
         own = [r for r in rows if len(r["raw"]) == s]
@@ -417,8 +470,8 @@ def _recall(nodes: DataFrame, found: DataFrame, counted: DataFrame, threshold: f
                 if s in sent.value:
                     own = np.flatnonzero(size == s)
                     ids, x = sent.value[s]
-                    for lo in range(0, len(own), 1024):
-                        take = pa.array(own[lo : lo + 1024])
+                    for lo in range(0, len(own), 256):
+                        take = pa.array(own[lo : lo + 256])
                         hit = x @ _unit(b.column("raw").take(take), kind).T >= threshold
                         hit &= ids[:, None] != b.column("id").take(take).to_numpy()[None]
                         for i, n in zip(ids.tolist(), (hit @ b.column("mult").take(take).to_numpy()).tolist()):
@@ -426,21 +479,26 @@ def _recall(nodes: DataFrame, found: DataFrame, counted: DataFrame, threshold: f
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["id", "n"])
 
     truth = {r["id"]: r["n"] for r in nodes.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    shares = [(min(truth[r["id"]], r["links"]) / truth[r["id"]], r["whole"]) for r in rows if truth.get(r["id"])]
-    means = [float(np.mean(x)) for x in ([s for s, _ in shares], [s for s, whole in shares if not whole]) if x]
-    return min(means, default=1.0)
+    sent.unpersist()
+    return [(min(truth[r["id"]], r["links"]) / truth[r["id"]], r["whole"]) for r in rows if truth.get(r["id"])]
 
 
-def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept."""
+def link_vectors(
+    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, report: dict | None = None
+) -> DataFrame:
+    """One row per vector: id, n_links, component_id, kept.  ``report`` gets the figures of the last audit and the number of rounds."""
     spark = df.sparkSession
+    id_type = df.schema[id_col].dataType
+    if not isinstance(id_type, T.IntegralType):
+        raise TypeError(f"ids are {id_type.simpleString()}, not whole numbers")
+    report = {} if report is None else report
     scratch = Scratch(spark, "vectors")
     element = df.schema[vec_col].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
     vec = F.col(f"`{vec_col}`")
     numeric = vec if kind == "<f4" else vec.cast("array<double>")
     sound = vec.isNotNull() & F.forall(numeric, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(numeric, lambda x: x != 0)
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.when(F.coalesce(sound, F.lit(False)), numeric).alias("v"))
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.when(F.coalesce(sound, F.lit(False)), numeric).alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -476,7 +534,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         graph = scratch.keep(f"{name}-seeds", _best(graph.unionByName(seeds)))
         scratch.drop(f"{name}-codes")
         graph = _descend(graph, nodes, kind, threshold, scratch, name, cuts)
-        more, found = _complete(graph, nodes, threshold, kind, scratch, name)
+        more, found = _complete(graph, nodes, threshold, kind, scratch, name, cuts)
         # what was counted in full in an earlier round stays so
         counts = scratch.keep(f"{name}-counts", counts.unionByName(more.join(counts.select("x"), "x", "left_anti").select("x", "n")))
         joins = joins.unionByName(found)
@@ -490,10 +548,16 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         near = graph.where(F.col("cos") >= threshold).select("u", "v")
         result = combine(name, near, counts, joins)
         edges = scratch.keep(f"{name}-edges", near.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(joins))
-        if _recall(nodes, result, counts, threshold, kind) >= TARGET:
+        recall = _recall(nodes, result, counts, threshold, kind, report)
+        report |= {"rounds": turn + 1, "swept": False}
+        log.info("NN-descent: %s", report)
+        if recall is not None and recall >= TARGET:
             break
     else:
-        if total > 1:
+        if total > 1 and recall is None:
+            log.warning("links are too rare for an audit: %s", report)
+        elif total > 1:
+            report["swept"] = True
             full = counts.select(F.col("x").alias("id"))
             more, found = _sweep(nodes.join(full, "id", "left_anti"), full, nodes, threshold, kind, scratch, "rest")
             result = combine("rest", near, counts.unionByName(more), joins)
@@ -506,7 +570,8 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     out = rows.select("id").join(mine.hint("merge"), F.col("id") == F.col("vid"), "left")
     component = F.coalesce("component", "id")
     return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
+        F.col("id").cast(id_type).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        component.cast(id_type).alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"),
     )
 
 

@@ -244,6 +244,55 @@ def test_pairs_in_a_dense_topic(spark, monkeypatch):
     assert vectors_found(frame) == expected
 
 
+def test_vectors_with_a_common_direction(spark):
+    """All cosines are around 0.55, of groups and pairs above 0.9; nothing is patched."""
+    rng = np.random.default_rng(11)
+    base = 1.1 * np.ones(32) + rng.standard_normal((2500, 32))
+    groups = [base[i] + 0.25 * rng.standard_normal((n, 32)) for i, n in ((0, 300), (1, 40), (2, 8), (3, 3))]
+    x = np.concatenate([base, *groups, base[100:250] + 0.45 * rng.standard_normal((150, 32))])
+    frame = spark.createDataFrame([(i, v.tolist(), "x", 1) for i, v in enumerate(x)], "vec_id int, embedding array<double>, id string, n int")
+    report = {}
+    out = embed_dedup.link_vectors(frame, report=report)
+    assert out.schema["vec_id"].dataType == out.schema["component_id"].dataType == frame.schema["vec_id"].dataType
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    true = {i: n - 1 for i, n in enumerate((u @ u.T >= 0.9).sum(1))}
+    found = {r["vec_id"]: r["n_links"] for r in out.collect()}
+    linked = [i for i in true if true[i]]
+    assert all(found[i] <= true[i] for i in true)
+    assert np.mean([found[i] / true[i] for i in linked]) > 0.99
+    assert report["with_links"] >= 50 and report["recall"] >= embed_dedup.TARGET
+
+
+def test_pivots_that_run_out(spark, monkeypatch):
+    """A long chain of vectors, each linked to some neighbours: those without a pivot are compared with all."""
+    rng = np.random.default_rng(4)
+    x = [rng.standard_normal(12)]
+    for _ in range(700):
+        x.append(x[-1] / np.linalg.norm(x[-1]) + 0.1 * rng.standard_normal(12) / np.sqrt(12) * 1.5)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(embed_dedup, "PIVOT_TURNS", 1)
+    expected = links_and_components(np.array(x))
+    assert np.mean([n for n, _ in expected.values()]) > 5
+    assert vectors_found(frame) == expected
+
+
+def test_links_too_rare_for_an_audit(spark, monkeypatch):
+    """All rounds are run, and the report says that recall is not known."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((600, 24))
+    x[:3] = x[3:6] + 0.01
+    monkeypatch.setattr(embed_dedup, "AUDIT", 16)
+    monkeypatch.setattr(embed_dedup, "MOST_AUDITED", 64)
+    monkeypatch.setattr(embed_dedup, "ROUNDS", 2)
+    report = {}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(frame, report=report).collect()}
+    assert (report["recall"], report["rounds"], report["audited"], report["swept"]) == (None, 2, 64, False)
+    assert sum(found.values()) == 6
+    with pytest.raises(TypeError):
+        embed_dedup.link_vectors(frame.withColumn("vec_id", frame["vec_id"].cast("string")))
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_queries_run(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
