@@ -45,8 +45,10 @@ def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = items.withColumn("w", words(F.col("text"))).withColumn("word", F.try_element_at(longest, F.lit(1))["x"])
     short = keyed.where("word is null").select("item_id", F.col("text").alias("item"))
     keyed = keyed.where("word is not null").select("item_id", F.col("text").alias("item"), "word")
-    by_word = files.select("repo", "path", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    found = by_word.join(broadcast_if_small(keyed, 10_000), "word").where(F.col("text").contains(F.col("item")))
+    # words travel without their texts; only files that hold an item's word are looked at again
+    by_word = files.select("repo", "path", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    maybe = by_word.join(broadcast_if_small(keyed, 10_000), "word").select("item_id", "item", "repo", "path")
+    found = files.join(maybe, ["repo", "path"]).where(F.col("text").contains(F.col("item")))
     rest = files.join(broadcast_if_small(short, 10_000), F.col("text").contains(F.col("item")))
     place = F.concat_ws(":", "repo", "path").alias("place")
     return found.select("item_id", place).unionByName(rest.select("item_id", place)).distinct()
