@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .scratch import Scratch
+from .scratch import Scratch, shuffle_width
 
 WINDOW, PREFIX, GROUP = 20, 8, 4096
 #: Stretches whose trees are built at once, all groups together; the groups that stand in them are whole.
@@ -172,6 +172,7 @@ def remove_repeats(
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     texts = _texts(docs, id_col, text_col)
+    by_id = _Texts(texts, scratch)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in wordhash.sparing(batches):
@@ -223,7 +224,7 @@ def remove_repeats(
                 )
 
     # rows of one id with different words each bring the stretches they have
-    some = _only(texts, found.select("id")).join(found.hint("merge"), "id")
+    some = by_id.joined(found)
     places = "h bigint, d1 bigint, d2 bigint, id bigint, f bigint, start int, lead int, wins int"
     places = scratch.keep("places", some.mapInArrow(cut, places))
     scratch.drop("found")
@@ -274,7 +275,7 @@ def remove_repeats(
                         ["h", "id", "f", "start", "lead", "wins", "words", "w1", "w2"],
                     )
 
-    some = _only(texts, asked.select("id")).join(asked.hint("merge"), "id")
+    some = by_id.joined(asked)
     cuts = some.mapInArrow(suffixes, "h bigint, id bigint, f bigint, start int, lead int, wins int, words binary, w1 bigint, w2 bigint")
     cuts = scratch.keep("suffixes", cuts)
     scratch.drop("asked")
@@ -350,10 +351,11 @@ def remove_repeats(
                 )
 
     # A text whose windows all start earlier elsewhere under the same id and words is covered like its first row.
-    part = _only(texts, repeated.select("id")).join(repeated.hint("merge"), "id")
+    part = by_id.joined(repeated)
     covered = "id bigint, n bigint, f bigint, g bigint, gone bigint, kept_sha string, kept string, spans array<struct<first: int, last: int>>"
     part = part.mapInArrow(cover, covered).dropDuplicates(["id", "n", "f", "g"])
     part = scratch.keep("covered", part)
+    by_id.drop()
     marks = meta.drop("prefixes").join(first.select("f", "g", "n", F.col("id").alias("first_id")).hint("merge"), ["f", "g", "n"], "left")
     whole = F.expr("first_id is not null and first_id <> id")
     marks = marks.join(part.hint("merge"), ["id", "n", "f", "g"], "left")
@@ -368,9 +370,33 @@ def remove_repeats(
     return out if with_text else out.drop("kept_text", "spans")
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows with one of the ids: texts don't move while the ids are few enough to send to all."""
-    return texts.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_IDS else texts
+class _Texts:
+    """The texts (id, text), to be joined with what is known of some ids, several times.
+
+    While those ids are few enough they are sent to all tasks, and no text moves.  Beyond that the texts
+    are dealt out by id once, into a table with a bucket for each shuffle partition, and all joins merge with it.
+    """
+
+    def __init__(self, texts: DataFrame, scratch: Scratch):
+        self.texts, self.scratch, self.table = texts, scratch, None
+
+    def joined(self, of_ids: DataFrame) -> DataFrame:
+        """The texts with the rows of their ids."""
+        ids = of_ids.select("id").distinct()
+        if self.table is None and ids.count() <= BROADCAST_IDS:
+            return self.texts.join(F.broadcast(ids), "id", "left_semi").join(of_ids.hint("merge"), "id")
+        spark = self.texts.sparkSession
+        if self.table is None:
+            self.table = "quarrylight_texts_" + self.scratch.path.rpartition("-")[2]
+            n = shuffle_width(spark)
+            dealt = self.texts.repartition(n, "id").write.format("parquet").bucketBy(n, "id").sortBy("id")
+            dealt.option("path", f"{self.scratch.path}/texts").saveAsTable(self.table)
+        return spark.table(self.table).join(of_ids.hint("merge"), "id")
+
+    def drop(self) -> None:
+        if self.table:
+            self.texts.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+            self.scratch.drop("texts")
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
