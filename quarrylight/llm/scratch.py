@@ -8,6 +8,7 @@ folder of one machine would hold a part of each table only.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +39,34 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """A folder of one operator run; each table in it is written once and can be dropped."""
+    """A folder of one operator run; each table in it is written once and can be dropped.
+
+    What an operator returns reads from its folder, so only its caller knows when the folder can go:
+    as soon as the result is written, by ``drop_since``.
+    """
+
+    _own = threading.local()
 
     def __init__(self, spark: SparkSession, label: str):
         small_batches(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/quarrylight/{label}-{uuid.uuid4().hex}"
+        Scratch.made().append(self)
+
+    @classmethod
+    def made(cls) -> list[Scratch]:
+        """The folders that this thread has made."""
+        if not hasattr(cls._own, "made"):
+            cls._own.made = []
+        return cls._own.made
+
+    @classmethod
+    def drop_since(cls, n: int) -> None:
+        """Removes the folders that this thread made after its first ``n``."""
+        made = cls.made()
+        for s in made[n:]:
+            s.drop("")
+        del made[n:]
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and read it back: lineage ends here and survives lost executors."""

@@ -382,6 +382,21 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert expected and pipeline_rows(out) == expected
 
 
+def test_pipeline_leaves_its_result_alone(spark):
+    """What stages wrote on their way is gone; no table stays in the catalog."""
+    from pathlib import Path
+
+    import corpus_pipeline
+    from quarrylight.llm.scratch import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:").replace("//", "/")) / "quarrylight"
+    before, tables = set(folder.iterdir()) if folder.exists() else set(), {t.name for t in spark.catalog.listTables()}
+    out = corpus_pipeline.run(spark, SF)
+    (left,) = set(folder.iterdir()) - before
+    assert left.name.startswith("pipeline-") and [x.name for x in left.iterdir() if x.is_dir()] == ["stage-4"]
+    assert {t.name for t in spark.catalog.listTables()} == tables and out.count() > 0
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
