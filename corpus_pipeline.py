@@ -53,11 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again by the next."""
+    """All stages, each written as Parquet and read again by the next; what a stage wrote on its way goes when it is done."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        before = len(Scratch.made())
         docs = scratch.keep(f"stage-{i}", stage(spark, docs, sf_dir))
+        Scratch.drop_since(before)
         if i:
             scratch.drop(f"stage-{i - 1}")
     return docs
