@@ -30,7 +30,8 @@ Defined results
 * Earlier is: smaller id, or same id and earlier start.  A null id is smaller than any other.
 * Repeated rows (same id and words) get the same result.  Rows of one id with different words are
   judged by that order too, each with its own windows.
-* Only the two named columns are read; an empty table gives an empty result.
+* Ids are whole numbers of any width; others raise an error.  Only the two named columns are read; an
+  empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordhash
 from .scratch import Scratch, shuffle_width
@@ -152,6 +154,8 @@ def _split(column: pa.Array) -> pa.ListArray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    if not isinstance(kind := docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids are {kind.simpleString()}, not whole numbers")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_NULL_ID))
     return docs.select(ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -360,7 +364,7 @@ def remove_repeats(
     whole = F.expr("first_id is not null and first_id <> id")
     marks = marks.join(part.hint("merge"), ["id", "n", "f", "g"], "left")
     out = marks.select(
-        F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col),
+        F.when(F.col("id") != _NULL_ID, F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col),
         F.col("n").alias("n_words"),
         F.when(whole, F.col("n")).otherwise(F.coalesce("gone", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),

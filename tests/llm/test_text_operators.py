@@ -229,6 +229,15 @@ def test_repeats_of_a_shared_passage(spark, group):
     check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), group=group)
 
 
+def test_repeats_of_other_ids(spark):
+    frame = spark.createDataFrame([(i, " ".join(map(str, range(30)))) for i in range(3)], "doc_id int, text string")
+    out = repeats.remove_repeats(frame)
+    assert out.schema["doc_id"].dataType == T.IntegerType()
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {0: 0, 1: 30, 2: 30}
+    with pytest.raises(TypeError):
+        repeats.remove_repeats(frame.withColumn("doc_id", frame["doc_id"].cast("string")))
+
+
 def shingle_set(text, n):
     w = WORD.findall((text or "").encode().translate(LOWER))
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
