@@ -28,6 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Rows that go to Python at once.  Texts are wide: Spark's default of 10,000 would be tens of MB in the JVM and in each worker.
+#: Spark also ends a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), so very long texts come a few at a time.
 ARROW_ROWS = 2000
 _ARROW, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
