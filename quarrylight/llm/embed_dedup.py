@@ -6,12 +6,14 @@
    and lists take what is nearer, until few entries change.  Leaves and neighbourhoods above PIECE
    nodes are compared in pieces of that size.
 3. The list of a node that is saturated (half of it or more are links) is enlarged, not step by step,
-   which would send each neighbourhood's vectors again for every member, but at once to all that is in
-   reach: saturated nodes are gathered around pivots, and since angles obey the triangle inequality, all
-   their links lie within the pivot's radius (half the link angle at most) plus the link angle of the
-   pivot.  That region is compared in blocks, which count links and join components; nothing is written
-   out per pair.  Every other node of a leaf or neighbourhood that was cut into pieces, however few its
-   links, and every saturated node that no pivot was found for, is compared with all nodes.
+   which would send each neighbourhood's vectors again for every member, but at once to all saturated
+   nodes in reach: these are gathered around pivots, at half the link angle at most, and since angles
+   obey the triangle inequality, links between the nodes of two pivots need pivots within their radii
+   plus the link angle.  Pivots, far fewer than nodes, are compared with all pivots; their nodes are
+   compared in blocks, which count links and join components, and nothing is written out per pair.
+   Links to nodes that aren't saturated stand in the lists of those.  Every node of a leaf or
+   neighbourhood that was cut into pieces and isn't saturated, however few its links, is compared with
+   all nodes.
 4. Recall is audited against brute force, as a mean over nodes, so that a large group doesn't speak for
    small ones, and again over those that were not completed; below TARGET more trees are grown and the
    descent goes on.  The audit takes more nodes until MEASURED of them have links, up to MOST_AUDITED;
@@ -39,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,8 +189,8 @@ def _descend(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float, sc
     return graph
 
 
-def _pivots(saturated: DataFrame, nodes: DataFrame, angle: float, kind: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """pivot, x, angle: saturated nodes with a pivot within ``angle`` of them; and those (id) without one after PIVOT_TURNS."""
+def _pivots(saturated: DataFrame, nodes: DataFrame, angle: float, kind: str, scratch: Scratch, name: str) -> DataFrame:
+    """pivot, x, angle: each saturated node with a pivot within ``angle`` of it; after PIVOT_TURNS the others are pivots themselves."""
     left, turn = saturated, 0
     found = nodes.sparkSession.createDataFrame([], "pivot bigint, x bigint, angle double")
     while turn < PIVOT_TURNS and not left.isEmpty():
@@ -214,87 +217,86 @@ def _pivots(saturated: DataFrame, nodes: DataFrame, angle: float, kind: str, scr
         found = found.unionByName(at)
         left = scratch.keep(f"{name}-left-{turn}", left.join(at.select(F.col("x").alias("id")), "id", "left_anti"))
         turn += 1
-    return found, left.select("id")
+    return found.unionByName(left.select(F.col("id").alias("pivot"), F.col("id").alias("x"), F.lit(0.0).alias("angle")))
 
 
-def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, scratch: Scratch, name: str, cuts: list) -> tuple[DataFrame, DataFrame]:
-    """(x, n): all links of saturated nodes, counted; (x, y): links to other nodes, and enough of those within to join components.
+def _either(links: DataFrame) -> DataFrame:
+    """u, v: links in both directions, once."""
+    return links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
-    ``cuts`` gets a table of the saturated nodes (id) that remain.
-    """
+
+def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(x, n): the links of each saturated node to other saturated nodes, counted; (x, y): links that join their components."""
+    spark = graph.sparkSession
     links = graph.where(F.col("cos") >= threshold)
-    either = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    full = either.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SATURATED).select(F.col("u").alias("id"))
+    full = _either(links).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SATURATED).select(F.col("u").alias("id"))
     full = scratch.keep(f"{name}-full", full)
-    none = graph.sparkSession.createDataFrame([], "x bigint, n bigint"), graph.sparkSession.createDataFrame([], "x bigint, y bigint")
     if full.isEmpty():
-        return none
+        return spark.createDataFrame([], "x bigint, n bigint"), spark.createDataFrame([], "x bigint, y bigint")
     roots = components(links.select(F.col("u").alias("x"), F.col("v").alias("y")), scratch, f"{name}-links")
     saturated = full.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     reach = math.acos(threshold) + 1e-6
-    near, left = _pivots(scratch.keep(f"{name}-saturated", saturated), nodes, reach / 2, kind, scratch, name)
-    near = scratch.keep(f"{name}-near", near)
-    cuts.append(left)
+    near = scratch.keep(f"{name}-near", _pivots(scratch.keep(f"{name}-saturated", saturated), nodes, reach / 2, kind, scratch, name))
     radius = near.groupBy("pivot").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     radius = radius.join(nodes.select(F.col("id").alias("pivot"), "raw"), "pivot")
     radius = scratch.keep(f"{name}-radius", radius)
-
-    flagged = nodes.join(full.withColumnRenamed("id", "f"), F.col("id") == F.col("f"), "left").select("id", "raw", "mult", F.col("f").isNotNull().alias("full"))
-    region = None
+    pairs: list[DataFrame] = []
     chunk: list = []
-    sends: list = []
 
-    def within(pivots: list) -> DataFrame:
-        """pivot and id of the nodes in the regions of some pivots, a number of bounded size."""
+    def beside(pivots: list) -> tuple[DataFrame, Broadcast]:
+        """pivot, other: for some pivots, a number of bounded size, all pivots whose nodes may be linked to theirs."""
         by_size: dict[int, list] = {}
         for r in pivots:
             by_size.setdefault(len(r["raw"]), []).append(r)
         packed = {
-            s: (np.array([r["pivot"] for r in rows]), _unit(pa.array([bytes(r["raw"]) for r in rows]), kind), np.cos(np.minimum([r["radius"] + reach for r in rows], np.pi)))
+            s: (np.array([r["pivot"] for r in rows]), _unit(pa.array([bytes(r["raw"]) for r in rows]), kind), np.array([r["radius"] + reach for r in rows]))
             for s, rows in by_size.items()
         }
-        sent = graph.sparkSession.sparkContext.broadcast(packed)
-        sends.append(sent)
+        sent = spark.sparkContext.broadcast(packed)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 size = np.array([len(r) for r in b.column("raw").to_pylist()])
+                own_radius = b.column("radius").to_numpy()
                 for s in np.unique(size):
                     if s not in sent.value:
                         continue
                     own = np.flatnonzero(size == s)
-                    ids, x, least = sent.value[s]
+                    ids, x, most = sent.value[s]
                     for lo in range(0, len(own), 1024):
                         some = own[lo : lo + 1024]
-                        r, c = np.nonzero(_unit(b.column("raw").take(pa.array(some)), kind) @ x.T >= least - 1e-9)
-                        t = b.take(pa.array(some[r]))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[c]), *t.columns], ["pivot", "id", "raw", "mult", "full"])
+                        angle = np.arccos(np.clip(_unit(b.column("raw").take(pa.array(some)), kind) @ x.T, -1, 1))
+                        r, c = np.nonzero(angle <= most[None] + own_radius[some][:, None])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[c]), b.column("pivot").take(pa.array(some[r]))], ["pivot", "other"])
 
-        return flagged.mapInArrow(run, "pivot bigint, id bigint, raw binary, mult bigint, full boolean")
+        return radius.select("pivot", "radius", "raw").mapInArrow(run, "pivot bigint, other bigint"), sent
 
-    def written(name: str) -> DataFrame:
-        part = scratch.keep(name, within(chunk))
-        sends.pop().unpersist()
+    def write() -> None:
+        df, sent = beside(chunk)
+        pairs.append(scratch.keep(f"{name}-beside-{len(pairs)}", df))
+        sent.unpersist()
         chunk.clear()
-        return part
 
-    turn = 0
     for r in radius.select("pivot", "radius", "raw").toLocalIterator():
         chunk.append(r)
         if len(chunk) == PIVOTS:
-            part = written(f"{name}-region-{turn}")
-            region, turn = (part if region is None else region.unionByName(part)), turn + 1
+            write()
     if chunk:
-        part = written(f"{name}-region-{turn}")
-        region = part if region is None else region.unionByName(part)
-
-    parts = region.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+        write()
+    paths = [f"{scratch.path}/{name}-beside-{i}" for i in range(len(pairs))]
+    adjacent = spark.read.schema("pivot bigint, other bigint").parquet(*paths)
+    own = near.select("pivot", F.col("x").alias("id")).join(nodes.select("id", "raw", "mult"), "id")
+    own = scratch.keep(f"{name}-own", own)
+    region = adjacent.join(own.withColumnRenamed("pivot", "other"), "other").drop("other")
+
+    held = near.groupBy(F.col("pivot").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    parts = adjacent.join(held, "other").groupBy("pivot").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
     blocks = scratch.keep(f"{name}-blocks", radius.select("pivot", "blocks").join(parts, "pivot"))
-    heads = near.select("pivot", F.col("x").alias("id")).join(blocks, "pivot").join(flagged, "id")
+    heads = own.join(blocks, "pivot")
     block, part = F.expr("cast(pmod(xxhash64(id), blocks) as int)"), F.expr("cast(pmod(xxhash64(id, 1), parts) as int)")
     heads = heads.select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), block.alias("b"), F.lit(0).alias("kind"))
     rest = region.join(blocks, "pivot").select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"), part.alias("part"), F.lit(1).alias("kind"))
-    columns = ["pivot", F.concat_ws(":", "b", "part").alias("blk"), "kind", "id", "raw", "mult", "full"]
+    columns = ["pivot", F.concat_ws(":", "b", "part").alias("blk"), "kind", "id", "raw", "mult"]
     both = heads.select(*columns).unionByName(rest.select(*columns))
     dealt = both.repartition("pivot", "blk").sortWithinPartitions("pivot", "blk", "kind")
 
@@ -310,7 +312,7 @@ def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, s
 
         def more(t: pa.RecordBatch) -> list[tuple]:
             out = []
-            y, mult, is_full = t.column("id").to_numpy(), t.column("mult").to_numpy(), t.column("full").to_pylist()
+            y, mult = t.column("id").to_numpy(), t.column("mult").to_numpy()
             for lo in range(0, len(y), 1024):
                 part = slice(lo, lo + 1024)
                 hit = state["x"] @ _unit(t.column("raw").slice(lo, 1024), kind).T >= threshold
@@ -322,10 +324,7 @@ def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, s
                     seen = np.unique(label[own])
                     if len(seen) > 1:
                         label[np.isin(label, seen)] = seen[0]
-                    if is_full[lo + j]:
-                        out.append((int(y[lo + j]), int(state["ids"][own[0]]), None))
-                    else:
-                        out += [(int(y[lo + j]), int(state["ids"][i]), None) for i in own]
+                    out.append((int(y[lo + j]), int(state["ids"][own[0]]), None))
             return out
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -359,11 +358,8 @@ def _complete(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, s
     return counts, both.where("n is null").select("x", "y")
 
 
-def _sweep(targets: DataFrame, full: DataFrame, nodes: DataFrame, threshold: float, kind: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """As _complete, for any nodes (id): each is compared with all.  ``full`` (id) has other nodes that are counted in full."""
-    whole = targets.select("id").unionByName(full.select("id")).distinct().withColumnRenamed("id", "f")
-    flagged = nodes.join(whole, F.col("id") == F.col("f"), "left").select("id", "raw", "mult", F.col("f").isNotNull().alias("full"))
-    flagged = scratch.keep(f"{name}-flagged", flagged)
+def _sweep(targets: DataFrame, nodes: DataFrame, threshold: float, kind: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Compares some nodes (id) with all: (x, n), all links of each, counted, and (x, y), the links."""
     chunk: list = []
     sends: list = []
 
@@ -378,36 +374,27 @@ def _sweep(targets: DataFrame, full: DataFrame, nodes: DataFrame, threshold: flo
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = {s: np.zeros(len(ids), np.int64) for s, (ids, _) in sent.value.items()}
-            labels = {s: np.arange(len(ids)) for s, (ids, _) in sent.value.items()}
-
-            def batch(rows: list[tuple]) -> pa.RecordBatch:
-                x, y, n = zip(*rows) if rows else ((), (), ())
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (x, y, n)], ["x", "y", "n"])
 
             for b in batches:
                 size = np.array([len(r) for r in b.column("raw").to_pylist()])
                 for s in np.unique(size):
                     if s not in sent.value:
                         continue
-                    own, label = np.flatnonzero(size == s), labels[s]
+                    own = np.flatnonzero(size == s)
                     ids, x = sent.value[s]
                     for lo in range(0, len(own), 1024):
                         t = b.take(pa.array(own[lo : lo + 1024]))
-                        y, is_full, out = t.column("id").to_numpy(), t.column("full").to_pylist(), []
+                        y = t.column("id").to_numpy()
                         hit = x @ _unit(t.column("raw"), kind).T >= threshold
                         hit &= ids[:, None] != y[None]
                         n[s] += hit @ t.column("mult").to_numpy()
-                        for j in np.flatnonzero(hit.any(0)):
-                            at = np.flatnonzero(hit[:, j])
-                            seen = np.unique(label[at])
-                            if len(seen) > 1:
-                                label[np.isin(label, seen)] = seen[0]
-                            out += [(int(y[j]), int(ids[i]), None) for i in (at[:1] if is_full[j] else at)]
-                        yield batch(out)
+                        i, j = np.nonzero(hit)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(y[j]), pa.nulls(len(i), pa.int64())], ["x", "y", "n"])
             for s, (ids, _) in sent.value.items():
-                yield batch([(int(i), None, int(k)) for i, k in zip(ids, n[s]) if k] + [(int(i), int(ids[l]), None) for i, l in zip(ids, labels[s]) if ids[l] != i])
+                own = np.flatnonzero(n[s])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.array(n[s][own])], ["x", "y", "n"])
 
-        return flagged.mapInArrow(run, "x bigint, y bigint, n bigint")
+        return nodes.select("id", "raw", "mult").mapInArrow(run, "x bigint, y bigint, n bigint")
 
     parts: list[DataFrame] = []
 
@@ -514,17 +501,24 @@ def link_vectors(
     bits = max(1, math.ceil(math.log2(max(total, 1) / LEAF))) if total > LEAF else 1
     graph = spark.createDataFrame([], "u bigint, v bigint, cos double")
     result = spark.createDataFrame([], "rep bigint, links bigint")
-    edges = joins = spark.createDataFrame([], "x bigint, y bigint")
-    counts = spark.createDataFrame([], "x bigint, n bigint")
-
-    def combine(name: str, near: DataFrame, counts: DataFrame, joins: DataFrame) -> DataFrame:
-        """rep, links: of nodes counted in full (x, n), and of others by their links."""
-        both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.unionByName(joins.select(F.col("x").alias("u"), F.col("y").alias("v"))).distinct()
-        both = both.join(counts.select(F.col("x").alias("u")), "u", "left_anti")  # the others are counted in full
-        listed = both.join(nodes.select(F.col("id").alias("v"), "mult"), "v").groupBy("u").agg(F.sum("mult").alias("n"))
-        result = counts.select(F.col("x").alias("rep"), F.col("n").alias("links")).unionByName(listed.select(F.col("u").alias("rep"), F.col("n").alias("links")))
-        return scratch.keep(f"{name}-result", result)
+    edges = swept_links = spark.createDataFrame([], "x bigint, y bigint")
+    counts = swept = spark.createDataFrame([], "x bigint, n bigint")
+    joins = edges
+
+    def combine(name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """rep, links of each node with links; (x, y), links that join all components; (x), the nodes whose links were all counted."""
+        links = graph.where(F.col("cos") >= threshold).select("u", "v").unionByName(swept_links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+        edges = scratch.keep(f"{name}-edges", links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(joins))
+        inner = counts.join(swept.select("x"), "x", "left_anti")  # counted against other saturated nodes only
+        both = _either(links).join(swept.select(F.col("x").alias("u")), "u", "left_anti")
+        kinds = counts.select(F.col("x").alias("s"))
+        both = both.join(kinds.withColumnRenamed("s", "us"), F.col("u") == F.col("us"), "left").join(kinds.withColumnRenamed("s", "vs"), F.col("v") == F.col("vs"), "left")
+        both = both.where("us is null or vs is null")  # links between saturated nodes are counted already
+        listed = both.join(nodes.select(F.col("id").alias("v"), "mult"), "v").select(F.col("u").alias("rep"), F.col("mult").alias("links"))
+        every = listed.unionByName(inner.select(F.col("x").alias("rep"), F.col("n").alias("links")))
+        every = every.groupBy("rep").agg(F.sum("links").alias("links"))
+        every = every.unionByName(swept.select(F.col("x").alias("rep"), F.col("n").alias("links")))
+        return scratch.keep(f"{name}-result", every), edges, inner.select("x").unionByName(swept.select("x"))
 
     for turn in range(ROUNDS if total > 1 else 0):
         name = f"round-{turn}"
@@ -534,21 +528,17 @@ def link_vectors(
         graph = scratch.keep(f"{name}-seeds", _best(graph.unionByName(seeds)))
         scratch.drop(f"{name}-codes")
         graph = _descend(graph, nodes, kind, threshold, scratch, name, cuts)
-        more, found = _complete(graph, nodes, threshold, kind, scratch, name, cuts)
-        # what was counted in full in an earlier round stays so
-        counts = scratch.keep(f"{name}-counts", counts.unionByName(more.join(counts.select("x"), "x", "left_anti").select("x", "n")))
-        joins = joins.unionByName(found)
-        full, targets = counts.select(F.col("x").alias("id")), cuts[0]
+        counts, joins = _complete(graph, nodes, threshold, kind, scratch, name)
+        done = counts.select(F.col("x").alias("id")).unionByName(swept.select(F.col("x").alias("id")))
+        targets = cuts[0]
         for c in cuts[1:]:
             targets = targets.unionByName(c)
-        targets = scratch.keep(f"{name}-targets", targets.distinct().join(full, "id", "left_anti"))
+        targets = scratch.keep(f"{name}-targets", targets.distinct().join(done, "id", "left_anti"))
         if not targets.isEmpty():
-            more, found = _sweep(targets, full, nodes, threshold, kind, scratch, f"{name}-sweep")
-            counts, joins = counts.unionByName(more), joins.unionByName(found)
-        near = graph.where(F.col("cos") >= threshold).select("u", "v")
-        result = combine(name, near, counts, joins)
-        edges = scratch.keep(f"{name}-edges", near.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(joins))
-        recall = _recall(nodes, result, counts, threshold, kind, report)
+            more, found = _sweep(targets, nodes, threshold, kind, scratch, f"{name}-sweep")
+            swept, swept_links = swept.unionByName(more), swept_links.unionByName(found)
+        result, edges, counted = combine(name)
+        recall = _recall(nodes, result, counted, threshold, kind, report)
         report |= {"rounds": turn + 1, "swept": False}
         log.info("NN-descent: %s", report)
         if recall is not None and recall >= TARGET:
@@ -558,10 +548,10 @@ def link_vectors(
             log.warning("links are too rare for an audit: %s", report)
         elif total > 1:
             report["swept"] = True
-            full = counts.select(F.col("x").alias("id"))
-            more, found = _sweep(nodes.join(full, "id", "left_anti"), full, nodes, threshold, kind, scratch, "rest")
-            result = combine("rest", near, counts.unionByName(more), joins)
-            edges = scratch.keep("rest-edges", edges.unionByName(found))
+            done = counts.select(F.col("x").alias("id")).unionByName(swept.select(F.col("x").alias("id")))
+            more, found = _sweep(nodes.join(done, "id", "left_anti"), nodes, threshold, kind, scratch, "rest")
+            swept, swept_links = swept.unionByName(more), swept_links.unionByName(found)
+            result, edges, _ = combine("rest")
     roots = components(edges, scratch, "all")
     of_node = nodes.join(result, F.col("id") == F.col("rep"), "left").join(roots, F.col("id") == F.col("node"), "left")
     of_node = of_node.select(F.col("raw").alias("node_raw"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("component"))

@@ -276,6 +276,21 @@ def test_pivots_that_run_out(spark, monkeypatch):
     assert vectors_found(frame) == expected
 
 
+def test_groups_that_only_meet_beyond_their_lists(spark):
+    """Two groups of near copies, all pairs of which are linked, though the lists of each hold only its own."""
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal(32)
+    a /= np.linalg.norm(a)
+    b = rng.standard_normal(32)
+    b -= (a @ b) * a
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * b / np.linalg.norm(b)
+    x = np.concatenate([rng.standard_normal((300, 32)), a + 0.004 * rng.standard_normal((200, 32)), b + 0.004 * rng.standard_normal((150, 32))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    expected = links_and_components(x)
+    assert expected[300] == (349, 300) and expected[649] == (349, 300)
+    assert vectors_found(frame) == expected
+
+
 def test_links_too_rare_for_an_audit(spark, monkeypatch):
     """All rounds are run, and the report says that recall is not known."""
     rng = np.random.default_rng(7)
