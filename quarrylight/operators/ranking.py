@@ -12,21 +12,21 @@ from pyspark.sql.window import Window
 from ..functions import constants as C
 from ..functions import paths
 from ..functions.sizes import SMALL, broadcast_if_small
-from .index import CHUNK, postings
+from .index import CHUNK
 
 ORDER = ["repo", "path", "start_line"]
 
 
-def bm25(tokens: DataFrame, terms: DataFrame, statistics: DataFrame) -> DataFrame:
+def bm25(rows: DataFrame, terms: DataFrame, statistics: DataFrame) -> DataFrame:
     """Scores of chunks for batches of queries: query, repo, path, start_line, bm25.
 
-    ``tokens`` has term, col and a row per occurrence; ``terms`` has query and term, repeated terms
-    counting again; ``statistics`` is one row over the whole index.  Occurrences are cut down to
-    query terms by a broadcast of those terms (if they are few enough) before anything is shuffled; lengths are joined for
-    the chunks that are left.
+    ``rows`` are postings (term, repo, path, start_line, tf, dl) of all terms; ``terms`` has query and term,
+    repeated terms counting again; ``statistics`` is one row over the whole index.  Postings are cut down to
+    query terms by a broadcast of those terms (if they are few enough) before anything is shuffled.  They
+    are read twice, by the counts of terms and by the sums of chunks, so they are dealt out by chunk once.
     """
-    own = tokens.join(broadcast_if_small(terms.select("term").distinct()), "term")
-    return score_postings(postings(own), terms, statistics)
+    own = rows.join(broadcast_if_small(terms.select("term").distinct()), "term")
+    return score_postings(own.repartition(*CHUNK), terms, statistics)
 
 
 def score_postings(rows: DataFrame, terms: DataFrame, statistics: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import paths, text
-from ..functions.sizes import broadcast_if_small
 from ..operators import chunker, index, lookup, ranking, views
 from ..sources import catalog, corpus, evalset
 from . import made_sources, samples
@@ -235,9 +234,7 @@ def asked(spark, sf) -> DataFrame:
 def shortlisted(spark, sf, k: int = C.SHORTLIST) -> DataFrame:
     chunks = chunks_of(spark, sf, body=True)
     terms = asked(spark, sf).select("query", F.explode("terms").alias("term"))
-    own = index.postings_of(chunks).drop("places").join(broadcast_if_small(terms.select("term").distinct()), "term")
-    own = own.repartition(*index.CHUNK)  # read twice, by the counts of terms and by the sums of chunks, which need this partitioning
-    return ranking.shortlist(ranking.score_postings(own, terms, index.statistics(chunks)), k)
+    return ranking.shortlist(ranking.bm25(index.postings_of(chunks).drop("places"), terms, index.statistics(chunks)), k)
 
 
 def scored(spark, sf, k: int = C.SHORTLIST, mentioned: Column | None = None) -> DataFrame:
