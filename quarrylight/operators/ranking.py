@@ -29,15 +29,15 @@ def bm25(rows: DataFrame, terms: DataFrame, statistics: DataFrame) -> DataFrame:
     return score_postings(own.repartition(*CHUNK), terms, statistics)
 
 
-def score_postings(rows: DataFrame, terms: DataFrame, statistics: DataFrame) -> DataFrame:
-    """The same from postings (term, repo, path, start_line, tf, dl) of the queries' terms."""
+def score_postings(rows: DataFrame, terms: DataFrame, statistics: DataFrame, one_query: bool = False) -> DataFrame:
+    """The same from postings (term, repo, path, start_line, tf, dl) of the queries' terms; those of one query need not be counted."""
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     s = statistics.select("n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avgdl"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = df.crossJoin(F.broadcast(s)).select("term", "avgdl", F.when(idf > 0, idf).otherwise(C.LEAST_IDF).alias("idf"))
     asked = terms.join(weights, "term")
     tf = F.col("tf") * (C.K1 + 1) / (F.col("tf") + C.K1 * (1 - C.B + C.B * F.col("dl") / F.col("avgdl")))
-    asked = F.broadcast(asked) if terms.limit(SMALL + 1).count() <= SMALL else asked  # as many rows as terms
+    asked = F.broadcast(asked) if one_query or terms.limit(SMALL + 1).count() <= SMALL else asked  # as many rows as terms
     return rows.join(asked, "term").groupBy("query", *CHUNK).agg(F.sum(F.col("idf") * tf).alias("bm25"))
 
 
@@ -47,12 +47,13 @@ def shortlist(scored: DataFrame, k: int = C.SHORTLIST) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def concept_score(candidates: DataFrame, terms: DataFrame, query_text: str = "", mentioned: Column | None = None) -> DataFrame:
+def concept_score(candidates: DataFrame, terms: DataFrame, query_text: str = "", mentioned: Column | None = None, one_query: bool = False) -> DataFrame:
     """Adds score to query, bm25, symbol, path, kind, flags: matches in symbol and path, kind, and penalties.
 
     Terms are an array per query (column ``terms`` of the frame ``terms``); a candidate is scored in its row.
     """
-    own = candidates.join(broadcast_if_small(terms.select("query", "terms")), "query")
+    asked = terms.select("query", "terms")
+    own = candidates.join(F.broadcast(asked) if one_query else broadcast_if_small(asked), "query")
     most = F.max("bm25").over(Window.partitionBy("query"))
     n = F.size("terms")
     in_symbol = F.size(F.filter("terms", lambda t: (F.col("symbol") != "") & F.contains(F.lower("symbol"), t)))

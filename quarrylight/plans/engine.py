@@ -139,7 +139,7 @@ class Engine:
         listed = ranking.shortlist(in_files).join(meta, ["repo", "path", "start_line"])
         asked = self.spark.createDataFrame([(0, terms)], "query int, terms array<string>")
         mentioned = F.col("repo").isin(named) if named else None
-        hits = ranking.cap_per_file(ranking.concept_score(listed, asked, query, mentioned))
+        hits = ranking.cap_per_file(ranking.concept_score(listed, asked, query, mentioned, one_query=True))
         if self.scorer is None:
             return Result("concept", ranking.top(hits, limit).select(*HIT), "keyword-ranked: no scorer", terms)
         pool = ranking.top(hits, C.JUDGED_DEEP if deep else C.JUDGED)
@@ -175,7 +175,7 @@ class Engine:
                 run = run.join(after, [*index.CHUNK, "col", "pos"], "left_semi")
             rows = rows.unionByName(index.postings(run))
             asked.append((0, " ".join(p)))
-        return ranking.score_postings(rows, self.spark.createDataFrame(asked, "query int, term string"), self.statistics)
+        return ranking.score_postings(rows, self.spark.createDataFrame(asked, "query int, term string"), self.statistics, one_query=True)
 
     def _symbol(self, query: str, files: DataFrame, limit: int) -> Result:
         listed = lookup.find_symbols(self.symbols, files, query)
