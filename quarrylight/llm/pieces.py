@@ -41,7 +41,7 @@ from .wordhash import byte_names, slices, sparing, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text that are indexed at once; longer stretches than LONG go through a heap.
-BATCH_BYTES, LONG = 1 << 21, 48
+BATCH_BYTES, LONG = 1 << 20, 48
 #: Stretches of earlier batches whose ids a worker keeps, a few dozen MB at most.
 REMEMBERED = 300_000
 _U = np.uint64
