@@ -26,8 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_repeats": repeats.OP3_SQL,
         "op4_chat_threads": chat_threads.OP4_SQL,
+        "op5_embed_dedup": embed_dedup.OP5_SQL,
         "op7_mix_sources": mixing.OP7_SQL,
         "op8_url_rules": url_rules.OP8_SQL,
+        "op9_near_dedup": near_dedup.OP9_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
