@@ -85,13 +85,18 @@ def densest_window(lines: Column, terms: Column, head: int = 6, most: int = 30,
     The first of equals wins; windows that begin more than ``reach`` lines below the start aren't looked at.
     """
     wide = most - head
-    hits = F.transform(lines, lambda x: F.size(F.filter(terms, lambda t: F.contains(F.lower(x), t))))
-    last = F.least(F.size(lines) - wide + 1, F.lit(reach + 2))
-    sums = F.transform(
-        F.sequence(F.lit(head + 1), F.greatest(last, F.lit(head + 1))),
-        lambda i: F.struct((-F.aggregate(F.slice(hits, i, wide), F.lit(0), lambda a, x: a + x)).alias("s"), i.alias("i")),
-    )
-    return F.when(F.size(lines) > most, F.array_min(sums)["i"])
+    hits = F.transform(F.transform(lines, F.lower), lambda x: F.size(F.filter(terms, lambda t: F.contains(x, t))))
+    last = F.greatest(F.least(F.size(lines) - wide + 1, F.lit(reach + 2)), F.lit(head + 1))
+
+    def best(hits: Column) -> Column:
+        sums = F.transform(
+            F.sequence(F.lit(head + 1), last),
+            lambda i: F.struct((-F.aggregate(F.slice(hits, i, wide), F.lit(0), lambda a, x: a + x)).alias("s"), i.alias("i")),
+        )
+        return F.array_min(sums)["i"]
+
+    # hits are bound to a lambda's variable, as an expression within the windows would be evaluated for each of them
+    return F.when(F.size(lines) > most, F.transform(F.array(hits), best)[0])
 
 
 def match_windows(hits: DataFrame, around: int = 2, windows: int = 3) -> DataFrame:
