@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_threads, embed_dedup, exact_dedup, html_text, mixing, near_dedup, pieces, quality, repeats, url_rules
+from . import chat_threads, embed_dedup, exact_dedup, html_text, mixing, near_dedup, pieces, quality, repeats, resample, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": url_rules.op8_url_rules,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_resample": resample.op11_resample,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_rules": url_rules.OP8_SQL,
         "op9_near_dedup": near_dedup.OP9_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op11_resample": resample.OP11_SQL,
     }
