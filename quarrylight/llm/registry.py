@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_threads, embed_dedup, exact_dedup, html_text, mixing, near_dedup, pieces, quality, repeats, resample, url_rules
+from . import byte_repeats, chat_threads, embed_dedup, exact_dedup, html_text, mixing, near_dedup, pieces, quality, repeats, resample, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_resample": resample.op11_resample,
+        "op12_byte_repeats": byte_repeats.op12_byte_repeats,
     }
 
 
