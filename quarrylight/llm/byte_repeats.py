@@ -431,3 +431,28 @@ def remove_repeated_bytes(
 
 def op12_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_bytes=False)
+
+
+#: Windows as digits of their bytes, cut from parts of a thousand bytes.
+OP12_SQL = f"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (
+  SELECT r, p, substr(h, p * 2000 + 1, {2000 + 2 * WINDOW}) AS x, len(h) // 2 AS n FROM (SELECT r, h, unnest(range(len(h) // 2000 + 1)) AS p FROM b)
+),
+windows AS (
+  SELECT r, p * 1000 + i AS s, md5(substr(x, 2 * i + 1, {2 * WINDOW})) AS w FROM (SELECT r, p, x, unnest(range(least(1000, n - p * 1000 - {WINDOW - 1}))) AS i FROM parts)
+),
+again AS (SELECT r, s FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+runs AS (
+  SELECT r, min(s) AS lo, max(s) + {WINDOW} AS hi FROM (
+    SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS g FROM (
+      SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + {WINDOW} THEN 0 ELSE 1 END AS new FROM again)
+  ) GROUP BY r, g
+),
+spans AS (SELECT r, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM runs GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(n_spans + 1),
+         lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE his[i] END) + 1,
+                          2 * ((CASE WHEN i = n_spans THEN len(h) // 2 ELSE los[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE his[i] END)))), '') END)) AS kept_sha256
+FROM b LEFT JOIN spans USING (r)
+"""

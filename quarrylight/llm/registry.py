@@ -36,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_near_dedup": near_dedup.OP9_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
         "op11_resample": resample.OP11_SQL,
+        "op12_byte_repeats": byte_repeats.OP12_SQL,
     }
