@@ -59,6 +59,13 @@ def index_tokens(text: Column) -> Column:
     return F.flatten(F.transform(identifiers(text), one))
 
 
+def words(question: Column) -> Column:
+    """The distinct words of a question in lower case, without stop words and single letters."""
+    own = F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit(r"([\p{L}\p{N}]+)"), 1))
+    stop = F.array(*map(F.lit, sorted(STOPWORDS)))
+    return F.filter(own, lambda w: (F.octet_length(w) >= 2) & ~F.array_contains(stop, w))
+
+
 def stem_light(word: Column) -> Column:
     """One common English ending less, enough to join compounds."""
     out = word

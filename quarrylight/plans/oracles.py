@@ -189,6 +189,16 @@ def matching(condition: str, most: str = f"LIMIT {C.MATCHES}", capped: bool = Tr
 )"""
 
 
+#: Lines that hold the question of an item, as many searches for a fixed text.
+MANY = f"""many AS (
+  SELECT query, repo, path, line, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY query ORDER BY repo, path, line) AS nth FROM (
+      SELECT item_id AS query, repo, path, line, l.text, row_number() OVER (PARTITION BY item_id, repo, path ORDER BY line) AS r
+      FROM lines l JOIN (SELECT repo, path FROM files WHERE size <= {C.MAX_BYTES}) USING (repo, path)
+      JOIN queries ON CASE WHEN q = lower(q) THEN contains(lower(l.text), q) ELSE contains(l.text, q) END
+    ) WHERE r <= {C.MATCHES_PER_FILE}
+  ) WHERE nth <= {C.MATCHES}
+)"""
 EXACT_MATCH = f"contains(lower(text), {q(EXACT.lower())})"
 
 
@@ -508,6 +518,7 @@ e2 AS (SELECT *, CASE WHEN line - s > 6 THEN line - 3 ELSE s END AS first FROM e
 e3 AS (SELECT *, least(last0, first + 13) AS last FROM e2)
 SELECT place, repo, path, name, line, first, last, {rendered('first', 'least(last, len(ls))', "CASE WHEN n = line THEN '>' ELSE ' ' END")} AS excerpt FROM e3 JOIN line_lists USING (repo, path)""",
     "grep_exact": f"{BASE}, {matching(EXACT_MATCH)} SELECT * FROM matches",
+    "grep_many": f"{BASE}, {ASKED}, {MANY} SELECT * FROM many",
     "grep_regex": f"{BASE}, {matching(f'regexp_matches(text, {q(REGEX)}, {q('i')})')} SELECT * FROM matches",
     "grep_group_chunks": f"{GROUPS} SELECT * FROM groups",
     "grep_scored": f"""{GROUPS}, s AS (

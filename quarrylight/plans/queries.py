@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import paths, text
-from ..operators import chunker, index, lookup, ranking, views
+from ..operators import chunker, index, lookup, patterns, ranking, views
 from ..sources import catalog, corpus, evalset
 from . import made_sources, samples
 
@@ -225,9 +225,7 @@ def chunk_samples(spark, sf):
 
 def asked(spark, sf) -> DataFrame:
     """query, terms: each item's first sentence as words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("q"), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    stop = F.array(*map(F.lit, sorted(C.STOPWORDS)))
-    own = evalset.queries(spark, sf).select(F.col("item_id").alias("query"), "q", F.filter(words, lambda w: (F.octet_length(w) >= 2) & ~F.array_contains(stop, w)).alias("terms"))
+    own = evalset.queries(spark, sf).select(F.col("item_id").alias("query"), "q", text.words(F.col("q")).alias("terms"))
     return own.where(F.size("terms") > 0)
 
 
@@ -332,6 +330,13 @@ def grep_regex(spark, sf):
     return matches(spark, sf, False)
 
 
+@query
+def grep_many(spark, sf):
+    """The lines that hold the question of any benchmark item, all found in one scan."""
+    asked_for = evalset.queries(spark, sf).select(F.col("item_id").alias("query"), F.col("q").alias("pattern"))
+    return patterns.grep_many(files_of(spark, sf), asked_for)
+
+
 def groups(spark, sf) -> DataFrame:
     return lookup.group_by_chunk(matches(spark, sf), chunks_of(spark, sf))
 

@@ -32,12 +32,16 @@ def describe(files: DataFrame) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as files: repo, path, lang, blob, size, flags, text.
+    """``documents`` as files: repo, path, lang, blob, size, flags, text."""
+    return as_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def as_files(docs: DataFrame, *more: str) -> DataFrame:
+    """Documents (doc_id, text, lang, source, and ``more`` columns that stay) as files.
 
     Prose has long lines, so the test for dense content would drop a quarter of it; it isn't applied.
     """
     path = F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(
         F.col("source").alias("repo"),
         path.alias("path"),
@@ -46,6 +50,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").alias("size"),
         F.when(paths.generated_header(F.col("text")), C.DOC | C.GENERATED).otherwise(C.DOC).alias("flags"),
         "text",
+        *more,
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import USER, CorpusError
-from ..functions.sizes import broadcast_if_small
+from ..operators.patterns import holding
 from .corpus import document_files
 
 CASE = "q string, repo string, mode string, expect array<string>"
@@ -30,25 +30,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sentence of each benchmark item: item_id, q."""
+    return questions(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def questions(items: DataFrame) -> DataFrame:
+    """item_id, q: the first sentence of each item (item_id, text), as a user would ask for it."""
     first = F.regexp_extract("text", r"^([^.\n]*)", 1)
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.trim(first).alias("q")).where("q <> ''")
+    return items.select("item_id", F.trim(first).alias("q")).where("q <> ''")
 
 
 def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id and each place (repo:path) whose text holds the whole item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    files = document_files(spark, sf_dir).select("repo", "path", "text")
-    # benchmark items share a rare word with the files that hold them: join on the longest word
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"([^ \n]+)"), 1)
-    inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
-    longest = F.array_sort(F.transform(inner, lambda x: F.struct(-F.length(x), x.alias("x"))))
-    keyed = items.withColumn("w", words(F.col("text"))).withColumn("word", F.try_element_at(longest, F.lit(1))["x"])
-    short = keyed.where("word is null").select("item_id", F.col("text").alias("item"))
-    keyed = keyed.where("word is not null").select("item_id", F.col("text").alias("item"), "word")
-    # words travel without their texts; only files that hold an item's word are looked at again
-    by_word = files.select("repo", "path", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    maybe = by_word.join(broadcast_if_small(keyed, 10_000), "word").select("item_id", "item", "repo", "path")
-    found = files.join(maybe, ["repo", "path"]).where(F.col("text").contains(F.col("item")))
-    rest = files.join(broadcast_if_small(short, 10_000), F.col("text").contains(F.col("item")))
-    place = F.concat_ws(":", "repo", "path").alias("place")
-    return found.select("item_id", place).unionByName(rest.select("item_id", place)).distinct()
+    return places(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), document_files(spark, sf_dir))
+
+
+def places(items: DataFrame, files: DataFrame) -> DataFrame:
+    """item_id and each place (repo:path) of the files whose text holds the whole item; all items are looked for in one scan."""
+    found = holding(files, items.select(F.col("item_id").alias("query"), F.col("text").alias("pattern")))
+    return found.select(F.col("query").alias("item_id"), F.concat_ws(":", "repo", "path").alias("place")).distinct()
