@@ -157,7 +157,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not isinstance(kind := docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"ids are {kind.simpleString()}, not whole numbers")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_NULL_ID))
-    return docs.select(ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(ident.alias("id"), F.xxhash64(text).alias("x"), text.alias("text"))
 
 
 def remove_repeats(
@@ -186,22 +187,22 @@ def remove_repeats(
                 at = np.searchsorted(place, w.word_at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("id").slice(w.first_row, w.rows),
+                        b.column("id").slice(w.first_row, w.rows), b.column("x").slice(w.first_row, w.rows),
                         pa.array(w.counts.astype(np.int64)),
                         *_names(w),
                         pa.array(_hashes_of_all(w), pa.string()),
                         pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g[place].view(np.int64))),
                     ],
-                    ["id", "n", "f", "g", "sha", "prefixes"],
-                )
+                    ["id", "x", "n", "f", "g", "sha", "prefixes"],
+                )
 
-    meta = scratch.keep("meta", texts.mapInArrow(scan, "id bigint, n bigint, f bigint, g bigint, sha string, prefixes array<bigint>"))
-    first = meta.where(f"n >= {window}").groupBy("f", "g", "n").agg(F.min(F.struct("id", "prefixes")).alias("v"))
+    meta = scratch.keep("meta", texts.mapInArrow(scan, "id bigint, x bigint, n bigint, f bigint, g bigint, sha string, prefixes array<bigint>"))
+    first = meta.where(f"n >= {window}").groupBy("f", "g", "n").agg(F.min(F.struct("id", "x", "prefixes")).alias("v"))
     first = scratch.keep("first", first.select("f", "g", "n", "v.*"))
-    heads = first.select("id", F.explode("prefixes").alias("h"))
+    heads = first.select("id", "x", F.explode("prefixes").alias("h"))
     twice = scratch.keep("twice", heads.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     # prefixes of a document that occur twice: at most as many as it has words
-    found = heads.join(twice.hint("merge"), "h").groupBy("id").agg(F.collect_set("h").alias("found"))
+    found = heads.join(twice.hint("merge"), "h").groupBy("id", "x").agg(F.collect_set("h").alias("found"))
     found = scratch.keep("found", found)
     scratch.drop("twice")
 
@@ -221,26 +222,26 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(s["h"][some].view(np.int64)), pa.array(names[0]), pa.array(names[1]),
-                        b.column("id").take(pa.array(w.first_row + row)), pa.array(w.whole().view(np.int64)[row]),
+                        *(b.column(c).take(pa.array(w.first_row + row)) for c in ("id", "x")), pa.array(w.whole().view(np.int64)[row]),
                         pa.array((at - w.word_at[row]).astype(np.int32)), pa.array(s["lead"][some].astype(np.int32)), pa.array(wins.astype(np.int32)),
                     ],
-                    ["h", "d1", "d2", "id", "f", "start", "lead", "wins"],
+                    ["h", "d1", "d2", "id", "x", "f", "start", "lead", "wins"],
                 )
 
     # rows of one id with different words each bring the stretches they have
     some = by_id.joined(found)
-    places = "h bigint, d1 bigint, d2 bigint, id bigint, f bigint, start int, lead int, wins int"
+    places = "h bigint, d1 bigint, d2 bigint, id bigint, x bigint, f bigint, start int, lead int, wins int"
     places = scratch.keep("places", some.mapInArrow(cut, places))
     scratch.drop("found")
-    classes = places.groupBy("h", "d1", "d2").agg(F.min(F.struct("id", "start", "f", "lead", "wins")).alias("v"))
+    classes = places.groupBy("h", "d1", "d2").agg(F.min(F.struct("id", "start", "x", "f", "lead", "wins")).alias("v"))
     classes = scratch.keep("classes", classes.select("h", "d1", "d2", "v.*"))
     one = classes.select("d1", "d2", F.struct("id", "start").alias("first"))
     late = places.join(one.hint("merge"), ["d1", "d2"]).where("struct(id, start) <> first")
-    late = late.select("id", "f", F.expr("sequence(start, start + wins - 1)").alias("starts"))
+    late = late.select("id", "x", "f", F.expr("sequence(start, start + wins - 1)").alias("starts"))
 
     shared = classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > group).alias("large"))
     shared = scratch.keep("shared", shared)
-    asked = classes.join(shared.hint("merge"), "h").groupBy("id").agg(F.collect_list(F.struct("f", "start", "lead", "wins", "h", "large")).alias("asked"))
+    asked = classes.join(shared.hint("merge"), "h").groupBy("id", "x").agg(F.collect_list(F.struct("f", "start", "lead", "wins", "h", "large")).alias("asked"))
     asked = scratch.keep("asked", asked)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,16 +256,16 @@ def remove_repeats(
                 here = f == w.whole().view(np.int64)[rows]
                 at = w.word_at[rows] + start
                 small, big = np.flatnonzero(here & ~large), np.flatnonzero(here & large)
-                ids = b.column("id")
+                of = lambda row: [b.column(c).take(pa.array(w.first_row + row)) for c in ("id", "x")]  # noqa: E731, B023
                 lo, hi = w.starts[at[small]], w.ends[at[small] + window + wins[small] - 2]
                 raw = w.data.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h[small]), ids.take(pa.array(w.first_row + rows[small])), pa.array(f[small]),
+                        pa.array(h[small]), *of(rows[small]), pa.array(f[small]),
                         *(pa.array(x[small]) for x in (start, lead, wins)),
                         pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary()), pa.nulls(len(small), pa.int64()), pa.nulls(len(small), pa.int64()),
                     ],
-                    ["h", "id", "f", "start", "lead", "wins", "words", "w1", "w2"],
+                    ["h", "id", "x", "f", "start", "lead", "wins", "words", "w1", "w2"],
                 )
                 if len(big):
                     each = np.repeat(big, wins[big])
@@ -273,14 +274,14 @@ def remove_repeats(
                     none = pa.nulls(len(each), pa.int32())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(h[each]), ids.take(pa.array(w.first_row + rows[each])), pa.array(f[each]), pa.array((start[each] + k).astype(np.int32)), none, none,
+                            pa.array(h[each]), *of(rows[each]), pa.array(f[each]), pa.array((start[each] + k).astype(np.int32)), none, none,
                             pa.nulls(len(each), pa.binary()), *(pa.array(w.runs(window, lane)[1][window_at].view(np.int64)) for lane in (0, 1)),
                         ],
-                        ["h", "id", "f", "start", "lead", "wins", "words", "w1", "w2"],
+                        ["h", "id", "x", "f", "start", "lead", "wins", "words", "w1", "w2"],
                     )
 
     some = by_id.joined(asked)
-    cuts = some.mapInArrow(suffixes, "h bigint, id bigint, f bigint, start int, lead int, wins int, words binary, w1 bigint, w2 bigint")
+    cuts = some.mapInArrow(suffixes, "h bigint, id bigint, x bigint, f bigint, start int, lead int, wins int, words binary, w1 bigint, w2 bigint")
     cuts = scratch.keep("suffixes", cuts)
     scratch.drop("asked")
 
@@ -289,7 +290,7 @@ def remove_repeats(
         held: list[pa.RecordBatch] = []
 
         def trees(t: pa.Table) -> pa.RecordBatch:
-            h, ids, f, start, lead, wins = (t.column(c).to_numpy() for c in ("h", "id", "f", "start", "lead", "wins"))
+            h, ids, x, f, start, lead, wins = (t.column(c).to_numpy() for c in ("h", "id", "x", "f", "start", "lead", "wins"))
             again = repeated_windows(h, ids, start.astype(np.int64), lead.astype(np.int64), wins, _split(t.column("words").combine_chunks()), window, prefix)
             row, o = np.nonzero(again[:, ::-1])  # in order of start
             starts = start[row] + lead[row] - (again.shape[1] - 1 - o)
@@ -297,7 +298,7 @@ def remove_repeats(
             rows = np.flatnonzero(count)
             at = np.concatenate([[0], np.cumsum(count[rows])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(starts.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(f[rows]), lists], ["id", "f", "starts"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(x[rows]), pa.array(f[rows]), lists], ["id", "x", "f", "starts"])
 
         for b in batches:
             held.append(b)
@@ -312,14 +313,15 @@ def remove_repeats(
         if held and (t := pa.Table.from_batches(held)).num_rows:
             yield trees(t)
 
-    stretch_rows = cuts.where("words is not null").select("h", "id", "f", "start", "lead", "wins", "words")
-    marked = stretch_rows.repartition("h").sortWithinPartitions("h").mapInArrow(forest, "id bigint, f bigint, starts array<int>")
-    wide = cuts.where("words is null").select("w1", "w2", "id", "f", "start")
+    stretch_rows = cuts.where("words is not null").select("h", "id", "x", "f", "start", "lead", "wins", "words")
+    marked = stretch_rows.repartition("h").sortWithinPartitions("h").mapInArrow(forest, "id bigint, x bigint, f bigint, starts array<int>")
+    wide = cuts.where("words is null").select("w1", "w2", "id", "x", "f", "start")
     firsts = wide.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"))
     firsts = scratch.keep("firsts", firsts)  # so that both sides of the join are exchanges, which Spark splits where they are skewed
-    wide = wide.join(firsts.hint("merge"), ["w1", "w2"]).where("struct(id, start) <> first").select("id", "f", F.array("start").alias("starts"))
+    wide = wide.join(firsts.hint("merge"), ["w1", "w2"]).where("struct(id, start) <> first").select("id", "x", "f", F.array("start").alias("starts"))
     repeated = late.unionByName(marked).unionByName(wide)
-    repeated = scratch.keep("repeated", repeated.groupBy("id", "f").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    # rows that repeat id and text bring equal lists, which meet within a task first
+    repeated = scratch.keep("repeated", repeated.groupBy("id", "x", "f").agg(F.flatten(F.collect_set("starts")).alias("starts")))
     scratch.drop("places", "classes", "shared", "suffixes", "firsts")
 
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -360,7 +362,7 @@ def remove_repeats(
     part = part.mapInArrow(cover, covered).dropDuplicates(["id", "n", "f", "g"])
     part = scratch.keep("covered", part)
     by_id.drop()
-    marks = meta.drop("prefixes").join(first.select("f", "g", "n", F.col("id").alias("first_id")).hint("merge"), ["f", "g", "n"], "left")
+    marks = meta.drop("prefixes", "x").join(first.select("f", "g", "n", F.col("id").alias("first_id")).hint("merge"), ["f", "g", "n"], "left")
     whole = F.expr("first_id is not null and first_id <> id")
     marks = marks.join(part.hint("merge"), ["id", "n", "f", "g"], "left")
     out = marks.select(
@@ -375,27 +377,28 @@ def remove_repeats(
 
 
 class _Texts:
-    """The texts (id, text), to be joined with what is known of some ids, several times.
+    """The texts (id, x, text), to be joined with what is known of some of them, several times; x is a hash of the text.
 
-    While those ids are few enough they are sent to all tasks, and no text moves.  Beyond that the texts
-    are dealt out by id once, into a table with a bucket for each shuffle partition, and all joins merge with it.
+    With the hash in the key, the lists of a row's joins are its own, however many rows have its id, as null ids have.  While those ids are few enough they are sent to all tasks, and no text moves.  Beyond that the texts
+    are dealt out by both once, into a table with a bucket for each shuffle partition, and all joins merge with it.
     """
 
     def __init__(self, texts: DataFrame, scratch: Scratch):
         self.texts, self.scratch, self.table = texts, scratch, None
 
     def joined(self, of_ids: DataFrame) -> DataFrame:
-        """The texts with the rows of their ids."""
-        ids = of_ids.select("id").distinct()
+        """The texts with the rows of their ids and hashes."""
+        key = ["id", "x"]
+        ids = of_ids.select(*key).distinct()
         if self.table is None and ids.count() <= BROADCAST_IDS:
-            return self.texts.join(F.broadcast(ids), "id", "left_semi").join(of_ids.hint("merge"), "id")
+            return self.texts.join(F.broadcast(ids), key, "left_semi").join(of_ids.hint("merge"), key)
         spark = self.texts.sparkSession
         if self.table is None:
             self.table = "quarrylight_texts_" + self.scratch.path.rpartition("-")[2]
             n = shuffle_width(spark)
-            dealt = self.texts.repartition(n, "id").write.format("parquet").bucketBy(n, "id").sortBy("id")
+            dealt = self.texts.repartition(n, *key).write.format("parquet").bucketBy(n, *key).sortBy(*key)
             dealt.option("path", f"{self.scratch.path}/texts").saveAsTable(self.table)
-        return spark.table(self.table).join(of_ids.hint("merge"), "id")
+        return spark.table(self.table).join(of_ids.hint("merge"), key)
 
     def drop(self) -> None:
         if self.table:
