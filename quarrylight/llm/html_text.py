@@ -7,11 +7,12 @@ number of blocks.  Both ratios are smoothed by a Gaussian over the blocks in pag
 stand close in the tree, and multiplied; paths whose mean is at least the threshold (a share of the
 standard deviation) are selected.
 
-The article is the deepest <article> or <main> that holds nearly all selected text, or else the deepest
-container that holds all selected blocks and the heading above them.  Of its blocks those of selected
-paths are kept, those that their neighbours lift over the threshold, and short ones of prose (headings,
-list items, cells and the like) that aren't mostly links.  So ratios decide where the article is, and
-which boxes in it belong to it.
+The article is the lowest element that holds all selected blocks and the heading above them, and the
+<article> or <main> closest around it where there is one.  Where selected blocks stand on both sides of
+an <article> or <main> that holds most of their text, that is the article.  All blocks in it are kept that
+aren't marked.  A mark by a part of a class or id that also names subjects of articles (``related-work``,
+``search-results``) only holds for boxes whose paths aren't selected.  So ratios decide where the article is,
+and which boxes in it belong to it.
 
 Pages are handled one by one, so memory follows the largest page and a lost task is simply run again.
 
@@ -38,13 +39,11 @@ from pyspark.sql import functions as F
 from .scratch import small_batches
 
 #: The threshold for a path's fused ratio, as a share of the standard deviation over the page's blocks.
-THRESHOLD = 0.5
+THRESHOLD = 1.0
 #: Blocks on either side that ratios are smoothed over.
 REACH = 2
-#: An <article> or <main> with this share of all selected text is the article.
-HOLDS = 0.8
-#: Unselected blocks of prose with more than this share of their text in links are dropped.
-LINKED = 0.6
+#: An <article> or <main> with more than this share of the selected text is the article, where none holds all of it.
+MOST = 0.5
 
 # Fixed values of HTML.
 _RAW = frozenset("script style template textarea title iframe noembed noframes noscript xmp".split())
@@ -64,7 +63,6 @@ _CLOSES = {  # an opening tag ends these open elements, if no element in the sec
     "option": ({"option"}, {"select"}),
 }
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_PROSE = _HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre".split())
 # What never belongs to the article, by tag, role and word of a class or id.
 _OTHER_TAGS = frozenset("nav footer aside form head select button menu dialog object svg math canvas audio video map datalist".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -85,6 +83,12 @@ _OTHER_WORDS = frozenset(
     " comment comments commentlist disqus replies respond".split()
 )
 
+# Of these words, those that are marks for sure only as a whole class or id: as a part of one they may be an article's subject.
+_SUBJECTS = frozenset(
+    "nav navigation menu pager skip header banner related recommended recommendations share sharing social notice notices overlay"
+    " search login signup respond replies".split()
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     # a quote counts only behind "="; possessive, so that broken tags cost no backtracking
@@ -105,12 +109,11 @@ class _Page:
     """Elements and blocks of a page, in page order."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.other, self.by_word, self.path = ["#"], [-1], [False], [False], [0]
+        self.tag, self.parent, self.other, self.by_word, self.by_part, self.path = ["#"], [-1], [False], [False], [False], [0]
         self.paths = {(-1, "#"): 0}
         self.texts: list[str] = []
         self.owner: list[int] = []
-        self.linked: list[int] = []
-        self._stack, self._parts, self._links, self._open_links = [0], [], 0, 0
+        self._stack, self._parts = [0], []
         self._depths: dict[str, list[int]] = {}  # of the open elements of each tag
         self._read(html)
         self._flush()
@@ -121,15 +124,13 @@ class _Page:
             if text:
                 self.texts.append(text)
                 self.owner.append(self._stack[-1])
-                self.linked.append(self._links)
-            self._parts, self._links = [], 0
+            self._parts = []
 
     def _pop_to(self, depth: int) -> None:
         self._flush()
         for e in self._stack[depth:]:
             self._depths[self.tag[e]].pop()
         del self._stack[depth:]
-        self._open_links = 0
 
     def _deepest(self, tags: set[str]) -> int:
         """The depth of the innermost open element with one of the tags, or 0."""
@@ -144,9 +145,8 @@ class _Page:
                 ends, stop = _CLOSES[tag]
                 if (depth := self._deepest(ends)) > self._deepest(stop):
                     self._pop_to(depth)
-        self._open_links = 0
         above, i = self._stack[-1], len(self.tag)
-        other, by_word, name = tag in _OTHER_TAGS, False, tag
+        other, by_word, by_part, name = tag in _OTHER_TAGS, False, False, tag
         for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
             key, value = key.lower(), a or b or c
             if hidden or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
@@ -155,15 +155,21 @@ class _Page:
                 other |= value.lower() in _OTHER_ROLES
             elif key in ("class", "id"):
                 name += f".{value}" if key == "class" else ""
-                by_word |= any(w.lower() in _OTHER_WORDS for w in _WORD.findall(value))
+                for label in value.split():
+                    words = {w.lower() for w in _WORD.findall(label)} & _OTHER_WORDS
+                    if label.lower() in _OTHER_WORDS or words - _SUBJECTS:
+                        by_word = True
+                    elif words:
+                        by_part = True
         if tag == "header":
             by_word = True
         if tag in ("html", "body", "main", "article") and not re.search("comment", attributes, re.IGNORECASE):
-            by_word = False
+            by_word = by_part = False
         self.tag.append(tag)
         self.parent.append(above)
         self.other.append(other or self.other[above])
         self.by_word.append(by_word)
+        self.by_part.append(by_part)
         self.path.append(self.paths.setdefault((self.path[above], name), len(self.paths)))
         self._depths.setdefault(tag, []).append(len(self._stack))
         self._stack.append(i)
@@ -177,7 +183,6 @@ class _Page:
             if text is not None:
                 text = unescape(text)
                 self._parts.append(text)
-                self._links += self._open_links and len(text.strip())
                 continue
             closing, tag, attributes = m[1], m[2], m[3]
             if not tag:
@@ -189,9 +194,7 @@ class _Page:
                 continue
             tag = tag.lower()
             if closing:
-                if tag == "a":
-                    self._open_links = 0
-                elif tag not in _INLINE:
+                if tag not in _INLINE:
                     if depth := self._deepest({tag}):
                         self._pop_to(depth)
                     elif tag in ("p", "br"):
@@ -204,8 +207,6 @@ class _Page:
                     self._flush()
                 else:
                     self._parts.append(" ")
-            elif tag == "a":
-                self._open_links = 1
             elif tag in _INLINE:
                 pass
             elif not attributes.endswith("/") or tag not in ("svg", "math"):
@@ -221,14 +222,28 @@ class _Page:
             own = [i for i, e in enumerate(self.owner) if not marked[e]]
         if not own:
             return []
-        chosen, lifted = self._chosen(own)
+        chosen, rich = self._chosen(own)
+        void = self._void(rich)
+        own = [i for i in own if not void[self.owner[i]]]
+        chosen &= set(own)
         top = self._container(own, chosen)
         inside = np.zeros(len(self.tag), bool)
         inside[top] = True
         for e in range(top + 1, len(self.tag)):
             inside[e] |= inside[self.parent[e]]
-        prose = lambda i: self.tag[self.owner[i]] in _PROSE and self.linked[i] <= LINKED * len(self.texts[i])
-        return [self.texts[i] for i in own if inside[self.owner[i]] and (i in chosen or i in lifted or prose(i))]
+        return [self.texts[i] for i in own if inside[self.owner[i]]]
+
+    def _void(self, rich: set[int]) -> list[bool]:
+        """Elements in boxes that a part of their class or id marks and that hold no block of a path that reaches the threshold."""
+        holds = [False] * len(self.tag)
+        for i in rich:
+            holds[self.owner[i]] = True
+        for e in range(len(self.tag) - 1, 0, -1):
+            holds[self.parent[e]] |= holds[e]
+        void = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            void[e] = void[self.parent[e]] or (self.by_part[e] and not holds[e])
+        return void
 
     def _marked(self) -> list[bool]:
         """Elements under a mark.  A mark by class or id is void around the article or its heading."""
@@ -257,7 +272,7 @@ class _Page:
         return marked
 
     def _chosen(self, own: list[int]) -> tuple[set[int], set[int]]:
-        """Blocks of paths whose smoothed and fused ratios reach the threshold, and blocks that reach it themselves."""
+        """Blocks of paths whose smoothed and fused ratios reach the threshold, and of those that reach it without their neighbours."""
         path = np.array([self.path[self.owner[i]] for i in own])
         _, group = np.unique(path, return_inverse=True)
         blocks = np.bincount(group)
@@ -280,23 +295,29 @@ class _Page:
         fused = smooth(text[group]) * smooth(marks[group])
         mean = np.bincount(group, fused) / blocks
         least = min(THRESHOLD * fused.std(), mean.max())  # the best path is always selected
-        return {i for i, g in zip(own, group) if mean[g] >= least}, {i for i, f in zip(own, fused) if f >= least}
+        bare = text * marks
+        return {i for i, g in zip(own, group) if mean[g] >= least}, {i for i, g in zip(own, group) if bare[g] >= least}
 
     def _container(self, own: list[int], chosen: set[int]) -> int:
-        held = np.zeros(len(self.tag))
-        for i in own:
-            if i in chosen:
-                held[self.owner[i]] += len(self.texts[i])
-        for e in range(len(self.tag) - 1, 0, -1):
-            held[self.parent[e]] += held[e]
-        articles = [e for e in range(1, len(self.tag)) if self.tag[e] in ("article", "main") and held[e] >= HOLDS * held[0]]
-        if articles:
-            return articles[-1]
-        needed = np.zeros(len(self.tag), int)
-        for i in chosen | self._title(own, chosen):
-            needed[self.owner[i]] += 1
-        for e in range(len(self.tag) - 1, 0, -1):
-            needed[self.parent[e]] += needed[e]
+        """The element that is the article."""
+
+        def sums(of: dict[int, int]) -> list[int]:
+            out = [0] * len(self.tag)
+            for i, x in of.items():
+                out[self.owner[i]] += x
+            for e in range(len(self.tag) - 1, 0, -1):
+                out[self.parent[e]] += out[e]
+            return out
+
+        hinted = [e for e in range(1, len(self.tag)) if self.tag[e] in ("article", "main")]
+        held = sums({i: len(self.texts[i]) for i in chosen})
+        whole = [e for e in hinted if held[e] == held[0]]
+        if whole:
+            return whole[-1]
+        most = max(hinted, key=lambda e: held[e], default=0)  # of equals the outermost, which comes first
+        if most and held[most] > MOST * held[0]:
+            return most
+        needed = sums(dict.fromkeys(chosen | self._title(own, chosen), 1))
         top, e = 0, 0
         below: dict[int, list[int]] = {}
         for c in range(1, len(self.tag)):
