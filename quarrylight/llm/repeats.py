@@ -235,7 +235,7 @@ def remove_repeats(
     scratch.drop("found")
     classes = places.groupBy("h", "d1", "d2").agg(F.min(F.struct("id", "start", "x", "f", "lead", "wins")).alias("v"))
     classes = scratch.keep("classes", classes.select("h", "d1", "d2", "v.*"))
-    one = classes.select("d1", "d2", F.struct("id", "start").alias("first"))
+    one = classes.select("d1", "d2", F.struct("id", "start").alias("first"), F.col("x").alias("first_x"))
     late = places.join(one.hint("merge"), ["d1", "d2"]).where("struct(id, start) <> first")
     late = late.select("id", "x", "f", F.expr("sequence(start, start + wins - 1)").alias("starts"))
 
@@ -321,7 +321,17 @@ def remove_repeats(
     wide = wide.join(firsts.hint("merge"), ["w1", "w2"]).where("struct(id, start) <> first").select("id", "x", "f", F.array("start").alias("starts"))
     repeated = late.unionByName(marked).unionByName(wide)
     # rows that repeat id and text bring equal lists, which meet within a task first
-    repeated = scratch.keep("repeated", repeated.groupBy("id", "x", "f").agg(F.flatten(F.collect_set("starts")).alias("starts")))
+    collected = F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts")
+    repeated = scratch.keep("repeated", repeated.groupBy("id", "x", "f").agg(collected))
+    several = meta.groupBy("id").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("id")
+    several = scratch.keep("several", several)
+    if not several.isEmpty():
+        # stretches of other texts of an id that start where the first ones do are as early as these: their windows fare alike
+        alike = places.join(several.hint("merge"), "id", "left_semi").join(one.hint("merge"), ["d1", "d2"])
+        alike = alike.where("struct(id, start) = first and x <> first_x").select("id", "x", "f", "start", "wins", "first_x")
+        alike = alike.join(repeated.select("id", F.col("x").alias("first_x"), "starts").hint("merge"), ["id", "first_x"])
+        alike = alike.select("id", "x", "f", F.expr("filter(starts, s -> s between start and start + wins - 1)").alias("starts"))
+        repeated = scratch.keep("repeated-alike", repeated.unionByName(alike).groupBy("id", "x", "f").agg(collected))
     scratch.drop("places", "classes", "shared", "suffixes", "firsts")
 
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))

@@ -512,3 +512,28 @@ def test_empty_tables(spark):
         pieces.encode(none), quality.score_quality(none, labels), mixing.mix_sources(none), chat_threads.format_chats(chats),
     ):
         assert out.count() == 0
+
+
+@pytest.mark.parametrize("same_id", [None, 7])
+def test_five_thousand_rows_of_one_id(spark, same_id):
+    """Rows that share an id are joined by their texts too: each has its own lists."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(300)) for _ in range(n))
+    passages = [text(40) for _ in range(40)]
+    texts = [text(rng.randint(5, 60)) + " " + rng.choice(passages) + " " + text(20) for _ in range(5000)]
+    rows = [(same_id, t) for t in texts]
+    out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), with_text=False).collect()
+    first = {}
+    words = [t.split() for t in texts]
+    for w in words:
+        for i in range(len(w) - 19):
+            k = tuple(w[i : i + 20])
+            first[k] = min(first.get(k, i), i)
+    want = []
+    for w in words:
+        gone = set()
+        for i in range(len(w) - 19):
+            if first[tuple(w[i : i + 20])] < i:
+                gone.update(range(i, i + 20))
+        want.append((len(w), len(gone)))
+    assert sorted((r["n_words"], r["n_removed"]) for r in out) == sorted(want)
