@@ -16,10 +16,11 @@
    all nodes.
 4. Recall is audited against brute force, as a mean over nodes, so that a large group doesn't speak for
    small ones, and again over those that were not completed; below TARGET more trees are grown and the
-   descent goes on.  The audit takes more nodes until MEASURED of them have links, up to MOST_AUDITED;
-   where links are too rare for that, recall counts as unmeasured, all rounds of trees are run, and the
-   result says so (``report``).  When rounds run out below TARGET, all nodes that are not complete yet
-   are compared with all others.
+   descent goes on.  The audit takes more nodes until MEASURED of them have links, up to MOST_AUDITED.
+   Where links are too rare for that, planted pairs speak for them: to some nodes a vector is made at just
+   the link angle, and the share of these pairs, the hardest there are, that share a leaf of any tree is the
+   recall (the descent only adds to it); trees are grown until it reaches TARGET.  When rounds run out below
+   TARGET, all nodes that are not complete yet are compared with all others.  ``report`` says what was measured.
 
 Links are decided in double precision.  Vectors travel as they came (four or eight bytes a component).
 
@@ -62,6 +63,8 @@ PIECE, BLOCK, PART, PIVOTS = 1024, 512, 2048, 4096
 #: NN-descent ends when less than this share of entries is new, or after so many turns.
 SETTLED, TURNS = 0.01, 3
 TARGET, ROUNDS = 0.995, 4
+#: Rounds of trees where planted pairs decide: enough for 2**22 leaves.
+PLANTED_ROUNDS = 8
 #: Nodes that are audited at first and at most (and bytes of their vectors, which are broadcast), and how many of them have to have links.
 AUDIT, MOST_AUDITED, MOST_BYTES, MEASURED = 2048, 32768, 64 << 20, 50
 #: Turns in which pivots are looked for, and new pivots of a component in the first turn; twice as many in each next one, up to eight times.
@@ -438,6 +441,29 @@ def _recall(nodes: DataFrame, found: DataFrame, counted: DataFrame, threshold: f
     return recall
 
 
+def _plants(nodes: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """id, raw of AUDIT pairs at most: a node's vector, and one at the link angle from it in any direction, with ids 2 k and 2 k + 1."""
+    most = nodes.agg(F.max(F.length("raw"))).first()[0]
+    rows = nodes.select("raw").orderBy(F.xxhash64("id", F.lit(131))).limit(max(1, min(AUDIT, MOST_BYTES // (4 * most)))).collect()
+    rng = np.random.default_rng(17)
+    out = []
+    for i, r in enumerate(rows):
+        x = _unit(pa.array([bytes(r["raw"])]), kind)[0]
+        d = rng.standard_normal(len(x))
+        d -= (d @ x) * x
+        away = np.linalg.norm(d)
+        y = threshold * x + math.sqrt(1 - threshold**2) * d / away if away > 1e-9 else x  # in one dimension there is no other direction
+        out += [(2 * i, x.astype(kind).tobytes()), (2 * i + 1, y.astype(kind).tobytes())]
+    return nodes.sparkSession.createDataFrame([(i, bytearray(raw)) for i, raw in out], "id long, raw binary")
+
+
+def _met(plants: DataFrame, bits: int, first_tree: int, kind: str) -> set[int]:
+    """The planted pairs that share a leaf of one of a round's trees."""
+    codes = _tree_codes(plants, bits, first_tree, kind).withColumn("pair", F.expr("id div 2"))
+    both = codes.groupBy("pair", "tree", "dim", "code").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    return {r[0] for r in both.select("pair").distinct().collect()}
+
+
 def _shares(nodes: DataFrame, found: DataFrame, counted: DataFrame, threshold: float, kind: str, size: int) -> list[tuple[float, bool]]:
     """For the audited nodes with links: the share that was found, and whether the node was counted in full."""
     picked = nodes.join(found, F.col("id") == F.col("rep"), "left").join(counted.select("x"), F.col("id") == F.col("x"), "left")
@@ -520,7 +546,8 @@ def link_vectors(
         every = every.unionByName(swept.select(F.col("x").alias("rep"), F.col("n").alias("links")))
         return scratch.keep(f"{name}-result", every), edges, inner.select("x").unionByName(swept.select("x"))
 
-    for turn in range(ROUNDS if total > 1 else 0):
+    plants, met, turn, recall = None, set(), 0, 0.0
+    while total > 1 and recall < TARGET and turn < (ROUNDS if plants is None else PLANTED_ROUNDS):
         name = f"round-{turn}"
         cuts: list[DataFrame] = []
         codes = scratch.keep(f"{name}-codes", _tree_codes(nodes, bits, 1000 + turn, kind))
@@ -538,15 +565,20 @@ def link_vectors(
             more, found = _sweep(targets, nodes, threshold, kind, scratch, f"{name}-sweep")
             swept, swept_links = swept.unionByName(more), swept_links.unionByName(found)
         result, edges, counted = combine(name)
-        recall = _recall(nodes, result, counted, threshold, kind, report)
-        report |= {"rounds": turn + 1, "swept": False}
+        recall = _recall(nodes, result, counted, threshold, kind, report) if plants is None else None
+        if recall is None:
+            grown = range(turn + 1) if plants is None else [turn]
+            plants = _plants(nodes, threshold, kind).persist() if plants is None else plants
+            for t in grown:
+                met |= _met(plants, bits, 1000 + t, kind)
+            recall = len(met) / (plants.count() // 2)
+        turn += 1
+        report |= {"recall": recall, "planted": plants is not None, "rounds": turn, "swept": False}
         log.info("NN-descent: %s", report)
-        if recall is not None and recall >= TARGET:
-            break
-    else:
-        if total > 1 and recall is None:
-            log.warning("links are too rare for an audit: %s", report)
-        elif total > 1:
+    if total > 1:
+        if plants is not None:
+            plants.unpersist()
+        if recall < TARGET:
             report["swept"] = True
             done = counts.select(F.col("x").alias("id")).unionByName(swept.select(F.col("x").alias("id")))
             more, found = _sweep(nodes.join(done, "id", "left_anti"), nodes, threshold, kind, scratch, "rest")

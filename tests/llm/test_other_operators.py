@@ -322,18 +322,40 @@ def test_groups_that_only_meet_beyond_their_lists(spark):
     assert vectors_found(frame) == expected
 
 
+def test_sparse_links_are_measured_on_planted_pairs(spark, monkeypatch):
+    """30 pairs at cosine 0.9 to 0.93 among 12,000 vectors: an audit meets too few of them, so planted pairs are measured."""
+    monkeypatch.setattr(embed_dedup, "AUDIT", 1024)
+    monkeypatch.setattr(embed_dedup, "MOST_AUDITED", 1024)
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((12_000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(30):
+        d = rng.standard_normal(48)
+        d -= (d @ x[i]) * x[i]
+        c = 0.901 + 0.001 * i
+        x[-1 - i] = c * x[i] + math.sqrt(1 - c * c) * d / np.linalg.norm(d)
+    report = {}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(frame, report=report).collect()}
+    true = {i: int(n) - 1 for i, n in enumerate((x @ x.T >= 0.9).sum(1))}
+    assert found == true and sum(true.values()) >= 60
+    assert report["planted"] and report["recall"] >= embed_dedup.TARGET
+
+
 def test_links_too_rare_for_an_audit(spark, monkeypatch):
-    """All rounds are run, and the report says that recall is not known."""
+    """With a target that trees alone don't reach, all vectors are compared at the end."""
     rng = np.random.default_rng(7)
     x = rng.standard_normal((600, 24))
     x[:3] = x[3:6] + 0.01
     monkeypatch.setattr(embed_dedup, "AUDIT", 16)
     monkeypatch.setattr(embed_dedup, "MOST_AUDITED", 64)
-    monkeypatch.setattr(embed_dedup, "ROUNDS", 2)
+    monkeypatch.setattr(embed_dedup, "PLANTED_ROUNDS", 2)
+    monkeypatch.setattr(embed_dedup, "TARGET", 1.1)
     report = {}
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     found = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(frame, report=report).collect()}
-    assert (report["recall"], report["rounds"], report["audited"], report["swept"]) == (None, 2, 64, False)
+    assert 0 < report["recall"] <= 1
+    assert (report["planted"], report["rounds"], report["audited"], report["swept"]) == (True, 2, 64, True)
     assert sum(found.values()) == 6
     with pytest.raises(TypeError):
         embed_dedup.link_vectors(frame.withColumn("vec_id", frame["vec_id"].cast("string")))
