@@ -38,6 +38,7 @@ log = logging.getLogger("evaluate_search")
 #: Hits that are looked at for each question.
 LIMIT = 10
 MODES = ("concept", "exact")
+ANSWERS = "query bigint, repo string, path string, place int, start_line bigint, score double, right boolean, configuration string"
 CONFIGURATIONS = json.loads((Path(__file__).resolve().parent / "evaluate_search.json").read_text())["configurations"]
 
 
@@ -76,12 +77,12 @@ def run(spark: SparkSession, documents: str, benchmark: str, output: str, config
             hits = concept(files, chunks, asked.where(F.size("terms") > 0), c.get("per_file", C.PER_FILE), c.get("stem", False))
         else:
             hits = exact(files, chunks, asked)
-        hits = ranking.top(hits, c.get("limit", LIMIT)).select("query", "place", "repo", "path", "start_line", F.round("score", 9).alias("score"))
+        hits = ranking.top(hits, c.get("limit", LIMIT)).select("query", "place", "repo", "path", F.col("start_line").cast("bigint"), F.round("score", 9).alias("score"))
         right = expected.select(F.col("item_id").alias("query"), F.split_part("place", F.lit(":"), F.lit(1)).alias("repo"), F.split_part("place", F.lit(":"), F.lit(2)).alias("path"))
         right = right.withColumn("right", F.lit(True))
         hits = hits.join(right, ["query", "repo", "path"], "left").withColumn("right", F.coalesce("right", F.lit(False)))
         write(hits.withColumn("configuration", F.lit(c["name"])), f"{output}/answers", "configuration")
-        found = spark.read.parquet(f"{output}/answers").where(F.col("configuration") == c["name"])
+        found = spark.read.schema(ANSWERS).parquet(f"{output}/answers").where(F.col("configuration") == c["name"])
         ranks = found.where("right").groupBy("query").agg(F.min("place").alias("rank"))
         own = expected.select(F.col("item_id").alias("query")).distinct().join(ranks, "query", "left").agg(
             F.count(F.lit(1)).alias("cases"),

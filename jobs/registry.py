@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,30 +9,19 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import constants as C
 from quarrylight.plans import oracles
+from quarrylight.sources.shared import new_folder
 
 from . import evaluate_search, refresh_index
 
 LINES = oracles.TILE
 
 
-def new_folder(spark: SparkSession, job: str) -> str:
-    """A folder of its own in the folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-        spark.sparkContext.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/jobs/{job}-{uuid.uuid4().hex}"
-
-
 def job1_refresh_index(spark: SparkSession, sf: str) -> DataFrame:
     """The live postings of the index after two runs; the second finds nothing new.
 
     The pattern fits the one file or folder of documents: a stream's path has to be a folder or a pattern.
     """
-    folder = new_folder(spark, "job1")
+    folder = new_folder(spark, "jobs/job1")
     for _ in range(2):
         index = refresh_index.run(spark, f"{sf}/document?.parquet", f"{folder}/index", f"{folder}/checkpoint", LINES, stem=False)
     return index.live("postings").select("term", "repo", "path", "start_line", "tf", "n", "dl", F.size("places").cast("bigint").alias("n_places"))
@@ -46,7 +33,7 @@ SELECT term, repo, path, start_line, sum(w)::DOUBLE AS tf, count(*) AS n, any_va
 
 def job2_evaluate_search(spark: SparkSession, sf: str) -> DataFrame:
     """The answers of every configuration, with its metrics in each row."""
-    folder = new_folder(spark, "job2")
+    folder = new_folder(spark, "jobs/job2")
     for _ in range(2):
         metrics = evaluate_search.run(spark, f"{sf}/documents.parquet", f"{sf}/benchmark.parquet", folder)
     return spark.read.parquet(f"{folder}/answers").join(F.broadcast(metrics), "configuration")  # a row for each configuration

@@ -183,12 +183,5 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, ["repo", "path"], "full_outer").select("repo", "path", status.alias("status"))
 
 
-def apply_difference(old_rows: DataFrame, new_rows: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rows of a table by repo and path after an update: removed and changed files lose theirs, added and changed get new ones."""
-    gone = changes.where("status in ('removed', 'changed')").select("repo", "path")
-    fresh = changes.where("status in ('added', 'changed')").select("repo", "path")
-    return old_rows.join(gone, ["repo", "path"], "left_anti").unionByName(new_rows.join(fresh, ["repo", "path"], "left_semi"))
-
-
 def without_repos(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.where(~F.col("repo").isin(names))

@@ -44,7 +44,8 @@ def _slices(patterns: DataFrame, most: int) -> Iterator[list]:
     size = own.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
     n = -(-size // most)
     for i in range(n):
-        yield own.where(F.pmod(F.xxhash64("pattern", "query"), F.lit(n)) == i).collect()
+        if rows := own.where(F.pmod(F.xxhash64("pattern", "query"), F.lit(n)) == i).collect():
+            yield rows
 
 
 def _union(parts: list[DataFrame], files: DataFrame, schema: str) -> DataFrame:
@@ -128,7 +129,8 @@ def grep_many(
 
         return own.mapInArrow(run, schema)
 
-    rows = _union([one(rows) for rows in _slices(patterns, slice_bytes)], files, schema)
+    within = patterns.where(~F.col("pattern").contains("\n"))  # no line holds the others
+    rows = _union([one(rows) for rows in _slices(within, slice_bytes)], files, schema)
     if most is None:
         return rows
     place = Window.partitionBy("query").orderBy("repo", "path", "line")

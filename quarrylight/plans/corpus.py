@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime
 import os
 import shutil
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,8 @@ from ..operators import index, views
 from ..operators.ranking import Scorer
 from ..sources import catalog, git
 from ..sources import corpus as files_of
-from .engine import Engine
+from ..streaming.segments import Segments
+from .engine import Engine, cut
 
 
 #: Repositories that are cloned or fetched at a time.
@@ -26,16 +26,19 @@ AT_ONCE = 4
 
 
 class Corpus:
-    """``root`` holds ``repos.json``, a folder per repository and ``.index``.
+    """``root`` holds ``repos.json`` and a folder per repository, on the machine that runs git.
 
-    ``.index`` has a folder for each state of the index and a file that names the current one, which is
-    replaced when a new state is complete: readers see one state or the other, and a crash leaves the old.
+    The index has a segment for each change (``streaming.segments``), so a change writes what it changes.  It stands in
+    ``index``, by default ``.index`` below the root; on a cluster that has to be a folder that all executors share.
     """
 
-    def __init__(self, spark: SparkSession, root: str, scorer: Scorer | None = None, blend: float = C.BLEND):
+    def __init__(self, spark: SparkSession, root: str, scorer: Scorer | None = None, blend: float = C.BLEND, index: str | None = None):
         self.spark, self.root, self.scorer, self.blend = spark, os.path.abspath(root), scorer, blend
         os.makedirs(self.root, exist_ok=True)
         self.catalog = os.path.join(self.root, "repos.json")
+        if index is None and not spark.sparkContext.master.startswith("local"):
+            raise CorpusError(USER, "the index needs a folder that all executors share", "name one: Corpus(..., index=...)")
+        self.segments = Segments(spark, index or "file://" + os.path.join(self.root, ".index"), cut)
 
     def repos(self) -> DataFrame:
         return catalog.read(self.spark, self.catalog)
@@ -47,10 +50,9 @@ class Corpus:
         return os.path.join(self.root, name)
 
     def engine(self) -> Engine:
-        if not (folder := self._current()):
+        if not self.segments.numbers():
             self.reindex()
-            folder = self._current()
-        return Engine.open(self.spark, folder, scorer=self.scorer, blend=self.blend)
+        return self.segments.engine(scorer=self.scorer, blend=self.blend)
 
     # ---- changes ----
 
@@ -150,14 +152,6 @@ class Corpus:
 
     # ---- the index ----
 
-    def _current(self) -> str | None:
-        """The folder of the current state."""
-        try:
-            with open(os.path.join(self.root, ".index", "current")) as f:
-                return os.path.join(self.root, ".index", f.read().strip())
-        except FileNotFoundError:
-            return None
-
     def _listing(self, names: list[str]) -> DataFrame:
         """repo, path, blob of the checkouts' files that are indexed."""
         out = self.spark.createDataFrame([], "repo string, path string, blob string")
@@ -179,27 +173,20 @@ class Corpus:
         Blobs of the checkouts are compared with those of the index: files that are gone or changed lose their
         rows, and only files that were added or changed are read, cut and tokenised.
         """
-        old = self._current()
         tracked = [n for n in self.names() if os.path.isdir(self.folder(n))]
-        if names is None or old is None:
-            state = Engine.from_files(files_of.describe(self._texts(tracked, self._listing(tracked))))
-        else:
-            there = [n for n in tracked if n in names]
-            engine, listing = Engine.open(self.spark, old), self._listing(there).persist()
-            changes = index.difference(engine.files.where(F.col("repo").isin(names)), listing).where("status <> 'unchanged'").persist()
-            if changes.isEmpty():
-                return
-            fresh = listing.join(changes.where("status <> 'removed'"), ["repo", "path"], "left_semi")
-            state = engine.updated(changes, Engine.from_files(files_of.describe(self._texts(there, fresh))))
-        name = uuid.uuid4().hex
-        folder = os.path.join(self.root, ".index", name)
-        state.save(folder)
-        with open(folder + ".name", "w") as f:
-            f.write(name)
-        os.replace(folder + ".name", os.path.join(self.root, ".index", "current"))
-        for other in os.listdir(os.path.join(self.root, ".index")):
-            if other not in (name, "current") and os.path.join(self.root, ".index", other) != old:  # the last state stays for its readers
-                shutil.rmtree(os.path.join(self.root, ".index", other), ignore_errors=True)
+        there = tracked if names is None else [n for n in tracked if n in names]
+        live = self.segments.heads().where("blob is not null")
+        live = live if names is None else live.where(F.col("repo").isin(names))
+        listing = self._listing(there).persist()
+        changes = index.difference(live, listing).where("status <> 'unchanged'").persist()
+        if not changes.isEmpty():
+            number = self.segments.next_number()
+            texts = files_of.describe(self._texts(there, listing.join(changes.where("status <> 'removed'"), ["repo", "path"], "left_semi")))
+            gone = changes.where("status = 'removed'").select("repo", "path")
+            batch = texts.unionByName(gone, allowMissingColumns=True).withColumn("version", F.lit(number))
+            self.segments.apply(batch, number)
+            self.segments.merge()
+        changes.unpersist(), listing.unpersist()
 
     # ---- state ----
 

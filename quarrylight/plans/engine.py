@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -13,7 +14,7 @@ from ..errors import NOT_FOUND, USER, CorpusError
 from ..functions import constants as C
 from ..functions import paths, text
 from ..functions.porter import fold, porter
-from ..operators import chunker, index, lookup, ranking, views
+from ..operators import chunker, index, lookup, ranking, trigrams, views
 from ..sources import catalog
 from ..sources.corpus import line_array, window_chunks
 
@@ -29,6 +30,17 @@ class Result:
     cost: float = 0.0  # in dollars
 
 
+def cut(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks (with body) and symbols of described files: definitions where the language has them, tiles otherwise."""
+    live = files.where(F.col("flags").bitwiseAND(C.SKIPPED) == 0)
+    parsed = live.where(F.col("lang").isin(*chunker.LANGUAGES))
+    split = chunker.split_files(parsed)
+    defs = split.where("what = 'chunk'").select("repo", "path", "start_line", "end_line", F.col("name").alias("symbol"), "kind", "body")
+    tiles = window_chunks(live.where(~F.col("lang").isin(*chunker.LANGUAGES)), C.WINDOW, True)
+    symbols = split.where("what = 'symbol'").select("repo", "path", "name", F.lower("name").alias("name_lower"), "kind", F.col("start_line").alias("line"))
+    return defs.unionByName(tiles), symbols
+
+
 class Engine:
     """A corpus: files (repo, path, lang, flags, text), chunks (with body) and symbols; ``stem`` for Porter stems in the index."""
 
@@ -37,6 +49,7 @@ class Engine:
     ):
         self.files, self.chunks, self.symbols, self.stem, self.scorer, self.blend = files, chunks, symbols, stem, scorer, blend
         self.spark, self.postings, self.tokens = files.sparkSession, None, None
+        self.grams: trigrams.Grams | None = None
 
     def save(self, folder: str) -> None:
         """Stores the tables and the index; files and chunks sorted by place, so that a repo's or a file's rows are read alone."""
@@ -46,34 +59,21 @@ class Engine:
         self.symbols.repartitionByRange("name_lower").sortWithinPartitions("name_lower").write.mode("overwrite").parquet(f"{folder}/symbols")
         rows = self.postings if self.postings is not None else index.postings_of(self.chunks, self.stem)
         index.write_postings(rows, self.spark.read.parquet(f"{folder}/chunks").count(), f"{folder}/index")
-
-    def updated(self, changes: DataFrame, fresh: Engine) -> Engine:
-        """A stored engine after ``changes`` (repo, path, status): only files that were added or changed are cut and tokenised, in ``fresh``."""
-        made = Engine(
-            *(index.apply_difference(getattr(self, t), getattr(fresh, t).select(getattr(self, t).columns), changes) for t in ("files", "chunks", "symbols")),
-            self.stem, self.scorer, self.blend,
-        )
-        made.postings = index.apply_difference(self.postings, index.postings_of(fresh.chunks, self.stem), changes)
-        return made
+        trigrams.Grams.write(self.files, f"{folder}/trigrams")
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, stem: bool = True, scorer: ranking.Scorer | None = None, blend: float = C.BLEND) -> Engine:
-        """An engine over stored tables; searches read postings of their terms instead of texts."""
+        """An engine over stored tables; searches read postings of their terms, and texts only of files that may match."""
         made = cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks", "symbols")), stem, scorer, blend)
         made.postings, made.tokens, made.statistics = index.read(spark, f"{folder}/index")
+        made.grams = trigrams.Grams(spark, f"{folder}/trigrams")
         return made
 
     @classmethod
     def from_files(cls, files: DataFrame, stem: bool = True, scorer: ranking.Scorer | None = None, blend: float = C.BLEND) -> Engine:
-        """Indexes described files (see ``sources.corpus.describe``): definitions where the language has them, tiles otherwise."""
+        """Indexes described files (see ``sources.corpus.describe``)."""
         own = files.where((F.col("lang") != "") & ~paths.skip_path(F.col("path")))
-        live = own.where(F.col("flags").bitwiseAND(C.SKIPPED) == 0)
-        parsed = live.where(F.col("lang").isin(*chunker.LANGUAGES))
-        split = chunker.split_files(parsed)
-        defs = split.where("what = 'chunk'").select("repo", "path", "start_line", "end_line", F.col("name").alias("symbol"), "kind", "body")
-        tiles = window_chunks(live.where(~F.col("lang").isin(*chunker.LANGUAGES)), C.WINDOW, True)
-        symbols = split.where("what = 'symbol'").select("repo", "path", "name", F.lower("name").alias("name_lower"), "kind", F.col("start_line").alias("line"))
-        return cls(own, defs.unionByName(tiles), symbols, stem, scorer, blend)
+        return cls(own, *cut(own), stem, scorer, blend)
 
     @cached_property
     def repos(self) -> list[str]:
@@ -97,11 +97,12 @@ class Engine:
             if lang.lower() not in C.EXTENSIONS:
                 raise CorpusError(USER, f"unknown language {lang!r}", "use one of: " + ", ".join(sorted(C.EXTENSIONS)))
         repos = [catalog.resolve(self.repos, r) for r in repos or ()]
-        files = lookup.filtered(self.files, repos, langs, path)
+        narrow = lambda rows: lookup.filtered(rows, repos, langs, path)
+        files = narrow(self.files) if repos or langs or path else None
         if mode != "auto":
-            return self._run(mode, query, files, limit, bool(repos), deep)
+            return self._run(mode, query, files, narrow, limit, bool(repos), deep)
         first = paths.mode_of(query)
-        result = self._run(first, query, files, limit, bool(repos), deep)
+        result = self._run(first, query, files, narrow, limit, bool(repos), deep)
         other = "exact" if first == "symbol" or (first == "concept" and len(query.split()) <= 4) else None
         if other is None:
             return result
@@ -110,23 +111,26 @@ class Engine:
         result.hits = self.spark.createDataFrame(rows, result.hits.schema)
         if rows:
             return result
-        again = self._run(other, query, files, limit, bool(repos), deep)
+        again = self._run(other, query, files, narrow, limit, bool(repos), deep)
         return Result(f"{first}->{other}", again.hits, f"no {first} results; tried {other}", result.terms)
 
-    def _run(self, mode: str, query: str, files: DataFrame, limit: int | None, scoped: bool, deep: bool) -> Result:
+    def _run(self, mode: str, query: str, files: DataFrame | None, narrow: Callable[[DataFrame], DataFrame], limit: int | None, scoped: bool, deep: bool) -> Result:
+        """``files`` are those that ``narrow`` leaves, or None where it leaves all."""
         if mode == "concept":
             return self._concept(query, files, limit or C.CONCEPT_LIMIT, scoped, deep)
         if mode == "symbol":
-            return self._symbol(query.strip(), files, limit or C.SYMBOL_LIMIT)
+            return self._symbol(query.strip(), self.files if files is None else files, limit or C.SYMBOL_LIMIT)
         fixed = mode == "exact"
         bare = query.strip()
         pattern = bare[1:-1] if fixed and len(bare) >= 2 and bare[0] == bare[-1] == '"' else query
-        found = lookup.grep(files, pattern if fixed else lookup.check_regex(pattern), fixed)
+        pattern = pattern if fixed else lookup.check_regex(pattern)
+        files = self.files if files is None else files
+        found = lookup.grep(narrow(self.grams.files_for(pattern, fixed)) if self.grams else files, pattern, fixed)
         groups = lookup.group_by_chunk(found, self.chunks).join(files.select("repo", "path", "flags"), ["repo", "path"])
         hits = lookup.top_groups(lookup.grep_score(groups, pattern, fixed), limit or C.GREP_LIMIT)
         return Result(mode, hits.select(*HIT, "match_lines"))
 
-    def _concept(self, query: str, files: DataFrame, limit: int, scoped: bool, deep: bool) -> Result:
+    def _concept(self, query: str, files: DataFrame | None, limit: int, scoped: bool, deep: bool) -> Result:
         terms, named = text.query_terms(query), []
         if not scoped:
             named = [r for r in self.repos if r.lower() in terms]
@@ -134,9 +138,8 @@ class Engine:
         if not terms:
             raise CorpusError(USER, f"query {query!r} has no searchable terms", "add specific words, e.g. identifiers or domain terms")
         scores = self._scores(terms)
-        in_files = scores.join(files.select("repo", "path", "lang", "flags"), ["repo", "path"])
-        meta = self.chunks.select("repo", "path", "start_line", "end_line", "symbol", "kind")
-        listed = ranking.shortlist(in_files).join(meta, ["repo", "path", "start_line"])
+        scores = scores if files is None else scores.join(files.select("repo", "path"), ["repo", "path"], "left_semi")
+        listed = self._described(ranking.shortlist(scores))
         asked = self.spark.createDataFrame([(0, terms)], "query int, terms array<string>")
         mentioned = F.col("repo").isin(named) if named else None
         hits = ranking.cap_per_file(ranking.concept_score(listed, asked, query, mentioned, one_query=True))
@@ -158,6 +161,15 @@ class Engine:
         cost = sum(r["cost"] for r in scores if "cost" in r)
         return Result("concept", best.drop("score").withColumnRenamed("blended", "score").select(*HIT, "p", "weak"), "", terms, cost)
 
+    def _described(self, listed: DataFrame) -> DataFrame:
+        """The shortlist with what is known of its files and chunks, of which only those of its paths are read."""
+        rows = listed.collect()  # at most C.SHORTLIST
+        small = self.spark.createDataFrame(rows, listed.schema)
+        there = F.col("path").isin(sorted({r["path"] for r in rows}))
+        meta = self.chunks.where(there).select("repo", "path", "start_line", "end_line", "symbol", "kind")
+        files = self.files.where(there).select("repo", "path", "lang", "flags")
+        return meta.join(F.broadcast(small), ["repo", "path", "start_line"]).join(files, ["repo", "path"])
+
     def _scores(self, terms: list[str], tokens: DataFrame | None = None) -> DataFrame:
         """BM25 of one query.  A term of several index tokens is a phrase: its tokens side by side in one column."""
         one = (lambda w: porter(fold(w))) if self.stem else str.lower

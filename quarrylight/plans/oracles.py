@@ -8,7 +8,7 @@ from ..functions import text as terms_of
 from ..functions.text import abbreviations
 from . import made_sources as made
 from . import samples
-from .queries import AUTO, EXACT, REGEX, SYMBOL, TILE
+from .queries import AUTO, EITHER, EXACT, REGEX, SHORT, SYMBOL, TILE
 
 
 def q(x: object) -> str:
@@ -200,6 +200,16 @@ MANY = f"""many AS (
   ) WHERE nth <= {C.MATCHES}
 )"""
 EXACT_MATCH = f"contains(lower(text), {q(EXACT.lower())})"
+REGEX_MATCH = f"regexp_matches(text, {q(REGEX)}, 'i')"
+
+
+def indexed() -> str:
+    """The matches of each search of ``grep_indexed``."""
+    conditions = {"exact": EXACT_MATCH, "regex": REGEX_MATCH, "either": f"regexp_matches(text, {q(EITHER)})", "short": f"contains(text, {q(SHORT)})"}
+    tables = [matching(c).replace("matches AS", f"{name}_matches AS", 1) for name, c in conditions.items()]
+    return f"{BASE}, {', '.join(tables)} " + " UNION ALL ".join(f"SELECT '{name}' AS search, * FROM {name}_matches" for name in conditions)
+
+
 
 
 def grouped(condition: str) -> str:
@@ -518,6 +528,7 @@ e2 AS (SELECT *, CASE WHEN line - s > 6 THEN line - 3 ELSE s END AS first FROM e
 e3 AS (SELECT *, least(last0, first + 13) AS last FROM e2)
 SELECT place, repo, path, name, line, first, last, {rendered('first', 'least(last, len(ls))', "CASE WHEN n = line THEN '>' ELSE ' ' END")} AS excerpt FROM e3 JOIN line_lists USING (repo, path)""",
     "grep_exact": f"{BASE}, {matching(EXACT_MATCH)} SELECT * FROM matches",
+    "grep_indexed": indexed(),
     "grep_many": f"{BASE}, {ASKED}, {MANY} SELECT * FROM many",
     "grep_regex": f"{BASE}, {matching(f'regexp_matches(text, {q(REGEX)}, {q('i')})')} SELECT * FROM matches",
     "grep_group_chunks": f"{GROUPS} SELECT * FROM groups",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import paths, text
-from ..operators import chunker, index, lookup, patterns, ranking, views
+from ..operators import chunker, index, lookup, patterns, ranking, trigrams, views
 from ..sources import catalog, corpus, evalset
+from ..sources.shared import new_folder
 from . import made_sources, samples
 
 #: Lines of a chunk in these queries: documents are short, so tiles of 80 would be whole documents.
@@ -314,6 +315,8 @@ def symbol_search(spark, sf):
 # ---- lines ----
 
 EXACT, REGEX = "rights reserved", r"token = .[0-9a-f]{8}"
+#: A pattern of two alternatives, and a text that is too short for an index.
+EITHER, SHORT = r"rights? reserved|BEGIN [A-Z]+ PRIVATE KEY", "%"
 
 
 def matches(spark, sf, fixed: bool = True) -> DataFrame:
@@ -330,6 +333,17 @@ def grep_regex(spark, sf):
     return matches(spark, sf, False)
 
 
+@query
+def grep_indexed(spark, sf):
+    """The same matches and those of two more patterns by a trigram index over all files: only files that may match are read."""
+    own = trigrams.Grams.write(files_of(spark, sf), new_folder(spark, "trigrams"))
+    out = None
+    for name, pattern, fixed in (("exact", EXACT, True), ("regex", REGEX, False), ("either", EITHER, False), ("short", SHORT, True)):
+        found = own.grep(pattern if fixed else lookup.check_regex(pattern), fixed).select(F.lit(name).alias("search"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query
 def grep_many(spark, sf):
     """The lines that hold the question of any benchmark item, all found in one scan."""

@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import index
 
-FILES = "repo string, path string, lang string, blob string, size int, flags int, text string, version bigint, segment int"
+FILES = "repo string, path string, blob string, text string, lang string, size int, flags int, version bigint, segment int"
 CHUNKS = "repo string, path string, start_line bigint, end_line bigint, symbol string, kind string, body string, segment int"
 SYMBOLS = "repo string, path string, name string, name_lower string, kind string, line bigint, segment int"
 SCHEMAS = {"files": FILES, "chunks": CHUNKS, "symbols": SYMBOLS, "postings": index.POSTINGS + ", segment int"}
@@ -61,13 +61,13 @@ class Segments:
     def live(self, name: str) -> DataFrame:
         """The rows of a table that belong to the live version of a file."""
         now = self.heads().where("blob is not null").select(*PLACE, "segment")
-        return self.stored(name).join(now, [*PLACE, "segment"], "left_semi").drop("segment", "version")
+        rows = self.stored(name)
+        return rows.join(now, [*PLACE, "segment"], "left_semi").select(*[c for c in rows.columns if c not in ("segment", "version")])
 
     def statistics(self) -> DataFrame:
         """One row: n_docs, n_tokens of the live chunks."""
-        return self.live("postings").select(*index.CHUNK, "n").groupBy(*index.CHUNK).agg(F.sum("n").alias("n")).agg(
-            F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens")
-        )
+        n_docs = self.live("chunks").agg(F.count(F.lit(1)).alias("n_docs"))
+        return n_docs.crossJoin(self.live("postings").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens")))  # one row each
 
     def engine(self, **how):
         """A search engine over the live rows."""
@@ -107,7 +107,7 @@ class Segments:
         """
         segment = 2 * number
         blob = F.when(F.col("text").isNotNull(), F.col("blob")).alias("blob")
-        own = batch.select("repo", "path", "lang", blob, "size", "flags", "text", F.col("version").cast("bigint").alias("version"))
+        own = batch.select("repo", "path", blob, "text", "lang", "size", "flags", F.col("version").cast("bigint").alias("version"))
         latest = F.struct("version", "blob")
         own = own.groupBy(*PLACE).agg(F.max_by(F.struct(*own.columns[2:]), latest).alias("row")).select(*PLACE, "row.*")
         old = self.heads(before=segment).select(*PLACE, F.col("blob").alias("old_blob"), F.col("version").alias("old_version"), F.lit(True).alias("known"))
@@ -122,10 +122,12 @@ class Segments:
         if counts:
             fresh = staged.drop("status")
             chunks, symbols = self.cut(fresh.where("blob is not null"))
-            self._write("chunks", chunks, segment)
-            self._write("symbols", symbols, segment)
+            # bounds of ranges are sampled from what is stored
+            self._write("chunks", self._staged("chunks", chunks), segment)
+            self._write("symbols", self._staged("symbols", symbols), segment)
             # postings come from the chunks as written, so that files are cut once
-            self._write("postings", index.postings_of(self.stored("chunks").where(F.col("segment") == segment), self.stem), segment)
+            postings = index.postings_of(self.stored("chunks").where(F.col("segment") == segment), self.stem)
+            self._write("postings", self._staged("postings", postings), segment)
             self._write("files", fresh, segment)
         return {k: counts.get(k, 0) for k in ("added", "changed", "removed")}
 

@@ -9,7 +9,6 @@ from quarrylight.functions import paths, text
 from quarrylight.operators import index, lookup, ranking
 from quarrylight.plans.engine import Engine
 from quarrylight.sources import catalog, corpus, evalset
-from quarrylight.streaming import refresh
 
 FILES = [
     ("netlib", "client.go", "package n\n\n// Retry sends again after a pause.\nfunc (c *Client) RetryRequest(max int) error {\n\tfor i := 0; i < max; i++ {\n\t\tsleep(i)\n\t}\n\treturn nil\n}\n"),
@@ -155,25 +154,6 @@ def test_metrics(spark):
     assert (row["cases"], row["hit1"], row["hit5"]) == (3, pytest.approx(1 / 3), pytest.approx(2 / 3)) and row["mrr"] == pytest.approx(0.5)
 
 
-def test_refresh_stream_is_idempotent(spark, tmp_path):
-    folder, incoming = str(tmp_path / "index"), str(tmp_path / "in")
-    files = corpus.document_files(spark, "/root/testdata/sf0.001")
-    chunk = lambda f: corpus.window_chunks(f, 8)
-    files.coalesce(1).write.parquet(incoming)
-
-    def run(name):
-        refresh.refresh_stream(spark.readStream.schema(files.schema).parquet(incoming), folder, chunk, str(tmp_path / name)).awaitTermination()
-
-    run("one")
-    run("two")  # the same batch again
-    stored = spark.read.parquet(f"{folder}/chunks")
-    assert stored.count() == chunk(files).count() and spark.read.parquet(f"{folder}/files").count() == 200
-    changed = files.where("repo = 'src3'").withColumn("text", F.lit("a b\nc d\n")).withColumn("blob", F.md5("text"))
-    assert refresh.upsert(spark, folder, changed, chunk) == {"added": 0, "changed": changed.count()}
-    assert refresh.upsert(spark, folder, changed, chunk) == {"added": 0, "changed": 0}
-    assert spark.read.parquet(f"{folder}/chunks").where("repo = 'src3'").count() == changed.count()
-
-
 def test_stored_engine_answers_alike(spark, tmp_path, engine):
     engine.save(str(tmp_path / "corpus"))
     stored = Engine.open(spark, str(tmp_path / "corpus"))
@@ -196,34 +176,3 @@ def test_an_automatic_search_runs_once(engine, monkeypatch):
     found = engine.search("Router")
     monkeypatch.setattr(engine, "files", None)
     assert found.hits.first()["path"] == "app.py"
-
-
-def test_refresh_after_a_crash_between_tables(spark, tmp_path, monkeypatch):
-    folder = str(tmp_path / "index")
-    files = corpus.document_files(spark, "/root/testdata/sf0.001")
-    tables = refresh.index_tables(lambda f: corpus.window_chunks(f, 8, True), corpus.line_symbols, stem=False)
-    refresh.upsert(spark, folder, files, tables)
-    changed = files.where("repo in ('src3', 'src5')").withColumn("text", F.lit("Alpha beta\nGamma delta\n")).withColumn("blob", F.md5("text"))
-
-    def broken(f):
-        raise RuntimeError("lost")
-
-    with pytest.raises(RuntimeError):
-        refresh.upsert(spark, folder, changed, tables | {"symbols": broken})
-    assert refresh.upsert(spark, folder, changed, tables)["changed"] == changed.count()
-    now = files.join(changed.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(changed)
-    chunks = corpus.window_chunks(now, 8, True)
-    stored = lambda t: spark.read.parquet(f"{folder}/{t}")
-    for name, want in (("chunks", chunks), ("symbols", corpus.line_symbols(now)), ("postings", index.postings_of(chunks)), ("files", now)):
-        got = stored(name).select(want.columns)
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
-    assert refresh.statistics(spark, folder).first() == index.statistics(chunks).first()
-
-
-def test_refresh_takes_the_latest_version(spark, tmp_path):
-    folder = str(tmp_path / "index")
-    rows = [("r", "a", "text", f"b{i}", 1, 0, f"v{i} x\ny z\n", i * 7 % 5) for i in range(5)]
-    frame = spark.createDataFrame(rows, refresh.FILES + ", at int")
-    assert refresh.upsert(spark, folder, frame.repartition(3), lambda f: corpus.window_chunks(f, 8, True), "at") == {"added": 1, "changed": 0}
-    assert spark.read.parquet(f"{folder}/files").first()["blob"] == "b2"
-    assert spark.read.parquet(f"{folder}/chunks").first()["body"].startswith("v2")
