@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import porter, text
+from ..functions.sizes import broadcast_if_small
 
 CHUNK = ["repo", "path", "start_line"]
 
@@ -121,6 +122,24 @@ def postings_of(chunks: DataFrame, stem: bool = False) -> DataFrame:
     return _token_lists(chunks).mapInArrow(run, POSTINGS)
 
 
+def phrase_postings(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Postings (term, repo, path, start_line, tf, n, dl) of phrases (phrase, words: several tokens side by side in one column).
+
+    ``rows`` are postings with places.  Those of the phrases' words meet in their chunk, each with its places moved back by the
+    word's place in the phrase; what all of them share is where the phrase begins, so no row is made for a token.
+    """
+    asked = phrases.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("k", "term"))
+    own = rows.select("term", *CHUNK, "dl", "places").join(broadcast_if_small(asked), "term")
+    own = own.withColumn("at", F.transform("places", lambda p: p - 4 * F.col("k")))
+    per = own.groupBy("phrase", "size", *CHUNK).agg(F.first("dl").alias("dl"), F.collect_list("at").alias("lists"))  # one list for each word
+    per = per.where(F.size("lists") == F.col("size"))
+    begins = F.aggregate(F.slice("lists", F.lit(2), F.col("size") - 1), F.col("lists")[0], F.array_intersect)
+    weights = F.array(*[F.lit(C.WEIGHTS[c]).cast("double") for c in COLUMNS])
+    per = per.withColumn("begins", begins).where(F.size("begins") > 0)
+    tf = F.aggregate("begins", F.lit(0.0), lambda a, x: a + F.element_at(weights, (x % 4 + 1).cast("int")))
+    return per.select(F.col("phrase").alias("term"), *CHUNK, tf.alias("tf"), F.size("begins").cast("bigint").alias("n"), "dl")
+
+
 def token_rows(rows: DataFrame) -> DataFrame:
     """Tokens (repo, path, start_line, dl, col, pos, term) of postings with places."""
     place = rows.select("term", *CHUNK, "dl", F.explode("places").alias("x"))

@@ -180,6 +180,14 @@ class Engine:
         stored = self.postings is not None
         rows = self.postings.where(F.col("term").isin(single)).drop("places") if stored else index.postings(tokens.where(F.col("term").isin(single)))
         asked = [(0, s) for s in single]
+        long = {" ".join(p): p for p in phrases if len(p) > 1}
+        if stored and long:
+            words = self.postings.where(F.col("term").isin(sorted({w for p in long.values() for w in p})))
+            found = index.phrase_postings(words, self.spark.createDataFrame(list(long.items()), "phrase string, words array<string>"))
+            return ranking.score_postings(
+                rows.unionByName(found), self.spark.createDataFrame([*asked, *((0, " ".join(p)) for p in phrases if len(p) > 1)], "query int, term string"),
+                self.statistics, one_query=True,
+            )
         for p in (p for p in phrases if len(p) > 1):
             run = tokens.where(F.col("term") == p[0]).select(*index.CHUNK, "dl", "col", "pos", F.lit(" ".join(p)).alias("term"))
             for k, word in enumerate(p[1:], 1):

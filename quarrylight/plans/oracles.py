@@ -106,6 +106,19 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(bm25, 9) DESC, repo, path, start_line) AS rank FROM bm
 )"""
 CONCEPT = f"{BASE}, {DOCS}, {ASKED}, {BM25}"
+#: The same with the question's pairs of neighbouring words as further terms.
+PAIRS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+PHRASES = rf"""asked_pairs AS (
+  SELECT DISTINCT query, w[i] || ' ' || w[i + 1] AS term FROM (
+    SELECT query, terms, w, unnest(range(1, len(w))) AS i FROM (SELECT *, regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}]+') AS w FROM asked)
+  ) WHERE list_contains(terms, w[i]) AND list_contains(terms, w[i + 1])
+),
+occ_all AS (
+  SELECT repo, path, start_line, dl, term, w FROM occ
+  UNION ALL SELECT repo, path, start_line, len(tp) + len(tb), unnest({PAIRS.format('tp')}), {C.WEIGHTS['path']} FROM docs
+  UNION ALL SELECT repo, path, start_line, len(tp) + len(tb), unnest({PAIRS.format('tb')}), {C.WEIGHTS['body']} FROM docs
+),
+{BM25.replace("terms AS (SELECT query, unnest(terms) AS term FROM asked)", "terms AS (SELECT query, unnest(terms) AS term FROM asked UNION ALL FROM asked_pairs)").replace("FROM occ", "FROM occ_all")}"""
 PENALTY = f"(CASE WHEN flags & {C.GENERATED} <> 0 THEN {C.PENALTY['generated']} ELSE 1 END * CASE WHEN flags & {C.DOC} <> 0 THEN {C.PENALTY['doc']} ELSE 1 END)"
 
 
@@ -504,6 +517,7 @@ FROM (VALUES {values([tuple(x.split()) for x in samples.DEFINITIONS.split(chr(10
     "fts_stats": f"{BASE}, {DOCS} SELECT n_docs, n_tokens, round(n_tokens::DOUBLE / n_docs, 9) AS avgdl FROM stats",
     "index_build": f"{BASE}, {DOCS} SELECT term, count(DISTINCT (repo, path, start_line)) AS n_chunks, sum(w)::DOUBLE AS weighted, count(*) AS n_tokens FROM occ GROUP BY term",
     "concept_bm25": f"{CONCEPT} SELECT query, repo, path, start_line, round(bm25, 9) AS bm25, rank FROM ranked WHERE rank <= 10",
+    "concept_phrases": f"""{BASE}, {DOCS}, {ASKED}, {PHRASES} SELECT query, repo, path, start_line, round(bm25, 9) AS bm25, rank FROM ranked WHERE rank <= 10""",
     "concept_score": f"{scored()} SELECT query, repo, path, start_line, round(score, 9) AS score FROM scored",
     "concept_repo_boost": f"""{scored("CASE WHEN r.repo = 'src' || (r.query % 20) THEN 2.0 ELSE 1.0 END")}
 SELECT * FROM (SELECT query, repo, path, start_line, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, repo, path, start_line) AS place FROM scored)

@@ -273,6 +273,28 @@ def concept_search(spark, sf):
     return concept_hits(spark, sf).select("query", "repo", "path", "start_line", r9("score").alias("score"), "place")
 
 
+def pairs(q: Column, terms: Column) -> Column:
+    """Words that stand side by side in a question, both of which are searched for."""
+    words = F.regexp_extract_all(F.lower(q), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    both = F.arrays_zip(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))
+    both = F.filter(both, lambda p: F.array_contains(terms, p["a"]) & F.array_contains(terms, p["b"]))
+    return F.array_distinct(F.transform(both, lambda p: F.array(p["a"], p["b"])))
+
+
+@query
+def concept_phrases(spark, sf):
+    """BM25 over the words of each question and its pairs of neighbouring words as phrases, from a stored index."""
+    folder = new_folder(spark, "phrases")
+    index.write(chunks_of(spark, sf, body=True), folder, stem=False)
+    rows, _, statistics = index.read(spark, folder)
+    own = asked(spark, sf).withColumn("pairs", pairs(F.col("q"), F.col("terms")))
+    wanted = own.select("query", F.explode("pairs").alias("words")).withColumn("phrase", F.array_join("words", " "))
+    found = index.phrase_postings(rows, wanted.select("phrase", "words").distinct())
+    terms = own.select("query", F.explode("terms").alias("term")).unionByName(wanted.select("query", F.col("phrase").alias("term")))
+    best = ranking.shortlist(ranking.bm25(rows.drop("places").unionByName(found), terms, statistics), 10)
+    return best.select("query", "repo", "path", "start_line", r9("bm25").alias("bm25"), "rank")
+
+
 @query
 def excerpt_densest(spark, sf):
     """For each benchmark item, where the densest window for its words begins in each file that is shortlisted for it."""

@@ -176,3 +176,13 @@ def test_an_automatic_search_runs_once(engine, monkeypatch):
     found = engine.search("Router")
     monkeypatch.setattr(engine, "files", None)
     assert found.hits.first()["path"] == "app.py"
+
+
+def test_phrases_from_stored_places(spark, tmp_path, engine):
+    """Places that are intersected give what tokens side by side give; a word may come twice in a phrase."""
+    engine.save(str(tmp_path / "corpus"))
+    stored = Engine.open(spark, str(tmp_path / "corpus"))
+    for terms in (["max_retries"], ["retry_request", "pause"], ["retry_retry", "self_paths_append"], ["retries_max", "absent_words"], ["add_self_path"]):
+        got, want = (sorted(map(tuple, e._scores(terms).collect())) for e in (stored, engine))
+        assert [r[:-1] for r in got] == [r[:-1] for r in want], terms
+        assert [r[-1] for r in got] == pytest.approx([r[-1] for r in want])

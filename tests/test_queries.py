@@ -50,7 +50,14 @@ def test_entry(spark):
 def test_the_rest_stands_without_the_removable_parts(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", "spark-warehouse"))
-    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') or k == 'pipeline' for k in q), len(e.oracle_sql()))"
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+q = e.queries()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert all(q[name](spark, SF).count() for name in ("lines_scan", "grep_exact", "repo_list", "grep_many"))
+print(len(q), any(k.startswith('op') or k == 'pipeline' for k in q), len(e.oracle_sql()))
+""".replace("SF", repr(SF))
     out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)})
     assert out.returncode == 0, out.stderr
     n, found, _ = out.stdout.split()
