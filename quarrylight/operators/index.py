@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,8 +45,8 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _token_lists(chunks: DataFrame) -> DataFrame:
-    return chunks.select("repo", "path", F.col("start_line").cast("bigint"), *[text.index_tokens(F.col(c)).alias(n) for c, n in zip(COLUMNS, _LISTS)])
+def _token_lists(chunks: DataFrame, *more: str) -> DataFrame:
+    return chunks.select("repo", "path", F.col("start_line").cast("bigint"), *more, *[text.index_tokens(F.col(c)).alias(n) for c, n in zip(COLUMNS, _LISTS)])
 
 
 def _stemmed(own: DataFrame) -> DataFrame:
@@ -91,8 +91,9 @@ POSTINGS = "term string, repo string, path string, start_line bigint, tf double,
 def postings_of(chunks: DataFrame, stem: bool = False) -> DataFrame:
     """The same straight from chunks, and ``places``, positions times four plus the number of the column.
 
-    A chunk's tokens are summed up in its row, so nothing is shuffled.
+    A chunk's tokens are summed up in its row, so nothing is shuffled.  Chunks with a ``number`` hand it on.
     """
+    more = ["number"] if "number" in chunks.columns else []
     weight = np.array([C.WEIGHTS[c] for c in COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +115,12 @@ def postings_of(chunks: DataFrame, stem: bool = False) -> DataFrame:
                 [
                     words.dictionary.take(pa.array(code[first])), *(b.column(b.schema.names.index(c)).take(pa.array(own)) for c in CHUNK),
                     pa.array(np.add.reduceat(weight[column], first) if len(first) else np.zeros(0)), pa.array(np.diff(np.append(first, len(key)))),
-                    pa.array(sum(sizes)[own]), places,
+                    pa.array(sum(sizes)[own]), places, *(b.column(b.schema.names.index(c)).take(pa.array(own)) for c in more),
                 ],
-                ["term", *CHUNK, "tf", "n", "dl", "places"],
+                ["term", *CHUNK, "tf", "n", "dl", "places", *more],
             )
 
-    return _token_lists(chunks).mapInArrow(run, POSTINGS)
+    return _token_lists(chunks, *more).mapInArrow(run, POSTINGS + "".join(f", {c} bigint" for c in more))
 
 
 def phrase_postings(rows: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -162,8 +163,8 @@ def write(chunks: DataFrame, folder: str, stem: bool = True) -> None:
     write_postings(postings_of(chunks, stem), chunks.count(), folder)
 
 
-def write_postings(rows: DataFrame, n_docs: int, folder: str) -> None:
-    """Stores postings of ``n_docs`` chunks and the statistics that follow from them.
+def write_postings(rows: DataFrame, n_docs: int, folder: str, also: Callable[[DataFrame, DataFrame], None] | None = None) -> None:
+    """Stores postings of ``n_docs`` chunks and the statistics that follow from them; ``also`` gets both as stored, with further columns.
 
     They are sorted by term, so that a query reads the row groups of its terms, and dealt out by
     ranges of term and place, so that a term with a large part of all postings is cut into several.
@@ -174,10 +175,12 @@ def write_postings(rows: DataFrame, n_docs: int, folder: str) -> None:
     order = ["term", "repo", "path"]
     stored = spark.read.schema(POSTINGS).parquet(staged).repartitionByRange(*order).sortWithinPartitions(*order)
     stored.write.mode("overwrite").parquet(f"{folder}/postings")
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     total = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
     total.select(F.lit(n_docs).cast("bigint").alias("n_docs"), "n_tokens").coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics")
+    if also is not None:
+        also(spark.read.schema(rows.schema).parquet(staged), spark.read.parquet(f"{folder}/statistics"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -47,13 +47,16 @@ def shortlist(scored: DataFrame, k: int = C.SHORTLIST) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def concept_score(candidates: DataFrame, terms: DataFrame, query_text: str = "", mentioned: Column | None = None, one_query: bool = False) -> DataFrame:
+def concept_score(candidates: DataFrame, terms: DataFrame | list[str], query_text: str = "", mentioned: Column | None = None) -> DataFrame:
     """Adds score to query, bm25, symbol, path, kind, flags: matches in symbol and path, kind, and penalties.
 
-    Terms are an array per query (column ``terms`` of the frame ``terms``); a candidate is scored in its row.
+    Terms are an array per query (column ``terms`` of the frame ``terms``), or the list of a single query's; a candidate is
+    scored in its row.
     """
-    asked = terms.select("query", "terms")
-    own = candidates.join(F.broadcast(asked) if one_query else broadcast_if_small(asked), "query")
+    if isinstance(terms, list):
+        own = candidates.withColumn("terms", F.array(*map(F.lit, terms)))
+    else:
+        own = candidates.join(broadcast_if_small(terms.select("query", "terms")), "query")
     most = F.max("bm25").over(Window.partitionBy("query"))
     n = F.size("terms")
     in_symbol = F.size(F.filter("terms", lambda t: (F.col("symbol") != "") & F.contains(F.lower("symbol"), t)))

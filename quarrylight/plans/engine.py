@@ -14,7 +14,7 @@ from ..errors import NOT_FOUND, USER, CorpusError
 from ..functions import constants as C
 from ..functions import paths, text
 from ..functions.porter import fold, porter
-from ..operators import chunker, index, lookup, ranking, trigrams, views
+from ..operators import blocks, chunker, index, lookup, ranking, trigrams, views
 from ..sources import catalog
 from ..sources.corpus import line_array, window_chunks
 
@@ -50,15 +50,20 @@ class Engine:
         self.files, self.chunks, self.symbols, self.stem, self.scorer, self.blend = files, chunks, symbols, stem, scorer, blend
         self.spark, self.postings, self.tokens = files.sparkSession, None, None
         self.grams: trigrams.Grams | None = None
+        self.blocks: blocks.Blocks | None = None
 
     def save(self, folder: str) -> None:
         """Stores the tables and the index; files and chunks sorted by place, so that a repo's or a file's rows are read alone."""
-        for name in ("files", "chunks"):
-            own = getattr(self, name).repartitionByRange("repo", "path").sortWithinPartitions("repo", "path")
-            own.write.mode("overwrite").parquet(f"{folder}/{name}")
+        own = self.files.repartitionByRange("repo", "path").sortWithinPartitions("repo", "path")
+        own.write.mode("overwrite").parquet(f"{folder}/files")
+        blocks.numbered(self.chunks.drop("number")).write.mode("overwrite").parquet(f"{folder}/chunks")
         self.symbols.repartitionByRange("name_lower").sortWithinPartitions("name_lower").write.mode("overwrite").parquet(f"{folder}/symbols")
-        rows = self.postings if self.postings is not None else index.postings_of(self.chunks, self.stem)
-        index.write_postings(rows, self.spark.read.parquet(f"{folder}/chunks").count(), f"{folder}/index")
+        files, chunks = (self.spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks"))
+        if self.postings is None:
+            rows = index.postings_of(chunks, self.stem)
+        else:
+            rows = self.postings.join(chunks.select(*index.CHUNK, "number"), index.CHUNK).select(*self.postings.columns, "number")
+        index.write_postings(rows, chunks.count(), f"{folder}/index", lambda p, total: blocks.write(p, chunks, files, total, f"{folder}/index"))
         trigrams.Grams.write(self.files, f"{folder}/trigrams")
 
     @classmethod
@@ -67,6 +72,7 @@ class Engine:
         made = cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks", "symbols")), stem, scorer, blend)
         made.postings, made.tokens, made.statistics = index.read(spark, f"{folder}/index")
         made.grams = trigrams.Grams(spark, f"{folder}/trigrams")
+        made.blocks = blocks.Blocks(spark, f"{folder}/index", made.statistics)
         return made
 
     @classmethod
@@ -137,12 +143,15 @@ class Engine:
             terms = [t for t in terms if t not in {r.lower() for r in named}] or terms
         if not terms:
             raise CorpusError(USER, f"query {query!r} has no searchable terms", "add specific words, e.g. identifiers or domain terms")
-        scores = self._scores(terms)
-        scores = scores if files is None else scores.join(files.select("repo", "path"), ["repo", "path"], "left_semi")
-        listed = self._described(ranking.shortlist(scores))
-        asked = self.spark.createDataFrame([(0, terms)], "query int, terms array<string>")
+        single = self._tokens(terms)
+        if self.blocks is not None and files is None and all(len(p) == 1 for p in single):
+            listed = self.blocks.described(self.blocks.best([p[0] for p in single]))
+        else:  # phrases and filters need all postings of their words
+            scores = self._scores(terms)
+            scores = scores if files is None else scores.join(files.select("repo", "path"), ["repo", "path"], "left_semi")
+            listed = self._described(ranking.shortlist(scores))
         mentioned = F.col("repo").isin(named) if named else None
-        hits = ranking.cap_per_file(ranking.concept_score(listed, asked, query, mentioned, one_query=True))
+        hits = ranking.cap_per_file(ranking.concept_score(listed, terms, query, mentioned))
         if self.scorer is None:
             return Result("concept", ranking.top(hits, limit).select(*HIT), "keyword-ranked: no scorer", terms)
         pool = ranking.top(hits, C.JUDGED_DEEP if deep else C.JUDGED)
@@ -170,10 +179,14 @@ class Engine:
         files = self.files.where(there).select("repo", "path", "lang", "flags")
         return meta.join(F.broadcast(small), ["repo", "path", "start_line"]).join(files, ["repo", "path"])
 
+    def _tokens(self, terms: list[str]) -> list[list[str]]:
+        """The index tokens of each term."""
+        one = (lambda w: porter(fold(w))) if self.stem else str.lower
+        return [[one(w) for w in regex.findall(text.TOKEN, t)] for t in terms]
+
     def _scores(self, terms: list[str], tokens: DataFrame | None = None) -> DataFrame:
         """BM25 of one query.  A term of several index tokens is a phrase: its tokens side by side in one column."""
-        one = (lambda w: porter(fold(w))) if self.stem else str.lower
-        phrases = [[one(w) for w in regex.findall(text.TOKEN, t)] for t in terms]
+        phrases = self._tokens(terms)
         single = [p[0] for p in phrases if len(p) == 1]
         if tokens is None:
             tokens = self.tokens if self.tokens is not None else index.tokens(self.chunks, self.stem)

@@ -68,7 +68,7 @@ def test_concept_with_scorer(engine):
 
 
 def test_symbol_exact_regex_auto(engine):
-    assert [(r["symbol"], r["start_line"]) for r in engine.search("Pause").hits.orderBy("place").collect()][:2] == [("pause", 4), ("Pause", 3)] or True
+    assert [(r["symbol"], r["start_line"]) for r in engine.search("Pause").hits.orderBy("place").collect()][:2] == [("pause", 4), ("Pause", 3)]
     best = engine.search("Router").hits.first()
     assert (best["path"], best["symbol"], best["start_line"], best["end_line"]) == ("app.py", "Router", 6, 9)
     exact = engine.search('"retry_request"').hits.orderBy("place").collect()
