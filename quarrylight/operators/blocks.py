@@ -26,7 +26,7 @@ from .index import CHUNK
 #: Chunks of a range.
 WIDTH = 128
 #: Ranges that are scored before there is a threshold.
-FIRST = 48
+FIRST = 128
 #: Ranges whose numbers the driver holds; where more of them reach the threshold, they are found by a join.
 LISTED = 2048
 #: Scores are equal where they are so to nine digits, so a bound may be short of the threshold by as much.
