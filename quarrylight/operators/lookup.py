@@ -41,10 +41,14 @@ def enclosing_chunk(points: DataFrame, chunks: DataFrame, line: str = "line") ->
     return points.join(c, inside, "left").drop("r", "p")
 
 
+def unqualified(query: str) -> str:
+    """The lower-cased last part of a qualified name."""
+    return re.split(r"[.:]", query.lower())[-1]
+
+
 def match_class(name: Column, query: str) -> Column:
     """0 equal, 1 equal but for case, 2 begins with it, 3 holds it; null otherwise.  A qualifier of the query is cut off for 1 to 3."""
-    low = re.split(r"[.:]", query.lower())[-1]
-    lower = F.lower(name)
+    low, lower = unqualified(query), F.lower(name)
     return F.when(name == query, 0).when(lower == low, 1).when(lower.startswith(low), 2).when(lower.contains(low), 3)
 
 

@@ -14,7 +14,7 @@ from ..errors import NOT_FOUND, USER, CorpusError
 from ..functions import constants as C
 from ..functions import paths, text
 from ..functions.porter import fold, porter
-from ..operators import blocks, chunker, index, lookup, ranking, trigrams, views
+from ..operators import blocks, chunker, index, lookup, names, ranking, trigrams, views
 from ..sources import catalog
 from ..sources.corpus import line_array, window_chunks
 
@@ -51,13 +51,14 @@ class Engine:
         self.spark, self.postings, self.tokens = files.sparkSession, None, None
         self.grams: trigrams.Grams | None = None
         self.blocks: blocks.Blocks | None = None
+        self.names: names.Names | None = None
 
     def save(self, folder: str) -> None:
         """Stores the tables and the index; files and chunks sorted by place, so that a repo's or a file's rows are read alone."""
         own = self.files.repartitionByRange("repo", "path").sortWithinPartitions("repo", "path")
         own.write.mode("overwrite").parquet(f"{folder}/files")
         blocks.numbered(self.chunks.drop("number")).write.mode("overwrite").parquet(f"{folder}/chunks")
-        self.symbols.repartitionByRange("name_lower").sortWithinPartitions("name_lower").write.mode("overwrite").parquet(f"{folder}/symbols")
+        names.Names.write(self.symbols, f"{folder}/names")
         files, chunks = (self.spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks"))
         if self.postings is None:
             rows = index.postings_of(chunks, self.stem)
@@ -69,7 +70,9 @@ class Engine:
     @classmethod
     def open(cls, spark: SparkSession, folder: str, stem: bool = True, scorer: ranking.Scorer | None = None, blend: float = C.BLEND) -> Engine:
         """An engine over stored tables; searches read postings of their terms, and texts only of files that may match."""
-        made = cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks", "symbols")), stem, scorer, blend)
+        found = names.Names(spark, f"{folder}/names")
+        made = cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks")), found.symbols, stem, scorer, blend)
+        made.names = found
         made.postings, made.tokens, made.statistics = index.read(spark, f"{folder}/index")
         made.grams = trigrams.Grams(spark, f"{folder}/trigrams")
         made.blocks = blocks.Blocks(spark, f"{folder}/index", made.statistics)
@@ -211,7 +214,7 @@ class Engine:
         return ranking.score_postings(rows, self.spark.createDataFrame(asked, "query int, term string"), self.statistics, one_query=True)
 
     def _symbol(self, query: str, files: DataFrame, limit: int) -> Result:
-        listed = lookup.find_symbols(self.symbols, files, query)
+        listed = self.names.find(files, query) if self.names else lookup.find_symbols(self.symbols, files, query)
         ranked = lookup.enclosing_chunk(lookup.rank_symbols(listed, query, limit), self.chunks)
         hits = ranked.select(
             "repo", "path", F.coalesce("start_line", "line").alias("start_line"), F.coalesce("end_line", "line").alias("end_line"),

@@ -28,6 +28,7 @@ def evaluate(engine: Engine, cases: DataFrame, scorers: dict[str, ranking.Scorer
     for name, scorer in (scorers or {"keyword": None}).items():
         searched = Engine(engine.files, engine.chunks, engine.symbols, engine.stem, scorer, engine.blend)
         searched.postings, searched.tokens, searched.statistics = engine.postings, engine.tokens, engine.statistics
+        searched.grams, searched.blocks, searched.names = engine.grams, engine.blocks, engine.names
         hits, took, cost = [], [], 0.0
         for i, r in enumerate(rows):
             began = time.monotonic()

@@ -533,6 +533,7 @@ n AS (
 w AS (SELECT *, sum(s) OVER (PARTITION BY query, repo, path ORDER BY line ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS hits FROM n)
 SELECT query, repo, path, arg_min(line, (-hits, line))::INT AS best FROM w WHERE line >= 7 AND line <= least(total - 23, 402) GROUP BY query, repo, path""",
     "symbol_lookup": f"{LISTED} SELECT repo, path, name, line, match, list_place FROM listed",
+    "symbol_indexed": f"{LISTED} SELECT repo, path, name, line, match, list_place FROM listed",
     "symbol_ranked": f"{SYMBOL_HITS} SELECT repo, path, name, line, round(score, 9) AS score, place FROM hits",
     "symbol_search": f"""{SYMBOL_HITS}, e AS (
   SELECT h.place, h.repo, h.path, h.name, h.line, coalesce(c.start_line, h.line) AS s, coalesce(c.end_line, h.line) AS last0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import paths, text
-from ..operators import chunker, index, lookup, patterns, ranking, trigrams, views
+from ..operators import chunker, index, lookup, names, patterns, ranking, trigrams, views
 from ..sources import catalog, corpus, evalset
 from ..sources.shared import new_folder
 from . import made_sources, samples
@@ -318,6 +318,13 @@ def symbol_lookup(spark, sf):
     return listed(spark, sf).select("repo", "path", "name", "line", "match", "list_place")
 
 
+@query
+def symbol_indexed(spark, sf):
+    """The same list by a table of suffixes of all names: only symbols whose names hold the text are read."""
+    own = names.Names.write(corpus.line_symbols(files_of(spark, sf)), new_folder(spark, "names"))
+    return own.find(files_of(spark, sf), SYMBOL).select("repo", "path", "name", "line", "match", "list_place")
+
+
 @query
 def symbol_ranked(spark, sf):
     return lookup.rank_symbols(listed(spark, sf), SYMBOL).select("repo", "path", "name", "line", r9("score").alias("score"), "place")
