@@ -27,6 +27,8 @@ from . import lookup
 #: Trigrams that are looked up for a pattern: the rarest ones, which leave few candidates for the others.
 LOOKED_UP = 6
 PARTS = 256
+#: Trigrams that a worker hands on at once, whatever the texts of its batch hold.
+AT_ONCE = 1 << 18
 #: Characters whose lower case depends on what stands beside them; what holds them isn't used for a search.
 _UNSURE = "ςσΣİ̇"
 _SPECIAL = frozenset(r"\.[]{}()*+?^$|")
@@ -111,6 +113,21 @@ def required_texts(pattern: str) -> list[list[str]]:
     return [*alternatives, texts]
 
 
+def gram_batches(batches: Iterator[pa.RecordBatch], most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """gram, repo, path, part of each text (``low``), some ``most`` rows at once."""
+    for b in batches:
+        own, row, size = [], [], 0
+        for i, text in enumerate(b.column("low")):
+            own.append(grams_of(text.as_py()))
+            row.append(i)
+            size += len(own[-1])
+            if size >= most or i + 1 == b.num_rows:
+                at = pa.array(np.repeat(row, [len(g) for g in own]))
+                grams = np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), *(b.column(c).take(at) for c in ("repo", "path", "part"))], ["gram", "repo", "path", "part"])
+                own, row, size = [], [], 0
+
+
 class Grams:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -125,15 +142,8 @@ class Grams:
         own.repartition("part").sortWithinPartitions("part", "repo", "path").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/files")
         stored = spark.read.parquet(f"{folder}/files").where(F.octet_length("text") <= C.MAX_BYTES)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own = [grams_of(t.as_py()) for t in b.column("low")]
-                row = pa.array(np.repeat(np.arange(len(own)), [len(g) for g in own]))
-                grams = np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), *(b.column(c).take(row) for c in ("repo", "path", "part"))], ["gram", "repo", "path", "part"])
-
         low = stored.select("repo", "path", "part", F.lower(F.replace("text", F.lit("\r\n"), F.lit("\n"))).alias("low"))
-        low.mapInArrow(run, "gram bigint, repo string, path string, part int").write.mode("overwrite").parquet(f"{folder}/_staged")
+        low.mapInArrow(gram_batches, "gram bigint, repo string, path string, part int").write.mode("overwrite").parquet(f"{folder}/_staged")
         staged = spark.read.parquet(f"{folder}/_staged")  # bounds of ranges are sampled from what is stored
         order = ["gram", "repo", "path"]
         staged.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/grams")

@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from quarrylight.operators import lookup
+import pyarrow as pa
+from quarrylight.operators import lookup, trigrams
 from quarrylight.operators.trigrams import Grams, needed_grams, required_texts
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -61,3 +62,13 @@ def test_only_parts_with_candidates_are_read(spark, files, grams):
     assert re.search(r"PushedFilters: \[In\(gram|PushedFilters: \[[^\]]*gram", plan)
     assert grams.candidates("x*", False) is None and grams.candidates("absent text").count() == 0
     assert grams.files_for("ab").count() == len(TEXTS)
+
+
+def test_workers_hand_on_slices_of_a_batch():
+    """What a worker holds doesn't follow the number of texts of a batch."""
+    texts = [f"text number {i} of some" for i in range(50)]
+    b = pa.RecordBatch.from_pydict({"repo": ["r"] * 50, "path": [f"p{i}" for i in range(50)], "part": pa.array([1] * 50, pa.int32()), "low": texts})
+    out = list(trigrams.gram_batches(iter([b]), 100))
+    assert len(out) > 5 and max(x.num_rows for x in out) < 130
+    rows = [(r["path"], r["gram"]) for x in out for r in x.to_pylist()]
+    assert rows == [(f"p{i}", g) for i, x in enumerate(texts) for g in trigrams.grams_of(x)]
