@@ -40,3 +40,15 @@ def test_groups_of_many_equal_groups_of_one(spark, files):
     got = sorted(map(tuple, patterns.groups_of_many(patterns.grep_many(files, asked), chunks).select("query", "repo", "path", "start_line", "end_line", "n").collect()))
     want = [(i, *r) for i, p in ((1, "two"), (2, "e")) for r in lookup.group_by_chunk(lookup.grep(files, p), chunks).select("repo", "path", "start_line", "end_line", "n").collect()]
     assert got == sorted(want)
+
+
+def test_matches_are_cut_down_in_parts_first(spark):
+    """No task reads all matches of a frequent pattern, and the first in order of place stay."""
+    files = spark.createDataFrame([(f"r{i % 3}", f"p{i:02}", "one of many\nmany\n") for i in range(60)], "repo string, path string, text string")
+    asked = spark.createDataFrame([(1, "many"), (2, "one")], "query long, pattern string")
+    own = patterns.grep_many(files, asked, most=7)
+    plan = own._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(query#" in plan and "xxhash64(repo#" in plan
+    all_of = sorted((q, f"r{i % 3}", f"p{i:02}", n) for i in range(60) for q, n in ((1, 1), (1, 2), (2, 1)))
+    want = [x for q in (1, 2) for x in [y for y in all_of if y[0] == q][:7]]
+    assert sorted((r["query"], r["repo"], r["path"], r["line"]) for r in own.collect()) == want
