@@ -159,3 +159,62 @@ def test_a_stream_can_be_searched(spark, tmp_path):
         got, want = (sorted(map(str, e.search(q).hits.select(columns).collect())) for e in (stored, anew))
         assert got == want and got
     assert stored.list(spark.createDataFrame([], "name string, url string, ref string, pinned boolean, sha string, categories array<string>, added_at timestamp, updated_at timestamp")).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_live_rows_need_no_join_of_all_files(spark, tmp_path, monkeypatch):
+    """One segment is read as it is; of several only what a later one holds as well is taken out, with places that are null."""
+    own = Segments(spark, str(tmp_path), cut, stem=False)
+
+    def check(texts):
+        chunks, symbols = cut(frame(spark, list(texts.items())))
+        for name, want in (("chunks", chunks), ("symbols", symbols), ("postings", index.postings_of(chunks, False))):
+            assert sorted(map(str, own.live(name).collect())) == sorted(map(str, want.collect())), name
+        assert {r["path"]: r["text"] for r in own.live("files").collect()} == texts and own.live("files").count() == len(texts)
+
+    own.apply(frame(spark, [*((f"f{i}", text(i)) for i in range(6)), (None, text(7))], 1), 0)
+    assert all("Join" not in plan(own.live(name)) for name in NAMES)
+    now = {f"f{i}": text(i) for i in range(6)} | {None: text(7)}
+    check(now)
+    own.apply(frame(spark, [("f1", text(11)), ("f2", None), (None, text(8))], 2), 1)
+    now |= {"f1": text(11), None: text(8)}
+    del now["f2"]
+    assert {(r["path"], r["segment"]) for r in own.superseded().collect()} == {("f1", 0), ("f2", 0), (None, 0)}
+    check(now)
+    monkeypatch.setattr("quarrylight.streaming.segments.broadcast_if_small", lambda df: df.hint("merge"))  # as if they were many
+    check(now)
+    monkeypatch.setattr(Segments, "to_merge", lambda self: self.numbers())
+    own.merge()
+    check(now)
+
+
+def test_texts_and_postings_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    """Neither chunks nor postings are stored before they are written."""
+    own, staged, stage = Segments(spark, str(tmp_path), cut, stem=False), [], Segments._staged
+    monkeypatch.setattr(Segments, "_staged", lambda self, name, rows: staged.append(name) or stage(self, name, rows))
+    now = {f"f{i}": text(i) for i in range(9)}
+    own.apply(frame(spark, list(now.items()), 1), 0)
+    assert "postings" not in staged and "chunks" not in staged
+    same(own, now)
+
+
+def test_ranges_of_postings(spark, tmp_path, monkeypatch):
+    """Postings in ranges are all postings; ranges follow each other, each is sorted, and a frequent term is in several."""
+    monkeypatch.setattr(index, "SAMPLED", 400)
+    monkeypatch.setattr(index, "RANGE", 300)
+    texts = {f"f{i}": "".join(f"Common word{i} x{i * k % 97}\ncommon again\n" for k in range(16)) for i in range(150)}
+    corpus.window_chunks(frame(spark, list(texts.items())), 8, True).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    own = index.ranged_postings(chunks, chunks.count())
+    want = index.postings_of(chunks)
+    assert own.columns == want.columns and sorted(map(str, own.collect())) == sorted(map(str, want.collect()))
+    parts = {}
+    for r in own.select(F.spark_partition_id().alias("part"), "term", "repo", "path").collect():
+        parts.setdefault(r["part"], []).append((r["term"], r["repo"], r["path"]))
+    rows = [parts[k] for k in sorted(parts)]
+    assert len(rows) > 5 and all(r == sorted(r) for r in rows)
+    assert all(a[-1][0] <= b[0][0] for a, b in zip(rows, rows[1:]))
+    assert sum(any(x[0] == "common" for x in r) for r in rows) > 1 and max(map(len, rows)) < len(own.collect()) / 3
