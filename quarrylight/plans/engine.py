@@ -71,7 +71,8 @@ class Engine:
     def open(cls, spark: SparkSession, folder: str, stem: bool = True, scorer: ranking.Scorer | None = None, blend: float = C.BLEND) -> Engine:
         """An engine over stored tables; searches read postings of their terms, and texts only of files that may match."""
         found = names.Names(spark, f"{folder}/names")
-        made = cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks")), found.symbols, stem, scorer, blend)
+        files, chunks = (spark.read.parquet(f"{folder}/{t}") for t in ("files", "chunks"))
+        made = cls(files, chunks.drop("number"), found.symbols, stem, scorer, blend)  # numbers belong to the blocks
         made.names = found
         made.postings, made.tokens, made.statistics = index.read(spark, f"{folder}/index")
         made.grams = trigrams.Grams(spark, f"{folder}/trigrams")
