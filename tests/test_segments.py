@@ -1,6 +1,7 @@
 """An index in segments equals one that is built anew, after every kind of change and after a crash at every step."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrylight.operators import index
 from quarrylight.plans.engine import Engine
 from quarrylight.sources import corpus
+from quarrylight.streaming import segments
 from quarrylight.streaming.segments import Segments, refresh
 
 FILE = "repo string, path string, blob string, text string, lang string, size int, flags int, version bigint"
@@ -218,3 +220,100 @@ def test_ranges_of_postings(spark, tmp_path, monkeypatch):
     assert len(rows) > 5 and all(r == sorted(r) for r in rows)
     assert all(a[-1][0] <= b[0][0] for a, b in zip(rows, rows[1:]))
     assert sum(any(x[0] == "common" for x in r) for r in rows) > 1 and max(map(len, rows)) < len(own.collect()) / 3
+
+
+def shuffle_files(spark):
+    """Names of the shuffle files on disk; a local session has one block manager."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def test_disk_beside_the_tables_is_bounded(spark, tmp_path, monkeypatch):
+    """Shuffle files go with each round, not when garbage is collected; staged rows go with the batch or the merge."""
+    own = Segments(spark, str(tmp_path), cut, stem=False)
+    key, before, most, put = segments.CLEANUP, shuffle_files(spark), [], Segments._put
+    set_before = spark.conf.get(key, None)
+
+    def watched(self, name, rows, segment, mode):
+        put(self, name, rows, segment, mode)
+        for _ in range(50):  # files are removed in the background
+            if not shuffle_files(spark) - before:
+                break
+            time.sleep(0.1)
+        most.append(len(shuffle_files(spark) - before))
+
+    monkeypatch.setattr(Segments, "_put", watched)
+    monkeypatch.setattr(Segments, "to_merge", lambda self: self.numbers())
+    texts = {f"f{i}": text(i, 20) for i in range(40)}
+    for n in range(2):
+        own.apply(frame(spark, [(p, t) for i, (p, t) in enumerate(texts.items()) if i % 2 == n], n), n)
+        assert not os.path.exists(tmp_path / "_staged")
+    own.merge()
+    assert not os.path.exists(tmp_path / "_staged")
+    assert len(most) == 12 and most == [0] * 12
+    assert spark.conf.get(key, None) == set_before
+    same(own, texts)
+
+
+def test_postings_and_merges_in_rounds(spark, tmp_path, monkeypatch):
+    """Rounds hold all rows once, places that are null too; a round that was cut off leaves nothing behind."""
+    monkeypatch.setattr(segments, "ROUND", 200)
+    monkeypatch.setattr(segments, "MERGED", 500)
+    monkeypatch.setattr(Segments, "_ranged", lambda self, name, rows: rows.repartitionByRange(4, *segments.SORTED_BY[name]).sortWithinPartitions(*segments.SORTED_BY[name]))
+    chunks_in_files = lambda files: (corpus.window_chunks(files, 8, True).repartition(4, "path"), corpus.line_symbols(files))
+    own, puts, put = Segments(spark, str(tmp_path), chunks_in_files, stem=False), [], Segments._put
+    lost = []
+
+    def watched(self, name, rows, segment, mode):
+        puts.append((name, mode))
+        if lost and puts.count(lost[0]) == 2:
+            raise RuntimeError("lost")
+        put(self, name, rows, segment, mode)
+
+    monkeypatch.setattr(Segments, "_put", watched)
+    texts = {f"f{i:02}": text(i, 20) for i in range(40)} | {None: text(50, 20)}
+    first, second = ([(p, t) for i, (p, t) in enumerate(texts.items()) if i % 2 == n] for n in range(2))
+    lost[:] = [("postings", "append")]
+    with pytest.raises(RuntimeError):
+        own.apply(frame(spark, first, 1), 0)
+    lost.clear()
+    own.apply(frame(spark, first, 1), 0)
+    own.apply(frame(spark, [*second, ("f00", text(70, 20)), ("f02", None)], 2), 1)
+    now = texts | {"f00": text(70, 20)}
+    del now["f02"]
+
+    def check():
+        chunks, symbols = cut(frame(spark, list(now.items())))
+        for name, want in (("chunks", chunks), ("symbols", symbols), ("postings", index.postings_of(chunks, False))):
+            assert sorted(map(str, own.live(name).collect())) == sorted(map(str, want.collect())), name
+        assert {r["path"]: r["text"] for r in own.live("files").collect()} == now and own.live("files").count() == len(now)
+
+    assert puts.count(("postings", "append")) > 4
+    check()
+    puts.clear()
+    monkeypatch.setattr(Segments, "to_merge", lambda self: self.numbers())
+    lost[:] = [("chunks", "append")]
+    with pytest.raises(RuntimeError):
+        own.merge()
+    check()
+    lost.clear()
+    puts.clear()
+    own.merge()
+    assert all(puts.count((name, "overwrite")) == 1 and puts.count((name, "append")) > 0 for name in NAMES)
+    assert len(own.numbers()) == 1
+    check()
+    files = own.spark.read.parquet(f"{own.folder}/postings").groupBy(F.input_file_name()).agg(F.min("term").alias("a"), F.max("term").alias("b"))
+    ranges = sorted((r["a"], r["b"]) for r in files.collect())
+    assert len(ranges) > 4 and all(x[1] <= y[0] for x, y in zip(ranges, ranges[1:]))  # merged postings stand in one order
+
+
+def test_texts_are_neither_grouped_nor_joined(spark, tmp_path):
+    """The rows of a batch that count are found where they are dealt out: one exchange of texts, after a first batch as well."""
+    own = Segments(spark, str(tmp_path), cut, stem=False)
+    own.apply(frame(spark, [(f"f{i}", text(i)) for i in range(6)], 1), 0)
+    batch = frame(spark, [("f1", text(11), 3), ("f1", text(12), 2), ("f2", None, 2), ("f3", text(3), 2), ("f4", text(9), 0), ("g", text(1), None), ("h", None, 2)])
+    found = own._changes(batch.repartition(3), 2)
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange rangepartitioning") == 1 and "max_by" not in executed
+    assert executed.index("Window") < executed.index("Exchange rangepartitioning") < executed.index("Join")  # what is known is joined below, without texts
+    assert {(r["path"], r["status"], r["text"]) for r in found.collect()} == {("f1", "changed", text(11)), ("f2", "removed", None), ("g", "added", text(1))}
